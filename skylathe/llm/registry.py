@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -17,5 +17,20 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_decontaminate": op2_decontaminate}
-ORACLES = {"op2_decontaminate": decontaminate.SQL}
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
+    listed = spark.createDataFrame([(x,) for x in urlfilter.LISTED], "url string")
+    return urlfilter.verdicts(table(spark, sf_dir, "pages"), rules, listed)
+
+
+def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transport.digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_decontaminate": op2_decontaminate,
+    "op6_urlfilter": op6_urlfilter,
+    "op7_transport": op7_transport,
+}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op6_urlfilter": urlfilter.SQL}
