@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, transport, urlfilter
+from . import chat, decontaminate, mixing, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -17,6 +17,17 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.chosen(table(spark, sf_dir, "documents"))
+
+
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.read_back(chat.format_chats(turns.unionByName(own)))
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
     listed = spark.createDataFrame([(x,) for x in urlfilter.LISTED], "url string")
@@ -30,7 +41,9 @@ def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
+    "op3_mixing": op3_mixing,
+    "op4_chat": op4_chat,
     "op6_urlfilter": op6_urlfilter,
     "op7_transport": op7_transport,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op6_urlfilter": urlfilter.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op6_urlfilter": urlfilter.SQL}
