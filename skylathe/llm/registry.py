@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, mixing, toxicity, transport, urlfilter
+from . import chat, decontaminate, linededup, mixing, toxicity, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -38,6 +38,10 @@ def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.digests(table(spark, sf_dir, "documents"))
 
 
+def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_urlfilter": op6_urlfilter,
     "op7_transport": op7_transport,
+    "op9_linededup": op9_linededup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op6_urlfilter": urlfilter.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}

@@ -145,5 +145,6 @@ def scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """The rows of docs that score below 0.5, columns as in docs."""
-    out = fit(docs, labels, doc_id, text, label).score(docs, text)
-    return out.filter("__score < 0.5").drop("__score")
+    out = fit(docs, labels, doc_id, text, label).score(docs, text).withColumn("__row", F.monotonically_increasing_id())
+    # __row keeps the filter where it stands; pushed down, it would compute every feature twice over
+    return out.filter("__score < 0.5 and __row >= 0").drop("__score", "__row")
