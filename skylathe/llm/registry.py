@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, linededup, mixing, toxicity, transport, urlfilter
+from . import chat, decontaminate, language, linededup, mixing, toxicity, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -38,6 +38,10 @@ def op7_transport(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.digests(table(spark, sf_dir, "documents"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.predictions(table(spark, sf_dir, "documents"))
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op6_urlfilter": op6_urlfilter,
     "op7_transport": op7_transport,
+    "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_toxicity": op10_toxicity,
 }
