@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language, linededup, mixing, toxicity, transport, urlfilter
+from . import chat, decontaminate, language, licenses, linededup, mixing, toxicity, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -28,6 +28,11 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(turns.unionByName(own)))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    templates = spark.createDataFrame(list(licenses.TEMPLATES.items()), "license string, text string")
+    return licenses.scan(table(spark, sf_dir, "documents"), templates)
+
+
 def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string")
     listed = spark.createDataFrame([(x,) for x in urlfilter.LISTED], "url string")
@@ -55,10 +60,11 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
+    "op5_licenses": op5_licenses,
     "op6_urlfilter": op6_urlfilter,
     "op7_transport": op7_transport,
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}
