@@ -1,7 +1,8 @@
 """Line dedup as an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words. They are ordered by rarity: counts over the
-whole corpus in 65,536 hashed buckets, rarest bucket first. Lines of one token set form a class. Two
+A line's tokens are its distinct shingles of five words. They are ordered by rarity, that of a
+shingle's rarest word: words are counted over the whole corpus in 65,536 hashed buckets, and rarer
+buckets come first. Lines of one token set form a class. Two
 classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only those are joined, under the length and the positional filter;
 candidates are verified on their whole token sets. Then every line that matches an earlier one goes.
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, small_enough
+from .common import BROADCAST_BYTES, UPPER, checkpointed, small_enough
 
 SHINGLE, SIMILARITY = 5, 0.8
 _BUCKETS = 1 << 16
@@ -29,23 +30,33 @@ def _lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", F.posexplode_outer(lines).alias("line_no", "line"))
 
 
-def _shingles() -> Column:
-    """Hashes of the five-word shingles of the array __w; null if it has fewer words."""
-    parts = ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE))
-    return F.expr(f"if(size(__w) >= {SHINGLE}, array_distinct(transform(sequence(0, size(__w) - {SHINGLE}), i -> xxhash64({parts}))), null)")
+def _worded(lines: DataFrame) -> DataFrame:
+    """lines with __w in place of line: runs of characters other than ASCII white space, A-Z lower-cased."""
+    plain = F.translate("line", UPPER + "\t\x0b\x0c\r", UPPER.lower() + "    ")
+    return lines.withColumn("__w", F.array_remove(F.split(plain, " "), "")).drop("line")
 
 
-def _tokened(lines: DataFrame) -> DataFrame:
-    """lines with __s, hashes of the line's shingles: words are runs of characters other than white space, in lower case."""
-    plain = F.translate(F.lower("line"), "\t\x0b\x0c\r", "    ")
-    return lines.withColumn("__w", F.array_remove(F.split(plain, " "), "")).withColumn("__s", _shingles()).drop("__w", "line")
+def _shingled(of: str) -> Column:
+    """The distinct values of an expression for each five-word shingle i of __w; null without any."""
+    return F.expr(f"if(size(__w) >= {SHINGLE}, array_distinct(transform(sequence(0, size(__w) - {SHINGLE}), i -> {of})), null)")
+
+
+_HASH = "xxhash64(" + ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE)) + ")"
+
+
+def _ranked(rows: DataFrame, ranks: Column) -> DataFrame:
+    """rows (with __w) with the lines' tokens in order of rarity, in __t."""
+    bucket = lambda w: F.xxhash64(w).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
+    rows = rows.withColumn("__r", ranks).withColumn("__k", F.transform("__w", lambda w: F.get("__r", bucket(w)))).drop("__r")
+    rarest = "least(" + ", ".join(f"get(__k, i + {j})" for j in range(SHINGLE)) + ")"
+    return rows.withColumn("__t", F.sort_array(_shingled(f"shiftleft(cast({rarest} as long), {_HASH_BITS}) | shiftrightunsigned({_HASH}, {64 - _HASH_BITS})"))).drop("__k")
 
 
 def rarity(lines: DataFrame) -> Column:
-    """An array with the rank of each bucket by its tokens' count in the corpus, rarest first; its
-    size is fixed, whatever the corpus."""
-    seen = _tokened(lines).select(F.explode_outer("__s").alias("s"))
-    counts = seen.groupBy(F.expr(f"s & {_BUCKETS - 1}").alias("b")).agg(F.count("s").alias("n"))
+    """An array with the rank of each bucket of words by its count in the corpus, rarest first; its
+    size is fixed, whatever the corpus. Words count as they are written."""
+    seen = lines.select(F.explode_outer(F.split("line", " ")).alias("w"))
+    counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(F.count("w").alias("n"))
     every = lines.sparkSession.range(_BUCKETS).withColumnRenamed("id", "b").join(counts, "b", "left")
     order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b")))
     by_rank = every.agg(order.alias("o")).select(F.posexplode("o").alias("rank", "x")).select("rank", F.col("x.b").alias("b"))
@@ -53,12 +64,6 @@ def rarity(lines: DataFrame) -> Column:
     return by_rank.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "rank"))), lambda x: x["rank"]).alias("ranks")).scalar()
 
 
-def _sorted() -> Column:
-    """The tokens of __s in order of rarity, by the array __r of ranks."""
-    token = lambda s: F.call_function("shiftleft", F.get("__r", s.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long"), F.lit(_HASH_BITS)).bitwiseOR(F.shiftrightunsigned(s, 64 - _HASH_BITS))
-    return F.sort_array(F.transform("__s", token))
-
-
 def _least_overlap(n: str) -> str:
     """Tokens that a line of n shares at least with any match: ceil(0.8 n), in whole numbers."""
     return f"((4 * {n} + 4) div 5)"
@@ -66,19 +71,19 @@ def _least_overlap(n: str) -> str:
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs (doc_id, h, text): the lines that have tokens (doc_id, h, line_no, k, n), the classes
-    (k, n, first) and the links between classes (earlier, later)."""
+    (k, first) and the links between classes (earlier, later)."""
     lines = _lines(docs)
     ranks = rarity(lines)
-    rows = _tokened(lines).withColumn("__r", ranks).withColumn("__t", _sorted()).drop("__s", "__r")
+    rows = _ranked(_worded(lines), ranks).drop("__w")
     prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
     rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
     rows = checkpointed(rows).filter("n > 0")  # a filter ahead of it would compute the tokens twice over
     place = F.struct("doc_id", "h", "line_no")
-    classes = rows.groupBy("k").agg(F.min(place).alias("first"), F.max("n").alias("n"), F.max("prefix").alias("prefix"))
-    classes = checkpointed(classes)
-    index = classes.select("k", "n", F.posexplode("prefix").alias("i", "t"))
-    index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1").drop("sharing")
-    index = checkpointed(index)
+    index = rows.groupBy("k").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
+    index = index.select("k", "t", F.expr("shiftleft(cast(n as long), 32) | i").alias("ni"))
+    index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1")
+    index = checkpointed(index.select("k", "t", F.shiftright("ni", 32).alias("n"), F.expr("ni & 4294967295").alias("i")))
+    classes = checkpointed(rows.groupBy("k").agg(F.min(place).alias("first")))
     a, b = (index.select(*[F.col(c).alias(f"{c}{s}") for c in ("k", "n", "i")], "t") for s in "ab")
     length = (F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4)
     # tokens that both can still share from here on, against what 0.8 needs of both together
@@ -92,7 +97,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     per_doc = F.broadcast(per_doc) if small_enough(firsts, 64) else per_doc
     again = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     own = again.select("doc_id", "h", F.expr("explode_outer(transform(nos, i -> struct(i as line_no, get(split(coalesce(text, ''), '\n', -1), i) as line)))").alias("x"))
-    own = _tokened(own.select("x.line")).withColumn("__r", ranks).select(F.sort_array("__s").alias("s"), F.xxhash64(_sorted()).alias("k"))
+    own = _ranked(_worded(own.select("x.line")), ranks).select(_shingled(_HASH).alias("s"), F.xxhash64("__t").alias("k"))
     sets = checkpointed(own.dropDuplicates(["k"]))
     both = pairs.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
     common = F.size(F.array_intersect("sa", "sb"))
@@ -100,7 +105,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     at = firsts.select("k", F.struct("doc_id", "h", "line_no").alias("at"))
     both = both.join(at.select(F.col("k").alias("ka"), F.col("at").alias("pa")), "ka").join(at.select(F.col("k").alias("kb"), F.col("at").alias("pb")), "kb")
     links = both.select(F.when(F.expr("pa < pb"), F.col("ka")).otherwise(F.col("kb")).alias("earlier"), F.when(F.expr("pa < pb"), F.col("kb")).otherwise(F.col("ka")).alias("later"))
-    return rows.drop("prefix"), classes.drop("prefix"), checkpointed(links)
+    return rows.drop("prefix"), classes, checkpointed(links)
 
 
 def later_lines(docs: DataFrame) -> DataFrame:
@@ -124,7 +129,8 @@ def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     later = later_lines(rows)
-    later = F.broadcast(later) if small_enough(later, 128) else later
+    size = later.agg(F.coalesce(F.sum(F.size("nos") * 8 + 64), F.lit(0))).first()[0]
+    later = F.broadcast(later) if size <= BROADCAST_BYTES else later
     later = later.toDF("__d", "__g", "__nos")
     out = docs.join(later, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g")), "left")
     stay = f"array_except(sequence(0, size(split(`{text}`, '\n', -1)) - 1), __nos)"
@@ -142,7 +148,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 SQL = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as i from documents where text is not null),
-w as (select doc_id, i, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') as w from l),
+w as (select doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from l),
 s as (select doc_id, i, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')))) as s from w where len(w) >= 5),
 c as (select s, min(doc_id * 1000000 + i) as first, row_number() over (order by min(doc_id * 1000000 + i)) as k from s group by s),
 t as (select k, first, len(s) as n, unnest(s) as t from c),
