@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from . import chat, decontaminate, language, licenses, linededup, mixing, toxicity, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
@@ -66,5 +68,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}
