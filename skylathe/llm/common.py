@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 #: Broadcast limit for tables whose size the caller has counted (rows times bytes a row).
 BROADCAST_BYTES = 8 << 20
 
+#: Words of a sieve: 2 to this, 1 MB.
+_SIEVE_BITS = 17
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -32,6 +36,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, for wide tables that Parquet holds in less. Such a
+    table stays until the folder is cleared."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def sieve(keys: DataFrame, key: str) -> Column:
+    """Words of a Bloom filter of the 64-bit hashes in a column, one bit each: an array of fixed size.
+    A test with in_sieve() has no false negatives, so it may thin out one side ahead of a join."""
+    word = F.shiftrightunsigned(key, 64 - _SIEVE_BITS)
+    words = keys.groupBy(word.alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("w"))
+    every = keys.sparkSession.range(1 << _SIEVE_BITS).withColumnRenamed("id", "i").join(words, "i", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("words")).scalar()
+
+
+def in_sieve(words: Column, key: Column) -> Column:
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
+    return F.coalesce(F.get(words, F.shiftrightunsigned(key, 64 - _SIEVE_BITS).cast("int")).bitwiseAND(bit) != 0, F.lit(False))
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is; null stays null."""
     return F.translate(text, UPPER, UPPER.lower())

@@ -1,7 +1,7 @@
 """Line dedup as an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five words. They are ordered by rarity, that of a
-shingle's rarest word: words are counted over the whole corpus in 65,536 hashed buckets, and rarer
+shingle's first word: words are counted over the whole corpus in 65,536 hashed buckets, and rarer
 buckets come first. Lines of one token set form a class. Two
 classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only those are joined, under the length and the positional filter;
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, UPPER, checkpointed, small_enough
+from .common import UPPER, checkpointed, in_sieve, sieve, small_enough, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 _BUCKETS = 1 << 16
@@ -46,10 +46,9 @@ _HASH = "xxhash64(" + ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE)) +
 
 def _ranked(rows: DataFrame, ranks: Column) -> DataFrame:
     """rows (with __w) with the lines' tokens in order of rarity, in __t."""
-    bucket = lambda w: F.xxhash64(w).bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")
-    rows = rows.withColumn("__r", ranks).withColumn("__k", F.transform("__w", lambda w: F.get("__r", bucket(w)))).drop("__r")
-    rarest = "least(" + ", ".join(f"get(__k, i + {j})" for j in range(SHINGLE)) + ")"
-    return rows.withColumn("__t", F.sort_array(_shingled(f"shiftleft(cast({rarest} as long), {_HASH_BITS}) | shiftrightunsigned({_HASH}, {64 - _HASH_BITS})"))).drop("__k")
+    rank = f"get(__r, cast(xxhash64(get(__w, i)) & {_BUCKETS - 1} as int))"
+    token = _shingled(f"shiftleft(cast({rank} as long), {_HASH_BITS}) | shiftrightunsigned({_HASH}, {64 - _HASH_BITS})")
+    return rows.withColumn("__r", ranks).withColumn("__t", F.sort_array(token)).drop("__r")
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -71,19 +70,19 @@ def _least_overlap(n: str) -> str:
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs (doc_id, h, text): the lines that have tokens (doc_id, h, line_no, k, n), the classes
-    (k, first) and the links between classes (earlier, later)."""
+    (k, first, lines) and the links between classes (earlier, later)."""
     lines = _lines(docs)
     ranks = rarity(lines)
     rows = _ranked(_worded(lines), ranks).drop("__w")
     prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
     rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
-    rows = checkpointed(rows).filter("n > 0")  # a filter ahead of it would compute the tokens twice over
+    rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
     place = F.struct("doc_id", "h", "line_no")
     index = rows.groupBy("k").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
     index = index.select("k", "t", F.expr("shiftleft(cast(n as long), 32) | i").alias("ni"))
     index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1")
     index = checkpointed(index.select("k", "t", F.shiftright("ni", 32).alias("n"), F.expr("ni & 4294967295").alias("i")))
-    classes = checkpointed(rows.groupBy("k").agg(F.min(place).alias("first")))
+    classes = checkpointed(rows.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("lines")))
     a, b = (index.select(*[F.col(c).alias(f"{c}{s}") for c in ("k", "n", "i")], "t") for s in "ab")
     length = (F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4)
     # tokens that both can still share from here on, against what 0.8 needs of both together
@@ -95,7 +94,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     # the candidates' own lines are read once more for their whole token sets
     per_doc = firsts.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
     per_doc = F.broadcast(per_doc) if small_enough(firsts, 64) else per_doc
-    again = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+    again = docs.filter(in_sieve(sieve(firsts, "h"), F.col("h"))).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
     own = again.select("doc_id", "h", F.expr("explode_outer(transform(nos, i -> struct(i as line_no, get(split(coalesce(text, ''), '\n', -1), i) as line)))").alias("x"))
     own = _ranked(_worded(own.select("x.line")), ranks).select(_shingled(_HASH).alias("s"), F.xxhash64("__t").alias("k"))
     sets = checkpointed(own.dropDuplicates(["k"]))
@@ -113,8 +112,8 @@ def later_lines(docs: DataFrame) -> DataFrame:
     earlier line, copies included. Lines are earlier by doc_id, hash of the text and line number."""
     rows, classes, links = classes_and_links(docs)
     gone = links.select(F.col("later").alias("k")).distinct().withColumn("gone", F.lit(True))
-    known = classes.join(gone, "k", "left").select("k", "first", "gone")
-    out = rows.join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
+    known = classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone")
+    out = rows.filter(in_sieve(sieve(known, "k"), F.col("k"))).join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
     out = out.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
     return checkpointed(out)
 
@@ -129,10 +128,11 @@ def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     later = later_lines(rows)
-    size = later.agg(F.coalesce(F.sum(F.size("nos") * 8 + 64), F.lit(0))).first()[0]
-    later = F.broadcast(later) if size <= BROADCAST_BYTES else later
+    touched = in_sieve(sieve(later, "g"), F.xxhash64(text))
     later = later.toDF("__d", "__g", "__nos")
-    out = docs.join(later, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g")), "left")
+    hit = docs.filter(touched).join(later, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g")), "left")
+    # texts that the sieve rules out lose nothing and take no part in the join
+    out = hit.unionByName(docs.filter(~touched), allowMissingColumns=True)
     stay = f"array_except(sequence(0, size(split(`{text}`, '\n', -1)) - 1), __nos)"
     kept = F.when(F.col("__nos").isNull(), F.col(text)).otherwise(F.expr(f"array_join(transform({stay}, i -> get(split(`{text}`, '\n', -1), i)), '\n')"))
     cut = [F.coalesce(F.size("__nos"), F.lit(0)).cast("long").alias(gone)] if gone else []
