@@ -50,7 +50,8 @@ def correlation(x: Column, y: Column, least: int = 3) -> Column:
     """Pearson correlation of the pairs that are known; null for fewer than `least` or no spread."""
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x), F.when(both, y)
-    return F.when((F.count(a) >= least) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0), F.corr(a, b))
+    spread = F.stddev_pop(a) * F.stddev_pop(b)  # corr() itself fails on columns without spread
+    return F.when((F.count(a) >= least) & (spread > 0), F.try_divide(F.covar_pop(a, b), spread))
 
 
 def robust_z(df: DataFrame, by: list[str], x: str, least: int = 20, out: str = "z") -> DataFrame:

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import curves, fitting, tables
+from . import advanced, curves, fitting, tables
 
-_PARTS = (curves, fitting, tables)
+_PARTS = (curves, fitting, tables, advanced)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}
