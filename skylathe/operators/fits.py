@@ -62,9 +62,9 @@ def grid(spark, durations: list[float], offsets: list[float]) -> DataFrame:
 
 
 def best_boxes(fits: DataFrame, by: list[str], region: float = 2.30) -> DataFrame:
-    """by with the fit of least chi-square (the first of equal ones) and the durations and offsets
+    """by with the fit of least chi-square (to nine decimals; the first of equal ones) and the durations and offsets
     whose rise in chi-square over it, scaled, is within region."""
-    best = fits.groupBy(*by).agg(F.min(F.struct("chi2", "cell", "duration", "offset", "depth", "depth_error", "reduced", "n")).alias("f")).select(*by, "f.*")
+    best = fits.groupBy(*by).agg(F.min(F.struct(F.round("chi2", 9).alias("_r"), "cell", "chi2", "duration", "offset", "depth", "depth_error", "reduced", "n")).alias("f")).select(*by, "f.*").drop("_r")
     first = best.select(*by, F.col("chi2").alias("_c"), F.greatest(F.lit(1.0), "reduced").alias("_s"))
     near = fits.join(first, by).filter((F.col("chi2") - F.col("_c")) / F.col("_s") <= region)
     near = near.groupBy(*by).agg(F.min("duration").alias("duration_low"), F.max("duration").alias("duration_high"), F.min("offset").alias("offset_low"), F.max("offset").alias("offset_high"))

@@ -59,7 +59,7 @@ def repeating_box_fit(spark, d):
 
 
 @query(f"""with {PHASED}, {_fit_sql('cycle', 'sector', _NEAR, _cells(DURATIONS, OFFSETS), least_group=4)},
-best as (select * from (select *, row_number() over (partition by sector order by chi2, cell) as k from fit) q where k = 1),
+best as (select * from (select *, row_number() over (partition by sector order by round(chi2, 9), cell) as k from fit) q where k = 1),
 near as (select fit.sector as sector, min(fit.duration) as duration_low, max(fit.duration) as duration_high, min(fit.off) as offset_low, max(fit.off) as offset_high from fit join best on fit.sector = best.sector where (fit.chi2 - best.chi2) / greatest(1, best.reduced) <= 2.3 group by fit.sector)
 select best.sector as sector, duration, off as offset_days, round(depth, 6) as depth, round(depth_error, 6) as depth_error, duration_low, duration_high, offset_low, offset_high from best join near on best.sector = near.sector""")
 def grid_box_fit(spark, d):
@@ -69,7 +69,7 @@ def grid_box_fit(spark, d):
 
 
 @query(f"""with {PHASED}, {_fit_sql('', 'sector, cycle', _NEAR, _cells([DURATION], OFFSETS), least=6, least_in=3)},
-best as (select * from (select *, row_number() over (partition by sector, cycle order by chi2, cell) as k from fit) q where k = 1),
+best as (select * from (select *, row_number() over (partition by sector, cycle order by round(chi2, 9), cell) as k from fit) q where k = 1),
 near as (select fit.sector as sector, fit.cycle as cycle, min(fit.off) as lo, max(fit.off) as hi from fit join best on fit.sector = best.sector and fit.cycle = best.cycle where (fit.chi2 - best.chi2) / greatest(1, best.reduced) <= 1 group by fit.sector, fit.cycle)
 select best.sector as sector, best.cycle as cycle, round({T0}::double + best.cycle * {PERIOD}::double + off, 6) as time, case when hi > lo then round((hi - lo) / 2, 6) else 0.2 end as time_error, round(depth, 6) as depth, round(depth_error, 6) as depth_error,
   abs(depth) / depth_error >= 2.5 and case when hi > lo then (hi - lo) / 2 else 0.2 end <= 0.25 as used from best join near on best.sector = near.sector and best.cycle = near.cycle""")
