@@ -72,3 +72,20 @@ def comparison_stars(df: DataFrame, x: Column, y: Column, flux: Column, width: C
     rows = df.withColumn("distance", F.hypot(x - centre[0], y - centre[1])).withColumn("edge", edge).withColumn("ratio", ratio)
     rows = rows.filter((F.col("distance") >= 300) & (F.col("edge") >= 500) & F.col("ratio").between(0.5, 1.5) & (F.abs(width - centre[3]) <= 1))
     return rows.orderBy(F.abs(F.log("ratio")), F.abs(width - centre[3]), F.desc("distance")).limit(most)
+
+
+def stable_stars(df: DataFrame, frames: int, frame: str = "frame", star: str = "star", coverage: float = 0.9, floor: float = 0.006, fallback: int = 10) -> DataFrame:
+    """star, covered, scatter, chosen: stars seen in enough of the frames whose curves, over a quadratic
+    in time, scatter no more than max(median + 2.5 robust deviations, floor); the best `fallback`
+    if none does."""
+    from skylathe.operators.fits import quadratic_baseline
+
+    rows = quadratic_baseline(df, [star], frame, "counts", least=3).withColumn("flat", F.try_divide("counts", "baseline"))
+    each = mad_raw(rows, [star], F.col("flat")).select(star, (F.col("n") / frames).alias("covered"), F.col("mad").alias("scatter"))
+    ok = each.filter(F.col("covered") >= coverage)
+    limit = mad_raw(ok.withColumn("all", F.lit(1)), ["all"], F.col("scatter")).select(F.greatest(F.col("median") + 2.5 * F.col("mad"), F.lit(floor)).alias("limit"))
+    best = ok.orderBy("scatter", star).limit(fallback).select(star, F.lit(True).alias("best"))
+    out = each.join(F.broadcast(limit), F.lit(True), "left").join(F.broadcast(best), star, "left")
+    passes = F.coalesce((F.col("covered") >= coverage) & (F.col("scatter") <= F.col("limit")), F.lit(False))
+    none = out.agg(F.bool_or(passes).alias("any"))
+    return out.join(F.broadcast(none), F.lit(True)).select(star, "covered", "scatter", (passes | (~F.col("any") & F.coalesce("best", F.lit(False)))).alias("chosen"))

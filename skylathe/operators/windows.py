@@ -63,3 +63,9 @@ def meridian_side(df: DataFrame, by: list[str], order: str, airmass: str, out: s
     """df with 0 up to the row of least airmass (the first of equal ones) and 1 after it."""
     at = F.min(F.struct(airmass, order)).over(Window.partitionBy(*by))
     return df.withColumn(out, (F.col(order) > at[order]).cast("int"))
+
+
+def previous_accepted(df: DataFrame, by: list[str], order: list[str], accepted: Column, *values: str) -> DataFrame:
+    """df with guess_<value>, that of the last accepted row before; null where there is none yet."""
+    before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumns({f"guess_{v}": F.last(F.when(accepted, F.col(v)), ignorenulls=True).over(before) for v in values})

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylathe.functions import expr as X
-from skylathe.operators import match, photometry, pixels, selection, stats
+from skylathe.operators import match, photometry, pixels, selection, stats, windows
 
 from .driver_tables import PHOTOMETRY, table
 from .driver_tables import photometry as phot
@@ -319,3 +319,55 @@ def backward_elimination(spark, d):
     return spark.createDataFrame([(",".join(names), scatter)], "stars string, scatter double")
 
 
+@query("""select o_orderkey, last_value(case when o_totalprice > 200000 then o_totalprice end ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding) as guess from orders where o_custkey % 5 = 0""")
+def previous_accepted(spark, d):
+    o = table(spark, d, "orders").filter("o_custkey % 5 = 0")
+    return windows.previous_accepted(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_totalprice") > 200000, "o_totalprice").select("o_orderkey", F.col("guess_o_totalprice").alias("guess"))
+
+
+_J2000 = "(epoch_us(o_orderdate) / 86400000000.0::double - 10957.5::double)"
+
+
+@query(f"""with o as (select o_orderkey, {_J2000} as n from orders where o_orderkey % 10 = 1), g as (select *, radians(357.528::double + n * 0.9856003::double) as m, radians(23.439::double - n * 4e-7::double) as e from o),
+l as (select *, radians(280.460::double + n * 0.9856474::double + sin(m) * 1.915::double + sin(m * 2) * 0.020::double) as l from g), s as (select *, degrees(atan2(cos(e) * sin(l), cos(l))) as ra, degrees(asin(sin(e) * sin(l))) as de from l)
+select o_orderkey, round(ra, 5) as ra, round(de, 5) as dec, round(degrees(asin(greatest(-1, least(1, sin(radians(de)) * sin(radians(33.8::double)) + cos(radians(de)) * cos(radians(280.46061837::double + n * 360.98564736629::double - 84.5::double - ra)) * cos(radians(33.8::double)))))), 5) as altitude from s""")
+def sun_altitude(spark, d):
+    o = table(spark, d, "orders").filter("o_orderkey % 10 = 1").select("o_orderkey", (X.days(F.col("o_orderdate")) - 10957.5).alias("n"))
+    ra, dec = X.sun_altitude_terms(F.col("n"))
+    o = o.withColumn("ra", ra).withColumn("dec", dec)
+    return o.select("o_orderkey", r("ra", 5), r("dec", 5), F.round(X.altitude(F.col("ra"), F.col("dec"), F.col("n"), 33.8, -84.5), 5).alias("altitude"))
+
+
+@query("""with p as (select p_partkey, (p_partkey * 37 % 4096)::double - 2048 as u, (p_partkey * 91 % 4096)::double - 2048 as v from part), q as (select p_partkey, radians(u * -0.0001::double + v * 0.00001::double) as xi, radians(u * 0.00001::double + v * 0.0001::double) as eta from p)
+select p_partkey, round(((degrees(atan2(xi, cos(radians(35::double)) - eta * sin(radians(35::double)))) + 300) % 360 + 360) % 360, 8) as ra, round(degrees(atan2(sin(radians(35::double)) + eta * cos(radians(35::double)), sqrt(xi * xi + (cos(radians(35::double)) - eta * sin(radians(35::double))) * (cos(radians(35::double)) - eta * sin(radians(35::double)))))), 8) as dec from q""")
+def pixel_positions(spark, d):
+    ra, dec = X.position_tan((F.col("p_partkey") * 37 % 4096).cast("double"), (F.col("p_partkey") * 91 % 4096).cast("double"), (300.0, 35.0), (2048.0, 2048.0), (-0.0001, 0.00001, 0.00001, 0.0001))
+    return table(spark, d, "part").select("p_partkey", F.round(ra, 8).alias("ra"), F.round(dec, 8).alias("dec"))
+
+
+@query(f"with {PHOTOMETRY}, m as (select star, counts, median(counts) over (partition by star) as m from phot) select star, round(any_value(m), 4) as centre, round(coalesce(nullif(1.4826::double * median(abs(counts - m)), 0), stddev_pop(counts)), 4) as noise from m group by star")
+def centre_and_noise(spark, d):
+    return stats.centre_and_noise(phot(spark, d), ["star"], "counts").select("star", r("centre", 4), r("noise", 4))
+
+
+@query(f"""with {PHOTOMETRY}, fr as (select count(distinct frame) as k from phot), u as (select *, frame - avg(frame) over v as u from phot window v as (partition by star)), q as (select *, u * u as q from u),
+o as (select *, q - avg(q) over v - u * (sum(q * u) over v / sum(q) over v) as o from q window v as (partition by star)),
+b as (select star, counts / (avg(counts) over v + u * (sum(u * counts) over v / sum(u * u) over v) + o * (sum(o * counts) over v / sum(o * o) over v)) as flat from o window v as (partition by star)),
+m as (select *, median(flat) over (partition by star) as m from b), e as (select star, count(flat) / any_value(k) as covered, 1.4826::double * median(abs(flat - m)) as scatter from m, fr group by star),
+g as (select *, median(scatter) over () as ms from e where covered >= 0.9), l as (select greatest(any_value(ms) + 2.5 * 1.4826::double * median(abs(scatter - ms)), 0.006) as lim from g)
+select star, round(covered, 6) as covered, round(scatter, 6) as scatter, coalesce(covered >= 0.9 and scatter <= lim, false) as chosen from e, l""")
+def stable_stars(spark, d):
+    rows = phot(spark, d)
+    frames = rows.agg(F.count_distinct("frame")).first()[0]
+    return photometry.stable_stars(rows, frames).select("star", r("covered"), r("scatter"), "chosen")
+
+
+@query()
+def spaced_stars(spark, d):
+    s = table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") * 53 % 997).cast("double").alias("x"), (F.col("c_custkey") * 71 % 991).cast("double").alias("y"), "c_acctbal")
+    return selection.spaced_stars(s, ["c_nationkey"], "x", "y", "c_acctbal", 220.0, 25)
+
+
+@query()
+def exact_aperture(spark, d):
+    return pixels.exact_aperture(_px(spark, d), ["vec_id"], 8, 8, 3.5, 3.5, 2.2, 3.0, 4.5)

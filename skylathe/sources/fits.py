@@ -196,3 +196,26 @@ def image_file(pixels: pd.Series, width: pd.Series) -> pd.Series:
         head = written_header({"SIMPLE": True, "BITPIX": -32, "NAXIS": 2, "NAXIS1": int(w), "NAXIS2": len(image)})
         out.append(head + data.ljust(-(-len(data) // BLOCK) * BLOCK, b"\0"))
     return pd.Series(out)
+
+
+def ones_complement(data: bytes, start: int = 0) -> int:
+    """The 32-bit ones-complement sum of the standard's DATASUM and CHECKSUM."""
+    total = start + int(np.frombuffer(data.ljust(-(-len(data) // 4) * 4, b"\0"), ">u4").sum(dtype=np.uint64))
+    while total >> 32:
+        total = (total & 0xFFFFFFFF) + (total >> 32)
+    return total
+
+
+def verified(spark: SparkSession, path: str) -> DataFrame:
+    """path, hdu, data_ok: whether a unit's data have the sum that its DATASUM card tells; null without one."""
+
+    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for p, data in zip(batch["path"], batch["content"], strict=True):
+                for n, h, at, size in headers(bytes(data)):
+                    told = h.get("DATASUM")
+                    rows.append((p, n, None if told is None else int(told) == ones_complement(bytes(data[at : at + -(-size // BLOCK) * BLOCK]))))
+            yield pd.DataFrame({"path": [r[0] for r in rows], "hdu": [r[1] for r in rows], "data_ok": pd.Series([r[2] for r in rows], dtype=object)})
+
+    return _files(spark, path).mapInPandas(check, "path string, hdu int, data_ok boolean")

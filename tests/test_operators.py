@@ -245,3 +245,18 @@ def test_strings(spark):
     df = spark.createDataFrame([("0100", {"A": "1"}, {"B": "2"})], "v string, h map<string,string>, g map<string,string>")
     got = df.select(X.set_bits(F.col("v"), 10), X.header_value("B", F.col("h"), F.col("g")), X.header_value("C", F.col("h"), default="d")).first()
     assert tuple(got) == ("11", "2", "d")
+
+
+def test_exact_overlap(spark):
+    for r in (0.3, 1.0, 2.2, 3.4):
+        w = pixels.overlap_weights(11, 11, 5.2, 4.7, r)
+        assert math.isclose(sum(x[2] for x in w), math.pi * r * r, rel_tol=1e-9)
+        fine = np.arange(-0.5, 0.5, 0.01) + 0.005
+        for y, x, share in w[:: max(1, len(w) // 6)]:
+            inside = (np.add.outer((y + fine - 4.7) ** 2, (x + fine - 5.2) ** 2) <= r * r).mean()
+            assert abs(inside - share) < 0.01
+    sky = [100.0] * 101 * 101
+    sky[50 * 101 + 50] += 1000
+    px = pixels.pixels(spark.createDataFrame([(1, sky)], "i int, p array<double>"), ["i"], "p", 101)
+    got = pixels.exact_aperture(px, ["i"], 101, 101, 50.0, 50.0, 5.0, 10.0, 20.0).first()
+    assert math.isclose(got.flux, 1000, rel_tol=1e-9) and got.background == 100

@@ -93,3 +93,13 @@ def test_streams_give_what_tables_give(spark, tmp_path):
         frames.run_once(make(stream), f"{tmp_path}/out{n}", f"{tmp_path}/state{n}")
         got, want = spark.read.parquet(f"{tmp_path}/out{n}").collect(), make(rows).collect()
         assert len(want) > 3 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_data_sums(spark, tmp_path):
+    data = block(np.arange(100, dtype=">i4").tobytes())
+    cards = {"SIMPLE": True, "BITPIX": 32, "NAXIS": 1, "NAXIS1": 100, "DATASUM": str(fits.ones_complement(data))}
+    (tmp_path / "a.fits").write_bytes(fits.written_header(cards) + data)
+    (tmp_path / "b.fits").write_bytes(fits.written_header(cards) + data[:-4] + b"abcd")
+    (tmp_path / "c.fits").write_bytes(fits.written_header({k: v for k, v in cards.items() if k != "DATASUM"}) + data)
+    assert [r.data_ok for r in fits.verified(spark, str(tmp_path)).orderBy("path").collect()] == [True, False, None]
+    assert fits.ones_complement(b"\xff" * 8) == 0xFFFFFFFF
