@@ -5,7 +5,7 @@ shingle's first word: words are counted over the whole corpus in 65,536 hashed b
 buckets come first. Lines of one token set form a class. Two
 classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only those are joined, under the length and the positional filter;
-candidates are verified on their whole token sets. Then every line that matches an earlier one goes.
+candidates are verified on their whole token sets. Every line that matches an earlier one goes.
 
 All steps are DataFrame functions. Copies of a line are one class throughout, so a line that a third
 of the corpus repeats is joined once.
@@ -68,52 +68,87 @@ def _least_overlap(n: str) -> str:
     return f"((4 * {n} + 4) div 5)"
 
 
+class _Join:
+    """The similarity join over docs (doc_id, h, text), up to the index of tokens that classes share.
+
+    rows: the lines that have tokens (doc_id, h, line_no, k, n, prefix); classes: k, first, lines;
+    index: t, k, n, i, first for the prefix tokens t that more than one class has.
+    """
+
+    def __init__(self, docs: DataFrame):
+        lines = _lines(docs)
+        self.docs, self.ranks = docs, rarity(lines)
+        rows = _ranked(_worded(lines), self.ranks).drop("__w")
+        prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
+        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
+        self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
+        self.classes = checkpointed(rows.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("lines")))
+        index = rows.groupBy("k").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
+        index = index.select("k", "t", F.expr("shiftleft(cast(n as long), 32) | i").alias("ni"))
+        index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1")
+        index = checkpointed(index.select("t", "k", F.shiftright("ni", 32).alias("n"), F.expr("ni & 4294967295").alias("i")))
+        firsts = self.classes.join(index.select("k").distinct(), "k", "left_semi").select("k", "first")
+        self.firsts = checkpointed(firsts)
+        self.index = checkpointed(index.join(self.firsts, "k"))
+        self.sets = self._sets()
+
+    def _sets(self) -> DataFrame:
+        """k, s: whole token sets of the classes in the index. Their lines are read once more."""
+        at = self.firsts.select("first.*")
+        per_doc = at.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
+        per_doc = F.broadcast(per_doc) if small_enough(self.firsts, 64) else per_doc
+        again = self.docs.filter(in_sieve(sieve(at, "h"), F.col("h"))).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
+        own = again.select(F.expr("explode_outer(transform(nos, i -> get(split(coalesce(text, ''), '\n', -1), i)))").alias("line"))
+        own = _ranked(_worded(own), self.ranks).select(F.xxhash64("__t").alias("k"), _shingled(_HASH).alias("s"))
+        return checkpointed(own.dropDuplicates(["k"]))
+
+    def side(self, letter: str) -> DataFrame:
+        return self.index.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "first")])
+
+    def matching(self, pairs: DataFrame) -> DataFrame:
+        """k_x, k_y of the candidates (with n_x, i_x, ...) that are alike: the length and positional
+        filters, then Jaccard on whole sets."""
+        n, m = F.col("n_x"), F.col("n_y")
+        length = (n * 5 >= m * 4) & (m * 5 >= n * 4)
+        # tokens that both can still share from here on, against what 0.8 needs of both together
+        position = F.least(n - F.col("i_x"), m - F.col("i_y")) * 9 >= (n + m) * 4
+        pairs = pairs.filter(length & position).select("k_x", "k_y").distinct()
+        for letter in "xy":
+            pairs = pairs.join(self.sets.select(F.col("k").alias(f"k_{letter}"), F.col("s").alias(f"s_{letter}")), f"k_{letter}")
+        return pairs.filter(F.size(F.array_intersect("s_x", "s_y")) * 9 >= (F.size("s_x") + F.size("s_y")) * 4).select("k_x", "k_y")
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs (doc_id, h, text): the lines that have tokens (doc_id, h, line_no, k, n), the classes
-    (k, first, lines) and the links between classes (earlier, later)."""
-    lines = _lines(docs)
-    ranks = rarity(lines)
-    rows = _ranked(_worded(lines), ranks).drop("__w")
-    prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
-    rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
-    rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
-    place = F.struct("doc_id", "h", "line_no")
-    index = rows.groupBy("k").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
-    index = index.select("k", "t", F.expr("shiftleft(cast(n as long), 32) | i").alias("ni"))
-    index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1")
-    index = checkpointed(index.select("k", "t", F.shiftright("ni", 32).alias("n"), F.expr("ni & 4294967295").alias("i")))
-    classes = checkpointed(rows.groupBy("k").agg(F.min(place).alias("first"), F.count("*").alias("lines")))
-    a, b = (index.select(*[F.col(c).alias(f"{c}{s}") for c in ("k", "n", "i")], "t") for s in "ab")
-    length = (F.col("na") * 5 >= F.col("nb") * 4) & (F.col("nb") * 5 >= F.col("na") * 4)
-    # tokens that both can still share from here on, against what 0.8 needs of both together
-    position = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) * 9 >= (F.col("na") + F.col("nb")) * 4
-    pairs = a.join(b, (a["t"] == b["t"]) & (F.col("ka") < F.col("kb")) & length & position).select("ka", "kb").distinct()
-    pairs = checkpointed(pairs)
-    wanted = pairs.select(F.col("ka").alias("k")).unionByName(pairs.select(F.col("kb").alias("k"))).distinct()
-    firsts = checkpointed(classes.join(wanted, "k", "left_semi").select("k", "first.doc_id", "first.h", "first.line_no"))
-    # the candidates' own lines are read once more for their whole token sets
-    per_doc = firsts.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
-    per_doc = F.broadcast(per_doc) if small_enough(firsts, 64) else per_doc
-    again = docs.filter(in_sieve(sieve(firsts, "h"), F.col("h"))).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
-    own = again.select("doc_id", "h", F.expr("explode_outer(transform(nos, i -> struct(i as line_no, get(split(coalesce(text, ''), '\n', -1), i) as line)))").alias("x"))
-    own = _ranked(_worded(own.select("x.line")), ranks).select(_shingled(_HASH).alias("s"), F.xxhash64("__t").alias("k"))
-    sets = checkpointed(own.dropDuplicates(["k"]))
-    both = pairs.join(sets.select(F.col("k").alias("ka"), F.col("s").alias("sa")), "ka").join(sets.select(F.col("k").alias("kb"), F.col("s").alias("sb")), "kb")
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = both.filter(common * 9 >= (F.size("sa") + F.size("sb")) * 4).select("ka", "kb")
-    at = firsts.select("k", F.struct("doc_id", "h", "line_no").alias("at"))
-    both = both.join(at.select(F.col("k").alias("ka"), F.col("at").alias("pa")), "ka").join(at.select(F.col("k").alias("kb"), F.col("at").alias("pb")), "kb")
-    links = both.select(F.when(F.expr("pa < pb"), F.col("ka")).otherwise(F.col("kb")).alias("earlier"), F.when(F.expr("pa < pb"), F.col("kb")).otherwise(F.col("ka")).alias("later"))
-    return rows.drop("prefix"), classes, checkpointed(links)
+    (k, first, lines) and all links between classes (earlier, later)."""
+    join = _Join(docs)
+    links = join.matching(join.side("x").join(join.side("y"), "t").filter("first_x < first_y"))
+    return join.rows.drop("prefix"), join.classes, checkpointed(links.toDF("earlier", "later"))
+
+
+def later_classes(join: _Join) -> DataFrame:
+    """k of the classes that match an earlier one.
+
+    One match is enough, so each class is first held against the earliest class of each of its
+    tokens, which settles nearly all of a crowd of near copies in a linear number of pairs. Only
+    classes still open are held against every earlier one that shares a token.
+    """
+    earliest = join.index.groupBy("t").agg(F.min(F.struct("first", "k", "n", "i")).alias("e")).select("t", *[F.col(f"e.{c}").alias(f"{c}_x") for c in ("k", "n", "i", "first")])
+    settled = checkpointed(join.matching(earliest.join(join.side("y"), "t").filter("first_x < first_y")).select(F.col("k_y").alias("k")).distinct())
+    still = join.side("y").join(settled.select(F.col("k").alias("k_y")), "k_y", "left_anti")
+    # the earliest of each token has been tried
+    others = join.side("x").join(earliest.select("t", F.col("k_x").alias("tried")), "t").filter("k_x != tried").drop("tried")
+    rest = join.matching(others.join(still, "t").filter("first_x < first_y")).select(F.col("k_y").alias("k")).distinct()
+    return settled.unionByName(rest).distinct()
 
 
 def later_lines(docs: DataFrame) -> DataFrame:
     """d, g, nos: by document of docs (doc_id, h, text) the numbers of the lines that match an
     earlier line, copies included. Lines are earlier by doc_id, hash of the text and line number."""
-    rows, classes, links = classes_and_links(docs)
-    gone = links.select(F.col("later").alias("k")).distinct().withColumn("gone", F.lit(True))
-    known = classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone")
-    out = rows.filter(in_sieve(sieve(known, "k"), F.col("k"))).join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
+    join = _Join(docs)
+    gone = checkpointed(later_classes(join).withColumn("gone", F.lit(True)))
+    known = checkpointed(join.classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone"))
+    out = join.rows.filter(in_sieve(sieve(known, "k"), F.col("k"))).join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
     out = out.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
     return checkpointed(out)
 
