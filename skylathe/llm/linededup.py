@@ -46,9 +46,13 @@ _HASH = "xxhash64(" + ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE)) +
 
 def _ranked(rows: DataFrame, ranks: Column) -> DataFrame:
     """rows (with __w) with the lines' tokens in order of rarity, in __t."""
-    rank = f"get(__r, cast(xxhash64(get(__w, i)) & {_BUCKETS - 1} as int))"
-    token = _shingled(f"shiftleft(cast({rank} as long), {_HASH_BITS}) | shiftrightunsigned({_HASH}, {64 - _HASH_BITS})")
-    return rows.withColumn("__r", ranks).withColumn("__t", F.sort_array(token)).drop("__r")
+    bucket = f"(xxhash64(get(__w, i)) & {_BUCKETS - 1})"
+    rows = rows.withColumn("__s", _shingled(f"shiftleft(shiftrightunsigned({_HASH}, {64 - _HASH_BITS}), 16) | {bucket}"))
+    # __s stands in the expression once, so the optimizer merges the steps and the ranks stay a constant of
+    # the plan instead of a column that every row would carry
+    rank = lambda s: F.get("__r", s.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long")
+    token = lambda s: F.call_function("shiftleft", rank(s), F.lit(_HASH_BITS)).bitwiseOR(F.shiftrightunsigned(s, 16))
+    return rows.withColumn("__r", ranks).withColumn("__t", F.sort_array(F.transform("__s", token))).drop("__r", "__s")
 
 
 def rarity(lines: DataFrame) -> Column:
@@ -94,12 +98,14 @@ class _Join:
 
     def _sets(self) -> DataFrame:
         """k, s: whole token sets of the classes in the index. Their lines are read once more."""
-        at = self.firsts.select("first.*")
-        per_doc = at.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
-        per_doc = F.broadcast(per_doc) if small_enough(self.firsts, 64) else per_doc
-        again = self.docs.filter(in_sieve(sieve(at, "h"), F.col("h"))).join(per_doc, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")))
-        own = again.select(F.expr("explode_outer(transform(nos, i -> get(split(coalesce(text, ''), '\n', -1), i)))").alias("line"))
-        own = _ranked(_worded(own), self.ranks).select(F.xxhash64("__t").alias("k"), _shingled(_HASH).alias("s"))
+        place = F.xxhash64("h", "line_no")
+        at = self.firsts.select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("h"), F.col("first.line_no").alias("line_no")).withColumn("p", place)
+        lines = _lines(self.docs).filter(in_sieve(sieve(at, "p"), place))
+        at = at.select("d", F.col("h").alias("g"), F.col("line_no").alias("no"))
+        at = F.broadcast(at) if small_enough(at, 40) else at
+        own = lines.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))).select("line")
+        own = _worded(own).withColumn("__f", _shingled(_HASH))
+        own = _ranked(own, self.ranks).select(F.xxhash64("__t").alias("k"), F.col("__f").alias("s"))
         return checkpointed(own.dropDuplicates(["k"]))
 
     def side(self, letter: str) -> DataFrame:
