@@ -286,9 +286,18 @@ def radial_profile(spark, d):
 @query(f"""with {PX}, dark as (select y, x, median(value) as dark from px where label = 0 group by y, x), fl as (select y, x, median(value) as flat from px where label = 1 group by y, x)
 select vec_id, px.y as y, px.x as x, round((value - dark) / flat, 4) + 0.0 as value, flat < 0.5 or flat > 1.5 as doubtful from px join dark on px.y = dark.y and px.x = dark.x join fl on px.y = fl.y and px.x = fl.x where label > 1 and vec_id % 10 = 3""")
 def calibrate_stamps(spark, d):
+    return _calibrated_stamps(spark, d, "label > 1 and vec_id % 10 = 3")
+
+
+@query()  # no SQL: values are in single precision, and one of the whole table rounds otherwise than SQL's double
+def calibrate_all_stamps(spark, d):
+    return _calibrated_stamps(spark, d, "label > 1")
+
+
+def _calibrated_stamps(spark, d, raw):
     px = _px(spark, d)
     pick = lambda k: pixels.median_stack(px.filter(F.col("label") == k), []).select("y", "x", "value")
-    out = pixels.calibrated(px.filter("label > 1 and vec_id % 10 = 3"), pick(0), pick(1), ["vec_id"])
+    out = pixels.calibrated(px.filter(raw), pick(0), pick(1), ["vec_id"])
     return out.select("vec_id", "y", "x", (F.round(F.col("value").cast("double"), 4) + 0.0).alias("value"), "doubtful")
 
 
@@ -321,7 +330,15 @@ def backward_elimination(spark, d):
 
 @query("""select o_orderkey, last_value(case when o_totalprice > 200000 then o_totalprice end ignore nulls) over (partition by o_custkey order by o_orderdate, o_orderkey rows between unbounded preceding and 1 preceding) as guess from orders where o_custkey % 5 = 0""")
 def previous_accepted(spark, d):
-    o = table(spark, d, "orders").filter("o_custkey % 5 = 0")
+    return _previous_accepted(table(spark, d, "orders").filter("o_custkey % 5 = 0"))
+
+
+@query(ORACLES["previous_accepted"].replace(" where o_custkey % 5 = 0", ""))
+def previous_accepted_all(spark, d):
+    return _previous_accepted(table(spark, d, "orders"))
+
+
+def _previous_accepted(o):
     return windows.previous_accepted(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], F.col("o_totalprice") > 200000, "o_totalprice").select("o_orderkey", F.col("guess_o_totalprice").alias("guess"))
 
 
@@ -332,7 +349,16 @@ _J2000 = "(epoch_us(o_orderdate) / 86400000000.0::double - 10957.5::double)"
 l as (select *, radians(280.460::double + n * 0.9856474::double + sin(m) * 1.915::double + sin(m * 2) * 0.020::double) as l from g), s as (select *, degrees(atan2(cos(e) * sin(l), cos(l))) as ra, degrees(asin(sin(e) * sin(l))) as de from l)
 select o_orderkey, round(ra, 5) as ra, round(de, 5) as dec, round(degrees(asin(greatest(-1, least(1, sin(radians(de)) * sin(radians(33.8::double)) + cos(radians(de)) * cos(radians(280.46061837::double + n * 360.98564736629::double - 84.5::double - ra)) * cos(radians(33.8::double)))))), 5) as altitude from s""")
 def sun_altitude(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 10 = 1").select("o_orderkey", (X.days(F.col("o_orderdate")) - 10957.5).alias("n"))
+    return _sun_altitude(table(spark, d, "orders").filter("o_orderkey % 10 = 1"))
+
+
+@query(ORACLES["sun_altitude"].replace(" where o_orderkey % 10 = 1", ""))
+def sun_altitude_all(spark, d):
+    return _sun_altitude(table(spark, d, "orders"))
+
+
+def _sun_altitude(o):
+    o = o.select("o_orderkey", (X.days(F.col("o_orderdate")) - 10957.5).alias("n"))
     ra, dec = X.sun_altitude_terms(F.col("n"))
     o = o.withColumn("ra", ra).withColumn("dec", dec)
     return o.select("o_orderkey", r("ra", 5), r("dec", 5), F.round(X.altitude(F.col("ra"), F.col("dec"), F.col("n"), 33.8, -84.5), 5).alias("altitude"))
