@@ -54,5 +54,5 @@ def stream_time_bins(spark, d):
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) >= interval 12 hours then 1 else 0 end as g from events),
 s as (select user_id, ts, sum(g) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, epoch_us(min(ts))::bigint as start_us, epoch_us(max(ts))::bigint + 43200000000 as end_us, count(*) as n from s group by user_id, s""")
 def stream_sessions(spark, d):
-    out = _streamed(spark, d, lambda s: frames.sessions(s, "ts", ["user_id"]))
+    out = _streamed(spark, d, lambda s: frames.sessions(s, "ts", ["user_id"], late=None))
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")

@@ -19,9 +19,11 @@ def time_bins(stream: DataFrame, ts: str, by: list[str], value: str, width: str
     return out.select(*by, F.col("w.start").alias("start"), "n", "mean", "low", "high")
 
 
-def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "12 hours", late: str = "1 hour") -> DataFrame:
-    """by, start, end, n: runs of rows no further apart than gap."""
-    rows = stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n"))
+def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "12 hours", late: str | None = "1 hour") -> DataFrame:
+    """by, start, end, n: runs of rows no further apart than gap. Rows later than `late` are left out,
+    in complete mode too; None takes every row, whatever the order of the batches (complete mode only,
+    as no session is ever closed)."""
+    rows = (stream.withWatermark(ts, late) if late else stream).groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("n"))
     return rows.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
