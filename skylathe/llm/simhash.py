@@ -126,17 +126,24 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: DataFrame | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, the smallest
     doc_id that is linked to it, itself included.
 
     Null, empty and blank texts have fingerprint zero and are linked like any other. Repeated rows
     are separate rows with equal values; rows whose doc_id is null link, but give no component_id.
-    Other columns of docs are not read. An empty table gives an empty result.
+    Other columns of docs are not read. An empty table gives an empty result. also holds further
+    links, pairs (a, b) of xxhash64 of texts.
     """
-    fps = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
+    hashed = [F.xxhash64(text).alias("h")] if also is not None else []
+    fps = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), *hashed, _fingerprints(F.col(text)).alias("fp")))
     groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(groups.select("fp")))
+    edges = links(groups.select("fp"))
+    if also is not None:
+        of = fps.groupBy("h").agg(F.min("fp").alias("fp"))
+        further = also.join(of.toDF("a", "fa"), "a").join(of.toDF("b", "fb"), "b").select(F.col("fa").alias("a"), F.col("fb").alias("b"))
+        edges = edges.unionByName(further.filter("a != b")).distinct()
+    roots = components(edges)
     labelled = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     linked = labelled.filter(F.col("root").isNotNull())
     joined = linked.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -145,12 +152,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: DataFrame | None = None) -> DataFrame:
     """docs without near-duplicates: the row whose doc_id is its group's component_id stays.
 
     Of rows that repeat a doc_id one stays; rows with a null doc_id all stay. Columns as in docs.
+    also is as in near_duplicates.
     """
-    found = near_duplicates(docs, doc_id, text).select("doc_id", "component_id")
+    found = near_duplicates(docs, doc_id, text, also).select("doc_id", "component_id")
     kept = found.filter(F.col("doc_id") == F.col("component_id")).groupBy("doc_id").count()
     kept = checkpointed(kept.select(F.col("doc_id").alias("__kept"), F.col("count").alias("__times")))
     once = docs.join(kept.filter("__times = 1"), F.col(doc_id) == F.col("__kept"), "left_semi")
