@@ -21,8 +21,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that match an earlier one; n_chars follows."""
-    return linededup.without_later_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Documents without the lines that match an earlier one, short ones included; n_chars follows."""
+    return linededup.without_later_lines(docs, shortest=1).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Line dedup as an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words. They are ordered by rarity, that of a
+A line's tokens are its distinct shingles of five words; a shorter line has one of all its words, or
+none where such lines are to stay. They are ordered by rarity, that of a
 shingle's first word: words are counted over the whole corpus in 65,536 hashed buckets, and rarer
 buckets come first. Lines of one token set form a class. Two
 classes with a Jaccard similarity of at least 0.8 share a token among the first
@@ -36,18 +37,19 @@ def _worded(lines: DataFrame) -> DataFrame:
     return lines.withColumn("__w", F.array_remove(F.split(plain, " "), "")).drop("line")
 
 
-def _shingled(of: str) -> Column:
-    """The distinct values of an expression for each five-word shingle i of __w; null without any."""
-    return F.expr(f"if(size(__w) >= {SHINGLE}, array_distinct(transform(sequence(0, size(__w) - {SHINGLE}), i -> {of})), null)")
+def _shingled(of: str, shortest: int) -> Column:
+    """The distinct values of an expression for each five-word shingle i of __w, of lines of 1 to 4
+    words for the one of all their words; null for lines of fewer than `shortest` words."""
+    return F.expr(f"if(size(__w) >= {shortest}, array_distinct(transform(sequence(0, greatest(size(__w) - {SHINGLE}, 0)), i -> {of})), null)")
 
 
 _HASH = "xxhash64(" + ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE)) + ")"
 
 
-def _ranked(rows: DataFrame, ranks: Column) -> DataFrame:
+def _ranked(rows: DataFrame, ranks: Column, shortest: int) -> DataFrame:
     """rows (with __w) with the lines' tokens in order of rarity, in __t."""
     bucket = f"(xxhash64(get(__w, i)) & {_BUCKETS - 1})"
-    rows = rows.withColumn("__s", _shingled(f"shiftleft(shiftrightunsigned({_HASH}, {64 - _HASH_BITS}), 16) | {bucket}"))
+    rows = rows.withColumn("__s", _shingled(f"shiftleft(shiftrightunsigned({_HASH}, {64 - _HASH_BITS}), 16) | {bucket}", shortest))
     # __s stands in the expression once, so the optimizer merges the steps and the ranks stay a constant of
     # the plan instead of a column that every row would carry
     rank = lambda s: F.get("__r", s.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long")
@@ -79,10 +81,10 @@ class _Join:
     index: t, k, n, i, first for the prefix tokens t that more than one class has.
     """
 
-    def __init__(self, docs: DataFrame):
+    def __init__(self, docs: DataFrame, shortest: int = SHINGLE):
         lines = _lines(docs)
-        self.docs, self.ranks = docs, rarity(lines)
-        rows = _ranked(_worded(lines), self.ranks).drop("__w")
+        self.docs, self.ranks, self.shortest = docs, rarity(lines), shortest
+        rows = _ranked(_worded(lines), self.ranks, shortest).drop("__w")
         prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
         rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
@@ -104,8 +106,8 @@ class _Join:
         at = at.select("d", F.col("h").alias("g"), F.col("line_no").alias("no"))
         at = F.broadcast(at) if small_enough(at, 40) else at
         own = lines.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))).select("line")
-        own = _worded(own).withColumn("__f", _shingled(_HASH))
-        own = _ranked(own, self.ranks).select(F.xxhash64("__t").alias("k"), F.col("__f").alias("s"))
+        own = _worded(own).withColumn("__f", _shingled(_HASH, self.shortest))
+        own = _ranked(own, self.ranks, self.shortest).select(F.xxhash64("__t").alias("k"), F.col("__f").alias("s"))
         return checkpointed(own.dropDuplicates(["k"]))
 
     def side(self, letter: str) -> DataFrame:
@@ -148,10 +150,10 @@ def later_classes(join: _Join) -> DataFrame:
     return settled.unionByName(rest).distinct()
 
 
-def later_lines(docs: DataFrame) -> DataFrame:
+def later_lines(docs: DataFrame, shortest: int = SHINGLE) -> DataFrame:
     """d, g, nos: by document of docs (doc_id, h, text) the numbers of the lines that match an
     earlier line, copies included. Lines are earlier by doc_id, hash of the text and line number."""
-    join = _Join(docs)
+    join = _Join(docs, shortest)
     gone = checkpointed(later_classes(join).withColumn("gone", F.lit(True)))
     known = checkpointed(join.classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone"))
     out = join.rows.filter(in_sieve(sieve(known, "k"), F.col("k"))).join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
@@ -159,16 +161,17 @@ def later_lines(docs: DataFrame) -> DataFrame:
     return checkpointed(out)
 
 
-def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gone: str | None = None) -> DataFrame:
+def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gone: str | None = None, shortest: int = SHINGLE) -> DataFrame:
     """docs with the lines that match an earlier one taken out of text; columns and rows as in docs.
 
-    Lines of fewer than five words have no tokens and stay, as do blank ones. A null text stays null; a text all
+    Lines of fewer than `shortest` words stay, as do blank ones; of 1 to 4 words, lines match if they
+    are equal. A null text stays null; a text all
     of whose lines go is empty. Rows equal in doc_id and text count as one document, so repeated
     rows lose the same lines. Null doc_ids come first. Extra columns play no part; an empty table
     gives an empty result. gone names a column to append with the number of lines taken out.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    later = later_lines(rows)
+    later = later_lines(rows, shortest)
     touched = in_sieve(sieve(later, "g"), F.xxhash64(text))
     later = later.toDF("__d", "__g", "__nos")
     hit = docs.filter(touched).join(later, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g")), "left")
@@ -180,10 +183,10 @@ def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     return out.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *cut)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, shortest: int = SHINGLE) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256 of the text that stays."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    rows = without_later_lines(docs.select("doc_id", "text", lines.alias("n_lines")), gone="n_removed")
+    rows = without_later_lines(docs.select("doc_id", "text", lines.alias("n_lines")), gone="n_removed", shortest=shortest)
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -202,3 +205,5 @@ select d.doc_id as doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast
   case when d.text is not null then sha256(kept) end as kept_sha256
 from documents d left join k on d.doc_id = k.doc_id
 """
+#: The same with lines of one to four words, whose one token is all their words.
+SQL_ALL = SQL.replace("range(1, len(w) - 3)", "range(1, greatest(len(w) - 3, 2))").replace("len(w) >= 5", "len(w) >= 1")

@@ -53,6 +53,10 @@ def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_linededup_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(table(spark, sf_dir, "documents"), shortest=1)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -67,7 +71,8 @@ QUERIES = {
     "op7_transport": op7_transport,
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
+    "op9_linededup_all": op9_linededup_all,
     "op10_toxicity": op10_toxicity,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL, "op9_linededup_all": linededup.SQL_ALL}
