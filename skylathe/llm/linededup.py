@@ -1,12 +1,13 @@
 """Line dedup as an exact set-similarity join.
 
-A line's tokens are its distinct shingles of five words; a shorter line has one of all its words, or
-none where such lines are to stay. They are ordered by rarity, that of a
-shingle's first word: words are counted over the whole corpus in 65,536 hashed buckets, and rarer
-buckets come first. Lines of one token set form a class. Two
-classes with a Jaccard similarity of at least 0.8 share a token among the first
-n - ceil(0.8 n) + 1 of each, so only those are joined, under the length and the positional filter;
-candidates are verified on their whole token sets. Every line that matches an earlier one goes.
+A line's tokens are its distinct shingles of five words; a line of one to four words has one token, all
+its words. Tokens are ordered by rarity: a shingle is as rare as its first word, whose occurrences are
+counted over the whole corpus (in 8,192 hashed buckets), and rarer ones come first. Lines of one token
+set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
+n - ceil(0.8 n) + 1 of each, so only classes that share such a token are compared, under the length and
+the positional filter and a bitmap filter: every token flips one bit of its class's bitmap, so bitmaps
+that differ in more bits than similar sets have tokens apart rule a pair out. What is left is verified
+on the words of the lines. Every line that matches an earlier one goes.
 
 All steps are DataFrame functions. Copies of a line are one class throughout, so a line that a third
 of the corpus repeats is joined once.
@@ -14,116 +15,130 @@ of the corpus repeats is joined once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import UPPER, checkpointed, in_sieve, sieve, small_enough, written
+from .common import checkpointed, hinted, in_sieve, sieve, small_enough, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-_BUCKETS = 1 << 16
-#: A token is one long: rank of its bucket above, hash in the low bits.
-_HASH_BITS = 47
+#: Buckets of words whose occurrences are counted: 2 to this.
+_BUCKET_BITS = 13
+#: A token is one long: its rank above, its hash in the low bits.
+_HASH_BITS = 63 - _BUCKET_BITS
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """doc_id, h, line_no, line of docs (doc_id, h, text)."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    return docs.select("doc_id", "h", F.posexplode_outer(lines).alias("line_no", "line"))
+def _spaced(text: Column) -> Column:
+    """text with ASCII white space other than line ends as spaces."""
+    other = F.lit(False)
+    for c in "\t\x0b\x0c\r":
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
-def _worded(lines: DataFrame) -> DataFrame:
-    """lines with __w in place of line: runs of characters other than ASCII white space, A-Z lower-cased."""
-    plain = F.translate("line", UPPER + "\t\x0b\x0c\r", UPPER.lower() + "    ")
-    return lines.withColumn("__w", F.array_remove(F.split(plain, " "), "")).drop("line")
+def _lines(docs: DataFrame) -> DataFrame:
+    """doc_id, h, line_no, line of docs (doc_id, h, text), words parted by spaces."""
+    rows = docs.select("doc_id", "h", F.coalesce(_spaced(F.col("text")), F.lit("")).alias("text"))
+    return rows.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _shingled(of: str, shortest: int) -> Column:
-    """The distinct values of an expression for each five-word shingle i of __w, of lines of 1 to 4
-    words for the one of all their words; null for lines of fewer than `shortest` words."""
-    return F.expr(f"if(size(__w) >= {shortest}, array_distinct(transform(sequence(0, greatest(size(__w) - {SHINGLE}, 0)), i -> {of})), null)")
+def _of_word(word: Column) -> Column:
+    return word.bitwiseAND(F.lit((1 << _BUCKET_BITS) - 1))
 
 
-_HASH = "xxhash64(" + ", ".join(f"get(__w, i + {j})" for j in range(SHINGLE)) + ")"
+def rarity(docs: DataFrame) -> Column:
+    """A constant array with the rank of each bucket of words by its count in the texts, rarest first,
+    shifted to a token's upper bits; its size is fixed, whatever the corpus. Words count as written."""
+    seen = docs.select(F.explode_outer(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = seen.groupBy(_of_word(F.xxhash64("w")).alias("b")).agg(F.count("w").alias("n"))
+    of = {r.b: r.n for r in counts.collect()}  # 8,192 rows at most
+    ranks = {b: i for i, b in enumerate(sorted(range(1 << _BUCKET_BITS), key=lambda b: (of.get(b, 0), b)))}
+    return F.split(F.lit(",".join(str(ranks[b] << _HASH_BITS) for b in range(1 << _BUCKET_BITS))), ",").cast("array<bigint>")
 
 
-def _ranked(rows: DataFrame, ranks: Column, shortest: int) -> DataFrame:
-    """rows (with __w) with the lines' tokens in order of rarity, in __t."""
-    bucket = f"(xxhash64(get(__w, i)) & {_BUCKETS - 1})"
-    rows = rows.withColumn("__s", _shingled(f"shiftleft(shiftrightunsigned({_HASH}, {64 - _HASH_BITS}), 16) | {bucket}", shortest))
-    # __s stands in the expression once, so the optimizer merges the steps and the ranks stay a constant of
-    # the plan instead of a column that every row would carry
-    rank = lambda s: F.get("__r", s.bitwiseAND(F.lit(_BUCKETS - 1)).cast("int")).cast("long")
-    token = lambda s: F.call_function("shiftleft", rank(s), F.lit(_HASH_BITS)).bitwiseOR(F.shiftrightunsigned(s, 16))
-    return rows.withColumn("__r", ranks).withColumn("__t", F.sort_array(F.transform("__s", token))).drop("__r", "__s")
+def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
+    """lines with __t in place of line: the distinct tokens in order of rarity; none of a blank line."""
+    words = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
+    rows = lines.withColumn("__w", F.array_remove(words, F.xxhash64(F.lit("")))).drop("line")
 
+    def token(word: Column, i: Column) -> Column:
+        rest = [F.get("__w", i + j) for j in range(1, SHINGLE)]  # null behind the last word, which adds nothing to a hash
+        return F.get(ranks, _of_word(word).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word, *rest), 64 - _HASH_BITS))
 
-def rarity(lines: DataFrame) -> Column:
-    """An array with the rank of each bucket of words by its count in the corpus, rarest first; its
-    size is fixed, whatever the corpus. Words count as they are written."""
-    seen = lines.select(F.explode_outer(F.split("line", " ")).alias("w"))
-    counts = seen.groupBy(F.xxhash64("w").bitwiseAND(F.lit(_BUCKETS - 1)).alias("b")).agg(F.count("w").alias("n"))
-    every = lines.sparkSession.range(_BUCKETS).withColumnRenamed("id", "b").join(counts, "b", "left")
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "b")))
-    by_rank = every.agg(order.alias("o")).select(F.posexplode("o").alias("rank", "x")).select("rank", F.col("x.b").alias("b"))
-    by_rank = checkpointed(by_rank)
-    return by_rank.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "rank"))), lambda x: x["rank"]).alias("ranks")).scalar()
+    many = F.expr(f"greatest(size(__w) - {SHINGLE - 1}, least(size(__w), 1))")
+    return rows.withColumn("__t", F.sort_array(F.array_distinct(F.slice(F.transform("__w", token), F.lit(1), many)))).drop("__w")
 
 
-def _least_overlap(n: str) -> str:
-    """Tokens that a line of n shares at least with any match: ceil(0.8 n), in whole numbers."""
-    return f"((4 * {n} + 4) div 5)"
+def _bitmap(longs: int) -> Column:
+    """An array of longs in which each token of __t flips one bit."""
+    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
+    own = lambda j: F.filter("__t", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(longs - 1)) == j) if longs > 1 else F.col("__t")
+    return F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)])
 
 
 class _Join:
     """The similarity join over docs (doc_id, h, text), up to the index of tokens that classes share.
 
-    rows: the lines that have tokens (doc_id, h, line_no, k, n, prefix); classes: k, first, lines;
-    index: t, k, n, i, first for the prefix tokens t that more than one class has.
+    rows: the lines that have tokens (doc_id, h, line_no, k, n, bits, prefix); classes: k, first,
+    lines, n, bits; index: t, k, n, i, first, bits for the prefix tokens t that more than one class
+    has. longs: size of the bitmaps, a power of 2; one long serves sets of up to about 140 tokens.
     """
 
-    def __init__(self, docs: DataFrame, shortest: int = SHINGLE):
-        lines = _lines(docs)
-        self.docs, self.ranks, self.shortest = docs, rarity(lines), shortest
-        rows = _ranked(_worded(lines), self.ranks, shortest).drop("__w")
-        prefix = F.expr(f"slice(__t, 1, size(__t) - {_least_overlap('size(__t)')} + 1)")
-        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), prefix.alias("prefix"))
+    def __init__(self, docs: DataFrame, longs: int = 1):
+        self.docs = docs
+        rows = _tokens(_lines(docs), rarity(docs))
+        prefix = F.expr("slice(__t, 1, size(__t) - ((4 * size(__t) + 4) div 5) + 1)")  # all but ceil(0.8 n) tokens, and one
+        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), prefix.alias("prefix"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
-        self.classes = checkpointed(rows.groupBy("k").agg(F.min(F.struct("doc_id", "h", "line_no")).alias("first"), F.count("*").alias("lines")))
-        index = rows.groupBy("k").agg(F.max("n").alias("n"), F.max("prefix").alias("prefix")).select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
-        index = index.select("k", "t", F.expr("shiftleft(cast(n as long), 32) | i").alias("ni"))
-        index = index.withColumn("sharing", F.count("*").over(Window.partitionBy("t"))).filter("sharing > 1")
-        index = checkpointed(index.select("t", "k", F.shiftright("ni", 32).alias("n"), F.expr("ni & 4294967295").alias("i")))
-        firsts = self.classes.join(index.select("k").distinct(), "k", "left_semi").select("k", "first")
-        self.firsts = checkpointed(firsts)
-        self.index = checkpointed(index.join(self.firsts, "k"))
-        self.sets = self._sets()
-
-    def _sets(self) -> DataFrame:
-        """k, s: whole token sets of the classes in the index. Their lines are read once more."""
-        place = F.xxhash64("h", "line_no")
-        at = self.firsts.select(F.col("first.doc_id").alias("d"), F.col("first.h").alias("h"), F.col("first.line_no").alias("line_no")).withColumn("p", place)
-        lines = _lines(self.docs).filter(in_sieve(sieve(at, "p"), place))
-        at = at.select("d", F.col("h").alias("g"), F.col("line_no").alias("no"))
-        at = F.broadcast(at) if small_enough(at, 40) else at
-        own = lines.join(at, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))).select("line")
-        own = _worded(own).withColumn("__f", _shingled(_HASH, self.shortest))
-        own = _ranked(own, self.ranks, self.shortest).select(F.xxhash64("__t").alias("k"), F.col("__f").alias("s"))
-        return checkpointed(own.dropDuplicates(["k"]))
+        first = F.min(F.struct("doc_id", "h", "line_no")).alias("first")
+        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("bits").alias("bits")), "classes")
+        tokens = rows.select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
+        shared = tokens.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a < b").select("t")
+        shared = written(shared, "shared")
+        index = tokens.filter(in_sieve(sieve(shared, "t"), F.col("t"))).groupBy("t", "k").agg(F.max("n").alias("n"), F.max("i").alias("i"))
+        index = checkpointed(index.join(hinted(shared, 8), "t"))
+        known = self.classes.join(index.select("k").distinct(), "k", "left_semi").select("k", "first", "bits")
+        self.index = written(index.join(known, "k"), "index")
 
     def side(self, letter: str) -> DataFrame:
-        return self.index.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "first")])
+        return self.index.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "first", "bits")])
+
+    def earliest(self) -> DataFrame:
+        """The side x that is the earliest class of each token."""
+        least = self.index.groupBy("t").agg(F.min(F.struct("first", "k", "n", "i", "bits")).alias("e"))
+        return least.select("t", *[F.col(f"e.{c}").alias(f"{c}_x") for c in ("k", "n", "i", "first", "bits")])
 
     def matching(self, pairs: DataFrame) -> DataFrame:
-        """k_x, k_y of the candidates (with n_x, i_x, ...) that are alike: the length and positional
-        filters, then Jaccard on whole sets."""
+        """k_x, k_y of the candidates (with n_x, i_x, bits_x, ...) that are alike: length, positional
+        and bitmap filter, then Jaccard on whole sets of shingles."""
         n, m = F.col("n_x"), F.col("n_y")
         length = (n * 5 >= m * 4) & (m * 5 >= n * 4)
         # tokens that both can still share from here on, against what 0.8 needs of both together
         position = F.least(n - F.col("i_x"), m - F.col("i_y")) * 9 >= (n + m) * 4
-        pairs = pairs.filter(length & position).select("k_x", "k_y").distinct()
+        # bits apart are at most tokens apart, of which similar sets have a ninth of both together
+        apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+        pairs = checkpointed(pairs.filter(length & position).filter(apart * 9 <= n + m).select("k_x", "k_y").distinct())
+        lines = self._lines_of(pairs.select(F.explode_outer(F.array("k_x", "k_y")).alias("k")).distinct())
         for letter in "xy":
-            pairs = pairs.join(self.sets.select(F.col("k").alias(f"k_{letter}"), F.col("s").alias(f"s_{letter}")), f"k_{letter}")
-        return pairs.filter(F.size(F.array_intersect("s_x", "s_y")) * 9 >= (F.size("s_x") + F.size("s_y")) * 4).select("k_x", "k_y")
+            pairs = pairs.join(lines.select(F.col("k").alias(f"k_{letter}"), F.col("line").alias(f"line_{letter}")), f"k_{letter}")
+        sets = pairs.select("k_x", "k_y", _shingles("line_x").alias("s_x"), _shingles("line_y").alias("s_y"))
+        return sets.filter(F.size(F.array_intersect("s_x", "s_y")) * 9 >= (F.size("s_x") + F.size("s_y")) * 4).select("k_x", "k_y")
+
+    def _lines_of(self, keys: DataFrame) -> DataFrame:
+        """k, line: the first line of each of the classes k. Texts are read once more; sieves thin out what is joined."""
+        at = self.classes.select("k", "first").join(keys, "k", "left_semi")
+        at = checkpointed(at.select("k", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"), F.col("first.line_no").alias("no")))
+        place = F.xxhash64("h", "line_no")
+        lines = _lines(self.docs.filter(in_sieve(sieve(at, "g"), F.col("h")))).filter(in_sieve(sieve(at.withColumn("p", F.xxhash64("g", "no")), "p"), place))
+        own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))
+        return checkpointed(lines.join(hinted(at, 48), own).select("k", "line").dropDuplicates(["k"]))
+
+
+def _shingles(line: str) -> Column:
+    """The distinct shingles of a line as strings."""
+    words = F.array_remove(F.split(F.lower(line), " "), "")
+    many = lambda w: F.greatest(F.size(w) - (SHINGLE - 1), F.least(F.size(w), F.lit(1)))
+    of = lambda w: F.transform(F.sequence(F.lit(1), many(w)), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -131,7 +146,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     (k, first, lines) and all links between classes (earlier, later)."""
     join = _Join(docs)
     links = join.matching(join.side("x").join(join.side("y"), "t").filter("first_x < first_y"))
-    return join.rows.drop("prefix"), join.classes, checkpointed(links.toDF("earlier", "later"))
+    return join.rows.drop("prefix", "bits"), join.classes.drop("bits"), checkpointed(links.toDF("earlier", "later"))
 
 
 def later_classes(join: _Join) -> DataFrame:
@@ -141,7 +156,7 @@ def later_classes(join: _Join) -> DataFrame:
     tokens, which settles nearly all of a crowd of near copies in a linear number of pairs. Only
     classes still open are held against every earlier one that shares a token.
     """
-    earliest = join.index.groupBy("t").agg(F.min(F.struct("first", "k", "n", "i")).alias("e")).select("t", *[F.col(f"e.{c}").alias(f"{c}_x") for c in ("k", "n", "i", "first")])
+    earliest = join.earliest()
     settled = checkpointed(join.matching(earliest.join(join.side("y"), "t").filter("first_x < first_y")).select(F.col("k_y").alias("k")).distinct())
     still = join.side("y").join(settled.select(F.col("k").alias("k_y")), "k_y", "left_anti")
     # the earliest of each token has been tried
@@ -150,50 +165,52 @@ def later_classes(join: _Join) -> DataFrame:
     return settled.unionByName(rest).distinct()
 
 
-def later_lines(docs: DataFrame, shortest: int = SHINGLE) -> DataFrame:
+def later_lines(docs: DataFrame) -> DataFrame:
     """d, g, nos: by document of docs (doc_id, h, text) the numbers of the lines that match an
     earlier line, copies included. Lines are earlier by doc_id, hash of the text and line number."""
-    join = _Join(docs, shortest)
+    join = _Join(docs)
     gone = checkpointed(later_classes(join).withColumn("gone", F.lit(True)))
     known = checkpointed(join.classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone"))
-    out = join.rows.filter(in_sieve(sieve(known, "k"), F.col("k"))).join(known, "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
-    out = out.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos"))
-    return checkpointed(out)
+    rows = join.rows.select("doc_id", "h", "line_no", "k").filter(in_sieve(sieve(known, "k"), F.col("k")))
+    out = rows.join(hinted(known, 56), "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
+    return checkpointed(out.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos")))
 
 
-def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gone: str | None = None, shortest: int = SHINGLE) -> DataFrame:
+def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gone: str | None = None) -> DataFrame:
     """docs with the lines that match an earlier one taken out of text; columns and rows as in docs.
 
-    Lines of fewer than `shortest` words stay, as do blank ones; of 1 to 4 words, lines match if they
-    are equal. A null text stays null; a text all
-    of whose lines go is empty. Rows equal in doc_id and text count as one document, so repeated
-    rows lose the same lines. Null doc_ids come first. Extra columns play no part; an empty table
-    gives an empty result. gone names a column to append with the number of lines taken out.
+    Blank lines stay; lines of one to four words match if their words are equal. A null text stays
+    null; a text all of whose lines go is empty. Rows equal in doc_id and text count as one document,
+    so repeated rows lose the same lines. Null doc_ids come first. Extra columns play no part; an
+    empty table gives an empty result. gone names a column to append with the number of lines taken
+    out.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
-    later = later_lines(rows, shortest)
-    touched = in_sieve(sieve(later, "g"), F.xxhash64(text))
-    later = later.toDF("__d", "__g", "__nos")
-    hit = docs.filter(touched).join(later, F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g")), "left")
-    # texts that the sieve rules out lose nothing and take no part in the join
-    out = hit.unionByName(docs.filter(~touched), allowMissingColumns=True)
-    stay = f"array_except(sequence(0, size(split(`{text}`, '\n', -1)) - 1), __nos)"
-    kept = F.when(F.col("__nos").isNull(), F.col(text)).otherwise(F.expr(f"array_join(transform({stay}, i -> get(split(`{text}`, '\n', -1), i)), '\n')"))
+    later = later_lines(rows).toDF("__d", "__g", "__nos")
+    own = F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g"))
+    if small_enough(later, 200):
+        out = docs.join(F.broadcast(later), own, "left")
+    else:  # texts that the sieve rules out lose nothing and take no part in the join
+        touched = in_sieve(sieve(later, "__g"), F.xxhash64(text))
+        out = docs.filter(touched).join(later, own, "left").unionByName(docs.filter(~touched), allowMissingColumns=True)
+    out = out.withColumn("__lines", F.when(F.col("__nos").isNotNull(), F.split(F.col(text), "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__nos"))
+    kept = F.when(F.col("__nos").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))
     cut = [F.coalesce(F.size("__nos"), F.lit(0)).cast("long").alias(gone)] if gone else []
     return out.select(*[kept.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], *cut)
 
 
-def report(docs: DataFrame, shortest: int = SHINGLE) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, kept_sha256 of the text that stays."""
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long")
-    rows = without_later_lines(docs.select("doc_id", "text", lines.alias("n_lines")), gone="n_removed", shortest=shortest)
+    rows = without_later_lines(docs.select("doc_id", "text", lines.alias("n_lines")), gone="n_removed")
     return rows.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 SQL = r"""
 with l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(0, len(string_split(text, chr(10))))) as i from documents where text is not null),
-w as (select doc_id, i, line, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from l),
-s as (select doc_id, i, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p + 4], ' ')))) as s from w where len(w) >= 5),
+w as (select doc_id, i, line, regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+') as w from l),
+s as (select doc_id, i, list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda p: array_to_string(w[p:p + 4], ' ')))) as s from w where len(w) >= 1),
 c as (select s, min(doc_id * 1000000 + i) as first, row_number() over (order by min(doc_id * 1000000 + i)) as k from s group by s),
 t as (select k, first, len(s) as n, unnest(s) as t from c),
 p as (select a.k as ka, b.k as kb, a.n as na, b.n as nb, count(*) as m from t a join t b on a.t = b.t and a.k < b.k group by a.k, b.k, a.n, b.n),
@@ -205,5 +222,3 @@ select d.doc_id as doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast
   case when d.text is not null then sha256(kept) end as kept_sha256
 from documents d left join k on d.doc_id = k.doc_id
 """
-#: The same with lines of one to four words, whose one token is all their words.
-SQL_ALL = SQL.replace("range(1, len(w) - 3)", "range(1, greatest(len(w) - 3, 2))").replace("len(w) >= 5", "len(w) >= 1")
