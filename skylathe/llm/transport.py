@@ -108,24 +108,48 @@ def mux(payload: bytes) -> bytes:
 
 
 def _sections(packets: np.ndarray, bodies: np.ndarray, pid: np.ndarray, starts: np.ndarray, want: int) -> tuple[list[bytes], int]:
-    """The sections that begin in packets of a PID, each within its packet; those with a wrong CRC are counted."""
-    found, wrong = [], 0
-    for i in np.flatnonzero((pid == want) & starts):
+    """The whole sections of a PID, over as many packets as each takes; those with a wrong CRC are counted."""
+    found, wrong, rest = [], 0, None  # rest: what has come of a section that isn't whole
+    for i in np.flatnonzero((pid == want) & (packets[:, 3] & 16 > 0)):
         data = packets[i, bodies[i] :].tobytes()
-        data = data[1 + data[0] :]
-        size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
-        if crc32_mpeg(data[:size]) == 0:
-            found.append(data[:size])
+        if starts[i]:
+            point = data[0] if data else 0
+            chunks = [] if rest is None else [rest + data[1 : 1 + point]]
+            chunks.append(data[1 + point :])
         else:
-            wrong += 1
+            chunks = [] if rest is None else [rest + data]
+        rest = None
+        for chunk in chunks:
+            rest = None
+            while chunk and chunk[0] != 0xFF:  # stuffing fills what is left
+                size = 3 + (int.from_bytes(chunk[1:3], "big") & 0xFFF)
+                if len(chunk) < max(3, size):
+                    rest = chunk
+                    break
+                if crc32_mpeg(chunk[:size]) == 0:
+                    found.append(chunk[:size])
+                else:
+                    wrong += 1
+                chunk = chunk[size:]
     return found, wrong
 
 
+def _without_repeats(packets: np.ndarray, mine: np.ndarray) -> np.ndarray:
+    """mine (packets of one PID that hold payload) without those that repeat the packet before, which
+    a stream may send again with another clock."""
+    again = np.flatnonzero((packets[mine[1:], 3] & 15) == (packets[mine[:-1], 3] & 15)) + 1
+    plain = [0, 1, 2, 3, 4, 5, *range(12, PACKET)]
+    return np.delete(mine, [i for i in again if (packets[mine[i], plain] == packets[mine[i - 1], plain]).all()])
+
+
 def demux(stream: bytes | None) -> dict | None:
     """The first elementary stream of the first program, with what its packets tell.
 
-    Null for a null stream; one that isn't whole 188-byte packets in step gives no payload. pts has
-    the time stamp of each PES packet, random_access the payload offsets of those flagged so.
+    Null for a null stream. One that isn't whole 188-byte packets in step, or without readable
+    program tables, gives no payload. Packets that come twice count once. PES packets that don't
+    begin like one, or break off within their header, are left out; without any the payload is
+    empty. pts has the time stamp of each PES packet that states one, random_access the payload
+    offsets of those flagged so.
     """
     if stream is None:
         return None
@@ -138,23 +162,23 @@ def demux(stream: bytes | None) -> dict | None:
     starts, has, adapt = (packets[:, 1] & 64) > 0, (packets[:, 3] & 16) > 0, (packets[:, 3] & 32) > 0
     bodies = np.where(adapt, 5 + packets[:, 4].astype(np.int32), 4)
     pats, wrong = _sections(packets, bodies, pid, starts, PAT_PID)
-    programs = [(s[i : i + 2], int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF) for s in pats for i in range(8, len(s) - 4, 4)]
+    programs = [(s[i : i + 2], int.from_bytes(s[i + 2 : i + 4], "big") & 0x1FFF) for s in pats for i in range(8, len(s) - 7, 4)]
     programs = [p for n, p in programs if n != b"\0\0"]
     out |= {"programs": len(programs), "crc_errors": wrong}
     if not programs:
         return out
     maps, wrong = _sections(packets, bodies, pid, starts, programs[0])
     out["crc_errors"] += wrong
-    if not maps:
+    at = 12 + (int.from_bytes(maps[0][10:12], "big") & 0xFFF) if maps else 0
+    if not maps or at + 5 > len(maps[0]) - 4:
         return out
-    at = 12 + (int.from_bytes(maps[0][10:12], "big") & 0xFFF)
     out["stream_type"], own = maps[0][at], int.from_bytes(maps[0][at + 1 : at + 3], "big") & 0x1FFF
-    mine = np.flatnonzero((pid == own) & has)
+    mine = _without_repeats(packets, np.flatnonzero((pid == own) & has))
     counts = packets[mine, 3] & 15
     out["discontinuities"] = int(((counts[1:] - counts[:-1] & 15) != 1).sum())
     begins = np.flatnonzero(starts[mine])
     pts, access, payload, size = [], [], [], 0
-    for a, b in zip(begins, [*begins[1:], len(mine)], strict=True):
+    for a, b in zip(begins, np.append(begins[1:], len(mine)), strict=False):  # the last without an end of its own
         rows = mine[a:b]
         plain = ~adapt[rows]
         if plain[1:].all():
@@ -163,11 +187,11 @@ def demux(stream: bytes | None) -> dict | None:
             pes = packets[rows[0], bodies[rows[0]] :].tobytes() + packets[rows[1:-1], 4:].tobytes() + packets[rows[-1], bodies[rows[-1]] :].tobytes()
         else:
             pes = b"".join(packets[i, bodies[i] :].tobytes() for i in rows)
-        if pes[:3] != b"\0\0\1":
+        if pes[:3] != b"\0\0\1" or len(pes) < 9 + (pes[8] if len(pes) > 8 else 0):
             continue
         length, header = int.from_bytes(pes[4:6], "big"), pes[8]
         data = pes[9 + header : 6 + length] if length else pes[9 + header :]
-        if pes[7] & 128:
+        if pes[7] & 128 and header >= 5:
             t = pes[9:14]
             pts.append((t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1)
         if adapt[rows[0]] and packets[rows[0], 4] and packets[rows[0], 5] & 64:
@@ -185,13 +209,15 @@ def _muxed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """docs with a binary column of transport streams that hold the texts as UTF-8, padded; a null
-    text counts as empty."""
+    text counts as empty. Streams are made here, so none is damaged; a column named as `media` is
+    replaced, other columns stay."""
     return docs.withColumn(media, _muxed(F.col(text)))
 
 
 @F.pandas_udf(FEATURES)
 def parsed(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """What demux() tells of each stream of a binary column."""
+    """What demux() tells of each stream of a binary column: null for null, a row for any bytes, damaged
+    ones included."""
     names = FEATURES.fieldNames()
     for batch in streams:
         rows = [demux(None if x is None else bytes(x)) or dict.fromkeys(names) for x in batch]
@@ -229,6 +255,6 @@ def _digest(streams: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for media in map(bytes, batch):
             x = demux(media)
             data, pts = x["payload"], x["pts"]
-            said = f"programs={x['programs']};type={x['stream_type']};packets={x['packets']};units={x['units']};discontinuities={x['discontinuities']};crc_errors={x['crc_errors']};pts={pts[0]}-{pts[-1]};random_access={','.join(map(str, x['random_access']))}"
+            said = f"programs={x['programs']};type={x['stream_type']};packets={x['packets']};units={x['units']};discontinuities={x['discontinuities']};crc_errors={x['crc_errors']};pts={'-'.join(map(str, pts[:1] + pts[-1:]))};random_access={','.join(map(str, x['random_access']))}"
             rows.append((len(data), sha256(data).hexdigest(), zlib.crc32(data[-ALIGN:]), len(media), sha256(media).hexdigest(), said))
         yield pd.DataFrame(rows, columns=_DIGEST.fieldNames())

@@ -1,3 +1,4 @@
+import random
 import zlib
 from hashlib import sha256
 
@@ -65,3 +66,42 @@ def test_query(spark):
     assert len(rows) == 8 and ts.digests(docs.limit(0)).count() == 0
     seen = ts.with_media(docs.drop("media")).select(ts.parsed("media").alias("x")).select("x.*").collect()
     assert len(seen) == 8 and all(r.programs == 1 and r.random_access[0] == 0 and r.pts[0] == 0 for r in seen)
+
+
+def test_damaged_streams_give_rows():
+    rng = random.Random(5)
+    whole = [ts.mux(rng.randbytes(64 * rng.choice([1, 3, 40, 200]))) for _ in range(20)]
+    for i in range(10_000):
+        stream = bytearray(rng.choice(whole))
+        for _ in range(rng.randint(1, 4)):
+            stream[rng.randrange(len(stream))] = rng.randrange(256)
+        if i % 4 == 0:  # packets lost, moved or sent again
+            at = 188 * rng.randrange(len(stream) // 188)
+            stream = stream[:at] + stream[at + 188 * rng.randint(0, 2) :] + stream[at : at + 188 * rng.randint(0, 1)]
+        out = ts.demux(bytes(stream))
+        assert set(out) == set(ts.FEATURES.fieldNames())
+    assert ts.demux(b"")["payload"] is None and ts.demux(None) is None
+
+
+def test_repeated_packets_count_once():
+    data = random.Random(6).randbytes(64 * 500)
+    stream = ts.mux(data)
+    packets = [stream[i : i + 188] for i in range(0, len(stream), 188)]
+    twice = b"".join(p + p * (i % 3 == 0) for i, p in enumerate(packets))
+    out, plain = ts.demux(twice), ts.demux(stream)
+    assert out["payload"] == data and out["discontinuities"] == 0
+    assert {k: v for k, v in out.items() if k not in ("packets", "programs")} == {k: v for k, v in plain.items() if k not in ("packets", "programs")}
+    lost = ts.demux(b"".join(packets[:6] + packets[7:]))
+    assert lost["discontinuities"] == 1
+
+
+def test_sections_over_many_packets():
+    body = b"".join(n.to_bytes(2, "big") + (0xE000 | 0x100 + n).to_bytes(2, "big") for n in range(1, 120))
+    section = b"\0" + (0xB000 | len(body) + 9).to_bytes(2, "big") + b"\0\1\xc1\0\0" + body
+    section += ts.crc32_mpeg(section).to_bytes(4, "big")
+    data, stream, k = b"\0" + section, b"", 0
+    while data:
+        part, data = data[:184], data[184:]
+        stream += bytes([0x47, 0x40 * (k == 0), 0, 0x10 | k]) + part + b"\xff" * (184 - len(part))
+        k += 1
+    assert k == 3 and ts.demux(stream)["programs"] == 119
