@@ -17,10 +17,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed, hinted
+
 #: Hidden units of a direction; bytes of a window and of its overlap to either side.
 HIDDEN, WINDOW, WARM = 8, 144, 8
-#: Bounds of the training sample: rows of a language, languages, and bytes taken of a text.
-ROWS, LANGUAGES, SPAN, LENGTH = 400, 64, 1024, 64
+#: Bounds of the training sample: rows of a language, rows of all, and bytes taken of a text.
+ROWS, TOTAL, SPAN, LENGTH = 400, 40_000, 1024, 64
 STEPS, BATCH, RATE, SEED = 500, 192, 0.02, 5
 #: Windows that go through the network at once.
 _SIDE_BY_SIDE = 8192
@@ -172,16 +174,18 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def sample(docs: DataFrame, lang: str, doc_id: str, text: str, rows: int = ROWS) -> list[tuple]:
-    """(lang, bytes) of at most about `rows` labelled rows of each of at most LANGUAGES languages,
-    chosen by a hash of doc_id: the first SPAN characters from a hashed place of each text."""
-    usable = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull())
-    counts = usable.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
-    mark, share = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 30)), F.lit(0)
-    for r in counts:
-        share = F.when(F.col(lang) == r[0], F.lit(int(min(1.0, rows / r[1]) * (1 << 30)))).otherwise(share)
+    """(lang, bytes) of labelled rows of every language, chosen by a hash of doc_id: the first SPAN
+    characters from a hashed place of each text. A language has about `rows` of them, fewer where
+    there are so many languages that TOTAL rows would be passed, but its first row by that hash always."""
+    usable = docs.filter(F.col(lang).isNotNull() & ~held_out(F.col(doc_id)) & F.col(doc_id).isNotNull() & (F.length(text) > 0))
+    mark = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(1 << 30))
+    counts = usable.groupBy(F.col(lang).alias("__lang")).agg(F.count("*").alias("__n"), F.min(mark).alias("__first"))
+    counts = checkpointed(counts)
+    most = max(1, min(rows, TOTAL // max(1, counts.count())))
+    share = counts.withColumn("__share", F.least(F.lit(1.0), most / F.col("__n")) * (1 << 30))
     at = F.pmod(F.xxhash64(F.col(doc_id)), F.greatest(F.length(text) - SPAN, F.lit(0)) + 1).cast("int") + 1
-    taken = usable.filter((mark < share) & (F.length(text) > 0)).select(lang, F.substring(F.col(text), at, F.lit(SPAN)))
-    return [(r[0], r[1].encode("utf-8", "replace")) for r in taken.collect()]  # bounded: LANGUAGES x ROWS x SPAN
+    taken = usable.join(hinted(share, 64), F.col(lang) == F.col("__lang")).filter((mark < F.col("__share")) | (mark == F.col("__first")))
+    return [(r[0], r[1].encode("utf-8", "replace")) for r in taken.select(lang, F.substring(F.col(text), at, F.lit(SPAN))).collect()]
 
 
 def predictions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

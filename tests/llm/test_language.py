@@ -67,3 +67,12 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert language.predictions(docs).first().lang_pred == "und"
     assert language.predictions(docs.limit(0)).count() == 0
+
+
+def test_every_language_is_learnt_from(spark):
+    docs = [(i, f"text of {i}", f"l{i % 90:02d}") for i in range(1800)] + [(9000, "rare words", "rare"), (9001, "rare words", "rare"), (9002, "rare words", "rare"), (9003, "rare words", "rare")]
+    table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    for rows in (400, 2):
+        got = language.sample(table, "lang", "doc_id", "text", rows)
+        assert {n for n, _ in got} == {x[2] for x in docs}
+    assert len(got) < 500
