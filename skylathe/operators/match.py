@@ -19,14 +19,28 @@ def within(left: DataFrame, right: DataFrame, xy: tuple[str, str], other: tuple[
     return a.join(b, ["_cx", "_cy"]).drop("_cx", "_cy").withColumn("distance", d).filter(F.col("distance") <= radius)
 
 
+def _sky_cells(ra: Column, band: Column, reach: float) -> tuple[Column, Column]:
+    """Number of cells in right ascension of a band of declination (of height reach, in degrees), and
+    the cell of a right ascension. Cells are no narrower than what reach spans at the band's end nearer
+    the pole, a step further on; about the poles there is one."""
+    edge = F.greatest(F.abs(band), F.abs(band + 1)) * reach + reach
+    span = F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach))) / F.greatest(F.cos(F.radians(F.least(edge, F.lit(90.0)))), F.lit(1e-12)))))
+    n = F.when(edge < 89.0, F.greatest(F.lit(1), F.floor(360.0 / (span * 1.001)))).otherwise(F.lit(1)).cast("long")
+    return n, F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n).cast("long")
+
+
 def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float) -> DataFrame:
-    """key, matches, nearest, separation: what lies within radius arcsec, by bands of declination of
-    that height; keys without a match keep a row. Ties go to the smaller name."""
-    band = lambda c: F.floor(F.col(c) * 3600 / radius)
-    a = left.withColumn("_b", band(pos[1]))
-    b = right.select(*[F.col(c).alias(f"_o_{c}") for c in (*other, name)], F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i")).withColumn("_b", band(f"_o_{other[1]}") + F.col("_i"))
+    """key, matches, nearest, separation: what lies within radius arcsec, by an equi-join on cells of
+    about that size, the right side in the nine about its own; keys without a match keep a row. Ties
+    go to the smaller name. Cells close around 0 and 360 degrees."""
+    reach = radius / 3600
+    a = left.withColumn("_b", F.floor(F.col(pos[1]) / reach))
+    a = a.withColumn("_c", _sky_cells(F.col(pos[0]), F.col("_b"), reach)[1])
+    b = right.select(*[F.col(c).alias(f"_o_{c}") for c in (*other, name)], F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i")).withColumn("_b", F.floor(F.col(f"_o_{other[1]}") / reach) + F.col("_i"))
+    n, at = _sky_cells(F.col(f"_o_{other[0]}"), F.col("_b"), reach)
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + k, n) for k in (-1, 0, 1)]))))
     sep = separation_arcsec(F.col(pos[0]), F.col(pos[1]), F.col(f"_o_{other[0]}"), F.col(f"_o_{other[1]}"))
-    pairs = a.join(b, "_b").withColumn("separation", sep).filter(F.col("separation") <= radius)
+    pairs = a.join(b, ["_b", "_c"]).withColumn("separation", sep).filter(F.col("separation") <= radius)
     best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"))
     out = left.select(key).join(best, key, "left")
     return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"))

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylathe.functions.expr import MAD_SCALE
-from skylathe.operators.stats import median
+from skylathe.operators.stats import mad_raw, median
 
 
 def pixels(df: DataFrame, keep: list[str], image: str, width: int) -> DataFrame:
@@ -29,32 +29,75 @@ def median_stack(px: DataFrame, by: list[str]) -> DataFrame:
     return px.groupBy(*by, "y", "x").agg(median(F.col("value")).alias("value"))
 
 
+def ring_background(px: DataFrame, by: list[str], cx: float, cy: float, inner: float, outer: float) -> DataFrame:
+    """by, background, background_error: the median of the ring's pixels, and the error of a median
+    (1.253 of a mean's) from the pixels' own errors."""
+    ring = px.filter((distance(cx, cy) > inner) & (distance(cx, cy) <= outer))
+    error = F.lit(1.253) * F.sqrt(F.sum(F.col("error") * F.col("error"))) / F.count("*")
+    return ring.groupBy(*by).agg(median(F.col("value")).alias("background"), error.alias("background_error"))
+
+
 def apertures(px: DataFrame, by: list[str], cx: float, cy: float, radii: list[float], inner: float, outer: float) -> DataFrame:
-    """by, radius, flux, background, background_error, n, quality for each radius: sum within it less
-    the median of the ring, 1 in quality if a pixel of it is unknown."""
-    ring = (distance(cx, cy) > inner) & (distance(cx, cy) <= outer)
-    sky = px.filter(ring & F.col("value").isNotNull()).groupBy(*by).agg(median(F.col("value")).alias("background"), F.count("*").alias("ring"), F.stddev_pop("value").alias("s"))
+    """by, radius, flux, background, background_error, n, quality for each radius, of px with value and
+    error: sum within it less the ring's background, 1 in quality if a pixel of it is unknown."""
+    sky = ring_background(px, by, cx, cy, inner, outer)
     disc = px.filter(distance(cx, cy) <= max(radii)).select(*by, "value", F.explode(F.filter(F.array(*map(F.lit, radii)), lambda r: distance(cx, cy) <= r)).alias("radius"))
     sums = disc.groupBy(*by, "radius").agg(F.sum("value").alias("sum"), F.count("value").alias("n"), F.count("*").alias("all"))
     out = sums.join(sky, by)
-    return out.select(*by, "radius", (F.col("sum") - F.col("n") * F.col("background")).alias("flux"), "background", (F.lit(1.253) * F.col("s") / F.sqrt("ring")).alias("background_error"), "n", (F.col("n") < F.col("all")).cast("int").alias("quality"))
+    return out.select(*by, "radius", (F.col("sum") - F.col("n") * F.col("background")).alias("flux"), "background", "background_error", "n", (F.col("n") < F.col("all")).cast("int").alias("quality"))
 
 
-def centroid(px: DataFrame, by: list[str]) -> DataFrame:
-    """by, total, cx, cy, fwhm: moments of what is positive; 2.355 deviations across."""
+def centroid(px: DataFrame, by: list[str], within: tuple[float, float, float] | None = None) -> DataFrame:
+    """by, total, cx, cy, fwhm: moments of what is positive, of pixels within a circle (x, y, radius) if
+    one is given; 2.355 deviations across. Null without anything positive."""
     w = F.greatest(F.col("value"), F.lit(0.0))
+    w = F.when(distance(within[0], within[1]) <= within[2], w).otherwise(0.0) if within else w
     sums = px.groupBy(*by).agg(F.sum(w).alias("total"), *[F.sum(w * e).alias(n) for n, e in (("sx", F.col("x")), ("sy", F.col("y")), ("rr", F.col("x") * F.col("x") + F.col("y") * F.col("y")))])
     cx, cy = F.try_divide("sx", "total"), F.try_divide("sy", "total")
     spread = F.greatest(F.try_divide("rr", "total") - cx * cx - cy * cy, F.lit(0.0)) / 2
     return sums.select(*by, "total", cx.alias("cx"), cy.alias("cy"), (F.sqrt(spread) * 2.355).alias("fwhm"))
 
 
-def difference_image(px: DataFrame, by: list[str], event: str, inside: Column, least_in: int = 2, least_out: int = 4, least_events: int = 3) -> DataFrame:
-    """by, y, x, value, events: median over events of the pixel's median outside less that inside."""
-    inn, out = F.when(inside, F.col("value")), F.when(~inside, F.col("value"))
-    each = px.groupBy(*by, event, "y", "x").agg(F.count(inn).alias("i"), F.count(out).alias("o"), (median(out) - median(inn)).alias("value"))
+def event_differences(px: DataFrame, by: list[str], event: str, stamp: str, inside: Column, outside: Column, cx: float, cy: float, radius: float, ring: tuple[float, float], least_in: int = 2, least_out: int = 4) -> DataFrame:
+    """by, event, y, x, value: an event's median image outside less that inside, both free of each
+    stamp's ring background, over the outside image's flux within radius. Events with fewer stamps on
+    a side than the least, or without positive flux, give nothing."""
+    sky = px.filter((distance(cx, cy) > ring[0]) & (distance(cx, cy) <= ring[1])).groupBy(*by, stamp).agg(median(F.col("value")).alias("_sky"))
+    flat = px.join(sky, [*by, stamp]).withColumn("_v", F.col("value") - F.col("_sky"))
+    inn, out = F.when(inside, F.col("_v")), F.when(outside, F.col("_v"))
+    each = flat.groupBy(*by, event, "y", "x").agg(F.count(inn).alias("i"), F.count(out).alias("o"), median(inn).alias("inn"), median(out).alias("out"))
     each = each.filter((F.col("i") >= least_in) & (F.col("o") >= least_out))
-    return each.groupBy(*by, "y", "x").agg(F.count("*").alias("events"), median(F.col("value")).alias("value")).filter(F.col("events") >= least_events)
+    scale = each.filter(distance(cx, cy) <= radius).groupBy(*by, event).agg(F.sum("out").alias("_flux")).filter("_flux > 0")
+    return each.join(scale, [*by, event]).select(*by, event, "y", "x", ((F.col("out") - F.col("inn")) / F.col("_flux")).alias("value"))
+
+
+def difference_image(differences: DataFrame, by: list[str], least_events: int = 3) -> DataFrame:
+    """by, y, x, value, events: pixel by pixel median over event_differences() of enough events."""
+    return differences.groupBy(*by, "y", "x").agg(F.count("*").alias("events"), median(F.col("value")).alias("value")).filter(F.col("events") >= least_events)
+
+
+def drawn(draw: Column, slot: Column, n: Column, seed: int = 3505) -> Column:
+    """A number from 0 to n - 1 for a slot of a draw, by two rounds of a linear congruence modulo 2^32.
+    It isn't any library's generator, so draws differ from those of another program."""
+    m = F.lit(1 << 32)
+    a = (draw * 1103515245 + slot * 12345 + seed) % m
+    b = ((a * 1664525 + 1013904223) % m * 1664525 + 1013904223) % m
+    return F.floor(b / 65536) % n
+
+
+def bootstrap_centroids(differences: DataFrame, by: list[str], event: str, within: tuple[float, float, float], draws: int = 600) -> DataFrame:
+    """by, cx, cy, radius: centroid of the difference image, and the radius that holds 68.27 % of the
+    centroids of resampled stacks. Each draw takes as many events as there are, with replacement; its
+    image is the pixel by pixel median of theirs. A draw is a group, so draws spread over the cluster."""
+    numbered = differences.select(*by, event).distinct().withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(event)) - 1)
+    sizes = numbered.groupBy(*by).agg(F.count("*").alias("_n"))
+    slots = sizes.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw")).select("*", F.explode(F.sequence(F.lit(0), (F.col("_n") - 1).cast("int"))).alias("_slot"))
+    slots = slots.select(*by, "_draw", drawn(F.col("_draw").cast("long"), F.col("_slot").cast("long"), F.col("_n")).cast("int").alias("_i"))
+    taken = slots.join(numbered, [*by, "_i"]).join(differences, [*by, event])
+    samples = centroid(taken.groupBy(*by, "_draw", "y", "x").agg(median(F.col("value")).alias("value")), [*by, "_draw"], within)
+    whole = centroid(median_stack(differences, by), by, within).select(*by, "cx", "cy")
+    off = samples.select(*by, F.col("cx").alias("_x"), F.col("cy").alias("_y")).join(whole, by).withColumn("_d", F.hypot(F.col("_x") - F.col("cx"), F.col("_y") - F.col("cy")))
+    return off.groupBy(*by, "cx", "cy").agg(F.percentile("_d", 0.6827).alias("radius"))
 
 
 def shifted(px: DataFrame, by: list[str], dy: int, dx: int, height: int, width: int, fill: float) -> DataFrame:
@@ -80,31 +123,41 @@ def half_width(profile: DataFrame, by: list[str]) -> DataFrame:
 
 def calibrated(raw: DataFrame, dark: DataFrame, flat: DataFrame, by: list[str]) -> DataFrame:
     """by, y, x, value, doubtful: (raw - dark) / flat in single precision, and flats off 0.5 to 1.5."""
-    out = raw.join(F.broadcast(dark.withColumnRenamed("value", "dark")), ["y", "x"]).join(F.broadcast(flat.withColumnRenamed("value", "flat")), ["y", "x"])
+    out = raw.join(dark.withColumnRenamed("value", "dark"), ["y", "x"]).join(flat.withColumnRenamed("value", "flat"), ["y", "x"])
     value = F.try_divide((F.col("value") - F.col("dark")), F.col("flat")).cast("float")
     return out.select(*by, "y", "x", value.alias("value"), ((F.col("flat") < 0.5) | (F.col("flat") > 1.5)).alias("doubtful"))
 
 
-def plane(px: DataFrame, by: list[str], rounds: int = 3, sigmas: float = 4.0) -> DataFrame:
-    """by, level, slope_x, slope_y, n: a plane fitted to the pixels, those too far from it left out in
-    each further round. Every round is one grouped aggregate."""
-    rows = px.withColumn("use", F.col("value").isNotNull())
-    for k in range(rounds):
-        u = F.col("use")
-        s = lambda e: F.sum(F.when(u, e))  # noqa: E731, B023
-        x, y, v = (F.col(c).cast("double") for c in ("x", "y", "value"))
-        m = rows.groupBy(*by).agg(F.count_if(u).alias("n"), *[F.avg(F.when(u, e)).alias(n) for n, e in (("mx", x), ("my", y), ("mv", v))], *[s(e).alias(n) for n, e in (("sxx", x * x), ("syy", y * y), ("sxy", x * y), ("sxv", x * v), ("syv", y * v))])
-        c = lambda a, b, k: F.col(k) - F.col("n") * F.col(a) * F.col(b)
-        m = m.select(*by, "n", "mx", "my", "mv", c("mx", "mx", "sxx").alias("xx"), c("my", "my", "syy").alias("yy"), c("mx", "my", "sxy").alias("xy"), c("mx", "mv", "sxv").alias("xv"), c("my", "mv", "syv").alias("yv"))
-        det = F.col("xx") * F.col("yy") - F.col("xy") * F.col("xy")
-        m = m.withColumn("slope_x", F.try_divide(F.col("yy") * F.col("xv") - F.col("xy") * F.col("yv"), det)).withColumn("slope_y", F.try_divide(F.col("xx") * F.col("yv") - F.col("xy") * F.col("xv"), det))
-        fit = m.select(*by, "n", "slope_x", "slope_y", (F.col("mv") - F.col("slope_x") * F.col("mx") - F.col("slope_y") * F.col("my")).alias("level"))
-        if k == rounds - 1:
-            return fit
-        res = rows.drop("level", "slope_x", "slope_y", "n").join(fit, by).withColumn("e", F.col("value") - F.col("level") - F.col("slope_x") * F.col("x") - F.col("slope_y") * F.col("y"))
-        spread = res.filter("use").groupBy(*by).agg(median(F.abs("e")).alias("s"))
-        rows = res.join(spread, by).withColumn("use", F.abs("e") <= F.greatest(F.col("s") * (MAD_SCALE * sigmas), F.lit(1e-12))).select(*px.columns, "use")
-    return fit
+def plane(px: DataFrame, by: list[str], height: int, width: int, rounds: int = 3, sigmas: float = 4.0, tails: float = 0.002, least: int = 1) -> DataFrame:
+    """by, level, slope_x, slope_y, n: a plane fitted to the pixels over coordinates from -1 to 1.
+
+    Pixels outside the percentiles of the tails take no part in the first fit, those further from the
+    fit than so many robust deviations of the pixels in use none in the next; n is how many are left
+    after the last. Groups of fewer than `least` known pixels give nothing. A round is one grouped
+    aggregate.
+    """
+    side = lambda c, n: 2.0 * F.col(c) / max(n - 1, 1) - 1.0
+    rows = px.filter(F.col("value").isNotNull()).select(*by, side("x", width).alias("u"), side("y", height).alias("v"), F.col("value").alias("z"))
+    ends = rows.groupBy(*by).agg(F.count("*").alias("known"), F.percentile("z", tails).alias("low"), F.percentile("z", 1 - tails).alias("high")).filter(F.col("known") >= least)
+    rows = rows.join(ends, by).select(*by, "u", "v", "z", F.col("z").between(F.col("low"), F.col("high")).alias("use"))
+    fit = None
+    for _ in range(rounds):
+        fit = _plane_fit(rows.filter("use"), by)
+        res = rows.join(fit, by).withColumn("e", F.col("z") - F.col("level") - F.col("slope_x") * F.col("u") - F.col("slope_y") * F.col("v"))
+        spread = mad_raw(res.filter("use"), by, F.col("e")).select(*by, "mad")
+        # without spread the fit is final
+        rows = res.join(spread, by).withColumn("use", F.when(F.col("mad") > 0, F.abs("e") <= F.col("mad") * sigmas).otherwise(F.col("use"))).select(*by, "u", "v", "z", "use")
+    return fit.join(rows.groupBy(*by).agg(F.count_if("use").alias("n")), by)
+
+
+def _plane_fit(rows: DataFrame, by: list[str]) -> DataFrame:
+    kin = Window.partitionBy(*by)
+    rows = rows.withColumns({f"c{c}": F.col(c) - F.avg(c).over(kin) for c in "uvz"})
+    sums = [F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(a + b) for a, b in ("uu", "vv", "uv", "uz", "vz")]
+    m = rows.groupBy(*by).agg(*[F.avg(c).alias(f"m{c}") for c in "uvz"], *sums)
+    det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
+    m = m.withColumn("slope_x", F.try_divide(F.col("vv") * F.col("uz") - F.col("uv") * F.col("vz"), det)).withColumn("slope_y", F.try_divide(F.col("uu") * F.col("vz") - F.col("uv") * F.col("uz"), det))
+    return m.select(*by, (F.col("mz") - F.col("slope_x") * F.col("mu") - F.col("slope_y") * F.col("mv")).alias("level"), "slope_x", "slope_y")
 
 
 def fft_shifts(df: DataFrame, key: str, image: str, reference: list[float], height: int, width: int) -> DataFrame:
@@ -171,8 +224,6 @@ def exact_aperture(px: DataFrame, by: list[str], height: int, width: int, cx: fl
     weights = px.sparkSession.createDataFrame(overlap_weights(height, width, cx, cy, radius), "y int, x int, weight double")
     sums = px.join(F.broadcast(weights), ["y", "x"]).groupBy(*by).agg(F.sum(F.col("value") * F.col("weight")).alias("sum"), F.sum("weight").alias("area"))
     ring = px.filter((distance(cx, cy) > inner) & (distance(cx, cy) <= outer)).select(*by, "value")
-    from pyspark.sql import Window
-
     kin = Window.partitionBy(*by)
     for _ in range(rounds):
         rows = ring.withColumn("_m", median(F.col("value")).over(kin)).withColumn("_d", F.abs(F.col("value") - F.col("_m"))).withColumn("_s", median(F.col("_d")).over(kin) * MAD_SCALE)

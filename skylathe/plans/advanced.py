@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skylathe.operators import pixels, regression
+from skylathe.operators import regression, windows
+from skylathe.operators.cuts import shared_folder
 from skylathe.streaming import frames
 
 from .driver_tables import photometry, table
@@ -25,21 +26,41 @@ def query(sql: str = ""):
     return add
 
 
+#: Candidate models over what the photometry table has; with `none`, eleven.
+MODELS = {
+    "airmass": ["airmass"],
+    "width": ["fwhm"],
+    "time": ["frame"],
+    "meridian": ["meridian"],
+    "error": ["error"],
+    "airmass_width": ["airmass", "fwhm"],
+    "airmass_time": ["airmass", "frame"],
+    "width_time": ["fwhm", "frame"],
+    "airmass_meridian": ["airmass", "meridian"],
+    "airmass_width_time": ["airmass", "fwhm", "frame"],
+}
+
+
+def _modelled(spark, d):
+    rows = windows.meridian_side(photometry(spark, d), ["star"], "frame", "airmass")
+    level = F.percentile("counts", 0.5).over(Window.partitionBy("star"))
+    return rows.withColumn("counts", F.col("counts") / level)
+
+
 @query()
 def blocked_cross_validation(spark, d):
-    rows = photometry(spark, d)
-    return regression.cross_validated(rows, ["star"], ["frame"], "counts", {"airmass": ["airmass"], "width": ["fwhm"], "both": ["airmass", "fwhm"]})
+    return regression.cross_validated(_modelled(spark, d), ["star"], ["frame"], "counts", MODELS)
 
 
 @query()
-def bootstrap_positions(spark, d):
-    px = pixels.pixels(table(spark, d, "embeddings"), ["vec_id", "label"], "embedding", 8)
-    return regression.bootstrap_centroid(pixels.centroid(px, ["vec_id", "label"]), ["label"], "cx", "cy", draws=200)
+def baseline_removed(spark, d):
+    out = regression.without_baseline(_modelled(spark, d), ["star"], "counts", ["airmass", "fwhm"])
+    return out.select("frame", "star", F.round("counts", 8).alias("counts"), F.round("corrected", 8).alias("corrected"))
 
 
 def _streamed(spark, d, make):
     events = table(spark, d, "events")
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = frames.arriving(spark, f"{d}/events.parque?", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
     frames.run_once(make(stream), f"{folder}/table", f"{folder}/state")
     return spark.read.parquet(f"{folder}/table")

@@ -160,19 +160,38 @@ def test_backward_elimination_drops_the_noisy_star(spark):
 
 def test_stamps(spark):
     disc = spark.createDataFrame([(1, [1.0] * 49)], "i int, p array<double>")
-    px = pixels.pixels(disc, ["i"], "p", 7)
+    px = pixels.pixels(disc, ["i"], "p", 7).withColumn("error", F.lit(0.2))
     got = pixels.apertures(px, ["i"], 3.0, 3.0, [1.0], 2.0, 3.0).first()
-    assert (got.n, got.flux, got.background) == (5, 0.0, 1.0)
+    ring = sum(2 < math.hypot(y - 3, x - 3) <= 3 for y in range(7) for x in range(7))
+    assert (got.n, got.flux, got.background) == (5, 0.0, 1.0) and math.isclose(got.background_error, 1.253 * 0.2 / math.sqrt(ring))
     delta = [0.0] * 121
     delta[6 * 11 + 4] = 1.0
     c = pixels.centroid(pixels.pixels(spark.createDataFrame([(1, delta)], "i int, p array<double>"), ["i"], "p", 11), ["i"]).first()
     assert (c.cx, c.cy) == (4.0, 6.0)
+    far = pixels.centroid(pixels.pixels(spark.createDataFrame([(1, delta)], "i int, p array<double>"), ["i"], "p", 11), ["i"], (9.0, 2.0, 3.0)).first()
+    assert (far.total, far.cx, far.cy) == (0.0, None, None)
     px = pixels.pixels(spark.createDataFrame([(1, [float(i) for i in range(30)])], "i int, p array<double>"), ["i"], "p", 6)
     moved = {(r.y, r.x): r.value for r in pixels.shifted(px, ["i"], -1, 2, 5, 6, -1.0).collect()}
     assert moved == {(y, x): float((y + 1) * 6 + x - 2) if y < 4 and x >= 2 else -1.0 for y in range(5) for x in range(6)}
-    tilt = pixels.pixels(spark.createDataFrame([(1, [15000.0 + 12 * (i % 16) - 7 * (i // 16) + (9e4 if i == 40 else 0) for i in range(192)])], "i int, p array<double>"), ["i"], "p", 16)
-    fit = pixels.plane(tilt, ["i"]).first()
-    assert math.isclose(fit.slope_x, 12, rel_tol=1e-6) and math.isclose(fit.slope_y, -7, rel_tol=1e-6) and fit.n == 191
+    tilt = pixels.pixels(spark.createDataFrame([(1, [15000.0 + 12 * (i % 16) - 7 * (i // 16) + (9e4 if i == 40 else (i * 7919 % 13 - 6) / 6) for i in range(192)])], "i int, p array<double>"), ["i"], "p", 16)
+    fit = pixels.plane(tilt, ["i"], 12, 16).first()
+    assert abs(fit.slope_x - 12 * 7.5) < 0.5 and abs(fit.slope_y + 7 * 5.5) < 0.5 and fit.n == 191
+    assert pixels.plane(tilt, ["i"], 12, 16, least=10_000).count() == 0
+
+
+def test_difference_image_and_bootstrap(spark):
+    rng = np.random.default_rng(2)
+    yy, xx = np.mgrid[:9, :9]
+    star = 100 * np.exp(-((yy - 4) ** 2 + (xx - 4) ** 2) / 3)
+    source = 5 * np.exp(-((yy - 4) ** 2 + (xx - 5) ** 2) / 1.5)
+    data = [(e * 10 + k, e, int(k < 3), (50 + k + star - source * (k < 3) + rng.normal(0, 0.01, (9, 9))).ravel().tolist()) for e in range(6) for k in range(9)]
+    df = spark.createDataFrame(data, "stamp int, event int, inn int, p array<double>")
+    px = pixels.pixels(df.withColumn("g", F.lit(1)), ["g", "stamp", "event", "inn"], "p", 9)
+    diff = pixels.event_differences(px, ["g"], "event", "stamp", F.col("inn") == 1, F.col("inn") == 0, 4.0, 4.0, 2.0, (3.5, 4.5))
+    image = {(r.y, r.x): r.value for r in pixels.difference_image(diff, ["g"]).collect()}
+    assert max(image, key=image.get) == (4, 5)
+    got = pixels.bootstrap_centroids(diff, ["g"], "event", (4.0, 4.0, 3.0), draws=50).first()
+    assert abs(got.cx - 5) < 0.3 and abs(got.cy - 4) < 0.1 and 0 < got.radius < 0.1
 
 
 def test_shifts(spark):
@@ -190,13 +209,37 @@ def test_shifts(spark):
     assert (s.dx, s.dy, s.stars) == (7.0, -5.0, 4) and s.rms < 0.6
 
 
-def test_huber_resists_an_outlier():
-    x = np.linspace(-2, 2, 101)
-    y = 1 - 0.02 * x
-    y[50] += 1
-    model = regression.huber(x[:, None], y)
-    assert np.allclose(regression.fitted(model, np.array([[2.0], [-2.0]])), [0.96, 1.04], atol=1e-3)
-    assert regression.fitted(regression.huber(np.empty((3, 0)), np.array([1.0, 2.0, 9.0])), np.empty((2, 0))).tolist() == [2.0, 2.0]
+def plain_huber(x, y):
+    x = np.column_stack([np.ones(len(y)), x])
+    b = np.linalg.lstsq(x, y, rcond=None)[0]
+    for _ in range(200):
+        e = y - x @ b
+        s = 1.4826 * np.median(abs(e - np.median(e)))
+        w = np.minimum(1, 1.345 * s / np.maximum(abs(e - np.median(e)), 1e-300))
+        b = np.linalg.solve(x.T @ (x * w[:, None]), x.T @ (w * y))
+    return b
+
+
+def test_huber(spark):
+    rng = np.random.default_rng(3)
+    data = []
+    for g in range(3):
+        for i in range(101):
+            a, c = rng.normal(), rng.uniform(-2, 2)
+            data.append((g, i, a, c, float(1 - 0.02 * a + 0.1 * g * c + rng.normal(0, 0.003) + (1 if i % 17 == 5 else 0))))
+    df = spark.createDataFrame([*data, (0, 200, None, 1.0, 9.0), (1, 200, 1.0, 1.0, None)], "g int, i int, a double, c double, y double")
+    got = {r.g: r["_beta"] for r in regression.huber(df, ["g"], F.col("y"), F.array(F.lit(1.0), "a", "c"), 3).collect()}
+    for g in range(3):
+        part = np.array([r[2:] for r in data if r[0] == g])
+        assert np.allclose(got[g], plain_huber(part[:, :2], part[:, 2]), atol=1e-8)
+    flat = regression.without_baseline(df, ["g"], "y", ["a", "c"])
+    for g in range(3):
+        part = np.array([r[2:] for r in data if r[0] == g])
+        base = np.column_stack([np.ones(101), part[:, :2]]) @ plain_huber(part[:, :2], part[:, 2])
+        want = part[:, 2] - (base - np.median(base))
+        rows_ = {r.i: r.corrected for r in flat.filter((F.col("g") == g) & (F.col("i") < 200)).collect()}
+        assert np.allclose([rows_[i] for i in range(101)], want / np.median(want), atol=1e-8)
+    assert flat.count() == len(data) + 2 and flat.filter("corrected is null").count() == 2
 
 
 def test_cross_validation_promotes_a_trend_and_rejects_noise(spark):
@@ -222,6 +265,13 @@ def test_matches(spark):
     got = rows(match.sky_matches(a, b, "k", ("ra", "dec"), ("ra", "dec"), "n", 3.0))
     assert got[0][:3] == (1, 2, 8) and abs(got[0][3] - 0.72) < 1e-6 and got[1] == (2, 0, None, None)
     rng = random.Random(1)
+    at = lambda k: [(i, rng.uniform(-0.01, 0.01) % 360, rng.choice([0.0, 45.0, -88.5, 89.9]) + rng.uniform(-0.01, 0.01)) for i in range(k)]
+    u, v = at(120), at(300)
+    def sep(p, q):
+        (a, d), (b, e) = (map(math.radians, x[1:]) for x in (p, q))
+        return math.degrees(2 * math.asin(math.sqrt(math.sin((d - e) / 2) ** 2 + math.cos(d) * math.cos(e) * math.sin((a - b) / 2) ** 2))) * 3600
+    got = {r.k: r.matches for r in match.sky_matches(spark.createDataFrame(u, "k int, ra double, dec double"), spark.createDataFrame(v, "n int, ra double, dec double"), "k", ("ra", "dec"), ("ra", "dec"), "n", 12.0).collect()}
+    assert got == {p[0]: sum(sep(p, q) <= 12 for q in v) for p in u} and sum(got.values()) > 50
     p = [(i, rng.uniform(-9, 9), rng.uniform(-9, 9)) for i in range(80)]
     near = match.within(spark.createDataFrame(p, "i int, x double, y double"), spark.createDataFrame(p, "j int, u double, v double"), ("x", "y"), ("u", "v"), 1.5)
     assert {(r.i, r.j) for r in near.collect()} == {(i, j) for i, x, y in p for j, u, v in p if math.hypot(x - u, y - v) <= 1.5}
