@@ -119,3 +119,85 @@ def altitude(ra: Column, dec: Column, day: Column, latitude: float, longitude: f
     hour = F.radians(sidereal - ra)
     lat, d = math.radians(latitude), F.radians(dec)
     return F.degrees(F.asin(clip(F.sin(d) * math.sin(lat) + F.cos(d) * F.cos(hour) * math.cos(lat), -1, 1)))
+
+
+def pixel_tan(ra: Column, dec: Column, crval: tuple, crpix: tuple, cd: tuple) -> tuple[Column, Column]:
+    """The pixel of a sky position, the inverse of position_tan(); null on the far half of the sky."""
+    d0, dec, a = math.radians(crval[1]), F.radians(dec), F.radians(ra - crval[0])
+    towards = F.sin(dec) * math.sin(d0) + F.cos(dec) * math.cos(d0) * F.cos(a)
+    towards = F.when(towards > 0, towards)
+    xi = F.degrees(F.cos(dec) * F.sin(a) / towards)
+    eta = F.degrees((F.sin(dec) * math.cos(d0) - F.cos(dec) * math.sin(d0) * F.cos(a)) / towards)
+    det = cd[0] * cd[3] - cd[1] * cd[2]
+    return (xi * cd[3] - eta * cd[1]) / det + crpix[0], (eta * cd[0] - xi * cd[2]) / det + crpix[1]
+
+
+def pointing_shift(ra: Column, dec: Column, first: tuple[float, float], arcsec_a_pixel: float, factor: tuple[float, float]) -> tuple[Column, Column]:
+    """Shift in pixels of a pointing against the first one, turned and scaled by a complex factor."""
+    off = F.pmod(ra - first[0] + 180, F.lit(360.0)) - 180
+    u, v = -off * math.cos(math.radians(first[1])) * 3600 / arcsec_a_pixel, -(dec - first[1]) * 3600 / arcsec_a_pixel
+    return u * factor[0] - v * factor[1], u * factor[1] + v * factor[0]
+
+
+def pipeline_of(name: Column) -> Column:
+    """Pipeline that a file name tells; null for none that is known."""
+    low = F.lower(name)
+    return F.when(F.contains(low, F.lit("qlp")), "QLP").when(F.contains(low, F.lit("tess-spoc")), "TESS-SPOC").when(F.contains(low, F.lit("spoc")), "SPOC")
+
+
+def flux_column(pipeline: Column, has_detrended: Column, raw: bool = False) -> Column:
+    """Name of the flux column of a pipeline's files, the raw or the corrected series."""
+    if raw:
+        return F.when(pipeline.isNotNull(), "SAP_FLUX")
+    return F.when((pipeline == "QLP") & has_detrended, "DET_FLUX").when(pipeline == "QLP", "KSPSAP_FLUX").when(pipeline.isNotNull(), "PDCSAP_FLUX")
+
+
+def frame_kind(name: Column) -> Column:
+    """science, dark or flat by the file name; null for others."""
+    kind = F.lit(None).cast("string")
+    for k, pattern in (("flat", "(?i)_flat_"), ("dark", "(?i)_dark_"), ("science", "(?i)_light_")):
+        kind = F.when(name.rlike(pattern), k).otherwise(kind)
+    return kind
+
+
+def cadence_seconds(value: Column) -> Column:
+    """A cadence in seconds: values between 0 and 2 are days."""
+    return F.when((value > 0) & (value < 2), value * 86400).otherwise(value)
+
+
+def hours_to_degrees(hours: Column) -> Column:
+    return hours * F.lit(15.0)
+
+
+def clean_annulus(distance: Column, radius: float) -> Column:
+    """Outer radius that keeps clear of a source at a distance, in steps of 5."""
+    return (5 * F.floor((distance - radius) / 5)).cast("long")
+
+
+def covers(start: Column, end: Column, inner_start: Column, inner_end: Column) -> Column:
+    """Whether a window holds another one whole."""
+    return (start <= inner_start) & (inner_end <= end)
+
+
+def cleared(finite_share: Column, inside: Column, outside: Column, overlaps: Column, depth: Column, error: Column, needed: Column) -> tuple[Column, Column]:
+    """Whether a neighbour was measured well enough, and whether its eclipse is ruled out: apart from
+    the target, and depth with three errors below what would be needed."""
+    measured = F.coalesce((finite_share >= 0.8) & (inside >= 60) & (outside >= 120) & (error > 0), F.lit(False))
+    return measured, F.coalesce(measured & ~overlaps & (depth + 3 * error < needed), F.lit(False))
+
+
+def interpreted(df, day: str, start: str, ingress: str, egress: str, zones: list[str]):
+    """df's key columns with, for each zone, ingress, egress, midpoint (epoch seconds) and duration
+    (seconds) of clock minutes, and whether they stand in order. A clock before the night's start
+    belongs to the next day; daylight saving is the zone's own."""
+    keys = [c for c in df.columns if c not in (day, start, ingress, egress)]
+    rows = df.withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
+
+    def at(minutes: str) -> Column:
+        night = F.date_add(F.col(day), F.when(F.col(minutes) < F.col(start), 1).otherwise(0))
+        clock = F.format_string("%s %02d:%02d:00", night.cast("string"), F.expr(f"cast({minutes} div 60 as int)"), (F.col(minutes) % 60).cast("int"))
+        return F.unix_seconds(F.to_utc_timestamp(clock, F.col("zone")))
+
+    rows = rows.withColumn("_i", at(ingress)).withColumn("_e", at(egress))
+    i, e = F.col("_i"), F.col("_e")
+    return rows.select(*keys, "zone", i.alias("ingress"), e.alias("egress"), ((i + e) / 2).alias("midpoint"), (e - i).alias("duration"), (i < e).alias("in_order"))

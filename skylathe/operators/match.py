@@ -29,23 +29,48 @@ def _sky_cells(ra: Column, band: Column, reach: float) -> tuple[Column, Column]:
     return n, F.floor(F.pmod(ra, F.lit(360.0)) / 360.0 * n).cast("long")
 
 
-def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float) -> DataFrame:
-    """key, matches, nearest, separation: what lies within radius arcsec, by an equi-join on cells of
-    about that size, the right side in the nine about its own; keys without a match keep a row. Ties
-    go to the smaller name. Cells close around 0 and 360 degrees."""
+def sky_pairs(left: DataFrame, right: DataFrame, pos: tuple[str, str], other: tuple[str, str], keep: list[str], radius: float) -> DataFrame:
+    """left's rows with those of right (columns _o_<name> of keep) within radius arcsec, and the
+    separation: an equi-join on cells of about that size, the right side in the nine about its own.
+    Cells close around 0 and 360 degrees."""
     reach = radius / 3600
     a = left.withColumn("_b", F.floor(F.col(pos[1]) / reach))
     a = a.withColumn("_c", _sky_cells(F.col(pos[0]), F.col("_b"), reach)[1])
-    b = right.select(*[F.col(c).alias(f"_o_{c}") for c in (*other, name)], F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i")).withColumn("_b", F.floor(F.col(f"_o_{other[1]}") / reach) + F.col("_i"))
+    b = right.select(*[F.col(c).alias(f"_o_{c}") for c in dict.fromkeys([*other, *keep])], F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i")).withColumn("_b", F.floor(F.col(f"_o_{other[1]}") / reach) + F.col("_i"))
     n, at = _sky_cells(F.col(f"_o_{other[0]}"), F.col("_b"), reach)
-    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + k, n) for k in (-1, 0, 1)]))))
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + k, n) for k in (-1, 0, 1)])))).drop("_i")
     sep = separation_arcsec(F.col(pos[0]), F.col(pos[1]), F.col(f"_o_{other[0]}"), F.col(f"_o_{other[1]}"))
-    pairs = a.join(b, ["_b", "_c"]).withColumn("separation", sep).filter(F.col("separation") <= radius)
+    return a.join(b, ["_b", "_c"]).drop("_b", "_c").withColumn("separation", sep).filter(F.col("separation") <= radius)
+
+
+def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float) -> DataFrame:
+    """key, matches, nearest, separation: what lies within radius arcsec; keys without a match keep a
+    row. Ties go to the smaller name."""
+    pairs = sky_pairs(left, right, pos, other, [name], radius)
     best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"))
     out = left.select(key).join(best, key, "left")
     return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"))
 
 
+def cone(df: DataFrame, pos: tuple[str, str], centre: tuple[float, float], radius: float) -> DataFrame:
+    """df's rows within radius arcsec of a position, with their separation."""
+    sep = separation_arcsec(F.col(pos[0]), F.col(pos[1]), F.lit(centre[0]), F.lit(centre[1]))
+    return df.withColumn("separation", sep).filter(F.col("separation") <= radius)
+
+
+def in_circles(df: DataFrame, circles: DataFrame, pos: tuple[str, str], radius: float) -> DataFrame:
+    """df's distinct rows that lie in any of the circles about the positions of another table."""
+    return sky_pairs(df, circles, pos, pos, [], radius).select(*df.columns).distinct()
+
+
+def broken_join(left: DataFrame, right: DataFrame, key: str, same: str) -> DataFrame:
+    """key, problem: keys that only one side has (missing on the right, unexpected there), and those
+    whose values of a column differ. Empty if the join is sound."""
+    both = left.select(key, F.col(same).alias("_l"), F.lit(True).alias("_in_l")).join(right.select(key, F.col(same).alias("_r"), F.lit(True).alias("_in_r")), key, "full_outer")
+    problem = F.when(F.col("_in_r").isNull(), "missing").when(F.col("_in_l").isNull(), "unexpected").when(~F.col("_l").eqNullSafe(F.col("_r")), "different")
+    return both.select(key, problem.alias("problem")).filter("problem is not null")
+
+
 def one_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """key, side, n: what breaks a one-to-one join; empty if nothing does."""
     many = lambda df, s: df.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").select(key, F.lit(s).alias("side"), "n")

@@ -89,3 +89,60 @@ def stable_stars(df: DataFrame, frames: int, frame: str = "frame", star: str = "
     passes = F.coalesce((F.col("covered") >= coverage) & (F.col("scatter") <= F.col("limit")), F.lit(False))
     none = out.agg(F.bool_or(passes).alias("any"))
     return out.join(F.broadcast(none), F.lit(True)).select(star, "covered", "scatter", (passes | (~F.col("any") & F.coalesce("best", F.lit(False)))).alias("chosen"))
+
+
+def ensemble_review(df: DataFrame, covariates: dict[str, str], frame: str = "frame", star: str = "star") -> DataFrame:
+    """star, scatter (robust, of its leave-one-out curve over the median), counts (median), correlations
+    with the covariates by name, z (of the scatter among the stars' scatters), outlier (z over 3)."""
+    rows = leave_one_out(df, frame, star)
+    rows = rows.withColumn("q", F.try_divide("other", median(F.col("other")).over(Window.partitionBy(star))))
+    each = rows.groupBy(star).agg(median(F.col("counts")).alias("counts"), *[correlation(F.col("q"), F.col(c)).alias(n) for n, c in covariates.items()])
+    each = mad_raw(rows, [star], F.col("q")).select(star, F.col("mad").alias("scatter")).join(each, star)
+    level = mad_raw(each.withColumn("_all", F.lit(1)), ["_all"], F.col("scatter")).select(F.col("median").alias("_c"), F.nullif(F.col("mad"), F.lit(0.0)).alias("_s"))
+    z = (F.col("scatter") - F.col("_c")) / F.col("_s")
+    return each.join(F.broadcast(level), F.lit(True)).withColumn("z", z).withColumn("outlier", F.coalesce(F.col("z") > 3, F.lit(False))).drop("_c", "_s")
+
+
+def star_summary(df: DataFrame, target: int, saturated: Column, star: str = "star") -> DataFrame:
+    """star, role, counts and snr (medians), peak, scatter_ppt (robust, over the median), saturated frames."""
+    rows = df.withColumn("_q", F.try_divide("counts", median(F.col("counts")).over(Window.partitionBy(star))))
+    role = F.when(F.col(star) == target, "target").otherwise("comparison")
+    each = rows.groupBy(star).agg(median(F.col("counts")).alias("counts"), median(F.try_divide("counts", "error")).alias("snr"), F.max("counts").alias("peak"), F.count_if(saturated).alias("saturated"))
+    return each.join(mad_raw(rows, [star], F.col("_q")).select(star, (F.col("mad") * 1000).alias("scatter_ppt")), star).withColumn("role", role)
+
+
+def sky_ring_choice(df: DataFrame, target: int, sky: str, narrow: str, wide: str, ring: str = "ring", frame: str = "frame", star: str = "star") -> DataFrame:
+    """ring, scatter, full_std (percent, of the target's curve over its median), sky (median of the
+    target's), chosen: the wide ring unless its curve scatters more than the narrow one's."""
+    mine = F.col(star) == target
+    curve = df.groupBy(ring, frame).agg(F.max(F.when(mine, F.col("counts"))).alias("_t"), F.sum(F.when(~mine, F.col("counts"))).alias("_c"), F.max(F.when(mine, F.col(sky))).alias("_sky"))
+    curve = curve.withColumn("_r", F.try_divide("_t", "_c")).filter("_r is not null").withColumn("_q", F.col("_r") / median(F.col("_r")).over(Window.partitionBy(ring)))
+    each = mad_raw(curve, [ring], F.col("_q")).select(ring, (100 * F.col("mad")).alias("scatter"))
+    each = each.join(curve.groupBy(ring).agg((100 * F.stddev_pop("_q")).alias("full_std"), median(F.col("_sky")).alias("sky")), ring)
+    of = lambda k: F.max(F.when(F.col(ring) == k, F.col("scatter")))
+    best = each.agg(F.when(of(wide) <= of(narrow), wide).otherwise(narrow).alias("_best"))
+    return each.join(F.broadcast(best), F.lit(True)).withColumn("chosen", F.col(ring) == F.col("_best")).drop("_best")
+
+
+def table_validation(df: DataFrame, native: DataFrame, target: int, curve_limit: float = 1e-10, count_limit: float = 1e-5, frame: str = "frame", star: str = "star") -> DataFrame:
+    """One row: rows, curve_difference, count_difference, curve_agrees, counts_agree, of a table that
+    another program wrote (frame, relative, total) against the curve and total made here."""
+    mine = F.col(star) == target
+    own = df.groupBy(frame).agg(F.max(F.when(mine, F.col("counts"))).alias("_t"), F.sum(F.when(~mine, F.col("counts"))).alias("_c"))
+    both = own.join(native, frame).withColumn("_r", F.try_divide("_t", "_c")).filter("_r is not null and relative is not null")
+    level = both.agg(median(F.col("_r")).alias("_mr"), median(F.col("relative")).alias("_mn"))
+    both = both.join(F.broadcast(level), F.lit(True))
+    out = both.agg(F.count("*").alias("rows"), F.max(F.abs(F.col("_r") / F.col("_mr") - F.col("relative") / F.col("_mn"))).alias("curve_difference"), F.max(F.abs(F.col("_c") - F.col("total"))).alias("count_difference"))
+    return out.withColumn("curve_agrees", F.col("curve_difference") <= curve_limit).withColumn("counts_agree", F.col("count_difference") <= count_limit)
+
+
+def post_window_depth(df: DataFrame, by: list[str], t: str, flux: str, start: float, end: float, margin: float, least: int = 12) -> DataFrame:
+    """by, level, depth, scatter: fluxes over the median of those later than the window and a margin (of
+    all, where these are fewer than `least`); the median after the window less that inside, and the
+    robust scatter after it."""
+    after, inside = F.col(t) > end + margin, F.col(t).between(start, end)
+    level = df.groupBy(*by).agg(F.when(F.count_if(after) >= least, median(F.when(after, F.col(flux)))).otherwise(median(F.col(flux))).alias("level"))
+    rows = df.join(level, by).withColumn("_q", F.try_divide(flux, "level"))
+    late = mad_raw(rows, by, F.when(after, F.col("_q"))).select(*by, F.col("mad").alias("scatter"))
+    depth = median(F.when(after, F.col("_q"))) - median(F.when(inside, F.col("_q")))
+    return rows.groupBy(*by).agg(F.first("level").alias("level"), depth.alias("depth")).join(late, by)

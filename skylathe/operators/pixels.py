@@ -128,6 +128,36 @@ def calibrated(raw: DataFrame, dark: DataFrame, flat: DataFrame, by: list[str])
     return out.select(*by, "y", "x", value.alias("value"), ((F.col("flat") < 0.5) | (F.col("flat") > 1.5)).alias("doubtful"))
 
 
+def frame_summary(px: DataFrame, by: list[str], stride: int, saturated: float, low: float) -> DataFrame:
+    """by, thumbnail (pixels of every stride-th row and column), saturated and low (shares of pixels at
+    or over the one level, and under the other)."""
+    share = lambda c: F.avg(c.cast("double"))
+    own = (F.col("y") % stride == 0) & (F.col("x") % stride == 0)
+    return px.groupBy(*by).agg(F.count_if(own).alias("thumbnail"), share(F.col("value") >= saturated).alias("saturated"), share(F.col("value") < low).alias("low"))
+
+
+def crop(px: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
+    """px within a rectangle, counted from its corner."""
+    inside = F.col("y").between(top, top + height - 1) & F.col("x").between(left, left + width - 1)
+    return px.filter(inside).withColumn("y", F.col("y") - top).withColumn("x", F.col("x") - left)
+
+
+def flat_field(flats: DataFrame, dark: DataFrame, frame: str, height: int, width: int) -> DataFrame:
+    """y, x, value: dark (y, x, value) taken from each flat frame, its plane divided out, each over its
+    mean, the median of all over its mean. Frames whose plane or mean isn't positive take no part;
+    pixels of the result that aren't positive are null."""
+    raw = flats.join(dark.withColumnRenamed("value", "_dark"), ["y", "x"]).select(frame, "y", "x", (F.col("value") - F.col("_dark")).alias("value"))
+    fit = plane(raw, [frame], height, width).drop("n")
+    u, v = 2.0 * F.col("x") / max(width - 1, 1) - 1.0, 2.0 * F.col("y") / max(height - 1, 1) - 1.0
+    rows = raw.join(fit, frame).withColumn("_p", F.col("level") + F.col("slope_x") * u + F.col("slope_y") * v)
+    kin = Window.partitionBy(frame)
+    rows = rows.withColumn("_least", F.min("_p").over(kin)).withColumn("_level", F.avg("_p").over(kin)).filter("_least > 0")
+    rows = rows.withColumn("value", F.col("value") * F.col("_level") / F.col("_p")).withColumn("_mean", F.avg("value").over(kin)).filter("_mean > 0")
+    stack = rows.groupBy("y", "x").agg(median(F.col("value") / F.col("_mean")).alias("value"))
+    mean = stack.agg(F.avg("value").alias("_m"))
+    return stack.join(F.broadcast(mean), F.lit(True)).select("y", "x", F.when(F.col("value") / F.col("_m") > 0, F.col("value") / F.col("_m")).alias("value"))
+
+
 def plane(px: DataFrame, by: list[str], height: int, width: int, rounds: int = 3, sigmas: float = 4.0, tails: float = 0.002, least: int = 1) -> DataFrame:
     """by, level, slope_x, slope_y, n: a plane fitted to the pixels over coordinates from -1 to 1.
 

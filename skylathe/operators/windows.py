@@ -69,3 +69,22 @@ def previous_accepted(df: DataFrame, by: list[str], order: list[str], accepted:
     """df with guess_<value>, that of the last accepted row before; null where there is none yet."""
     before = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumns({f"guess_{v}": F.last(F.when(accepted, F.col(v)), ignorenulls=True).over(before) for v in values})
+
+
+#: Roles of representative_rows(), in the order in which they choose.
+ROLES = ["early", "middle", "before_meridian", "after_meridian", "late"]
+
+
+def representative_rows(df: DataFrame, by: list[str], order: str, airmass: str, bracket: int = 12) -> DataFrame:
+    """by, role, row, order: first, middle and last row of each series and those `bracket` before and
+    after its least airmass (the first of equal ones), counted from 0. A row that an earlier role has
+    gives way to the nearest free one, the lower of two. Series of fewer than five rows give nothing.
+    """
+    rows = df.withColumn("_i", F.row_number().over(Window.partitionBy(*by).orderBy(order)) - 1)
+    each = rows.groupBy(*by).agg(F.count("*").cast("int").alias("_n"), F.min(F.struct(airmass, "_i"))["_i"].alias("_m")).filter("_n >= 5")
+    wanted = F.array(F.lit(0), F.expr("_n div 2").cast("int"), F.greatest(F.lit(0), F.col("_m") - bracket), F.least(F.col("_n") - 1, F.col("_m") + bracket), F.col("_n") - 1)
+    around = lambda i: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(len(ROLES))), lambda k: F.array(i - k, i + k)))
+    free = lambda taken, i: F.filter(around(i), lambda j: (j >= 0) & (j < F.col("_n")) & ~F.array_contains(taken, j))
+    taken = F.aggregate(wanted, F.array().cast("array<int>"), lambda t, i: F.concat(t, F.slice(free(t, i), 1, 1)))
+    picked = each.select(*by, F.posexplode(taken).alias("_k", "_i")).select(*by, F.element_at(F.array(*map(F.lit, ROLES)), F.col("_k") + 1).alias("role"), "_i")
+    return picked.join(rows.select(*by, "_i", order), [*by, "_i"]).withColumnRenamed("_i", "row").select(*by, "role", "row", order)

@@ -424,12 +424,32 @@ def stable_stars(spark, d):
     return photometry.stable_stars(rows, frames).select("star", r("covered"), r("scatter"), "chosen")
 
 
-@query()
+@query("""with recursive s as (select c_nationkey, (c_custkey * 53 % 997)::double as x, (c_custkey * 71 % 991)::double as y, c_acctbal as f from customer), b as (select *, row_number() over (partition by c_nationkey order by f desc, x, y) as k from s),
+p as (select c_nationkey, k, x, y, f, [{'x': x, 'y': y}] as kept, true as taken from b where k = 1 union all
+  select b.c_nationkey, b.k, b.x, b.y, b.f, case when ok then list_append(kept, {'x': b.x, 'y': b.y}) else kept end, ok
+  from (select b.*, p.kept, len(p.kept) < 25 and len(list_filter(p.kept, lambda q: sqrt((q.x - b.x) * (q.x - b.x) + (q.y - b.y) * (q.y - b.y)) < 220)) = 0 as ok from p join b on b.c_nationkey = p.c_nationkey and b.k = p.k + 1) b)
+select c_nationkey, cast(row_number() over (partition by c_nationkey order by k) as int) as rank, x, y, f as c_acctbal from p where taken""")
 def spaced_stars(spark, d):
     s = table(spark, d, "customer").select("c_nationkey", (F.col("c_custkey") * 53 % 997).cast("double").alias("x"), (F.col("c_custkey") * 71 % 991).cast("double").alias("y"), "c_acctbal")
     return selection.spaced_stars(s, ["c_nationkey"], "x", "y", "c_acctbal", 220.0, 25)
 
 
-@query()
+def _clipped_sql(rounds: int = 5) -> str:
+    """CTEs of so many rounds of clipping about the median, from r0."""
+    out = []
+    for k in range(rounds):
+        out += [
+            f"m{k} as (select *, abs(value - median(value) over (partition by vec_id)) as d from r{k})",
+            f"r{k + 1} as (select vec_id, value from (select *, 1.4826::double * median(d) over (partition by vec_id) as s from m{k}) q where d <= s * 3 or s = 0)",
+        ]
+    return ", ".join(out)
+
+
+_WEIGHTS = ", ".join(f"({y}, {x}, {w!r}::double)" for y, x, w in pixels.overlap_weights(8, 8, 3.5, 3.5, 2.2))
+
+
+@query(f"""with {PX}, w(y, x, weight) as (values {_WEIGHTS}), s as (select vec_id, sum(value * weight) as s, sum(weight) as area from px join w on px.y = w.y and px.x = w.x group by vec_id),
+r0 as (select vec_id, value from px where {_D} > 3 and {_D} <= 4.5), {_clipped_sql()}, sky as (select vec_id, median(value) as background from r5 group by vec_id)
+select s.vec_id as vec_id, round(s - area * background, 6) as flux, round(background, 6) as background from s join sky on s.vec_id = sky.vec_id""")
 def exact_aperture(spark, d):
-    return pixels.exact_aperture(_px(spark, d), ["vec_id"], 8, 8, 3.5, 3.5, 2.2, 3.0, 4.5)
+    return pixels.exact_aperture(_px(spark, d), ["vec_id"], 8, 8, 3.5, 3.5, 2.2, 3.0, 4.5).select("vec_id", r("flux"), r("background"))

@@ -11,10 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from skylathe.functions.expr import finite, good
+
 BLOCK, CARD = 2880, 80
 #: Codes of binary-table columns: numpy type on disk and Spark type.
 CODES = {
@@ -49,23 +51,26 @@ def card_value(card: str):
             return text
 
 
+def header_at(data: bytes, at: int, number: int = 0) -> tuple[dict, int]:
+    """The header that begins at a byte, and where its data do."""
+    header: dict = {}
+    while True:
+        block = data[at : at + BLOCK].decode("ascii", "replace")
+        if len(block) < BLOCK:
+            raise EOFError(f"header of unit {number} is cut off")
+        at += BLOCK
+        for card in (block[i : i + CARD] for i in range(0, BLOCK, CARD)):
+            if card.rstrip() == "END":
+                return header, at
+            if card[8:10] == "= ":
+                header[card[:8].rstrip()] = card_value(card)
+
+
 def headers(data: bytes) -> Iterator[tuple[int, dict, int, int]]:
     """Number, header, start and size of the data of each unit of a file."""
     at = number = 0
     while at < len(data):
-        header, ended = {}, False
-        while not ended:
-            block = data[at : at + BLOCK].decode("ascii", "replace")
-            if len(block) < BLOCK:
-                raise EOFError(f"header of unit {number} is cut off")
-            at += BLOCK
-            for i in range(0, BLOCK, CARD):
-                card = block[i : i + CARD]
-                if card.rstrip() == "END":
-                    ended = True
-                    break
-                if card[8:10] == "= ":
-                    header[card[:8].rstrip()] = card_value(card)
+        header, at = header_at(data, at, number)
         axes = [header.get(f"NAXIS{i + 1}", 0) for i in range(header.get("NAXIS", 0))]
         cells = int(np.prod(axes)) if axes else 0
         size = abs(header.get("BITPIX", 8)) // 8 * header.get("GCOUNT", 1) * (header.get("PCOUNT", 0) + cells) if cells or header.get("PCOUNT") else 0
@@ -152,25 +157,63 @@ def read_table(spark: SparkSession, path: str, hdu: int = 1, wanted: list[str] |
     return _files(spark, path).mapInPandas(parse, kinds)
 
 
+def tiles_of(data: bytes, hdu: int, tile: int) -> Iterator[tuple]:
+    """tile_y, tile_x, height, width, pixels of an image unit, scaled by BZERO and BSCALE."""
+    for n, h, at, _ in headers(data):
+        if n == hdu and h.get("NAXIS") == 2:
+            kind = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[h["BITPIX"]]
+            image = np.frombuffer(data, kind, h["NAXIS1"] * h["NAXIS2"], at).reshape(h["NAXIS2"], h["NAXIS1"])
+            image = image.astype("f8") * (h.get("BSCALE") or 1) + (h.get("BZERO") or 0)
+            for y in range(0, image.shape[0], tile):
+                for x in range(0, image.shape[1], tile):
+                    part = image[y : y + tile, x : x + tile]
+                    yield (y // tile, x // tile, *part.shape, part.ravel())
+
+
 def read_image(spark: SparkSession, path: str, hdu: int = 0, tile: int = 256) -> DataFrame:
-    """path, tile_y, tile_x, height, width, pixels: square tiles of the images of all files, scaled by
-    BZERO and BSCALE; a whole frame is never one row."""
+    """path, tile_y, tile_x, height, width, pixels: square tiles of the images of all files; a whole
+    frame is never one row."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, data in zip(batch["path"], batch["content"], strict=True):
-                for n, h, at, _ in headers(bytes(data)):
-                    if n != hdu or h.get("NAXIS") != 2:
-                        continue
-                    kind = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}[h["BITPIX"]]
-                    image = np.frombuffer(bytes(data), kind, h["NAXIS1"] * h["NAXIS2"], at).reshape(h["NAXIS2"], h["NAXIS1"])
-                    image = image.astype("f8") * (h.get("BSCALE") or 1) + (h.get("BZERO") or 0)
-                    tiles = [(p, y // tile, x // tile, *(part := image[y : y + tile, x : x + tile]).shape, part.ravel()) for y in range(0, image.shape[0], tile) for x in range(0, image.shape[1], tile)]
-                    yield pd.DataFrame(tiles, columns=["path", "tile_y", "tile_x", "height", "width", "pixels"])
+                yield pd.DataFrame([(p, *t) for t in tiles_of(bytes(data), hdu, tile)], columns=["path", "tile_y", "tile_x", "height", "width", "pixels"])
 
     return _files(spark, path).mapInPandas(parse, "path string, tile_y int, tile_x int, height int, width int, pixels array<double>")
 
 
+def _unit_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """path and a column for each key: the value of the first unit of a file that has it."""
+    heads = read_headers(spark, path).select("path", "hdu", "header")
+    first = [F.min_by(F.col("header")[k], F.when(F.col("header")[k].isNotNull(), F.col("hdu"))).alias(k) for k in keys]
+    return heads.groupBy("path").agg(*first)
+
+
+def read_light_curves(spark: SparkSession, path: str, flux: str, error: str, least: int = 20) -> DataFrame:
+    """path, sector, time, flux, flux_error, quality, good, crowdsap, flfrcsap of the light curves of all
+    files: times with their reference day (2457000 unless the header tells), fluxes over the median
+    of the good ones. Files with fewer than `least` good rows or a median that isn't positive give nothing."""
+    known = _unit_values(spark, path, ["SECTOR", "BJDREFI", "BJDREFF", "CROWDSAP", "FLFRCSAP"])
+    number = lambda k, default: F.coalesce(F.col(k).cast("double"), F.lit(default))
+    rows = read_table(spark, path, 1, ["TIME", flux, error, "QUALITY"]).join(known, "path")
+    time = finite(F.col("TIME")) + number("BJDREFI", 2457000.0) + number("BJDREFF", 0.0)
+    rows = rows.select("path", F.col("SECTOR").cast("int").alias("sector"), time.alias("time"), finite(F.col(flux).cast("double")).alias("flux"), finite(F.col(error).cast("double")).alias("flux_error"), F.col("QUALITY").cast("long").alias("quality"), F.col("CROWDSAP").cast("double").alias("crowdsap"), F.col("FLFRCSAP").cast("double").alias("flfrcsap"))
+    rows = rows.withColumn("good", good(F.col("flux"), F.col("flux_error"), F.col("quality")) & F.col("time").isNotNull())
+    kin = Window.partitionBy("path")
+    rows = rows.withColumn("_n", F.count_if("good").over(kin)).withColumn("_s", F.percentile(F.when(F.col("good"), F.col("flux")), 0.5).over(kin)).filter((F.col("_n") >= least) & (F.col("_s") > 0))
+    return rows.withColumn("flux", F.col("flux") / F.col("_s")).withColumn("flux_error", F.col("flux_error") / F.col("_s")).drop("_n", "_s")
+
+
+def read_pixel_cubes(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """path, cadence, time, quality, y, x, value, error: the pixels of the cubes of all files, times with
+    their reference day, not finite values as null."""
+    known = _unit_values(spark, path, ["BJDREFI", "BJDREFF"])
+    rows = read_table(spark, path, 1, ["TIME", "FLUX", "FLUX_ERR", "QUALITY", "CADENCENO"]).join(known, "path")
+    time = finite(F.col("TIME")) + F.coalesce(F.col("BJDREFI").cast("double"), F.lit(2457000.0)) + F.coalesce(F.col("BJDREFF").cast("double"), F.lit(0.0))
+    rows = rows.select("path", F.col("CADENCENO").cast("long").alias("cadence"), time.alias("time"), F.col("QUALITY").cast("long").alias("quality"), F.posexplode(F.arrays_zip("FLUX", "FLUX_ERR")).alias("p", "v"))
+    return rows.select("path", "cadence", "time", "quality", F.expr(f"p div {width}").cast("int").alias("y"), (F.col("p") % width).alias("x"), finite(F.col("v.FLUX").cast("double")).alias("value"), finite(F.col("v.FLUX_ERR").cast("double")).alias("error"))
+
+
 def written_header(cards: dict) -> bytes:
     """A header block of cards, END and blanks to whole blocks."""
     lines = []

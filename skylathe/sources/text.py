@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skylathe.functions.expr import finite
+from skylathe.operators.quality import only_row
+
 
 def read_report(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFrame:
     """Rows of an XML report; names keep their prefix, attributes start with _."""
@@ -47,3 +50,41 @@ def rewritten(config: Column, changes: dict[str, str]) -> Column:
         pattern = rf"(?m)^{key}=[^\r\n]*"
         out = F.when(F.regexp_count(config, F.lit(pattern)) != 1, F.raise_error(F.lit(f"{key} isn't there exactly once"))).otherwise(F.regexp_replace(out, pattern, f"{key}={value}"))
     return out
+
+
+def delimited(spark: SparkSession, path: str, schema: str, sep: str = "\t") -> DataFrame:
+    """A separated table with a header, of the columns of a schema, NaN and infinities as null."""
+    raw = spark.read.option("header", True).option("sep", sep).schema(schema).csv(path)
+    return raw.select(*[finite(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in raw.schema.fields])
+
+
+def records(df: DataFrame) -> DataFrame:
+    """value: every row as one line of JSON, unknown and not finite numbers as null."""
+    cols = [finite(F.col(f"`{f.name}`")).alias(f.name) if f.dataType.typeName() in ("double", "float") else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("value"))
+
+
+def append_records(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON behind those that the folder has."""
+    records(df).write.mode("append").text(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """The one row of df as indented JSON."""
+    row = only_row(df)
+    clean = df.sparkSession.createDataFrame([row], df.schema)
+    pretty = clean.select(F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"}).alias("value"))
+    pretty.coalesce(1).write.mode("errorifexists").text(path)
+
+
+def write_grid(fits: DataFrame, by: list[str], path: str) -> None:
+    """Trial cells and their chi-square as a long table, a folder for each group."""
+    fits.select(*by, "cell", "duration", "offset", "chi2").write.partitionBy(*by).mode("errorifexists").parquet(path)
+
+
+def published(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that are shown, under their public names, in the order given; an error if one lacks."""
+    lacking = [c for c in names if c not in df.columns]
+    if lacking:
+        raise ValueError(f"columns lack: {', '.join(lacking)}")
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])

@@ -2,6 +2,8 @@
 
 import math
 import random
+from datetime import datetime, timedelta
+from zoneinfo import ZoneInfo
 
 import numpy as np
 import pytest
@@ -310,3 +312,49 @@ def test_exact_overlap(spark):
     px = pixels.pixels(spark.createDataFrame([(1, sky)], "i int, p array<double>"), ["i"], "p", 101)
     got = pixels.exact_aperture(px, ["i"], 101, 101, 50.0, 50.0, 5.0, 10.0, 20.0).first()
     assert math.isclose(got.flux, 1000, rel_tol=1e-9) and got.background == 100
+
+
+def test_representative_rows(spark):
+    rng, data = random.Random(8), []
+    for g, n in enumerate([4, 5, 6, 9, 13, 30, 60, 200]):
+        data += [(g, 10 * i, rng.choice([1.0, 1.5, 2.0]) + i * 1e-3 * (g % 2)) for i in range(n)]
+    got = {}
+    for r in windows.representative_rows(spark.createDataFrame(data, "g int, frame int, airmass double"), ["g"], "frame", "airmass").collect():
+        assert r.frame == 10 * r.row
+        got.setdefault(r.g, {})[r.role] = r.row
+    want = {}
+    for g in range(1, 8):
+        air = [a for h, _, a in data if h == g]
+        n, m, used = len(air), air.index(min(air)), []
+        for i in (0, n // 2, max(0, m - 12), min(n - 1, m + 12), n - 1):
+            used.append(min((j for j in range(n) if j not in used), key=lambda j: (abs(j - i), j)))
+        want[g] = dict(zip(windows.ROLES, used, strict=True))
+    assert got == want
+
+
+def test_zones_and_daylight_saving(spark):
+    cases = [(1, "2022-07-22", 1200, 1410, 15), (2, "2022-01-10", 1200, 15, 90), (3, "2022-11-05", 1200, 30, 180), (4, "2022-07-22", 1200, 1300, 1250)]
+    df = spark.createDataFrame(cases, "k int, d string, s int, i int, e int").withColumn("d", F.to_date("d"))
+    got = {(r.k, r.zone): r for r in X.interpreted(df, "d", "s", "i", "e", ["America/New_York", "UTC"]).collect()}
+    for k, day, start, i, e in cases:
+        for zone in ("America/New_York", "UTC"):
+            at = [(datetime.fromisoformat(day) + timedelta(days=int(m < start), minutes=m)).replace(tzinfo=ZoneInfo(zone)).timestamp() for m in (i, e)]
+            r = got[k, zone]
+            assert (r.ingress, r.egress, r.midpoint, r.duration, r.in_order) == (*at, sum(at) / 2, at[1] - at[0], at[0] < at[1])
+
+
+def test_flat_field(spark):
+    rng = np.random.default_rng(4)
+    yy, xx = np.mgrid[:12, :16]
+    true = 1 + 0.1 * rng.normal(size=(12, 16)).clip(-2, 2)
+    dark = np.full((12, 16), 10.0)
+    flats = [(k, (dark + (5000 + 300 * k) * (1 + 0.01 * k * (xx - 7.5)) * true).ravel().tolist()) for k in range(5)]
+    raw = pixels.pixels(spark.createDataFrame(flats, "k int, p array<double>"), ["k"], "p", 16)
+    base = pixels.pixels(spark.createDataFrame([(0, dark.ravel().tolist())], "k int, p array<double>"), ["k"], "p", 16).drop("k")
+    got = np.zeros((12, 16))
+    for r in pixels.flat_field(raw, base, "k", 12, 16).collect():
+        got[r.y, r.x] = r.value
+    assert abs(got.mean() - 1) < 1e-9 and np.abs(got - true / true.mean()).max() < 0.06
+    plain = pixels.frame_summary(raw, ["k"], 4, 5000.0, 4000.0).filter("k = 0").first()
+    first = np.array(flats[0][1])
+    assert (plain.thumbnail, plain.saturated, plain.low) == (12, (first >= 5000).mean(), (first < 4000).mean())

@@ -1,8 +1,12 @@
+import json
+import math
+import zipfile
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skylathe.sources import fits, text
+from skylathe.sources import archives, fits, text
 from skylathe.streaming import frames
 
 
@@ -103,3 +107,76 @@ def test_data_sums(spark, tmp_path):
     (tmp_path / "c.fits").write_bytes(fits.written_header({k: v for k, v in cards.items() if k != "DATASUM"}) + data)
     assert [r.data_ok for r in fits.verified(spark, str(tmp_path)).orderBy("path").collect()] == [True, False, None]
     assert fits.ones_complement(b"\xff" * 8) == 0xFFFFFFFF
+
+
+def curve_file(sector: int, n: int, scale: float, cube: bool = False) -> bytes:
+    kind = [("t", ">f8"), ("c", ">i4"), ("q", ">i4")] + ([("f", ">f4", (6,)), ("e", ">f4", (6,))] if cube else [("f", ">f4"), ("e", ">f4")])
+    rows = np.zeros(n, np.dtype(kind))
+    rows["t"], rows["c"] = 100 + np.arange(n) / 10, np.arange(n)
+    base = scale * (1 + 0.01 * (np.arange(n) % 3 - 1))
+    rows["f"] = base[:, None] + np.arange(6) if cube else base
+    rows["e"] = scale * 0.001
+    if n > 5:
+        rows["q"][3], rows["t"][5] = 4, np.nan
+    forms = {"TIME": "D", "CADENCENO": "J", "QUALITY": "J", "FLUX": "6E" if cube else "E", "FLUX_ERR": "6E" if cube else "E"}
+    cards = {"XTENSION": "BINTABLE", "BITPIX": 8, "NAXIS": 2, "NAXIS1": rows.dtype.itemsize, "NAXIS2": n, "PCOUNT": 0, "GCOUNT": 1, "TFIELDS": 5, "BJDREFI": 2457000, "BJDREFF": 0.25, "CROWDSAP": 0.9}
+    for i, (name, form) in enumerate(forms.items(), 1):
+        cards |= {f"TTYPE{i}": name, f"TFORM{i}": form}
+    return fits.written_header({"SIMPLE": True, "BITPIX": 8, "NAXIS": 0, "SECTOR": sector}) + fits.written_header(cards) + block(rows.tobytes())
+
+
+def test_light_curves_and_cubes(spark, tmp_path):
+    for k, n in ((1, 40), (2, 30), (3, 10)):
+        (tmp_path / f"s{k}.fits").write_bytes(curve_file(k, n, 50.0 * k))
+    rows = fits.read_light_curves(spark, str(tmp_path), "FLUX", "FLUX_ERR").collect()
+    assert {r.sector for r in rows} == {1, 2} and len(rows) == 70  # the third is too short
+    assert {r.crowdsap for r in rows} == {0.9} and {r.flfrcsap for r in rows} == {None}
+    for r in rows:
+        assert r.time is None or abs((r.time - 2457100.25) * 10 % 1 - 0.5) > 0.49
+        assert abs(r.flux - 1) < 0.011 and math.isclose(r.flux_error, 0.001, rel_tol=1e-5)
+    assert sum(not r.good for r in rows) == 4
+    (tmp_path / "cube").mkdir()
+    (tmp_path / "cube" / "c.fits").write_bytes(curve_file(4, 3, 10.0, cube=True))
+    px = fits.read_pixel_cubes(spark, str(tmp_path / "cube"), 3).collect()
+    assert len(px) == 18 and {(r.y, r.x) for r in px} == {(y, x) for y in range(2) for x in range(3)}
+    assert all(math.isclose(r.value, 10 * (1 + 0.01 * (r.cadence % 3 - 1)) + r.y * 3 + r.x, rel_tol=1e-6) for r in px)
+
+
+def test_archives(spark, tmp_path):
+    image = np.arange(20, dtype=">f4").reshape(4, 5)
+    head = fits.written_header({"SIMPLE": True, "BITPIX": -32, "NAXIS": 2, "NAXIS1": 5, "NAXIS2": 4, "EXPTIME": 50.0} | {f"K{i}": i for i in range(700)})
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("night/TOI_Light_R_0007.fits", head + block(image.tobytes()))
+        z.writestr("night/x_dark_50s_3.fits", head + block((image + 1).tobytes()))
+        z.writestr("readme.txt", "no frame")
+    listed = {r.member: r for r in archives.members(spark, str(tmp_path)).collect()}
+    assert [(r.kind, r.sequence) for _, r in sorted(listed.items())] == [("science", 7), ("dark", 3), (None, None)]
+    with zipfile.ZipFile(tmp_path / "a.zip") as z:
+        assert all((listed[i.filename].crc, listed[i.filename].size) == (i.CRC, i.file_size) for i in z.infolist())
+    heads = archives.member_headers(spark, str(tmp_path)).collect()
+    assert len(heads) == 2 and all(r.header["EXPTIME"] == "50.0" and r.header["K699"] == "699" for r in heads)
+    tiles = archives.member_images(spark, str(tmp_path), tile=4).filter("member like '%Light%'").orderBy("tile_x").collect()
+    assert [(r.height, r.width) for r in tiles] == [(4, 4), (4, 1)] and tiles[1].pixels == [4.0, 9.0, 14.0, 19.0]
+
+
+def test_delimited_and_sinks(spark, tmp_path):
+    (tmp_path / "t.tbl").write_text("name\tx\na\t1.5\nb\tNaN\nc\t\n")
+    rows = text.delimited(spark, str(tmp_path / "t.tbl"), "name string, x double").orderBy("name")
+    assert [tuple(r) for r in rows.collect()] == [("a", 1.5), ("b", None), ("c", None)]
+    odd = spark.createDataFrame([("a", float("nan"), 1), ("b", float("inf"), None), ("c", 2.0, 3)], "k string, x double, n int")
+    assert [json.loads(r.value) for r in text.records(odd.orderBy("k")).collect()] == [{"k": "a", "x": None, "n": 1}, {"k": "b", "x": None, "n": None}, {"k": "c", "x": 2.0, "n": 3}]
+    text.append_records(odd.limit(1), str(tmp_path / "log"))
+    text.append_records(odd.filter("k = 'c'"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    text.write_summary(odd.filter("k = 'c'"), str(tmp_path / "summary"))
+    body = "".join(p.read_text() for p in (tmp_path / "summary").glob("part-*"))
+    assert json.loads(body) == {"k": "c", "x": 2.0, "n": 3} and "\n" in body.strip()
+    with pytest.raises(ValueError):
+        text.write_summary(odd, str(tmp_path / "many"))
+    grid = spark.createDataFrame([(1, 0, 0.1, 0.0, 5.0, 9.9), (2, 1, 0.2, 0.1, 6.0, 9.9)], "sector int, cell int, duration double, offset double, chi2 double, depth double")
+    text.write_grid(grid, ["sector"], str(tmp_path / "grid"))
+    back = spark.read.parquet(str(tmp_path / "grid"))
+    assert set(back.columns) == {"sector", "cell", "duration", "offset", "chi2"} and back.filter("sector = 2").first().chi2 == 6.0
+    assert text.published(odd, {"n": "Count", "k": "Name"}).columns == ["Count", "Name"]
+    with pytest.raises(ValueError):
+        text.published(odd, {"lost": "Lost"})
