@@ -16,7 +16,7 @@ from skylathe.llm.common import shared_folder, table
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the trees score below 0.5."""
+    """Documents that the trees score below 0.5; null and empty texts are scored like texts without words."""
     return toxicity.accepted(docs, table(spark, sf_dir, "labels"))
 
 
@@ -26,18 +26,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, edited copies included."""
+    """One document of each group of near-duplicates, edited copies included. Texts without words are one
+    group; of rows that repeat a doc_id one stays, rows without doc_id all stay."""
     return neardocs.one_of_each(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item."""
+    """Documents that share no window with a benchmark item; null and empty texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: a row for each epoch of each document taken, with its domain."""
-    return mixing.mixture(docs).withColumnsRenamed({"__domain": "domain", "__epoch": "epoch"})
+    """The mixture: a row for each epoch of each document taken, with its domain. Columns named domain or
+    epoch that docs has already give way."""
+    return mixing.mixture(docs.drop("domain", "epoch")).withColumnsRenamed({"__domain": "domain", "__epoch": "epoch"})
 
 
 STAGES = [
