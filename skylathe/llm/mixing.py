@@ -9,8 +9,9 @@ capacity over weight, the full ones come first.
 
 A leaf runs through its documents in seeded orders, one an epoch: all of the full epochs, and of the
 next the longest prefix whose tokens fit. Where that prefix ends is found by sums over 4096 ranges
-of the order and, within one range, over documents, so no leaf has to be sorted in one task; the end
-is a single value a leaf, and documents are chosen by comparing with it.
+of the order, over 4096 within one of them, and within one of these over documents, so no leaf has to
+be sorted in one task (of 10^10 documents 600 are); the end is a single value a leaf, and documents
+are chosen by comparing with it.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SHARE, EPOCHS, SEED = 0.6, 3, "mix-1"
 #: Weights by value for each level of the tree; other values have 1.
 WEIGHTS = {"domain": {"web": 3.0, "books": 1.0}, "lang": {"en": 1.0, "de": 2.0, "fr": 2.0, "es": 4.0}, "source": {"src0": 2.0, "src1": 0.5}}
 LEVELS = ("domain", "lang", "source")
+#: Hexadecimal digits of a place that name its range, coarse and fine.
+RANGES = (3, 6)
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -95,17 +98,19 @@ def leaf_plan(docs: DataFrame, doc_id: Column, levels: dict[str, Column], text:
     for c in LEVELS:
         on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
     ids = ids.join(hinted(named, 100), on).select(*LEVELS, "n", "rest", place(F.col("name"), F.col("whole"), seed).alias("place"))
-    ids = ids.withColumn("part", F.substring("place", 1, 3))
-    parts = ids.groupBy(*LEVELS, "part", "rest").agg(F.sum("n").alias("n"), F.max("place").alias("end"))
-    up_to = F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("part"))
-    parts = checkpointed(parts.withColumn("up_to", up_to))
-    fits = parts.filter("up_to <= rest").groupBy(*LEVELS).agg(F.max("end").alias("end"))
-    cut = parts.filter("up_to > rest").groupBy(*LEVELS).agg(F.min(F.struct("part", (F.col("up_to") - F.col("n")).alias("before"))).alias("cut"))
-    cut = cut.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("cut.part").alias("_part"), F.col("cut.before").alias("before"))
-    inner = ids.join(hinted(cut, 100), on & (F.col("part") == F.col("_part")))
-    inner = inner.withColumn("up_to", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place")))
-    inner = inner.filter("up_to <= rest").groupBy(*LEVELS).agg(F.max("place").alias("end"))
-    ends = fits.unionByName(inner).groupBy(*LEVELS).agg(F.max("end").alias("last"))
+    ids, found = ids.withColumn("before", F.lit(0).cast("long")), []
+    for digits in RANGES:
+        parts = ids.groupBy(*LEVELS, F.substring("place", 1, digits).alias("part"), "rest", "before").agg(F.sum("n").alias("n"), F.max("place").alias("end"))
+        parts = checkpointed(parts.withColumn("up_to", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("part"))))
+        found.append(parts.filter("up_to <= rest").groupBy(*LEVELS).agg(F.max("end").alias("end")))
+        cut = parts.filter("up_to > rest").groupBy(*LEVELS).agg(F.min(F.struct("part", (F.col("up_to") - F.col("n")).alias("before"))).alias("cut"))
+        cut = cut.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], F.col("cut.part").alias("_part"), F.col("cut.before").alias("before"))
+        ids = ids.drop("before").join(hinted(cut, 100), on & (F.substring("place", 1, digits) == F.col("_part"))).drop(*[f"_{c}" for c in LEVELS], "_part")
+    inner = ids.withColumn("up_to", F.col("before") + F.sum("n").over(Window.partitionBy(*LEVELS).orderBy("place")))
+    ends = inner.filter("up_to <= rest").groupBy(*LEVELS).agg(F.max("place").alias("end"))
+    for part in found:
+        ends = ends.unionByName(part)
+    ends = ends.groupBy(*LEVELS).agg(F.max("end").alias("last"))
     ends = ends.select(*[F.col(c).alias(f"_{c}") for c in LEVELS], "last")
     return leaves.join(ends, on, "left").select(*LEVELS, "tokens", "budget", "whole", F.coalesce("last", F.lit("")).alias("last"))
 
