@@ -25,6 +25,10 @@ from .common import checkpointed
 
 #: Largest bucket of variants that is paired directly.
 BUCKET_PAIRS = 16
+#: Fingerprints of a task that makes variants (64 rows each), whatever the bytes that go in.
+_A_TASK = 1 << 14
+#: A fingerprint of more than this part of all rows is joined by broadcast; there are fewer than its inverse.
+_HOT = 1 / 10_000
 #: Shingles whose bits are counted at once.
 _BLOCK = 1 << 16
 
@@ -70,7 +74,8 @@ def _variants(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """a, b (a < b): all pairs of the distinct fingerprints `fp` within two bits, or a set of such
     pairs that connects the same fingerprints where a bucket is too full to be paired."""
-    variants = _variants(fps)
+    fps = checkpointed(fps)
+    variants = _variants(fps.repartition(max(1, -(-fps.count() // _A_TASK)), "fp"))
     buckets = checkpointed(
         variants.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
@@ -137,7 +142,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     hashed = [F.xxhash64(text).alias("h")] if also is not None else []
     fps = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), *hashed, _fingerprints(F.col(text)).alias("fp")))
-    groups = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    groups = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")))
     edges = links(groups.select("fp"))
     if also is not None:
         of = fps.groupBy("h").agg(F.min("fp").alias("fp"))
@@ -147,9 +152,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     labelled = checkpointed(groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left"))
     linked = labelled.filter(F.col("root").isNotNull())
     joined = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = linked.join(joined, "root").select("fp", "component_id")
-    label = label.unionByName(labelled.filter(F.col("root").isNull()).select("fp", F.col("least").alias("component_id")))
-    return fps.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = linked.join(joined, "root").select("fp", "rows", "component_id")
+    label = checkpointed(label.unionByName(labelled.filter(F.col("root").isNull()).select("fp", "rows", F.col("least").alias("component_id"))))
+    many = F.col("rows") > fps.count() * _HOT
+    hot, rest = label.filter(many).select("fp", "component_id"), label.filter(~many).select("fp", "component_id")
+    told = fps.join(F.broadcast(hot), "fp").unionByName(fps.join(F.broadcast(hot), "fp", "left_anti").join(rest, "fp"))
+    return told.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", also: DataFrame | None = None) -> DataFrame:
