@@ -95,14 +95,24 @@ def predicted(df: DataFrame, cycle: Column) -> DataFrame:
     return df.withColumn("time", F.col("t0") + e * F.col("period")).withColumn("time_error", F.sqrt(F.col("var_t0") + e * e * F.col("var_period") + 2 * e * F.col("cov")))
 
 
-def quadratic_baseline(df: DataFrame, by: list[str], x: str, y: str, least: int = 20, out: str = "baseline") -> DataFrame:
-    """df with the unweighted quadratic in x fitted to each group; null for groups of fewer than `least`.
+def quadratic_baseline(df: DataFrame, by: list[str], x: str, y: str, least: int = 20, out: str = "baseline", used: Column | None = None) -> DataFrame:
+    """df with the unweighted quadratic in x fitted to each group, to its used rows if a condition is
+    given; null for groups of fewer than `least` of these.
 
     Powers are made orthogonal one after the other within the group.
     """
     kin = Window.partitionBy(*by)
-    mean, total = (lambda e: F.avg(e).over(kin)), (lambda e: F.sum(e).over(kin))
+    own = (lambda e: F.when(used, e)) if used is not None else (lambda e: e)
+    mean, total = (lambda e: F.avg(own(e)).over(kin)), (lambda e: F.sum(own(e)).over(kin))
     rows = df.withColumn("_u", F.col(x) - mean(F.col(x))).withColumn("_q", F.col("_u") * F.col("_u"))
     rows = rows.withColumn("_v", F.col("_q") - mean(F.col("_q")) - F.col("_u") * F.try_divide(total(F.col("_q") * F.col("_u")), total(F.col("_q"))))
     fit = mean(F.col(y)) + F.col("_u") * F.try_divide(total(F.col("_u") * F.col(y)), total(F.col("_u") * F.col("_u"))) + F.col("_v") * F.try_divide(total(F.col("_v") * F.col(y)), total(F.col("_v") * F.col("_v")))
-    return rows.withColumn(out, F.when(F.count("*").over(kin) >= least, fit)).drop("_u", "_q", "_v")
+    return rows.withColumn(out, F.when(F.count(own(F.lit(1))).over(kin) >= least, fit)).drop("_u", "_q", "_v")
+
+
+def local_depth(df: DataFrame, by: list[str], x: str, y: str, used: Column, inside: Column, least: int = 20) -> DataFrame:
+    """by, n (used rows), depth_ppm (1 less the median inside, over a quadratic through the used rows)
+    and scatter_ppm (population deviation of these)."""
+    rows = quadratic_baseline(df, by, x, y, least, "_b", used).filter("_b is not null").withColumn("_f", F.try_divide(F.col(y), F.col("_b")))
+    depth = (1 - F.percentile(F.when(inside, F.col("_f")), 0.5)) * 1e6
+    return rows.groupBy(*by).agg(F.count_if(used).alias("n"), depth.alias("depth_ppm"), (F.stddev_pop(F.when(used, F.col("_f"))) * 1e6).alias("scatter_ppm"))

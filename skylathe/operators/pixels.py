@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylathe.functions.expr import MAD_SCALE
+from skylathe.operators.cuts import cut
 from skylathe.operators.stats import mad_raw, median
 
 
@@ -171,12 +172,13 @@ def plane(px: DataFrame, by: list[str], height: int, width: int, rounds: int = 3
     ends = rows.groupBy(*by).agg(F.count("*").alias("known"), F.percentile("z", tails).alias("low"), F.percentile("z", 1 - tails).alias("high")).filter(F.col("known") >= least)
     rows = rows.join(ends, by).select(*by, "u", "v", "z", F.col("z").between(F.col("low"), F.col("high")).alias("use"))
     fit = None
-    for _ in range(rounds):
+    for _ in range(rounds):  # each round is cut, or the next would compute it anew three times over
         fit = _plane_fit(rows.filter("use"), by)
         res = rows.join(fit, by).withColumn("e", F.col("z") - F.col("level") - F.col("slope_x") * F.col("u") - F.col("slope_y") * F.col("v"))
         spread = mad_raw(res.filter("use"), by, F.col("e")).select(*by, "mad")
         # without spread the fit is final
         rows = res.join(spread, by).withColumn("use", F.when(F.col("mad") > 0, F.abs("e") <= F.col("mad") * sigmas).otherwise(F.col("use"))).select(*by, "u", "v", "z", "use")
+        fit, rows = cut(fit), cut(rows)
     return fit.join(rows.groupBy(*by).agg(F.count_if("use").alias("n")), by)
 
 

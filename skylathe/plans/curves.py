@@ -79,11 +79,11 @@ def robust_z_flags(spark, d):
     return rows.select("event_id", r("z", 8), why.alias("reasons"))
 
 
-@query(f"with {CURVES} select sector, round(quantile_cont(flux, 0.16), 6) as low, round(quantile_cont(flux, 0.84), 6) as high, round(median(flux), 6) as middle, round(stddev_samp(flux), 6) as spread, round(avg(case when good then 1 else 0 end), 6) as share from lcg group by sector")
+@query(f"with {CURVES} select series, round(quantile_cont(flux, 0.16), 6) as low, round(quantile_cont(flux, 0.84), 6) as high, round(median(flux), 6) as middle, round(stddev_samp(flux), 6) as spread, round(avg(case when good then 1 else 0 end), 6) as share from lcg group by series")
 def group_quantiles(spark, d):
     f = F.col("flux")
-    out = curves(spark, d).groupBy("sector").agg(F.percentile(f, 0.16).alias("low"), F.percentile(f, 0.84).alias("high"), stats.median(f).alias("middle"), F.stddev_samp(f).alias("spread"), F.avg(F.col("good").cast("int")).alias("share"))
-    return out.select("sector", r("low"), r("high"), r("middle"), r("spread"), r("share"))
+    out = curves(spark, d).groupBy("series").agg(F.percentile(f, 0.16).alias("low"), F.percentile(f, 0.84).alias("high"), stats.median(f).alias("middle"), F.stddev_samp(f).alias("spread"), F.avg(F.col("good").cast("int")).alias("share"))
+    return out.select("series", r("low"), r("high"), r("middle"), r("spread"), r("share"))
 
 
 @query(f"with {CURVES} select sector, quality, count(*) as n from lcg group by sector, quality")
@@ -117,14 +117,14 @@ def phase_bins(spark, d):
     return out.join(single, ["sector", "bin"]).select("sector", "bin", r("x", 8), r("y", 8), F.round(F.when(F.col("n") == 1, F.col("e")).otherwise(F.col("error")), 8).alias("error"), "n")
 
 
-@query(f"""with {PHASED}, single as (select sector, 1.4826::double * median(abs(flux - m)) as s from (select sector, flux, median(flux) over (partition by sector) as m from ph) group by sector),
-b as (select sector, width, cast(floor((t - f) / width) as bigint) as bin, avg(flux) as m, count(*) as p from (select *, min(t) over (partition by sector) as f from ph), (select unnest([0.1::double, 0.25, 0.5, 1.0]) as width) group by all having count(*) >= 2),
-q as (select *, median(m) over (partition by sector, width) as mm from b)
-select q.sector as sector, width, count(*) as bins, round(median(p), 6) as points, round(1.4826::double * median(abs(m - mm)), 6) as measured, round(any_value(s) / sqrt(median(p)), 6) as white, round(1.4826::double * median(abs(m - mm)) / (any_value(s) / sqrt(median(p))), 6) as beta
-from q join single on q.sector = single.sector group by q.sector, width having count(*) >= 3""")
+@query(f"""with {PHASED}, single as (select series, 1.4826::double * median(abs(flux - m)) as s from (select series, flux, median(flux) over (partition by series) as m from ph) group by series),
+b as (select series, width, cast(floor((t - f) / width) as bigint) as bin, avg(flux) as m, count(*) as p from (select *, min(t) over (partition by series) as f from ph), (select unnest([1.0::double, 2.0, 3.0, 5.0]) as width) group by all having count(*) >= 2),
+q as (select *, median(m) over (partition by series, width) as mm from b)
+select q.series as series, width, count(*) as bins, round(median(p), 6) as points, round(1.4826::double * median(abs(m - mm)), 8) as measured, round(any_value(s) / sqrt(median(p)), 8) as white, round(1.4826::double * median(abs(m - mm)) / (any_value(s) / sqrt(median(p))), 8) as beta
+from q join single on q.series = single.series group by q.series, width having count(*) >= 3""")
 def noise_vs_bin(spark, d):
-    out = grids.noise_by_bin(phased(spark, d), ["sector"], "t", "flux", [0.1, 0.25, 0.5, 1.0])
-    return out.select("sector", "width", "bins", r("points"), r("measured"), r("white"), r("beta"))
+    out = grids.noise_by_bin(phased(spark, d), ["series"], "t", "flux", [1.0, 2.0, 3.0, 5.0])
+    return out.select("series", "width", "bins", r("points"), r("measured", 8), r("white", 8), r("beta", 8))
 
 
 @query(f"with {CURVES} select event_id, case when count(flux) over w >= 5 then round(quantile_cont(flux, 0.5) over w, 6) end as moving from lcg where good window w as (partition by series order by us range between 86400000000 preceding and 86400000000 following)")

@@ -136,21 +136,28 @@ def _quad(key: str) -> str:
     return _QUAD.replace("v as (partition by {k}), ", "").replace("{v}", v)
 
 
-@query(f"""with {PHASED}, g as (select *, case when t - lag(t) over (partition by sector order by t, event_id) > 0.03 then 1 else 0 end as g from ph where abs(phase) > {1.5 * DURATION / 2}::double),
-src as (select *, cast(sum(g) over (partition by sector order by t, event_id rows unbounded preceding) as bigint) as section from g), {_quad('sector, section')} select event_id, section, round(flux / baseline, 6) as flat from b where baseline is not null""")
+@query(f"""with {PHASED}, g as (select *, case when t - lag(t) over (partition by series order by t, event_id) > 1.5 then 1 else 0 end as g from ph where abs(phase) > {1.5 * DURATION / 2}::double),
+src as (select *, cast(sum(g) over (partition by series order by t, event_id rows unbounded preceding) as bigint) as section from g), {_quad('series, section')} select event_id, section, round(flux / baseline, 6) as flat from b where baseline is not null""")
 def segment_detrend(spark, d):
     from skylathe.operators.windows import sections
 
-    rows = sections(phased(spark, d).filter(F.abs("phase") > 1.5 * DURATION / 2), ["sector"], "t", 0.03, "event_id")
-    out = fits.quadratic_baseline(rows, ["sector", "section"], "t", "flux").filter("baseline is not null")
+    rows = sections(phased(spark, d).filter(F.abs("phase") > 1.5 * DURATION / 2), ["series"], "t", 1.5, "event_id")
+    out = fits.quadratic_baseline(rows, ["series", "section"], "t", "flux").filter("baseline is not null")
     return out.select("event_id", "section", F.round(F.try_divide("flux", "baseline"), 6).alias("flat"))
 
 
-@query(f"""with {PHASED}, src as (select *, phase as t0 from ph where abs(phase) between 0.35 and 1.3), {_quad('sector, cycle')} select sector, cycle, count(*) as n, round(stddev_pop(flux / baseline), 6) as scatter from b where baseline is not null group by sector, cycle""")
+_USED = "abs(phase) >= 0.35"
+
+
+@query(f"""with {PHASED}, src as (select *, {_USED} as used from ph where abs(phase) <= 1.3), u as (select *, t - avg(t) filter (where used) over v as u from src window v as (partition by sector, cycle)), q as (select *, u * u as q from u),
+o as (select *, q - avg(q) filter (where used) over v - u * (sum(q * u) filter (where used) over v / nullif(sum(q) filter (where used) over v, 0)) as o from q window v as (partition by sector, cycle)),
+b as (select *, flux / (avg(flux) filter (where used) over v + u * (sum(u * flux) filter (where used) over v / nullif(sum(u * u) filter (where used) over v, 0)) + o * (sum(o * flux) filter (where used) over v / nullif(sum(o * o) filter (where used) over v, 0))) as flat, count(*) filter (where used) over v as m from o window v as (partition by sector, cycle))
+select sector, cycle, count(case when used then 1 end) as n, round((1 - median(case when abs(phase) <= {DURATION / 2}::double then flat end)) * 1e6::double, 4) as depth_ppm, round(stddev_pop(case when used then flat end) * 1e6::double, 4) as scatter_ppm from b where m >= 20 group by sector, cycle""")
 def local_quadratic(spark, d):
-    rows = phased(spark, d).filter(F.abs("phase").between(0.35, 1.3))
-    out = fits.quadratic_baseline(rows, ["sector", "cycle"], "t", "flux").filter("baseline is not null")
-    return out.groupBy("sector", "cycle").agg(F.count("*").alias("n"), F.round(F.stddev_pop(F.try_divide("flux", "baseline")), 6).alias("scatter"))
+    used = F.abs("phase") >= 0.35
+    rows = phased(spark, d).filter(F.abs("phase") <= 1.3)
+    out = fits.local_depth(rows, ["sector", "cycle"], "t", "flux", used, F.abs("phase") <= DURATION / 2)
+    return out.select("sector", "cycle", "n", r("depth_ppm", 4), r("scatter_ppm", 4))
 
 
 _PERIODS = [1.5 + 0.15 * i for i in range(20)]

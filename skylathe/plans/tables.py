@@ -39,13 +39,13 @@ def corr_guarded(spark, d):
     return phot(spark, d).groupBy("star").agg(c("airmass").alias("by_airmass"), c("fwhm").alias("by_fwhm"))
 
 
-@query("""with s as (select l_returnflag, l_extendedprice as x from lineitem where l_orderkey % 8 = 0), m as (select *, median(x) over (partition by l_returnflag) as m from s)
-select l_returnflag, round(avg(x), 4) as mean, round(any_value(m), 4) as median, round(1.4826::double * median(abs(x - m)), 6) as mad, round(quantile_cont(x, 0.01), 6) as p01, round(quantile_cont(x, 0.99), 6) as p99, min(x) as low, max(x) as high, count(*) as n from m group by l_returnflag""")
+@query("""with s as (select l_suppkey, l_extendedprice as x from lineitem where l_orderkey % 8 = 0), m as (select *, median(x) over (partition by l_suppkey) as m from s)
+select l_suppkey, round(avg(x), 4) as mean, round(any_value(m), 4) as median, round(1.4826::double * median(abs(x - m)), 6) as mad, round(quantile_cont(x, 0.01), 6) as p01, round(quantile_cont(x, 0.99), 6) as p99, min(x) as low, max(x) as high, count(*) as n from m group by l_suppkey""")
 def sampled_stats(spark, d):
-    rows = table(spark, d, "lineitem").filter("l_orderkey % 8 = 0").select("l_returnflag", F.col("l_extendedprice").alias("x"))
-    rest = rows.groupBy("l_returnflag").agg(F.avg("x").alias("mean"), F.percentile("x", 0.01).alias("p01"), F.percentile("x", 0.99).alias("p99"), F.min("x").alias("low"), F.max("x").alias("high"))
-    out = stats.mad_raw(rows, ["l_returnflag"], F.col("x")).join(rest, "l_returnflag")
-    return out.select("l_returnflag", r("mean", 4), r("median", 4), r("mad"), r("p01"), r("p99"), "low", "high", "n")
+    rows = table(spark, d, "lineitem").filter("l_orderkey % 8 = 0").select("l_suppkey", F.col("l_extendedprice").alias("x"))
+    rest = rows.groupBy("l_suppkey").agg(F.avg("x").alias("mean"), F.percentile("x", 0.01).alias("p01"), F.percentile("x", 0.99).alias("p99"), F.min("x").alias("low"), F.max("x").alias("high"))
+    out = stats.mad_raw(rows, ["l_suppkey"], F.col("x")).join(rest, "l_suppkey")
+    return out.select("l_suppkey", r("mean", 4), r("median", 4), r("mad"), r("p01"), r("p99"), "low", "high", "n")
 
 
 @query(f"with {PHOTOMETRY} select star, round(sum(counts / (error * error)) / sum(1 / (error * error)), 4) as mean, round(sqrt(sum(error * error)), 6) as error from phot where error > 0 group by star")
