@@ -120,11 +120,11 @@ def phase_bins(spark, d):
 @query(f"""with {PHASED}, single as (select series, 1.4826::double * median(abs(flux - m)) as s from (select series, flux, median(flux) over (partition by series) as m from ph) group by series),
 b as (select series, width, cast(floor((t - f) / width) as bigint) as bin, avg(flux) as m, count(*) as p from (select *, min(t) over (partition by series) as f from ph), (select unnest([1.0::double, 2.0, 3.0, 5.0]) as width) group by all having count(*) >= 2),
 q as (select *, median(m) over (partition by series, width) as mm from b)
-select q.series as series, width, count(*) as bins, round(median(p), 6) as points, round(1.4826::double * median(abs(m - mm)), 8) as measured, round(any_value(s) / sqrt(median(p)), 8) as white, round(1.4826::double * median(abs(m - mm)) / (any_value(s) / sqrt(median(p))), 8) as beta
+select q.series as series, width, count(*) as bins, round(median(p), 6) as points, round(1.4826::double * median(abs(m - mm)), 10) as measured, round(any_value(s) / sqrt(median(p)), 10) as white, round(1.4826::double * median(abs(m - mm)) / (any_value(s) / sqrt(median(p))), 8) as beta
 from q join single on q.series = single.series group by q.series, width having count(*) >= 3""")
 def noise_vs_bin(spark, d):
     out = grids.noise_by_bin(phased(spark, d), ["series"], "t", "flux", [1.0, 2.0, 3.0, 5.0])
-    return out.select("series", "width", "bins", r("points"), r("measured", 8), r("white", 8), r("beta", 8))
+    return out.select("series", "width", "bins", r("points"), r("measured", 10), r("white", 10), r("beta", 8))
 
 
 @query(f"with {CURVES} select event_id, case when count(flux) over w >= 5 then round(quantile_cont(flux, 0.5) over w, 6) end as moving from lcg where good window w as (partition by series order by us range between 86400000000 preceding and 86400000000 following)")
