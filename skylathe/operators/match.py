@@ -43,13 +43,14 @@ def sky_pairs(left: DataFrame, right: DataFrame, pos: tuple[str, str], other: tu
     return a.join(b, ["_b", "_c"]).drop("_b", "_c").withColumn("separation", sep).filter(F.col("separation") <= radius)
 
 
-def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float) -> DataFrame:
-    """key, matches, nearest, separation: what lies within radius arcsec; keys without a match keep a
-    row. Ties go to the smaller name."""
+def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float, close: float | None = None) -> DataFrame:
+    """key, matches, nearest, separation, status: what lies within radius arcsec; keys without a match keep
+    a row. Ties go to the smaller name. status is matched, distant (further than `close`) or none."""
     pairs = sky_pairs(left, right, pos, other, [name], radius)
     best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"))
     out = left.select(key).join(best, key, "left")
-    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"))
+    status = F.when(F.col("m").isNull(), "none").when(F.col("m.separation") > (radius if close is None else close), "distant").otherwise("matched")
+    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"), status.alias("status"))
 
 
 def cone(df: DataFrame, pos: tuple[str, str], centre: tuple[float, float], radius: float) -> DataFrame:

@@ -33,3 +33,10 @@ def only_row(df: DataFrame) -> Row:
     if len(found) != 1:
         raise ValueError(f"one row was expected, {'none' if not found else 'several'} came")
     return found[0]
+
+
+def at_least(df: DataFrame, least: int, what: str = "rows") -> DataFrame:
+    """df; fails when it is read if it has fewer rows."""
+    n = df.agg(F.count("*").alias("_n"))
+    ok = F.when(F.col("_n") < least, F.raise_error(F.concat(F.lit(f"{least} {what} are needed, found "), F.col("_n").cast("string"))).cast("boolean")).otherwise(True)
+    return F.broadcast(n).join(df, F.lit(True), "left").filter(ok).select(*df.columns)

@@ -58,22 +58,28 @@ def baseline_removed(spark, d):
     return out.select("frame", "star", F.round("counts", 8).alias("counts"), F.round("corrected", 8).alias("corrected"))
 
 
-def _streamed(spark, d, make):
-    events = table(spark, d, "events")
+def _streamed(spark, d, make, name="events", mode="complete"):
+    source = table(spark, d, name)
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    stream = frames.arriving(spark, f"{d}/events.parque?", events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
-    frames.run_once(make(stream), f"{folder}/table", f"{folder}/state")
+    stream = frames.arriving(spark, f"{d}/{name}.parque?", source.schema)
+    frames.run_once(make(stream), f"{folder}/table", f"{folder}/state", mode)
     return spark.read.parquet(f"{folder}/table")
 
 
 @query("""select event_type, epoch_us(date_trunc('day', ts))::bigint as start_us, count(*) as n, round(avg(value), 6) as mean, min(value) as low, max(value) as high from events group by event_type, date_trunc('day', ts)""")
 def stream_time_bins(spark, d):
-    out = _streamed(spark, d, lambda s: frames.time_bins(s, "ts", ["event_type"], "value"))
+    out = _streamed(spark, d, lambda s: frames.time_bins(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value"))
     return out.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("mean", 6).alias("mean"), "low", "high")
 
 
 @query("""with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) >= interval 12 hours then 1 else 0 end as g from events),
 s as (select user_id, ts, sum(g) over (partition by user_id order by ts rows unbounded preceding) as s from g) select user_id, epoch_us(min(ts))::bigint as start_us, epoch_us(max(ts))::bigint + 43200000000 as end_us, count(*) as n from s group by user_id, s""")
 def stream_sessions(spark, d):
-    out = _streamed(spark, d, lambda s: frames.sessions(s, "ts", ["user_id"], late=None))
+    out = _streamed(spark, d, lambda s: frames.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["user_id"], late=None))
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
+
+
+@query("""select c_nationkey, c_custkey, last_value(case when c_acctbal > 5000 then c_acctbal end ignore nulls) over (partition by c_nationkey order by c_custkey rows between unbounded preceding and 1 preceding) as guess from customer""")
+def stream_previous_accepted(spark, d):
+    make = lambda s: frames.previous_accepted(s.select(F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", (F.col("c_acctbal") > 5000).alias("ok")), "c_nationkey", "c_custkey", "ok", "c_acctbal")
+    return _streamed(spark, d, make, "customer", "append").select("c_nationkey", "c_custkey", "guess")

@@ -72,14 +72,17 @@ def grid_box_fit(spark, d):
 best as (select * from (select *, row_number() over (partition by sector, cycle order by round(chi2, 9), cell) as k from fit) q where k = 1),
 near as (select fit.sector as sector, fit.cycle as cycle, min(fit.off) as lo, max(fit.off) as hi from fit join best on fit.sector = best.sector and fit.cycle = best.cycle where (fit.chi2 - best.chi2) / greatest(1, best.reduced) <= 1 group by fit.sector, fit.cycle)
 select best.sector as sector, best.cycle as cycle, round({T0}::double + best.cycle * {PERIOD}::double + off, 6) as time, case when hi > lo then round((hi - lo) / 2, 6) else 0.2 end as time_error, round(depth, 6) as depth, round(depth_error, 6) as depth_error,
-  abs(depth) / depth_error >= 2.5 and case when hi > lo then (hi - lo) / 2 else 0.2 end <= 0.25 as used from best join near on best.sector = near.sector and best.cycle = near.cycle""")
+  full_window and abs(depth) / depth_error >= 2.5 and case when hi > lo then (hi - lo) / 2 else 0.2 end <= 0.25 as used, full_window from best join near on best.sector = near.sector and best.cycle = near.cycle
+  join (select sector, cycle, min(phase) <= {-0.75 * WINDOW}::double and max(phase) >= {0.75 * WINDOW}::double as full_window from ({_NEAR}) z group by sector, cycle) w on best.sector = w.sector and best.cycle = w.cycle""")
 def event_times(spark, d):
     rows = phased(spark, d).filter(F.abs("phase") <= WINDOW)
     all_ = fits.box_fits(rows, ["sector", "cycle"], None, "phase", "flux", "error", fits.grid(spark, [DURATION], OFFSETS), CADENCE, least=6, least_in=3)
     out = fits.best_boxes(all_, ["sector", "cycle"], region=1.0)
     half = F.when(F.col("offset_high") > F.col("offset_low"), (F.col("offset_high") - F.col("offset_low")) / 2).otherwise(0.2)
-    used = (F.abs("depth") / F.col("depth_error") >= 2.5) & (half <= 0.25)
-    return out.select("sector", "cycle", F.round(F.col("cycle") * PERIOD + T0 + F.col("offset"), 6).alias("time"), F.round(half, 6).alias("time_error"), r("depth"), r("depth_error"), used.alias("used"))
+    reach = rows.groupBy("sector", "cycle").agg(((F.min("phase") <= -0.75 * WINDOW) & (F.max("phase") >= 0.75 * WINDOW)).alias("full_window"))
+    out = out.join(reach, ["sector", "cycle"])
+    used = F.col("full_window") & (F.abs("depth") / F.col("depth_error") >= 2.5) & (half <= 0.25)
+    return out.select("sector", "cycle", F.round(F.col("cycle") * PERIOD + T0 + F.col("offset"), 6).alias("time"), F.round(half, 6).alias("time_error"), r("depth"), r("depth_error"), used.alias("used"), "full_window")
 
 
 @query(f"""with {PHASED}, {_fit_sql('', 'series', 'select series, t - 19738.0::double as x, flux, error from ph', _cells([4.0], [0.0]), least_in=3, floor=False, x='x')} select series, round(depth, 6) as depth, round(depth_error, 6) as depth_error, round(reduced, 6) as reduced, n, n_in from fit""")

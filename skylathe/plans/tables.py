@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skylathe.functions import expr as X
-from skylathe.operators import match, photometry, pixels, selection, stats, windows
+from skylathe.operators import match, photometry, pixels, quality, selection, stats, windows
 
 from .driver_tables import PHOTOMETRY, table
 from .driver_tables import photometry as phot
@@ -119,7 +119,8 @@ _SUP = "select s_suppkey, (s_suppkey * 53 % 997)::double as x, (s_suppkey * 71 %
 @query(f"select s_suppkey, round(sqrt((x - 500) * (x - 500) + (y - 480) * (y - 480)), 6) as distance from ({_SUP}) s where sqrt((x - 500) * (x - 500) + (y - 480) * (y - 480)) > 5 order by s_acctbal desc, s_suppkey limit 20")
 def brightest_sources(spark, d):
     s = table(spark, d, "supplier").withColumn("distance", F.hypot((F.col("s_suppkey") * 53 % 997).cast("double") - 500.0, (F.col("s_suppkey") * 71 % 991).cast("double") - 480.0))
-    return s.filter("distance > 5").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20).select("s_suppkey", r("distance"))
+    best = s.filter("distance > 5").orderBy(F.desc("s_acctbal"), "s_suppkey").limit(20)
+    return quality.at_least(best, 1, "sources").select("s_suppkey", r("distance"))
 
 
 @query(f"with s as ({_SUP}) select a.s_suppkey as s_suppkey, b.s_suppkey as other, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) as distance from s a join s b on a.s_suppkey < b.s_suppkey and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 60")
@@ -135,11 +136,11 @@ _SEP = "degrees(asin(sqrt(greatest(0, least(1, pow(sin(radians(s.dec - c.dec) /
 @query(f"""with c as (select c_custkey, 150 + (c_custkey * 37 % 1009)::double / 500 as ra, 10 + (c_custkey * 91 % 1013)::double / 500 as dec from customer),
 s as (select s_suppkey, 150 + (s_suppkey * 53 % 1009)::double / 500 as ra, 10 + (s_suppkey * 71 % 1013)::double / 500 as dec from supplier),
 p as (select c_custkey, s_suppkey, {_SEP} as sep from c, s), n as (select c_custkey, count(*) as matches, min(sep) as sep, min_by(s_suppkey, sep) as nearest from p where sep <= 200 group by c_custkey)
-select c.c_custkey as c_custkey, coalesce(matches, 0) as matches, coalesce(nearest, -1) as nearest, round(sep, 5) as separation from c left join n on c.c_custkey = n.c_custkey""")
+select c.c_custkey as c_custkey, coalesce(matches, 0) as matches, coalesce(nearest, -1) as nearest, round(sep, 5) as separation, case when sep is null then 'none' when sep > 100 then 'distant' else 'matched' end as status from c left join n on c.c_custkey = n.c_custkey""")
 def sky_match(spark, d):
     at = lambda df, k, a, b: df.select(k, (F.lit(150) + (F.col(k) * a % 1009).cast("double") / 500).alias("ra"), (F.lit(10) + (F.col(k) * b % 1013).cast("double") / 500).alias("dec"))
-    out = match.sky_matches(at(table(spark, d, "customer"), "c_custkey", 37, 91), at(table(spark, d, "supplier"), "s_suppkey", 53, 71), "c_custkey", ("ra", "dec"), ("ra", "dec"), "s_suppkey", 200.0)
-    return out.select("c_custkey", "matches", F.coalesce("nearest", F.lit(-1)).alias("nearest"), r("separation", 5))
+    out = match.sky_matches(at(table(spark, d, "customer"), "c_custkey", 37, 91), at(table(spark, d, "supplier"), "s_suppkey", 53, 71), "c_custkey", ("ra", "dec"), ("ra", "dec"), "s_suppkey", 200.0, close=100.0)
+    return out.select("c_custkey", "matches", F.coalesce("nearest", F.lit(-1)).alias("nearest"), r("separation", 5), "status")
 
 
 @query("""select c_custkey, c_nationkey, c_acctbal from (select *, row_number() over (partition by case when c_mktsegment = 'MACHINERY' then 'n' || c_nationkey else c_mktsegment end order by c_acctbal desc, c_custkey) as k from customer) q where k = 1""")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def arriving(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -27,10 +31,31 @@ def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "12 hours", l
     return rows.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def previous_accepted(stream: DataFrame, key: str, order: str, accepted: str, value: str) -> DataFrame:
+    """key, order, guess: for each row the value of the last accepted row of its key before it, null where
+    there is none. Only that value is kept between batches; rows come in order from batch to batch,
+    and those of one batch are sorted. A row's key and order are longs, its value a double."""
+
+    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts)).sort_values(order)
+        guess = rows[value].where(rows[accepted].astype(bool)).ffill().shift()
+        last = state.get[0] if state.exists else None
+        if last is not None:
+            guess = guess.fillna(last)
+        seen = rows.loc[rows[accepted].astype(bool), value]
+        if len(seen):
+            state.update((float(seen.iloc[-1]),))
+        yield pd.DataFrame({key: keys[0], order: rows[order], "guess": guess.astype(object).where(guess.notna(), None)})
+
+    rows = stream.select(key, order, F.col(accepted), F.col(value).cast("double").alias(value))
+    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, guess double", "last double", "append", GroupStateTimeout.NoTimeout)
+
+
 def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:
-    """Run a stream over all that is there; each batch's result replaces the table at a path."""
+    """Run a stream over all that is there; in complete mode each batch's result replaces the table at a
+    path, in append mode each batch has a folder of its own there, which a repeated batch replaces."""
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(table)
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/batch={number}")
 
     result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

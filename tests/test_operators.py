@@ -265,7 +265,7 @@ def test_matches(spark):
     a = spark.createDataFrame([(1, 10.0, 0.0), (2, 20.0, 0.0)], "k int, ra double, dec double")
     b = spark.createDataFrame([(7, 10.0, 0.0005), (8, 10.0, 0.0002), (9, 10.0, 0.01)], "n int, ra double, dec double")
     got = rows(match.sky_matches(a, b, "k", ("ra", "dec"), ("ra", "dec"), "n", 3.0))
-    assert got[0][:3] == (1, 2, 8) and abs(got[0][3] - 0.72) < 1e-6 and got[1] == (2, 0, None, None)
+    assert got[0][:3] == (1, 2, 8) and abs(got[0][3] - 0.72) < 1e-6 and got[0][4] == "matched" and got[1] == (2, 0, None, None, "none")
     rng = random.Random(1)
     at = lambda k: [(i, rng.uniform(-0.01, 0.01) % 360, rng.choice([0.0, 45.0, -88.5, 89.9]) + rng.uniform(-0.01, 0.01)) for i in range(k)]
     u, v = at(120), at(300)
@@ -291,6 +291,10 @@ def test_quality(spark):
     assert rows(quality.differing(left, right, "k", {"v": 1e-6})) == [(2, "v", 2.0, 3.0)]
     with pytest.raises(ValueError):
         quality.only_row(df.filter("k = 2"))
+    assert quality.at_least(df, 3).count() == 3
+    for part in (df.limit(2), df.limit(0)):
+        with pytest.raises(Exception, match="3 frames are needed"):
+            quality.at_least(part, 3, "frames").collect()
 
 
 def test_strings(spark):

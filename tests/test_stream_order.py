@@ -1,5 +1,8 @@
 """Sessions over files that arrive in no order of time, in several batches."""
 
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from skylathe.plans import advanced
@@ -18,3 +21,24 @@ def test_sessions_of_late_files_are_those_of_the_table(spark, tmp_path, monkeypa
     want = want.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n").collect()
     assert sum(r.n for r in got) == 60
     assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_state_is_kept_between_batches(spark, tmp_path):
+    """Three files in order, one a batch: the last accepted value carries over."""
+    data = [(k, i, float(10 * i + k), i % 4 == k % 4) for i in range(30) for k in range(5)]
+    for part in range(3):
+        rows = [r for r in data if r[1] // 10 == part]
+        random.Random(part).shuffle(rows)
+        spark.createDataFrame(rows, "k long, i long, v double, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
+        time.sleep(1.1)  # files are taken by age
+    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
+    stream = frames.arriving(spark, f"{tmp_path}/in/*", schema, files_a_batch=1)
+    frames.run_once(frames.previous_accepted(stream, "k", "i", "ok", "v"), f"{tmp_path}/out", f"{tmp_path}/state", "append")
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert out.select("batch").distinct().count() == 3
+    want, last = {}, {}
+    for k, i, v, ok in data:
+        want[k, i] = last.get(k)
+        if ok:
+            last[k] = v
+    assert {(r.k, r.i): r.guess for r in out.collect()} == want
