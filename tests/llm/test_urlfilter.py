@@ -46,3 +46,20 @@ def test_bloom_filter_has_no_false_negatives_and_few_false_positives(spark):
         probe = probe.filter(F.col(f"w{j}").bitwiseAND(urlfilter._bit("entry", j)) != 0)
     assert probe.filter(F.col("id") < n).count() == n
     assert probe.filter(F.col("id") >= n).count() < 0.05 * 3 * n
+
+
+def test_a_long_list(spark):
+    """A hundred thousand entries, few of which any URL fits: the filter rules out nearly all lookups."""
+    rng = random.Random(4)
+    listed = [f"site{i}.example.net/" if i % 2 else f"host{i}.example.org/p{i}/" for i in range(100_000)]
+    urls = []
+    for i in range(1500):
+        k = rng.randrange(200_000)  # half of them beyond the list
+        urls.append((i, f"https://www.site{k}.example.net/x?y" if k % 2 else f"http://host{k}.example.org/p{rng.choice([k, k + 1])}/q"))
+    got = urlfilter.verdicts(spark.createDataFrame(urls, "page_id long, url string"), spark.createDataFrame(urlfilter.RULES, "host string, path string, verdict string"), spark.createDataFrame([(x,) for x in listed], "url string"))
+    on, want = set(listed), {}
+    for i, u in urls:
+        h, _, p = u.split("://")[1].partition("/")
+        parts = h.split(".")
+        want[i] = any(".".join(parts[j:]) + q in on for j in range(len(parts)) for q in ("/", "/" + p.split("/")[0] + "/"))
+    assert {r.page_id: r.listed for r in got.collect()} == want and 300 < sum(want.values()) < 1200
