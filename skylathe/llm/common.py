@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Broadcast limit for tables whose size the caller has counted (rows times bytes a row).
 BROADCAST_BYTES = 8 << 20
 
-#: Words of a sieve: 2 to this, 1 MB.
+#: Words of a sieve: 2 to this, 1 MB where the caller asks for no other size.
 _SIEVE_BITS = 17
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -44,18 +44,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def sieve(keys: DataFrame, key: str) -> Column:
-    """Words of a Bloom filter of the 64-bit hashes in a column, one bit each: an array of fixed size.
-    A test with in_sieve() has no false negatives, so it may thin out one side ahead of a join."""
-    word = F.shiftrightunsigned(key, 64 - _SIEVE_BITS)
-    words = keys.groupBy(word.alias("i")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 as int))")).alias("w"))
-    every = keys.sparkSession.range(1 << _SIEVE_BITS).withColumnRenamed("id", "i").join(words, "i", "left")
+def sieve(keys: DataFrame, key: str, size: int = _SIEVE_BITS) -> Column:
+    """Words of a Bloom filter of the 64-bit hashes in a column, one bit each: an array of fixed
+    size. A test with in_sieve() of the same size has no false negatives, so it may thin out one side ahead of a join."""
+    word = F.shiftrightunsigned(F.xxhash64(key), 64 - size)
+    words = keys.groupBy(word.alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col(key).bitwiseAND(F.lit(63)).cast("int"))).alias("w"))
+    every = keys.sparkSession.range(1 << size).withColumnRenamed("id", "i").join(words, "i", "left")
     return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", F.coalesce("w", F.lit(0)).alias("w")))), lambda x: x["w"]).alias("words")).scalar()
 
 
-def in_sieve(words: Column, key: Column) -> Column:
+def in_sieve(words: Column, key: Column, size: int = _SIEVE_BITS) -> Column:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), key.bitwiseAND(F.lit(63)).cast("int"))
-    return F.coalesce(F.get(words, F.shiftrightunsigned(key, 64 - _SIEVE_BITS).cast("int")).bitwiseAND(bit) != 0, F.lit(False))
+    return F.coalesce(F.get(words, F.shiftrightunsigned(F.xxhash64(key), 64 - size).cast("int")).bitwiseAND(bit) != 0, F.lit(False))
 
 
 def ascii_lower(text: Column) -> Column:

@@ -2,7 +2,9 @@
 
 A line's tokens are its distinct shingles of five words; a line of one to four words has one token, all
 its words. Tokens are ordered by rarity: a shingle is as rare as its first word, whose occurrences are
-counted over the whole corpus (in 8,192 hashed buckets), and rarer ones come first. Lines of one token
+counted over the whole corpus (in 8,192 hashed buckets), and rarer ones come first. Tokens that turn
+out to stand in many prefixes nevertheless, as those of a passage that many lines hold, go behind all
+others by their own count. Any order keeps the join exact; rarity keeps it small. Lines of one token
 set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only classes that share such a token are compared, under the length and
 the positional filter and a bitmap filter: every token flips one bit of its class's bitmap, so bitmaps
@@ -18,11 +20,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, in_sieve, sieve, small_enough, written
+from .common import checkpointed, hinted, in_sieve, sieve, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Buckets of words whose occurrences are counted: 2 to this.
 _BUCKET_BITS = 13
+#: Tokens in more prefixes than COMMON are moved behind all others, the COMMONEST of them at most.
+COMMON, COMMONEST = 256, 1 << 14
+#: Words of the sieve of shared tokens: 2 to this, 4 MB.
+_TOKEN_SIEVE = 19
 #: A token is one long: its rank above, its hash in the low bits.
 _HASH_BITS = 63 - _BUCKET_BITS
 
@@ -75,29 +81,60 @@ def _bitmap(longs: int) -> Column:
     return F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)])
 
 
+#: Tokens of a set of n of which similar sets share one: all but ceil(0.8 n), and one.
+_PREFIX = "cast(n - ((4 * n + 4) div 5) + 1 as int)"
+
+
+def _first(tokens: str) -> Column:
+    """The tokens of the prefix and half as many more, to stand in for common ones."""
+    return F.expr(f"slice({tokens}, 1, (size({tokens}) - ((4 * size({tokens}) + 4) div 5) + 1) * 3 div 2 + 1)")
+
+
 class _Join:
     """The similarity join over docs (doc_id, h, text), up to the index of tokens that classes share.
 
-    rows: the lines that have tokens (doc_id, h, line_no, k, n, bits, prefix); classes: k, first,
+    rows: the lines that have tokens (doc_id, h, line_no, k, n, bits, first_tokens); classes: k, first,
     lines, n, bits; index: t, k, n, i, first, bits for the prefix tokens t that more than one class
     has. longs: size of the bitmaps, a power of 2; one long serves sets of up to about 140 tokens.
     """
 
     def __init__(self, docs: DataFrame, longs: int = 1):
-        self.docs = docs
-        rows = _tokens(_lines(docs), rarity(docs))
-        prefix = F.expr("slice(__t, 1, size(__t) - ((4 * size(__t) + 4) div 5) + 1)")  # all but ceil(0.8 n) tokens, and one
-        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), prefix.alias("prefix"))
+        self.docs, self.ranks = docs, rarity(docs)
+        rows = _tokens(_lines(docs), self.ranks)
+        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), _first("__t").alias("first_tokens"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
         first = F.min(F.struct("doc_id", "h", "line_no")).alias("first")
-        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("bits").alias("bits")), "classes")
-        tokens = rows.select("k", "n", F.posexplode_outer("prefix").alias("i", "t"))
-        shared = tokens.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("b")).filter("a < b").select("t")
-        shared = written(shared, "shared")
-        index = tokens.filter(in_sieve(sieve(shared, "t"), F.col("t"))).groupBy("t", "k").agg(F.max("n").alias("n"), F.max("i").alias("i"))
-        index = checkpointed(index.join(hinted(shared, 8), "t"))
-        known = self.classes.join(index.select("k").distinct(), "k", "left_semi").select("k", "first", "bits")
-        self.index = written(index.join(known, "k"), "index")
+        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+        prefix = F.slice("first_tokens", F.lit(1), F.expr(_PREFIX))
+        tokens = rows.select("k", F.explode_outer(prefix).alias("t"))
+        shared = written(tokens.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("lines")).filter("a < b").select("t", "lines"), "shared")
+        common = [r.t for r in shared.filter(F.col("lines") > COMMON).orderBy(F.desc("lines"), "t").limit(COMMONEST).collect()]
+        placed, fresh = self._reordered(common)
+        known = shared.select("t").unionByName(fresh)
+        index = placed.filter(in_sieve(sieve(known, "t", _TOKEN_SIEVE), F.col("t"), _TOKEN_SIEVE)).groupBy("t", "k").agg(F.max("n").alias("n"), F.max("i").alias("i"))
+        index = written(index, "tokens")  # tokens of one class alone that the sieve let through go with the next join
+        shared = index.groupBy("t").count().filter("count > 1").select("t")
+        index = index.join(shared, "t", "left_semi").join(self.classes.select("k", "first", "bits"), "k")
+        self.index = written(index, "index")
+
+    def _reordered(self, common: list[int]) -> tuple[DataFrame, DataFrame]:
+        """k, n, i, t of the prefixes in the order that has the common tokens behind all others, and the
+        tokens t that no prefix had before. Most rows have enough other tokens among their first ones;
+        the lines of the rest are read again."""
+        if not common:
+            placed = self.rows.select("k", "n", F.posexplode_outer(F.slice("first_tokens", F.lit(1), F.expr(_PREFIX))).alias("i", "t"))
+            return placed, placed.limit(0).select("t")
+        is_common = lambda t: t.isin(common)
+        others = F.filter("first_tokens", lambda t: ~is_common(t))
+        rows = self.rows.withColumn("new", F.slice(others, F.lit(1), F.expr(_PREFIX)))
+        enough = F.size("new") == F.expr(_PREFIX)
+        keys = rows.filter(~enough).select("k").distinct()
+        sets = _tokens(self._lines_of(keys), self.ranks).withColumn("__t", F.concat(F.filter("__t", lambda t: ~is_common(t)), F.filter("__t", is_common)))
+        sets = sets.withColumn("n", F.size("__t"))
+        again = written(sets.select("k", "n", F.posexplode_outer(F.slice("__t", F.lit(1), F.expr(_PREFIX))).alias("i", "t")), "reordered")
+        fresh = F.array_except("new", F.slice("first_tokens", F.lit(1), F.expr(_PREFIX)))
+        fresh = rows.filter(enough).filter(F.size(fresh) > 0).select(F.explode_outer(fresh).alias("t"))
+        return rows.filter(enough).select("k", "n", F.posexplode_outer("new").alias("i", "t")).unionByName(again), fresh.unionByName(again.select("t"))
 
     def side(self, letter: str) -> DataFrame:
         return self.index.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "first", "bits")])
@@ -120,33 +157,50 @@ class _Join:
         lines = self._lines_of(pairs.select(F.explode_outer(F.array("k_x", "k_y")).alias("k")).distinct())
         for letter in "xy":
             pairs = pairs.join(lines.select(F.col("k").alias(f"k_{letter}"), F.col("line").alias(f"line_{letter}")), f"k_{letter}")
-        sets = pairs.select("k_x", "k_y", _shingles("line_x").alias("s_x"), _shingles("line_y").alias("s_y"))
-        return sets.filter(F.size(F.array_intersect("s_x", "s_y")) * 9 >= (F.size("s_x") + F.size("s_y")) * 4).select("k_x", "k_y")
+        # hashes first, words of what they leave
+        return pairs.filter(_alike(_hashes("line_x"), _hashes("line_y"))).filter(_alike(_shingles("line_x"), _shingles("line_y"))).select("k_x", "k_y")
 
     def _lines_of(self, keys: DataFrame) -> DataFrame:
         """k, line: the first line of each of the classes k. Texts are read once more; sieves thin out what is joined."""
-        at = self.classes.select("k", "first").join(keys, "k", "left_semi")
+        keys = checkpointed(keys)
+        at = self.classes.select("k", "first").filter(in_sieve(sieve(keys, "k"), F.col("k"))).join(keys, "k", "left_semi")
         at = checkpointed(at.select("k", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"), F.col("first.line_no").alias("no")))
         place = F.xxhash64("h", "line_no")
         lines = _lines(self.docs.filter(in_sieve(sieve(at, "g"), F.col("h")))).filter(in_sieve(sieve(at.withColumn("p", F.xxhash64("g", "no")), "p"), place))
         own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))
-        return checkpointed(lines.join(hinted(at, 48), own).select("k", "line").dropDuplicates(["k"]))
+        return written(lines.join(hinted(at, 48), own).select("k", "line").dropDuplicates(["k"]), "texts")
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """Whether two sets have a Jaccard similarity of 0.8 or more."""
+    return F.size(F.array_intersect(a, b)) * 9 >= (F.size(a) + F.size(b)) * 4
+
+
+def _hashes(line: str) -> Column:
+    """Hashes of the distinct shingles of a line."""
+    words = F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
+    of = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, SHINGLE)])), F.lit(1), _many(w))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
 
 
 def _shingles(line: str) -> Column:
     """The distinct shingles of a line as strings."""
     words = F.array_remove(F.split(F.lower(line), " "), "")
-    many = lambda w: F.greatest(F.size(w) - (SHINGLE - 1), F.least(F.size(w), F.lit(1)))
-    of = lambda w: F.transform(F.sequence(F.lit(1), many(w)), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
+    of = lambda w: F.transform(F.sequence(F.lit(1), _many(w)), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
     return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
 
 
+def _many(words: Column) -> Column:
+    """How many shingles so many words have."""
+    return F.greatest(F.size(words) - (SHINGLE - 1), F.least(F.size(words), F.lit(1)))
+
+
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of docs (doc_id, h, text): the lines that have tokens (doc_id, h, line_no, k, n), the classes
     (k, first, lines) and all links between classes (earlier, later)."""
     join = _Join(docs)
     links = join.matching(join.side("x").join(join.side("y"), "t").filter("first_x < first_y"))
-    return join.rows.drop("prefix", "bits"), join.classes.drop("bits"), checkpointed(links.toDF("earlier", "later"))
+    return join.rows.drop("first_tokens", "bits"), join.classes.drop("bits"), checkpointed(links.toDF("earlier", "later"))
 
 
 def later_classes(join: _Join) -> DataFrame:
@@ -188,11 +242,9 @@ def without_later_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     later = later_lines(rows).toDF("__d", "__g", "__nos")
     own = F.col(doc_id).eqNullSafe(F.col("__d")) & (F.xxhash64(text) == F.col("__g"))
-    if small_enough(later, 200):
-        out = docs.join(F.broadcast(later), own, "left")
-    else:  # texts that the sieve rules out lose nothing and take no part in the join
-        touched = in_sieve(sieve(later, "__g"), F.xxhash64(text))
-        out = docs.filter(touched).join(later, own, "left").unionByName(docs.filter(~touched), allowMissingColumns=True)
+    # texts that the sieve rules out lose nothing and take no part in the join
+    touched = in_sieve(sieve(later, "__g"), F.xxhash64(text))
+    out = docs.filter(touched).join(later, own, "left").unionByName(docs.filter(~touched), allowMissingColumns=True)
     out = out.withColumn("__lines", F.when(F.col("__nos").isNotNull(), F.split(F.col(text), "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__nos"))
     kept = F.when(F.col("__nos").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get("__lines", i)), "\n"))

@@ -78,3 +78,16 @@ def test_repeated_null_and_no_rows(spark):
 @pytest.mark.parametrize("n", range(1, 60))
 def test_prefix_bound(n):
     assert (4 * n + 4) // 5 == -(-4 * n // 5)
+
+
+def test_tokens_in_many_prefixes_go_last(spark, monkeypatch):
+    """Many lines around one passage, few of them alike, with the bound for common tokens low."""
+    monkeypatch.setattr(linededup, "COMMON", 5)
+    rng = random.Random(17)
+    passage, docs = [f"P{i}" for i in range(12)], []
+    for i in range(150):
+        own = [f"w{rng.randrange(4000)}" for _ in range(rng.choice([0, 1, 3, 8, 20]))]
+        docs.append((i, " ".join(own[: len(own) // 2] + passage + own[len(own) // 2 :])))
+    docs += [(200 + i, docs[i][1] + " more") for i in range(0, 150, 3)]
+    got = linededup.without_later_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(slow(docs))
