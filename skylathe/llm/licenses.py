@@ -1,13 +1,14 @@
 """License scans: MinHash bands over overlapping text windows, verified by shingle containment.
 
 Texts are sequences of shingles of five words, each with a 64-bit hash. Windows of 12 shingles begin
-at every fourth; of each, band j keeps the least of the hashes xor a constant of its own, so two
-windows agree in a band with the probability of their Jaccard similarity. Longer templates are cut
-into parts of 8 shingles at most, which always lie whole in some window: with BANDS bands of one
-row, a part of n shingles is missed with probability (1 - n / 12) ** BANDS, 0.15 % at n = 5 and 2e-6
-at n = 8. Templates of fewer than five shingles match only whole (one shingle less is under 0.8), so
-their windows have their own length and begin everywhere, and one band finds them with certainty.
-What the bands retrieve is verified on the words themselves.
+at every fourth; of each, band j keeps the least of the hashes xor a constant of its own over all 64
+bits, so two windows agree in a band with about the probability of their Jaccard similarity. Longer
+templates are cut into parts of 8 shingles at most, which always lie whole in some window: with BANDS
+bands of one row, a part of n shingles is missed with a probability of at most (1 - n / 12) ** BANDS,
+1.3 % at n = 5 and 0.015 % at n = 8 (most parts lie in two windows, so less is missed: the test
+measures 0.2 % at n = 5). Templates of fewer than five shingles match only whole (one shingle less is
+under 0.8), so their windows have their own length and begin everywhere, and one band finds them with
+certainty. What the bands retrieve is verified on the words themselves.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .common import checkpointed, hinted, small_enough
 from .decontaminate import words
 
 SHINGLE, CONTAINMENT = 5, 0.8
-STEP, STEPS_A_WINDOW, PART, BANDS = 4, 3, 8, 12
+STEP, STEPS_A_WINDOW, PART, BANDS = 4, 3, 8, 8
 
 #: Templates that op5 looks for: notices and opening paragraphs of public licenses. Fixed values.
 TEMPLATES = {
@@ -35,13 +36,23 @@ TEMPLATES = {
 
 
 def _salt(kind: int) -> int:
-    """A constant of each band or window length, spread over 64 bits."""
-    return (kind + 1) * 0x1E3779B97F4A7C15 % (1 << 63)
+    """A constant of each band or window length, spread over 64 bits, as a signed long."""
+    x = (kind + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+    x = (x ^ (x >> 31)) * 0xBF58476D1CE4E5B9 % (1 << 64)
+    x ^= x >> 29
+    return x - (1 << 64) if x >> 63 else x
 
 
-def _hashes() -> Column:
-    parts = ", ".join(f"get(w, i + {j})" for j in range(SHINGLE))
-    return F.expr(f"if(size(w) >= {SHINGLE}, transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({parts})), null)")
+def _hashed(rows: DataFrame) -> DataFrame:
+    """rows with the hashes g of the shingles in place of the words w; null if there are too few."""
+    rows = rows.withColumn("v", F.transform("w", lambda w: F.xxhash64(w))).drop("w")
+    shingle = lambda x, i: F.xxhash64(x, *[F.get("v", i + j) for j in range(1, SHINGLE)])
+    g = F.when(F.size("v") >= SHINGLE, F.slice(F.transform("v", shingle), F.lit(1), F.size("v") - (SHINGLE - 1)))
+    return rows.withColumn("g", g).drop("v")
+
+
+def _lit(value: int) -> str:
+    return f"cast('{value}' as bigint)"
 
 
 def _least(terms: list[str]) -> str:
@@ -51,17 +62,17 @@ def _least(terms: list[str]) -> str:
 def _keys(rows: DataFrame, lengths: list[int], bands: bool) -> DataFrame:
     """rows with the words w instead have a row for each distinct band value of their windows, in
     key: of windows of the given lengths, and of the bands. Null if there is none."""
-    rows = rows.withColumn("g", _hashes()).drop("w")
+    rows = _hashed(rows)
     parts = []
     for n in lengths:
         whole = _least([f"get(g, i + {j})" for j in range(n)])
-        parts.append(f"if(size(g) >= {n}, transform(sequence(0, size(g) - {n}), i -> {whole} ^ {_salt(n)}L), array())")
+        parts.append(f"if(size(g) >= {n}, transform(sequence(0, size(g) - {n}), i -> {whole} ^ ({_lit(_salt(n))})), array())")
     if bands:
-        least = {f"b{j}": F.expr(f"transform(sequence(0, (size(g) - 1) div {STEP}), k -> {_least([f'get(g, {STEP} * k + {i}) ^ {_salt(100 + j)}L' for i in range(STEP)])})") for j in range(BANDS)}
+        least = {f"b{j}": F.expr(f"transform(sequence(0, (size(g) - 1) div {STEP}), k -> {_least([f'get(g, {STEP} * k + {i}) ^ ({_lit(_salt(100 + j))})' for i in range(STEP)])})") for j in range(BANDS)}
         rows = rows.withColumns(least)
         for j in range(BANDS):
             window = _least([f"get(b{j}, k + {i})" for i in range(STEPS_A_WINDOW)])
-            parts.append(f"transform(sequence(0, size(b{j}) - 1), k -> {window} ^ {_salt(500 + j)}L)")
+            parts.append(f"transform(sequence(0, size(b{j}) - 1), k -> {window} ^ ({_lit(_salt(500 + j))}))")
     own = [c for c in rows.columns if c != "g" and not (bands and c in least)]
     keys = F.expr(f"if(g is null, null, array_distinct(concat({', '.join(parts)})))") if parts else F.lit(None).cast("array<bigint>")
     return rows.select(*own, keys.alias("keys")).select(*own, F.explode_outer("keys").alias("key"))

@@ -39,3 +39,19 @@ def test_against_brute_force(spark):
     assert sorted(map(tuple, licenses.scan(d, t).collect()), key=str) == slow(docs, templates)
     assert licenses.scan(d.limit(0), t).count() == 0
     assert {r.n_licenses for r in licenses.scan(d, t.limit(0)).collect()} == {0}
+
+
+def test_parts_are_retrieved_as_often_as_stated(spark):
+    """Parts of n shingles at random places: those that the bands miss, against the bound."""
+    rng, docs, templates, n_parts = random.Random(14), [], {}, 150
+    for n in range(5, 9):
+        for i in range(n_parts):
+            part = [f"t{n}_{i}_{j}" for j in range(n + 4)]
+            templates[f"{n}-{i}"] = " ".join(part)
+            docs.append((len(docs), " ".join([f"a{rng.randrange(10**9)}" for _ in range(rng.randint(6, 30))] + part + [f"b{rng.randrange(10**9)}" for _ in range(rng.randint(6, 30))])))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    t = spark.createDataFrame([*templates.items()], "license string, text string")
+    got = {r.license for r in licenses.matches(d, t).select("license").collect()}
+    for n in range(5, 9):
+        missed = sum(f"{n}-{i}" not in got for i in range(n_parts))
+        assert missed <= n_parts * (1 - n / 12) ** licenses.BANDS + 3
