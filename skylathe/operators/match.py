@@ -84,9 +84,12 @@ def missing_and_unexpected(expected: DataFrame, found: DataFrame, key: str) -> D
     return a.join(b, key, "left_anti").select(key, F.lit("missing").alias("problem")).unionByName(b.join(a, key, "left_anti").select(key, F.lit("unexpected").alias("problem")))
 
 
-def nearest_value(df: DataFrame, by: list[str], distance: Column, name: str) -> DataFrame:
-    """by, nearest: the name at least distance, the smaller name of equal ones."""
-    return df.groupBy(*by).agg(F.min(F.struct(distance.alias("d"), F.col(name).alias("n")))["n"].alias("nearest"))
+def nearest_option(df: DataFrame, value: Column, options: DataFrame, option: str, out: str = "nearest") -> DataFrame:
+    """df with the option nearest to a value, the smaller of equally near ones; null for an unknown value
+    or without options. The distinct options (exposure times, grid steps) are one array, few by nature."""
+    every = options.agg(F.sort_array(F.collect_set(F.col(option).cast("double"))).alias("_o"))
+    best = F.array_min(F.transform("_o", lambda o: F.struct(F.abs(o - value).alias("d"), o.alias("o"))))
+    return df.join(F.broadcast(every), F.lit(True)).withColumn(out, F.when(value.isNotNull(), best["o"])).drop("_o")
 
 
 def star_shift(pairs: DataFrame, by: list[str], dx: Column, dy: Column) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -254,3 +252,20 @@ def zone_interpretation(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (20 * 60 + k % 60).alias("start"), ((24 * 60 + 30 + k % 200) % 1440).alias("ingress"), ((24 * 60 + 150 + k % 200) % 1440).alias("egress"))
     return X.interpreted(rows, "day", "start", "ingress", "egress", ["America/New_York", "UTC"])
+
+
+@query("""with o as (select distinct s_nationkey * 2.5::double as e from supplier), d as (select p_partkey, p_size, e, abs(e - p_size) as d from part, o)
+select p_partkey, e as exposure from (select *, row_number() over (partition by p_partkey order by d, e) as k from d) q where k = 1""")
+def closest_exposure(spark, d):
+    darks = table(spark, d, "supplier").select((F.col("s_nationkey") * F.lit(2.5)).alias("e"))
+    return match.nearest_option(table(spark, d, "part").select("p_partkey", "p_size"), F.col("p_size").cast("double"), darks, "e", "exposure").select("p_partkey", "exposure")
+
+
+_RINGS = "sqrt((x - 3.5) * (x - 3.5) + (y - 3.5) * (y - 3.5))"
+
+
+@query(f"""with {PX}, pr as (select label, cast(floor({_RINGS} / 0.5) as bigint) as bin, median({_RINGS}) as radius, median(greatest(value - 1.05, 0)) as value from px group by label, bin), top as (select label, arg_min(value, bin) as top from pr group by label),
+low as (select pr.label as label, arg_min(radius, bin) * 2 as fwhm from pr join top on pr.label = top.label where radius > 1 and value <= top / 2 group by pr.label) select top.label as label, round(fwhm, 6) as fwhm from top left join low on top.label = low.label""")
+def profile_width(spark, d):
+    px = _px(spark, d).withColumn("value", F.greatest(F.col("value") - 1.05, F.lit(0.0)))
+    return pixels.half_width(pixels.radial_profile(px, ["label"], 3.5, 3.5), ["label"]).select("label", r("fwhm"))

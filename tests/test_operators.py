@@ -347,6 +347,14 @@ def test_zones_and_daylight_saving(spark):
             assert (r.ingress, r.egress, r.midpoint, r.duration, r.in_order) == (*at, sum(at) / 2, at[1] - at[0], at[0] < at[1])
 
 
+def test_nearest_option_and_half_width(spark):
+    df = spark.createDataFrame([(1, 3.0), (2, 4.5), (3, None), (4, 99.0)], "k int, e double")
+    options = spark.createDataFrame([(3.0,), (6.0,), (3.0,), (50.0,)], "t double")
+    assert rows(match.nearest_option(df, F.col("e"), options, "t")) == [(1, 3.0, 3.0), (2, 4.5, 3.0), (3, None, None), (4, 99.0, 50.0)]
+    profile = spark.createDataFrame([(1, 0, 0.2, 10.0), (1, 1, 0.7, 4.0), (1, 2, 1.2, 4.9), (1, 3, 1.7, 2.0), (2, 0, 0.2, 9.0), (2, 5, 2.6, 8.0)], "g int, bin long, radius double, value double")
+    assert rows(pixels.half_width(profile, ["g"])) == [(1, 2.4), (2, None)]
+
+
 def test_flat_field(spark):
     rng = np.random.default_rng(4)
     yy, xx = np.mgrid[:12, :16]
