@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skylathe.functions import expr as X
 from skylathe.operators import grids, stats, windows
 
-from .driver_tables import CADENCE, CURVES, DURATION, PERIOD, PHASED, T0, curves, phased
+from .driver_tables import CURVES, PERIOD, PHASED, T0, curves, phased
 
 QUERIES, ORACLES = {}, {}
 

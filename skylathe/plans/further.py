@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skylathe.functions import expr as X
-from skylathe.operators import fits, match, photometry, pixels, stats, windows
+from skylathe.operators import fits, match, photometry, pixels, windows
 
 from .driver_tables import CADENCE, CURVES, DURATION, PERIOD, PHASED, PHOTOMETRY, T0, curves, phased, table
 from .driver_tables import photometry as phot
@@ -133,7 +133,7 @@ def series_comparison(spark, d):
 
 _SPACE = [(i, s, q) for i, (s, q) in enumerate((s, q) for s in (-0.6, 0.0, 0.6) for q in (0.0, 0.1, 0.3))]
 _SPACE_SQL = "select * from (values " + ", ".join(f"({i}, {s}::double, {q}::double)" for i, s, q in _SPACE) + ") as t(trial, shift, q)"
-_AT = f"(phase - shift)"
+_AT = "(phase - shift)"
 _IN = f"greatest(0, least(1, (least({_AT} + {CADENCE / 2}::double, {DURATION / 2}::double) - greatest({_AT} - {CADENCE / 2}::double, {-DURATION / 2}::double)) / {CADENCE}::double))"
 
 
