@@ -146,3 +146,19 @@ def post_window_depth(df: DataFrame, by: list[str], t: str, flux: str, start: fl
     late = mad_raw(rows, by, F.when(after, F.col("_q"))).select(*by, F.col("mad").alias("scatter"))
     depth = median(F.when(after, F.col("_q"))) - median(F.when(inside, F.col("_q")))
     return rows.groupBy(*by).agg(F.first("level").alias("level"), depth.alias("depth")).join(late, by)
+
+
+def quality_frames(df: DataFrame, target: int, background: str, least: int = 6, low: float = 0.45, high: float = 1.7, sigmas: float = 7.0, floor: float = 1.0, frame: str = "frame", star: str = "star") -> DataFrame:
+    """frame, transparency (median over comparison stars of counts over the star's median), comparisons
+    (those with counts), good: enough of them and the target counted, transparency between the limits,
+    and the target's background no more than so many robust deviations (of the floor at least) over
+    the median of the counted frames."""
+    mine, seen = F.col(star) == target, F.col("counts") > 0
+    rows = df.withColumn("_l", median(F.when(seen, F.col("counts"))).over(Window.partitionBy(star)))
+    each = rows.groupBy(frame).agg(
+        median(F.when(~mine & seen, F.try_divide("counts", "_l"))).alias("transparency"), F.count_if(~mine & seen).alias("comparisons"), F.coalesce(F.bool_or(mine & seen), F.lit(False)).alias("_t"), F.max(F.when(mine, F.col(background))).alias("_b")
+    )
+    each = each.withColumn("_ok", F.col("_t") & (F.col("comparisons") >= least) & F.col("transparency").isNotNull())
+    level = mad_raw(each.filter("_ok").withColumn("_all", F.lit(1)), ["_all"], F.col("_b")).select((F.col("median") + sigmas * F.greatest(F.col("mad"), F.lit(floor))).alias("_limit"))
+    good = F.col("_ok") & (F.col("transparency") > low) & (F.col("transparency") < high) & (F.col("_b") < F.col("_limit"))
+    return each.join(F.broadcast(level), F.lit(True), "left").select(frame, "transparency", "comparisons", F.coalesce(good, F.lit(False)).alias("good"))

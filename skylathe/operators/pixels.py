@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skylathe.functions.expr import MAD_SCALE
 from skylathe.operators.cuts import cut
-from skylathe.operators.stats import mad_raw, median
+from skylathe.operators.stats import centre_and_noise, mad_raw, median
 
 
 def pixels(df: DataFrame, keep: list[str], image: str, width: int) -> DataFrame:
@@ -129,6 +129,19 @@ def calibrated(raw: DataFrame, dark: DataFrame, flat: DataFrame, by: list[str])
     return out.select(*by, "y", "x", value.alias("value"), ((F.col("flat") < 0.5) | (F.col("flat") > 1.5)).alias("doubtful"))
 
 
+def field_signature(px: DataFrame, by: list[str], height: int, width: int, stride: int = 8, sigmas: float = 5.0, cap: float = 0.995, border: int = 2, least: int = 20) -> DataFrame:
+    """by, y, x, value of every stride-th pixel: what stands out of the frame's centre by so many robust
+    deviations, no more than the percentile of what does, 0 on the border (counted in sampled pixels).
+    Frames with fewer such pixels than `least` give nothing."""
+    own = px.filter((F.col("y") % stride == 0) & (F.col("x") % stride == 0)).withColumn("y", F.expr(f"y div {stride}").cast("int")).withColumn("x", F.expr(f"x div {stride}").cast("int"))
+    level = centre_and_noise(own, by, "value")
+    rows = own.join(level, by).withColumn("value", F.greatest(F.col("value") - F.col("centre") - sigmas * F.col("noise"), F.lit(0.0)))
+    most = rows.filter("value > 0").groupBy(*by).agg(F.count("*").alias("_n"), F.percentile("value", cap).alias("_cap")).filter(F.col("_n") >= least)
+    h, w = -(-height // stride), -(-width // stride)
+    inside = F.col("y").between(border, h - 1 - border) & F.col("x").between(border, w - 1 - border)
+    return rows.join(most, by).select(*by, "y", "x", F.when(inside, F.least("value", "_cap")).otherwise(0.0).alias("value"))
+
+
 def frame_summary(px: DataFrame, by: list[str], stride: int, saturated: float, low: float) -> DataFrame:
     """by, thumbnail (pixels of every stride-th row and column), saturated and low (shares of pixels at
     or over the one level, and under the other)."""

@@ -269,3 +269,19 @@ low as (select pr.label as label, arg_min(radius, bin) * 2 as fwhm from pr join
 def profile_width(spark, d):
     px = _px(spark, d).withColumn("value", F.greatest(F.col("value") - 1.05, F.lit(0.0)))
     return pixels.half_width(pixels.radial_profile(px, ["label"], 3.5, 3.5), ["label"]).select("label", r("fwhm"))
+
+
+@query(f"""with {PHOTOMETRY}, l as (select *, median(case when counts > 0 then counts end) over (partition by star) as l from phot), f as (select frame, median(case when star <> 1 and counts > 0 then counts / l end) as tr, count(case when star <> 1 and counts > 0 then 1 end) as n, coalesce(bool_or(star = 1 and counts > 0), false) as t, max(case when star = 1 then airmass end) as b from l group by frame),
+k as (select *, t and n >= 5 and tr is not null as ok from f), m as (select median(b) as m from k where ok), d as (select any_value(m) + 2 * greatest(1.4826::double * median(abs(b - m)), 0.0001::double) as lim from k, m where ok)
+select frame, round(tr, 6) as transparency, n as comparisons, coalesce(ok and tr > 0.8 and tr < 1.2 and b < lim, false) as good from k left join d on true""")
+def quality_frames(spark, d):
+    out = photometry.quality_frames(phot(spark, d), 1, "airmass", least=5, low=0.8, high=1.2, sigmas=2.0, floor=0.0001)
+    return out.select("frame", r("transparency"), "comparisons", "good")
+
+
+@query(f"""with {PX}, m as (select *, median(value) over (partition by vec_id) as m from px), s as (select vec_id, any_value(m) as c, coalesce(nullif(1.4826::double * median(abs(value - m)), 0), stddev_pop(value)) as s from m group by vec_id),
+g as (select px.vec_id as vec_id, y, x, greatest(value - c - 0.5::double * s, 0) as v from px join s on px.vec_id = s.vec_id), t as (select vec_id, quantile_cont(v, 0.9) as cap from g where v > 0 group by vec_id having count(*) >= 15)
+select g.vec_id as vec_id, y, x, round(case when y between 1 and 6 and x between 1 and 6 then least(v, cap) else 0 end, 6) as value from g join t on g.vec_id = t.vec_id""")
+def field_signatures(spark, d):
+    out = pixels.field_signature(_px(spark, d), ["vec_id"], 8, 8, stride=1, sigmas=0.5, cap=0.9, border=1, least=15)
+    return out.select("vec_id", "y", "x", r("value"))
