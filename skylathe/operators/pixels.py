@@ -142,6 +142,26 @@ def field_signature(px: DataFrame, by: list[str], height: int, width: int, strid
     return rows.join(most, by).select(*by, "y", "x", F.when(inside, F.least("value", "_cap")).otherwise(0.0).alias("value"))
 
 
+def calibration_check(written: DataFrame, raw: DataFrame, dark: DataFrame, flat: DataFrame, by: str, every: int = 64) -> DataFrame:
+    """by, n, exact, largest: of about one pixel in `every`, spread over all frames alike, how many of the
+    written values were held against the formula, whether all are equal, and the largest difference."""
+    pick = (F.col(by) * 7 + F.col("y") * 31 + F.col("x") * 17) % every == 0
+    want = calibrated(raw.filter(pick), dark, flat, [by]).select(by, "y", "x", F.col("value").alias("_want"))
+    both = want.join(written.select(by, "y", "x", "value"), [by, "y", "x"], "left")
+    off = F.abs(F.col("value").cast("double") - F.col("_want").cast("double"))
+    return both.groupBy(by).agg(F.count("*").alias("n"), F.bool_and(F.col("value").eqNullSafe(F.col("_want"))).alias("exact"), F.max(off).alias("largest"))
+
+
+def shift_check(moved: DataFrame, original: DataFrame, by: list[str], dy: int, dx: int, step: int, fill: float) -> DataFrame:
+    """by, n, exact, filled: pixels of a grid of step in the moved images, whether each equals the one it
+    came from, and how many have nothing to come from and hold the fill."""
+    grid = moved.filter((F.col("y") % step == 0) & (F.col("x") % step == 0)).select(*by, "y", "x", F.col("value").alias("_moved"))
+    source = original.select(*by, (F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.col("value").alias("_own"), F.lit(True).alias("_there"))
+    both = grid.join(source, [*by, "y", "x"], "left")
+    same = F.when(F.col("_there"), F.col("_moved").eqNullSafe(F.col("_own"))).otherwise(F.col("_moved") == fill)
+    return both.groupBy(*by).agg(F.count("*").alias("n"), F.bool_and(same).alias("exact"), F.count_if(F.col("_there").isNull()).alias("filled"))
+
+
 def frame_summary(px: DataFrame, by: list[str], stride: int, saturated: float, low: float) -> DataFrame:
     """by, thumbnail (pixels of every stride-th row and column), saturated and low (shares of pixels at
     or over the one level, and under the other)."""

@@ -285,3 +285,17 @@ select g.vec_id as vec_id, y, x, round(case when y between 1 and 6 and x between
 def field_signatures(spark, d):
     out = pixels.field_signature(_px(spark, d), ["vec_id"], 8, 8, stride=1, sigmas=0.5, cap=0.9, border=1, least=15)
     return out.select("vec_id", "y", "x", r("value"))
+
+
+@query(f"with {PX} select vec_id, count(*) as n, true as exact, 0.0::double as largest from px where label > 1 and (vec_id * 7 + y * 31 + x * 17) % 4 = 0 group by vec_id")
+def calibration_check(spark, d):
+    px = _px(spark, d)
+    dark, flat = (pixels.median_stack(px.filter(F.col("label") == k), []).select("y", "x", "value") for k in (0, 1))
+    raw = px.filter("label > 1")
+    return pixels.calibration_check(pixels.calibrated(raw, dark, flat, ["vec_id"]), raw, dark, flat, "vec_id", 4)
+
+
+@query(f"with {PX} select vec_id, count(*) as n, true as exact, count(case when y + 1 > 7 or x - 2 < 0 then 1 end) as filled from px where y % 2 = 0 and x % 2 = 0 group by vec_id")
+def shift_check(spark, d):
+    px = _px(spark, d).drop("label")
+    return pixels.shift_check(pixels.shifted(px, ["vec_id"], -1, 2, 8, 8, -1.0), px, ["vec_id"], -1, 2, 2, -1.0)

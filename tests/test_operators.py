@@ -370,3 +370,16 @@ def test_flat_field(spark):
     plain = pixels.frame_summary(raw, ["k"], 4, 5000.0, 4000.0).filter("k = 0").first()
     first = np.array(flats[0][1])
     assert (plain.thumbnail, plain.saturated, plain.low) == (12, (first >= 5000).mean(), (first < 4000).mean())
+
+
+def test_checks_see_a_changed_pixel(spark):
+    px = pixels.pixels(spark.createDataFrame([(k, [float(i + k) for i in range(36)]) for k in range(3)], "k int, p array<double>"), ["k"], "p", 6)
+    moved = pixels.shifted(px, ["k"], 1, -2, 6, 6, -5.0)
+    assert rows(pixels.shift_check(moved, px, ["k"], 1, -2, 3, -5.0)) == [(k, 4, True, 2) for k in range(3)]
+    spoilt = moved.withColumn("value", F.when((F.col("k") == 1) & (F.col("y") == 3) & (F.col("x") == 0), 7.7).otherwise(F.col("value")))
+    assert [r[2] for r in rows(pixels.shift_check(spoilt, px, ["k"], 1, -2, 3, -5.0))] == [True, False, True]
+    plain = px.filter("k = 0").select("y", "x", F.lit(2.0).alias("value"))
+    good = pixels.calibrated(px, plain, plain, ["k"])
+    assert all(r.exact and r.n > 0 for r in pixels.calibration_check(good, px, plain, plain, "k", 2).collect())
+    bad = good.withColumn("value", (F.col("value") + F.when(F.col("k") == 2, 0.5).otherwise(0.0)).cast("float"))
+    assert {r.k: (r.exact, r.largest) for r in pixels.calibration_check(bad, px, plain, plain, "k", 2).collect()} == {0: (True, 0.0), 1: (True, 0.0), 2: (False, 0.5)}
