@@ -27,6 +27,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 _BUCKET_BITS = 13
 #: Tokens in more prefixes than COMMON are moved behind all others, the COMMONEST of them at most.
 COMMON, COMMONEST = 256, 1 << 14
+#: Sets of more tokens have a second bitmap, of so many longs, where long sets are asked for.
+_LONG_SET, _WIDE = 1000, 32
 #: Words of the sieve of shared tokens: 2 to this, 4 MB.
 _TOKEN_SIEVE = 19
 #: A token is one long: its rank above, its hash in the low bits.
@@ -90,21 +92,35 @@ def _first(tokens: str) -> Column:
     return F.expr(f"slice({tokens}, 1, (size({tokens}) - ((4 * size({tokens}) + 4) div 5) + 1) * 3 div 2 + 1)")
 
 
+def _wide_bitmap() -> Column:
+    """The same for sets of more than _LONG_SET tokens, a quarter of the tokens in _WIDE longs; null for others."""
+    few = F.filter("__t", lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(3)) == 0)
+    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
+    longs = lambda ts: F.array(*[F.aggregate(F.filter(ts, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(_WIDE - 1)) == j), F.lit(0).cast("long"), flip) for j in range(_WIDE)])  # noqa: B023, E731
+    return F.when(F.size("__t") > _LONG_SET, F.element_at(F.transform(F.array(few), longs), 1))
+
+
+def _bits_apart(a: str, b: str) -> Column:
+    """How many bits differ; at most as many as tokens do."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+
+
 class _Join:
     """The similarity join over docs (doc_id, h, text), up to the index of tokens that classes share.
 
     rows: the lines that have tokens (doc_id, h, line_no, k, n, bits, first_tokens); classes: k, first,
     lines, n, bits; index: t, k, n, i, first, bits for the prefix tokens t that more than one class
-    has. longs: size of the bitmaps, a power of 2; one long serves sets of up to about 140 tokens.
+    has. longs: size of the bitmaps, a power of 2; one long serves sets of up to about 140 tokens, eight
+    of up to 1000. long_sets gives larger sets a second bitmap, to which candidates of the first are held.
     """
 
-    def __init__(self, docs: DataFrame, longs: int = 1):
-        self.docs, self.ranks = docs, rarity(docs)
+    def __init__(self, docs: DataFrame, longs: int = 1, long_sets: bool = False):
+        self.docs, self.ranks, self.long_sets = docs, rarity(docs), long_sets
         rows = _tokens(_lines(docs), self.ranks)
-        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), _first("__t").alias("first_tokens"))
+        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), *([_wide_bitmap().alias("wide")] if long_sets else []), _first("__t").alias("first_tokens"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
         first = F.min(F.struct("doc_id", "h", "line_no")).alias("first")
-        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
+        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("n").alias("n"), F.max("bits").alias("bits"), *([F.max("wide").alias("wide")] if long_sets else [])), "classes")
         prefix = F.slice("first_tokens", F.lit(1), F.expr(_PREFIX))
         tokens = rows.select("k", F.explode_outer(prefix).alias("t"))
         shared = written(tokens.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("lines")).filter("a < b").select("t", "lines"), "shared")
@@ -151,15 +167,25 @@ class _Join:
         length = (n * 5 >= m * 4) & (m * 5 >= n * 4)
         # tokens that both can still share from here on, against what 0.8 needs of both together
         position = F.least(n - F.col("i_x"), m - F.col("i_y")) * 9 >= (n + m) * 4
-        # bits apart are at most tokens apart, of which similar sets have a ninth of both together
-        apart = F.aggregate(F.zip_with("bits_x", "bits_y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-        pairs = checkpointed(pairs.filter(length & position).filter(apart * 9 <= n + m).select("k_x", "k_y").distinct())
+        # similar sets have a ninth of both together apart at most
+        pairs = pairs.filter(length & position).filter(_bits_apart("bits_x", "bits_y") * 9 <= n + m)
+        pairs = checkpointed(pairs.select("k_x", "k_y", *(["n_x", "n_y"] if self.long_sets else [])).distinct())
+        if self.long_sets:
+            pairs = self._held_to_wide(pairs)
         lines = self._lines_of(pairs.select(F.explode_outer(F.array("k_x", "k_y")).alias("k")).distinct())
         for letter in "xy":
             pairs = pairs.join(lines.select(F.col("k").alias(f"k_{letter}"), F.col("line").alias(f"line_{letter}")), f"k_{letter}")
         # hashes first, words of what they leave
         return pairs.filter(_alike(_hashes("line_x"), _hashes("line_y"))).filter(_alike(_shingles("line_x"), _shingles("line_y"))).select("k_x", "k_y")
 
+    def _held_to_wide(self, pairs: DataFrame) -> DataFrame:
+        keys = pairs.filter(f"n_x > {_LONG_SET} and n_y > {_LONG_SET}").select(F.explode_outer(F.array("k_x", "k_y")).alias("k"))
+        wide = self.classes.select("k", "wide").filter(in_sieve(sieve(keys, "k"), F.col("k")))
+        for letter in "xy":
+            pairs = pairs.join(wide.toDF(f"k_{letter}", f"wide_{letter}"), f"k_{letter}", "left")
+        far = _bits_apart("wide_x", "wide_y") * 9 > F.col("n_x") + F.col("n_y")  # null unless both have one
+        return checkpointed(pairs.filter(~F.coalesce(far, F.lit(False))).select("k_x", "k_y"))
+
     def _lines_of(self, keys: DataFrame) -> DataFrame:
         """k, line: the first line of each of the classes k. Texts are read once more; sieves thin out what is joined."""
         keys = checkpointed(keys)

@@ -36,7 +36,7 @@ def _class_edges(join: linededup._Join) -> DataFrame:
 def text_edges(docs: DataFrame) -> DataFrame:
     """a, b: pairs of hashes h of the texts of docs (doc_id, h, text) that connect all texts whose
     five-word shingles have a Jaccard similarity of 0.8 or more."""
-    join = linededup._Join(docs.withColumn("text", F.translate("text", "\n", " ")), longs=8)
+    join = linededup._Join(docs.withColumn("text", F.translate("text", "\n", " ")), longs=8, long_sets=True)
     edges = _class_edges(join)
     first = join.classes.select("k", F.col("first.h").alias("h"))
     between = edges.join(first.toDF("a", "ha"), "a").join(first.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))

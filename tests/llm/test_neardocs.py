@@ -1,6 +1,9 @@
 import random
 
+import pytest
+
 import corpus_pipeline
+from skylathe.llm import linededup
 from tests.llm.test_linededup import shingles
 from tests.llm.test_simhash import slow_fingerprint
 
@@ -19,7 +22,9 @@ def slow_kept(docs):
     return [d for k, (d, _) in enumerate(docs) if label[k] == k]
 
 
-def test_edited_copies_go(spark):
+@pytest.mark.parametrize("long_set", [1000, 20])
+def test_edited_copies_go(spark, monkeypatch, long_set):
+    monkeypatch.setattr(linededup, "_LONG_SET", long_set)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     docs = [(900, None), (901, ""), (902, "one two three"), (903, "One two\nthree")]
