@@ -28,7 +28,7 @@ _BUCKET_BITS = 13
 #: Tokens in more prefixes than COMMON are moved behind all others, the COMMONEST of them at most.
 COMMON, COMMONEST = 256, 1 << 14
 #: Sets of more tokens have a second bitmap, of so many longs, where long sets are asked for.
-_LONG_SET, _WIDE = 1000, 32
+_LONG_SET, _WIDE = 1000, 128
 #: Words of the sieve of shared tokens: 2 to this, 4 MB.
 _TOKEN_SIEVE = 19
 #: A token is one long: its rank above, its hash in the low bits.
@@ -96,7 +96,8 @@ def _wide_bitmap() -> Column:
     """The same for sets of more than _LONG_SET tokens, a quarter of the tokens in _WIDE longs; null for others."""
     few = F.filter("__t", lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(3)) == 0)
     flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
-    longs = lambda ts: F.array(*[F.aggregate(F.filter(ts, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(_WIDE - 1)) == j), F.lit(0).cast("long"), flip) for j in range(_WIDE)])  # noqa: B023, E731
+    own = lambda ts, j: F.filter(ts, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(_WIDE - 1)) == j)
+    longs = lambda ts: F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda j: F.aggregate(own(ts, j), F.lit(0).cast("long"), flip))
     return F.when(F.size("__t") > _LONG_SET, F.element_at(F.transform(F.array(few), longs), 1))
 
 
