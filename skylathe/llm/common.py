@@ -39,9 +39,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for wide tables that Parquet holds in less. Such a
     table stays until the folder is cleared."""
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """As written(), with the table's path."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.parquet(path), path
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    """Deletes a table of written_at() that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sieve(keys: DataFrame, key: str, size: int = _SIEVE_BITS) -> Column:

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
+import public_tokenizers
 
-from . import chat, decontaminate, language, licenses, linededup, mixing, toxicity, transport, urlfilter
+from . import bpe, chat, decontaminate, drake, language, licenses, linededup, mixing, quantize, toxicity, transport, urlfilter
 from .common import table
 from .simhash import near_duplicates
 
@@ -57,6 +58,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_filtering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op13_drake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drake.clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_decontaminate": op2_decontaminate,
@@ -68,6 +81,9 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_linededup": op9_linededup,
     "op10_toxicity": op10_toxicity,
+    "op11_filtering": op11_filtering,
+    "op12_bpe": op12_bpe,
+    "op13_drake": op13_drake,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL}
+ORACLES = {"op2_decontaminate": decontaminate.SQL, "op3_mixing": mixing.SQL, "op5_licenses": licenses.SQL, "op6_urlfilter": urlfilter.SQL, "op9_linededup": linededup.SQL, "op11_filtering": quantize.SQL, "op13_drake": drake.SQL}
