@@ -1,12 +1,13 @@
 """Byte-level BPE encoding and decoding with a public tokenizer file.
 
 Encoding: every task splits its texts into words, a block of texts at a time, and writes each text as
-positions in its block's list of distinct words. The distinct words of all blocks are a table; each is
-encoded once. Its ids are joined back to (block, position) and each block's texts take their ids from
-there. A frequent word so moves once a block, however often it occurs.
+positions in its block's list of distinct words. The places (block, position) of all blocks are dealt
+out and sorted by word, so a distinct word is a run that is encoded once; its ids go to each of its
+places and are joined back by block and position, where the texts take theirs. A frequent word so
+moves once a block, however often it occurs. Blocks are bucketed by number, so only the lists move.
 
-Decoding: the ids of a text are exploded in order and joined with the table of pieces (id, piece), as
-long as the vocabulary and so broadcast; the pieces then come back as they stand, text after text.
+Decoding: the ids of a batch of texts are joined with the table of pieces (id, piece), which is as long
+as the vocabulary and so broadcast; the pieces of a text are then its bytes.
 
 The file's form: byte-level BPE with its usual word pattern, without a normalizer, plain special
 tokens. Others are refused.
@@ -14,25 +15,29 @@ tokens. Others are refused.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import shared_folder
 from .vectors import clashing
 
 #: Characters of a block of texts; a block is more only by its last text.
-BLOCK = 1 << 25
+BLOCK = 1 << 24
+#: Places that a task sorts by block before it sends their ids there, and ids that a lookup takes at once.
+PLACES, IDS = 1 << 17, 1 << 20
 #: Words of the byte-level pre-tokenizer.
 WORD = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of these characters only, whose classes are ranges, are split by a faster pattern with the same words.
@@ -48,8 +53,8 @@ def words_of(text: str, special: re.Pattern | None = None) -> list[str]:
     return (PLAIN_WORD if PLAIN.fullmatch(text) else WORD).findall(text)
 
 
-def tokenizer_file(path: str) -> tuple[str, list[str]]:
-    """The file's JSON and its special tokens."""
+def tokenizer_file(path: str) -> tuple[str, list[str], int]:
+    """The file's JSON, its special tokens and its largest id."""
     with open(path, encoding="utf-8") as f:
         text = f.read()
     told = json.loads(text)
@@ -57,7 +62,8 @@ def tokenizer_file(path: str) -> tuple[str, list[str]]:
     fits = told["model"]["type"] == "BPE" and not told["model"].get("dropout") and not told.get("normalizer") and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
     if not fits or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in told["added_tokens"]):
         raise ValueError(f"{path} isn't a byte-level BPE with the usual words and plain special tokens")
-    return text, sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True)
+    ids = [*told["model"]["vocab"].values(), *(t["id"] for t in told["added_tokens"])]
+    return text, sorted((t["content"] for t in told["added_tokens"]), key=len, reverse=True), max(ids)
 
 
 def _whole(x: pa.Array) -> np.ndarray:
@@ -72,18 +78,40 @@ class _Numbers(dict):
         return n
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32, seven bits a byte, the last byte of each below 128; compressed."""
+    n = 1 + sum((numbers >= 1 << bits).astype("u1") for bits in (7, 14, 21, 28))
+    most = int(n.max(initial=1))
+    out = np.empty((len(numbers), most), "u1")
+    for j in range(most):
+        out[:, j] = (numbers >> 7 * j & 127) | (n > j + 1).astype("u1") << 7
+    data = out[np.arange(most) < n[:, None]].tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=5).compress(data, asbytes=True)
+
+
+def _restored(data: bytes) -> np.ndarray:
+    b = np.frombuffer(pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True), "u1")
+    ends = np.flatnonzero(b < 128)
+    starts = np.concatenate([[0], ends[:-1] + 1]) if len(ends) else ends
+    out = (b[starts] & 127).astype("u4")
+    for j in range(1, int((ends - starts).max(initial=0)) + 1):
+        more = np.flatnonzero(ends - starts >= j)
+        out[more] |= (b[starts[more] + j] & 127).astype("u4") << 7 * j
+    return out
+
+
 def _blocks(special: list[str], key: pa.DataType):
     cut = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
     schema = pa.schema([("block", pa.int64()), ("keys", pa.list_(key)), ("lengths", pa.list_(pa.int32())), ("codes", pa.binary()), ("position", pa.int32()), ("word", pa.string())])
 
     def block(number: int, keys: list, found: list[np.ndarray], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
-        codes = np.concatenate(found).astype("<u4")
-        planes = codes.view("u1").reshape(-1, 4).T.tobytes()  # high bytes, mostly zero, side by side
-        codes_ = pa.compress(planes, "zstd", asbytes=True)
-        texts = [pa.array([x], t) for x, t in zip((number, keys, [len(x) for x in found], codes_), schema.types[:4], strict=True)]
+        codes, n = np.concatenate(found), len(numbers)
+        order = np.argsort(-np.bincount(codes, minlength=n), kind="stable")  # frequent words have low positions
+        rank = np.empty(n, "<u4")
+        rank[order] = np.arange(n)
+        texts = [pa.array([x], t) for x, t in zip((number, keys, [len(x) for x in found], _squeezed(rank[codes])), schema.types[:4], strict=True)]
         yield pa.RecordBatch.from_arrays([*texts, pa.nulls(1, pa.int32()), pa.nulls(1, pa.string())], schema=schema)
-        n = len(numbers)
-        words = [pa.array(np.full(n, number)), *(pa.nulls(n, t) for t in schema.types[1:4]), pa.array(np.arange(n, dtype="i4")), pa.array(list(numbers), pa.string())]
+        words = [pa.array(np.full(n, number)), *(pa.nulls(n, t) for t in schema.types[1:4]), pa.array(rank.astype("i4")), pa.array(list(numbers), pa.string())]
         yield pa.RecordBatch.from_arrays(words, schema=schema)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,20 +133,45 @@ def _blocks(special: list[str], key: pa.DataType):
     return split
 
 
-def _encoded(file) -> object:
-    @F.pandas_udf(T.BinaryType())
-    def ids(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        """Little-endian 32-bit ids of each word."""
+def _runs(file):
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """block, positions, sizes, ids of places in the order of their words; a row holds many places of a block."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_str(file.value)
+        own, last, known = Tokenizer.from_str(file.value), None, np.zeros(0, "u4")
         own.no_truncation()
         own.no_padding()
-        for batch in words:
-            yield pd.Series([np.array(e.ids, "<i4").tobytes() for e in own.encode_batch_fast(batch.tolist(), add_special_tokens=False)], dtype=object)
-
-    return ids
+        waiting, n = [], 0
+        for batch in _and_none(batches):
+            if batch is not None and len(batch):
+                runs = batch["word"].dictionary_encode()
+                words = runs.dictionary.to_pylist()
+                new = words[words[0] == last :]
+                ids = [np.array(e.ids, "u4") for e in own.encode_batch_fast(new, add_special_tokens=False)]
+                ids = [known, *ids] if len(new) < len(words) else ids
+                last, known = words[-1], ids[-1]
+                waiting.append((batch["block"].to_numpy(), batch["position"].to_numpy(), [ids[i] for i in runs.indices.to_numpy()]))
+                n += len(batch)
+            if waiting and (batch is None or n >= PLACES):
+                block, position = (np.concatenate([w[k] for w in waiting]) for k in (0, 1))
+                ids = [x for w in waiting for x in w[2]]
+                order = np.lexsort((position, block))
+                edges = [0, *np.flatnonzero(np.diff(block[order])) + 1, len(order)]
+                runs = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                packed = [(int(block[r[0]]), _squeezed(np.diff(position[r], prepend=0)), _squeezed(np.array([len(ids[i]) for i in r])), _squeezed(np.concatenate([ids[i] for i in r]))) for r in runs]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*packed, strict=True)], ["block", "positions", "sizes", "ids"])
+                waiting, n = [], 0
+
+    return encode
+
+
+def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
+    """df as a table in the shared folder, bucketed by its block."""
+    spark, name = df.sparkSession, f"blocks_{uuid.uuid4().hex}"
+    writer = df.write.option("path", f"{shared_folder(spark)}/{name}").option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9")
+    writer.bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name)
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -127,33 +180,29 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     A null text is like an empty one and has no ids. Repeated rows and null keys are rows of their
     own; other columns aren't read. An empty table gives an empty result. A block's distinct words
-    are what a task holds at most, besides one text.
+    are what a task holds at most, besides one text. The blocks are a table blocks_... of the current database, kept in the shared folder.
     """
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
-    own, special = tokenizer_file(path)
+    own, special, _ = tokenizer_file(path)
     rows = clashing(docs, [key, text]).toDF("key", "text")
     kind = rows.schema["key"].dataType
-    table = written(rows.mapInArrow(_blocks(special, to_arrow_type(kind)), f"block long, keys array<{kind.simpleString()}>, lengths array<int>, codes binary, position int, word string"), "words")
-    places = table.filter("word is not null").select("block", "position", "word").repartition("word")
-    ids = _encoded(spark.sparkContext.broadcast(own))
-    words = places.select("word").distinct().select(F.col("word").alias("own"), ids("word").alias("ids"))
-    found = places.join(words, F.col("word") == F.col("own")).select("block", "position", "ids")
+    buckets = min(max(rows.rdd.getNumPartitions(), 1), 100_000)
+    table = _bucketed(rows.mapInArrow(_blocks(special, to_arrow_type(kind)), f"block long, keys array<{kind.simpleString()}>, lengths array<int>, codes binary, position int, word string"), buckets)
+    places = table.filter("word is not null").select("block", "position", "word").repartition("word").sortWithinPartitions("word")
+    found = places.mapInArrow(_runs(spark.sparkContext.broadcast(own)), "block long, positions binary, sizes binary, ids binary")
     key_kind = to_arrow_type(kind)
 
     def put(texts: pa.Table, told: pa.Table) -> pa.Table:
-        ids = told["ids"].combine_chunks()
-        ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
-        every, ends = np.frombuffer(b"".join(ids.to_pylist()), "<i4"), np.cumsum([len(x.as_buffer()) // 4 if x.is_valid else 0 for x in ids])
-        place = told["position"].to_numpy()
+        place, sizes, every = (np.concatenate([np.zeros(0, "u4"), *(unpack(x) for x in told[c].to_pylist())]) for c, unpack in (("positions", lambda x: np.cumsum(_restored(x))), ("sizes", _restored), ("ids", _restored)))
+        place, every = place.astype(np.int64), every.astype("i4")
         start, size = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
-        size[place] = np.diff(ends, prepend=0)
-        start[place] = ends - size[place]
+        size[place] = sizes
+        start[place] = np.cumsum(sizes, dtype=np.int64) - sizes
         keys, values, offsets = [], [], [np.zeros(1, np.int64)]
         for own, lengths, packed in zip(texts["keys"], texts["lengths"], texts["codes"], strict=True):
-            n = int(_whole(lengths.values).sum())
-            codes = np.frombuffer(pa.decompress(packed.as_buffer(), 4 * n, "zstd"), "u1").reshape(4, -1).T.copy().view("<u4").ravel()
+            codes = _restored(packed.as_py())
             at = np.concatenate([[0], np.cumsum(_whole(lengths.values))])
             for a, b in zip(at[:-1], at[1:], strict=True):
                 c = codes[a:b]
@@ -162,7 +211,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             keys.append(own.values)
             offsets.append(np.array([len(x) for x in values[-len(lengths.values) :]], np.int64))
         bounds = np.cumsum(np.concatenate(offsets)).astype("i4")
-        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*values, np.zeros(0, "<i4")]), pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*values, np.zeros(0, "i4")])))
         return pa.table([pa.chunked_array(keys, key_kind), lists], ["key", "ids"])
 
     texts = table.filter("codes is not null").select(F.col("block").alias("of"), "keys", "lengths", "codes")
@@ -172,7 +221,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
     """id, piece: the bytes of every id of a tokenizer file, special tokens included."""
-    own, _ = tokenizer_file(path)
+    own, _, _ = tokenizer_file(path)
     told = json.loads(own)
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in the file
     others = [b for b in range(256) if b not in set(printable)]
@@ -182,52 +231,61 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(rows), pa.int32()), "piece": pa.array(list(rows.values()), pa.binary())}))
 
 
+def _and_none(items: Iterator) -> Iterator:
+    yield from items
+    yield None
+
+
+def _side_by_side(ids: pa.ListArray, table: pa.BinaryArray) -> Iterator[memoryview]:
+    """The entries of table that each list's ids choose, in a row; a few lists are looked up at once."""
+    sizes = ids.value_lengths().fill_null(0).to_numpy()
+    group = np.cumsum(sizes) // IDS
+    edges = [0, *np.flatnonzero(np.diff(group)) + 1, len(ids)] if len(ids) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        flat = ids[a:b].flatten()
+        chosen = table.take(pc.if_else(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(table))), flat, None)).fill_null(b"")
+        ends = np.frombuffer(chosen.buffers()[1], "<i4", len(chosen) + 1, 4 * chosen.offset) if len(chosen) else np.zeros(1, "<i4")
+        ends, data = ends[np.concatenate([[0], np.cumsum(sizes[a:b])])], memoryview(chosen.buffers()[2] or b"")
+        yield from (data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+
+
+def _dense(vocabulary: DataFrame) -> pa.BinaryArray:
+    """The pieces by id; null where there is none. As long as the vocabulary."""
+    told = vocabulary.select("id", "piece").toArrow()
+    pieces = [None] * (max(told["id"].to_pylist(), default=-1) + 1)
+    for i, piece in zip(told["id"].to_pylist(), told["piece"].to_pylist(), strict=True):
+        pieces[i] = piece
+    return pa.array(pieces, pa.binary())
+
+
 def decode(encoded: DataFrame, vocabulary: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """encoded without its ids, with the text that their pieces make: their bytes in a row as UTF-8, what
-    isn't valid replaced. vocabulary: id, piece, a row an id, so it is broadcast.
+    """encoded with the text that its ids' pieces make: their bytes in a row as UTF-8, what isn't valid
+    replaced. vocabulary: id, piece, a row an id.
 
-    Null ids (and ids without a piece) add nothing; a null or empty array is an empty text. Repeated
+    Null ids and ids without a piece add nothing; a null or empty array is an empty text. Repeated
     rows are rows of their own. An empty table gives an empty result.
     """
-    others = [c for c in encoded.columns if c != ids]
-    schema = T.StructType([*(encoded.schema[c] for c in others), T.StructField(text, T.StringType())])
-    rows = encoded.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.posexplode_outer(F.col(f"`{ids}`")).alias("n", "id"))
-    # The other columns go along with a text's first id only. A broadcast join keeps the order of its left side.
-    rows = rows.select(F.coalesce("n", F.lit(0)).alias("n"), "id", F.when(F.coalesce("n", F.lit(0)) == 0, F.col("row")).alias("row"))
-    joined = rows.join(F.broadcast(vocabulary.select(F.col("id").alias("of"), "piece")), F.col("id") == F.col("of"), "left")
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, parts, last = None, [], -1
-        done = lambda rows, texts: pa.RecordBatch.from_arrays([*(pa.array([r[c] for r in rows], t) for c, t in zip(others, kinds, strict=True)), pa.array(texts, pa.string())], [*others, text])
-        for batch in batches:
-            n = _whole(batch["n"])
-            if (n != np.where(n == 0, 0, np.concatenate([[last], n[:-1]]) + 1)).any():
-                raise RuntimeError("the join with the pieces didn't keep the order of the ids")
-            last = n[-1]
-            filled = batch["piece"].fill_null(b"")
-            ends = np.frombuffer(filled.buffers()[1], "<i4")[filled.offset : filled.offset + len(n) + 1]
-            data = memoryview(filled.buffers()[2] or b"")  # the pieces side by side
-            starts = np.flatnonzero(n == 0)
-            edges, rows, texts = [*starts, len(n)], [], []
-            parts.append(bytes(data[ends[0] : ends[edges[0]]]))  # of the text that the batch before began
-            for a, b, own in zip(starts, edges[1:], batch["row"].take(pa.array(starts)).to_pylist(), strict=True):
-                if row is not None:
-                    rows.append(row)
-                    texts.append(b"".join(parts).decode("utf-8", "replace"))
-                row, parts = own, [bytes(data[ends[a] : ends[b]])]
-            if rows:
-                yield done(rows, texts)
-        if row is not None:
-            yield done([row], [b"".join(parts).decode("utf-8", "replace")])
+    told = encoded.sparkSession.sparkContext.broadcast(_dense(vocabulary))
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    @F.arrow_udf(T.StringType())
+    def joined(ids: pa.Array) -> pa.Array:
+        return pa.array([bytes(x).decode("utf-8", "replace") for x in _side_by_side(ids, told.value)], pa.string())
+
+    return encoded.withColumn(text, joined(F.col(f"`{ids}`")))
+
+
+def number_digest(ids: Column, largest: int) -> Column:
+    """Hexadecimal SHA-256 of ids (0 to largest) in decimal, joined by commas."""
+    numbers = pa.array([f"{i}," for i in range(largest + 1)], pa.binary())
+
+    @F.arrow_udf(T.StringType())
+    def digest(ids: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in _side_by_side(ids, numbers)], pa.string())
 
-    kinds = [to_arrow_type(encoded.schema[c].dataType) for c in others]
-    return joined.select("n", "piece", "row").mapInArrow(gather, schema)
+    return digest(ids)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
-    ids = encode(docs, path)
-    told = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), "ids")
-    return decode(told, pieces(docs.sparkSession, path)).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    told = decode(encode(docs, path), pieces(docs.sparkSession, path))
+    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), number_digest(F.col("ids"), tokenizer_file(path)[2]).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
