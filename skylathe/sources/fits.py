@@ -1,8 +1,7 @@
 """FITS files as DataFrames: headers, binary tables and image tiles.
 
-Files come through Spark's binaryFile source, so any store that Spark reads will do, and each file
-is parsed in a task of its own. The layout is that of the FITS standard 4.0: blocks of 2880 bytes,
-cards of 80, big-endian data.
+The layout is that of the FITS standard 4.0: blocks of 2880 bytes, cards of 80, big-endian data. Files
+are read by ranges through the sources of fits_source.
 """
 
 from __future__ import annotations
@@ -102,61 +101,6 @@ def schema_of(header: dict) -> T.StructType:
     return T.StructType(fields)
 
 
-def table_rows(data: bytes, header: dict, at: int, wanted: list[str] | None = None) -> pd.DataFrame:
-    """The wanted columns of a binary table, NaN as it is."""
-    parts = [(f"c{i}", f"S{n}" if code == "A" else CODES[code][0], () if n == 1 or code == "A" else (n,)) for i, (_, n, code) in enumerate(columns(header))]
-    rows = np.frombuffer(data, np.dtype([p if p[2] else p[:2] for p in parts]), header["NAXIS2"], at)
-    out = {}
-    for i, (name, n, code) in enumerate(columns(header)):
-        if wanted is not None and name not in wanted:
-            continue
-        cells = rows[f"c{i}"]
-        if code == "L":
-            cells = cells == ord("T")
-        elif code == "A":
-            cells = [x.decode("ascii", "replace").rstrip("\0 ") for x in cells]
-        else:
-            cells = cells.astype(cells.dtype.newbyteorder("=")) if code != "B" else cells.astype("i2")
-        out[name] = list(cells) if code != "A" and n > 1 else cells
-    return pd.DataFrame(out)
-
-
-def _files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-
-
-def read_headers(spark: SparkSession, path: str) -> DataFrame:
-    """path, hdu, header (map), data_offset, data_size: a row for each unit of each file."""
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, n, {k: None if v is None else str(v) for k, v in h.items()}, at, size) for p, data in zip(batch["path"], batch["content"], strict=True) for n, h, at, size in headers(bytes(data))]
-            yield pd.DataFrame(rows, columns=["path", "hdu", "header", "data_offset", "data_size"])
-
-    return _files(spark, path).mapInPandas(parse, "path string, hdu int, header map<string,string>, data_offset long, data_size long")
-
-
-def read_table(spark: SparkSession, path: str, hdu: int = 1, wanted: list[str] | None = None) -> DataFrame:
-    """The rows of a binary table of all files, with path; the schema is the first file's, and only
-    wanted columns are decoded."""
-    first = read_headers(spark, path).filter(F.col("hdu") == hdu).orderBy("path").select("header").first()
-    if first is None:
-        raise ValueError(f"no unit {hdu} in {path}")
-    kinds = schema_of({k: int(v) if v and v.lstrip("-").isdigit() else v for k, v in first[0].items()})
-    kinds = T.StructType([T.StructField("path", T.StringType()), *[f for f in kinds.fields if wanted is None or f.name in wanted]])
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"], strict=True):
-                for n, h, at, _ in headers(bytes(data)):
-                    if n == hdu:
-                        rows = table_rows(bytes(data), h, at, wanted)
-                        rows.insert(0, "path", p)
-                        yield rows[kinds.fieldNames()]
-
-    return _files(spark, path).mapInPandas(parse, kinds)
-
-
 def tiles_of(data: bytes, hdu: int, tile: int) -> Iterator[tuple]:
     """tile_y, tile_x, height, width, pixels of an image unit, scaled by BZERO and BSCALE."""
     for n, h, at, _ in headers(data):
@@ -170,16 +114,32 @@ def tiles_of(data: bytes, hdu: int, tile: int) -> Iterator[tuple]:
                     yield (y // tile, x // tile, *part.shape, part.ravel())
 
 
-def read_image(spark: SparkSession, path: str, hdu: int = 0, tile: int = 256) -> DataFrame:
-    """path, tile_y, tile_x, height, width, pixels: square tiles of the images of all files; a whole
-    frame is never one row."""
+def _source(spark: SparkSession, name: str, hdu: int | None = None):
+    from . import fits_source
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for p, data in zip(batch["path"], batch["content"], strict=True):
-                yield pd.DataFrame([(p, *t) for t in tiles_of(bytes(data), hdu, tile)], columns=["path", "tile_y", "tile_x", "height", "width", "pixels"])
+    fits_source.register(spark)
+    reader = spark.read.format(name)
+    return reader if hdu is None else reader.option("hdu", hdu)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """path, hdu, header (map), data_offset, data_size: a row for each unit of each file; data aren't read."""
+    return _source(spark, "fits_headers").load(path)
+
+
+def read_table(spark: SparkSession, path: str, hdu: int = 1, wanted: list[str] | None = None) -> DataFrame:
+    """The rows of a binary table of all files, with path; the schema is the first file's, and only
+    wanted columns are read."""
+    told = _source(spark, "fits_table", hdu).load(path)
+    if wanted is None:
+        return told
+    return _source(spark, "fits_table", hdu).schema(T.StructType([f for f in told.schema.fields if f.name in ("path", *wanted)])).load(path)
 
-    return _files(spark, path).mapInPandas(parse, "path string, tile_y int, tile_x int, height int, width int, pixels array<double>")
+
+def read_image(spark: SparkSession, path: str, hdu: int = 0, tile: int = 256) -> DataFrame:
+    """path, tile_y, tile_x, height, width, pixels: square tiles of the images of all files; neither a
+    frame nor a file is ever one row."""
+    return _source(spark, "fits_image", hdu).option("tile", tile).load(path)
 
 
 def _unit_values(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -250,15 +210,35 @@ def ones_complement(data: bytes, start: int = 0) -> int:
 
 
 def verified(spark: SparkSession, path: str) -> DataFrame:
-    """path, hdu, data_ok: whether a unit's data have the sum that its DATASUM card tells; null without one."""
+    """path, hdu, data_ok, unit_ok: whether a unit's data have the sum that its DATASUM card tells, and
+    the whole unit the sum of all ones that goes with CHECKSUM; null without the card.
+
+    A task sums a file in pieces, as sums of the standard add up.
+    """
+    from pyarrow import fs as stores
+
+    from .fits_source import Ranged
+
+    piece = 8 << 20
+
+    def total(file, start: int, end: int) -> int:
+        sums = 0
+        for a in range(start, end, piece):
+            sums = ones_complement(file[a : min(a + piece, end)], sums)
+        return sums
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for p, data in zip(batch["path"], batch["content"], strict=True):
-                for n, h, at, size in headers(bytes(data)):
-                    told = h.get("DATASUM")
-                    rows.append((p, n, None if told is None else int(told) == ones_complement(bytes(data[at : at + -(-size // BLOCK) * BLOCK]))))
-            yield pd.DataFrame({"path": [r[0] for r in rows], "hdu": [r[1] for r in rows], "data_ok": pd.Series([r[2] for r in rows], dtype=object)})
-
-    return _files(spark, path).mapInPandas(check, "path string, hdu int, data_ok boolean")
+            for p in batch["path"].drop_duplicates():
+                with Ranged(stores.FileSystem.from_uri(path)[0], p) as file:
+                    rows, begin = [], 0
+                    for n, h, at, size in headers(file):
+                        end = at + -(-size // BLOCK) * BLOCK
+                        data = total(file, at, end) if "DATASUM" in h or "CHECKSUM" in h else 0
+                        whole = ones_complement(b"", data + total(file, begin, at))
+                        rows.append((p, n, int(h["DATASUM"]) == data if "DATASUM" in h else None, whole in (0, 0xFFFFFFFF) if "CHECKSUM" in h else None))
+                        begin = end
+                    yield pd.DataFrame({k: pd.Series([r[i] for r in rows], dtype=object) for i, k in enumerate(["path", "hdu", "data_ok", "unit_ok"])})
+
+    heads = read_headers(spark, path).filter("hdu = 0").select("path")
+    return heads.mapInPandas(check, "path string, hdu int, data_ok boolean, unit_ok boolean")
