@@ -15,29 +15,35 @@ tokens. Others are refused.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import hashlib
 import json
 import os
 import re
+import unicodedata
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import shared_folder
 from .vectors import clashing
 
+#: A function of a batch of lists of ids to a column.
+Of = Callable[[pa.ListArray], pa.Array]
 #: Characters of a block of texts; a block is more only by its last text.
-BLOCK = 1 << 24
+BLOCK = 1 << 25
 #: Places that a task sorts by block before it sends their ids there, and ids that a lookup takes at once.
-PLACES, IDS = 1 << 17, 1 << 20
+PLACES, IDS = 1 << 17, 1 << 18
 #: Words of the byte-level pre-tokenizer.
 WORD = regex.compile(r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts of these characters only, whose classes are ranges, are split by a faster pattern with the same words.
@@ -46,11 +52,23 @@ _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 PLAIN_WORD = re.compile(rf"'(?:[sdmt]|ll|ve|re)| ?[{_LETTER}]+| ?[0-9]+| ?[^\s{_LETTER}0-9]+|\s+(?!\S)|\s+")
 
 
+@functools.cache
+def _splitter():
+    from tokenizers import pre_tokenizers
+
+    return pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=True)
+
+
 def words_of(text: str, special: re.Pattern | None = None) -> list[str]:
-    """The words of a text; special tokens, which cut it first, stand as words of their own."""
+    """The words of a text; special tokens, which cut it first, stand as words of their own. Texts with
+    characters that Python doesn't know yet go by the library's own splitter, which may hold another edition of Unicode."""
     if special is not None and special.search(text):
         return [w for part in special.split(text) if part for w in ([part] if special.fullmatch(part) else words_of(part))]
-    return (PLAIN_WORD if PLAIN.fullmatch(text) else WORD).findall(text)
+    if PLAIN.fullmatch(text):
+        return PLAIN_WORD.findall(text)
+    if any(unicodedata.category(c) == "Cn" for c in set(text)):
+        return [text[a:b] for _, (a, b) in _splitter().pre_tokenize_str(text)]
+    return WORD.findall(text)
 
 
 def tokenizer_file(path: str) -> tuple[str, list[str], int]:
@@ -129,6 +147,8 @@ def _blocks(special: list[str], key: pa.DataType):
                     number, keys, found, numbers, size = number + 1, [], [], _Numbers(), 0
         if keys:
             yield from block(number, keys, found, numbers)
+        del keys, found, numbers
+        _given_back()
 
     return split
 
@@ -162,6 +182,7 @@ def _runs(file):
                 packed = [(int(block[r[0]]), _squeezed(np.diff(position[r], prepend=0)), _squeezed(np.array([len(ids[i]) for i in r])), _squeezed(np.concatenate([ids[i] for i in r]))) for r in runs]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*packed, strict=True)], ["block", "positions", "sizes", "ids"])
                 waiting, n = [], 0
+                _given_back()
 
     return encode
 
@@ -174,9 +195,10 @@ def _bucketed(df: DataFrame, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", columns: dict[str, tuple[str, Of]] | None = None) -> DataFrame:
     """key, ids (array<int>): each row's text as the tokenizer file at path encodes it, without adding
-    special tokens; those that stand in a text are found.
+    special tokens; those that stand in a text are found. columns: other columns in place of ids, by
+    name a type and a function of a batch of ids, so that what is made of the ids needs no further step.
 
     A null text is like an empty one and has no ids. Repeated rows and null keys are rows of their
     own; other columns aren't read. An empty table gives an empty result. A block's distinct words
@@ -186,6 +208,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     spark = docs.sparkSession
     own, special, _ = tokenizer_file(path)
+    columns = columns or {"ids": ("array<int>", lambda ids: ids)}
     rows = clashing(docs, [key, text]).toDF("key", "text")
     kind = rows.schema["key"].dataType
     buckets = min(max(rows.rdd.getNumPartitions(), 1), 100_000)
@@ -212,10 +235,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
             offsets.append(np.array([len(x) for x in values[-len(lengths.values) :]], np.int64))
         bounds = np.cumsum(np.concatenate(offsets)).astype("i4")
         lists = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*values, np.zeros(0, "i4")])))
-        return pa.table([pa.chunked_array(keys, key_kind), lists], ["key", "ids"])
+        del values, every, place, start, size
+        out = pa.table([pa.chunked_array(keys, key_kind), *(f(lists) for _, f in columns.values())], ["key", *columns])
+        _given_back()
+        return out
 
     texts = table.filter("codes is not null").select(F.col("block").alias("of"), "keys", "lengths", "codes")
-    out = texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(put, f"key {kind.simpleString()}, ids array<int>")
+    out = texts.groupBy("of").cogroup(found.groupBy("block")).applyInArrow(put, f"key {kind.simpleString()}, {', '.join(f'`{c}` {t}' for c, (t, _) in columns.items())}")
     return out.withColumnRenamed("key", key)
 
 
@@ -231,6 +257,13 @@ def pieces(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pa.table({"id": pa.array(list(rows), pa.int32()), "piece": pa.array(list(rows.values()), pa.binary())}))
 
 
+def _given_back() -> None:
+    """Returns freed memory to the system; Python workers live on, and what each task used would pile up."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _and_none(items: Iterator) -> Iterator:
     yield from items
     yield None
@@ -247,6 +280,7 @@ def _side_by_side(ids: pa.ListArray, table: pa.BinaryArray) -> Iterator[memoryvi
         ends = np.frombuffer(chosen.buffers()[1], "<i4", len(chosen) + 1, 4 * chosen.offset) if len(chosen) else np.zeros(1, "<i4")
         ends, data = ends[np.concatenate([[0], np.cumsum(sizes[a:b])])], memoryview(chosen.buffers()[2] or b"")
         yield from (data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True))
+    _given_back()
 
 
 def _dense(vocabulary: DataFrame) -> pa.BinaryArray:
@@ -258,34 +292,40 @@ def _dense(vocabulary: DataFrame) -> pa.BinaryArray:
     return pa.array(pieces, pa.binary())
 
 
+def decoder(vocabulary: DataFrame) -> Of:
+    """The texts of a batch of ids: their pieces' bytes in a row as UTF-8, what isn't valid replaced. Ids
+    are joined with vocabulary (id, piece; a row an id), which goes to every task."""
+    told = vocabulary.sparkSession.sparkContext.broadcast(_dense(vocabulary))
+    return lambda ids: pa.array([bytes(x).decode("utf-8", "replace") for x in _side_by_side(ids, told.value)], pa.string())
+
+
 def decode(encoded: DataFrame, vocabulary: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """encoded with the text that its ids' pieces make: their bytes in a row as UTF-8, what isn't valid
-    replaced. vocabulary: id, piece, a row an id.
+    """encoded with the text that its ids' pieces make, as decoder() does.
 
     Null ids and ids without a piece add nothing; a null or empty array is an empty text. Repeated
     rows are rows of their own. An empty table gives an empty result.
     """
-    told = encoded.sparkSession.sparkContext.broadcast(_dense(vocabulary))
+    joined = decoder(vocabulary)
 
     @F.arrow_udf(T.StringType())
-    def joined(ids: pa.Array) -> pa.Array:
-        return pa.array([bytes(x).decode("utf-8", "replace") for x in _side_by_side(ids, told.value)], pa.string())
+    def texts(ids: pa.Array) -> pa.Array:
+        return joined(ids)
 
-    return encoded.withColumn(text, joined(F.col(f"`{ids}`")))
+    return encoded.withColumn(text, texts(F.col(f"`{ids}`")))
 
 
-def number_digest(ids: Column, largest: int) -> Column:
+def digest_of_numbers(largest: int) -> Of:
     """Hexadecimal SHA-256 of ids (0 to largest) in decimal, joined by commas."""
     numbers = pa.array([f"{i}," for i in range(largest + 1)], pa.binary())
-
-    @F.arrow_udf(T.StringType())
-    def digest(ids: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in _side_by_side(ids, numbers)], pa.string())
-
-    return digest(ids)
+    return lambda ids: pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in _side_by_side(ids, numbers)], pa.string())
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every text, encoded and decoded again."""
-    told = decode(encode(docs, path), pieces(docs.sparkSession, path))
-    return told.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), number_digest(F.col("ids"), tokenizer_file(path)[2]).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    texts = decoder(pieces(docs.sparkSession, path))
+    columns = {
+        "n_tokens": ("long", lambda ids: ids.value_lengths().cast(pa.int64())),
+        "ids_sha256": ("string", digest_of_numbers(tokenizer_file(path)[2])),
+        "decoded_sha256": ("string", lambda ids: pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in texts(ids)], pa.string())),
+    }
+    return encode(docs, path, columns=columns)
