@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column
@@ -132,6 +133,30 @@ def pixel_tan(ra: Column, dec: Column, crval: tuple, crpix: tuple, cd: tuple) ->
     return (xi * cd[3] - eta * cd[1]) / det + crpix[0], (eta * cd[0] - xi * cd[2]) / det + crpix[1]
 
 
+def _polynomial(u: Column, v: Column, terms: dict[tuple[int, int], float]) -> Column:
+    """Sum of terms[p, q] u^p v^q."""
+    power = lambda x, n: functools.reduce(lambda a, b: a * b, [x] * n) if n else F.lit(1.0)
+    return functools.reduce(lambda a, b: a + b, [power(u, p) * power(v, q) * c for (p, q), c in sorted(terms.items())], F.lit(0.0))
+
+
+def position_sip(x: Column, y: Column, crval: tuple, crpix: tuple, cd: tuple, a: dict, b: dict) -> tuple[Column, Column]:
+    """position_tan() of a pixel moved by the distortion polynomials a and b (SIP: coefficients by the powers of
+    the offsets from crpix)."""
+    u, v = x - crpix[0], y - crpix[1]
+    return position_tan(x + _polynomial(u, v, a), y + _polynomial(u, v, b), crval, crpix, cd)
+
+
+def pixel_sip(ra: Column, dec: Column, crval: tuple, crpix: tuple, cd: tuple, a: dict, b: dict, rounds: int = 10) -> tuple[Column, Column]:
+    """The pixel of a sky position, the inverse of position_sip(): pixel_tan() and a fixed point of so many rounds,
+    which each gain as many digits as the distortion is small; null on the far half of the sky."""
+    px, py = pixel_tan(ra, dec, crval, crpix, cd)
+    ideal = F.struct((px - crpix[0]).alias("u"), (py - crpix[1]).alias("v"))
+    state = F.struct(ideal["u"].alias("iu"), ideal["v"].alias("iv"), ideal["u"].alias("u"), ideal["v"].alias("v"))
+    step = lambda s, _: F.struct(s["iu"].alias("iu"), s["iv"].alias("iv"), (s["iu"] - _polynomial(s["u"], s["v"], a)).alias("u"), (s["iv"] - _polynomial(s["u"], s["v"], b)).alias("v"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, step)
+    return found["u"] + crpix[0], found["v"] + crpix[1]
+
+
 def pointing_shift(ra: Column, dec: Column, first: tuple[float, float], arcsec_a_pixel: float, factor: tuple[float, float]) -> tuple[Column, Column]:
     """Shift in pixels of a pointing against the first one, turned and scaled by a complex factor."""
     off = F.pmod(ra - first[0] + 180, F.lit(360.0)) - 180

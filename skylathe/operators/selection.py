@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cuts import cut
+
 
 def best_of_key(df: DataFrame, key: Column, *order: Column) -> DataFrame:
     """One row of each key: the first in the given order."""
@@ -29,13 +31,49 @@ def peaks(df: DataFrame, by: list[str], x: str, power: str, apart: float, most:
     return df.groupBy(*by).agg(F.aggregate(order, start, keep).alias("kept")).select(*by, F.posexplode("kept").alias("rank", "k")).select(*by, (F.col("rank") + 1).alias("rank"), F.col("k.x").alias(x), (-F.col("k.p")).alias(power))
 
 
-def spaced_stars(df: DataFrame, by: list[str], x: str, y: str, flux: str, apart: float, most: int) -> DataFrame:
-    """by, rank, x, y, flux: brightest sources no nearer than `apart` to a brighter kept one."""
-    order = F.sort_array(F.collect_list(F.struct((-F.col(flux)).alias("f"), F.col(x).alias("x"), F.col(y).alias("y"))))
-    start = F.array().cast("array<struct<f:double,x:double,y:double>>")
-    near = lambda k, c: F.hypot(k["x"] - c["x"], k["y"] - c["y"]) < apart
-    keep = lambda kept, c: F.when((F.size(kept) < most) & ~F.exists(kept, lambda k: near(k, c)), F.concat(kept, F.array(c))).otherwise(kept)
-    return df.groupBy(*by).agg(F.aggregate(order, start, keep).alias("kept")).select(*by, F.posexplode("kept").alias("rank", "k")).select(*by, (F.col("rank") + 1).alias("rank"), F.col("k.x").alias(x), F.col("k.y").alias(y), (-F.col("k.f")).alias(flux))
+def spaced_stars(df: DataFrame, by: list[str], x: str, y: str, flux: str, apart: float, most: int | None = None, view: int = 8) -> DataFrame:
+    """by, rank, x, y, flux: sources in order of flux (then x, y), each no nearer than `apart` to one kept
+    before it, at most `most` of a group.
+
+    Every round works on all groups at once, over cells of side `apart`. A cell shows its `view` best
+    undecided sources to the cells around it; a source that outranks all it could collide with is kept, as
+    the greedy order would, and what lies within reach of it goes. Kept sources lie apart, so a
+    cell holds four at most, and no step pairs more than a source with the kept ones around it. Rows that lack a value
+    are left out, equal rows count once.
+    """
+    if apart <= 0:
+        raise ValueError("sources must be a positive distance apart")
+    star = F.struct((-F.col(flux).cast("double")).alias("f"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    own = [F.col(b).alias(f"_{i}") for i, b in enumerate(by)]
+    groups = [f"_{i}" for i in range(len(by))]
+    cell = [*groups, "cx", "cy"]
+    open_ = df.filter(F.col(flux).isNotNull() & F.col(x).isNotNull() & F.col(y).isNotNull()).select(*own, star.alias("s")).distinct()
+    open_ = cut(open_.select("*", F.floor(F.col("s.x") / apart).alias("cx"), F.floor(F.col("s.y") / apart).alias("cy")))
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    around = lambda rows, *columns: rows.withColumn("_d", F.explode(steps)).select(*groups, (F.col("cx") + F.col("_d.i")).alias("cx"), (F.col("cy") + F.col("_d.j")).alias("cy"), *columns)
+    reach = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"]) < apart
+    other = [f"{c}_" for c in cell]
+    same = [F.col(c).eqNullSafe(F.col(o)) if c in groups else F.col(c) == F.col(o) for c, o in zip(cell, other, strict=True)]
+    kept = None
+    while not open_.isEmpty():
+        best = open_.withColumn("_n", F.row_number().over(Window.partitionBy(*cell).orderBy("s"))).filter(F.col("_n") <= view)
+        lists = best.groupBy(*cell).agg(F.sort_array(F.collect_list("s")).alias("own"))
+        last = F.when(F.size("own") == view, F.element_at("own", -1))  # what the cell doesn't show ranks below
+        seen = around(lists, "own", last.alias("last")).groupBy(*cell).agg(F.flatten(F.collect_list("own")).alias("seen"), F.min("last").alias("last")).toDF(*other, "seen", "last")
+        free = F.filter("own", lambda c: (F.col("last").isNull() | (c <= F.col("last"))) & ~F.exists("seen", lambda t: (t < c) & reach(t, c)))
+        new = cut(lists.join(seen, same).select(*cell, F.explode(free).alias("k")))
+        near = around(new, "k").toDF(*other, "k")
+        left = open_.join(near, [*same, reach(F.col("s"), F.col("k"))], "left_anti")
+        kept = new if kept is None else kept.unionByName(new)
+        if most is not None:  # what ranks below a full group's last can't come in any more
+            kept = kept.withColumn("_n", F.row_number().over(Window.partitionBy(*groups).orderBy("k"))).filter(F.col("_n") <= most).drop("_n")
+            full = kept.groupBy(*groups).agg(F.count("*").alias("n"), F.max("k").alias("k")).filter(F.col("n") == most).toDF(*other[: len(groups)], "n", "k")
+            left = left.join(full, [*same[: len(groups)], F.col("s") > F.col("k")], "left_anti")
+        kept, open_ = cut(kept), cut(left)
+    if kept is None:
+        kept = open_.select(*cell, F.col("s").alias("k"))
+    ranked = kept.withColumn("rank", F.row_number().over(Window.partitionBy(*groups).orderBy("k")))
+    return ranked.select(*[F.col(f"_{i}").alias(b) for i, b in enumerate(by)], "rank", F.col("k.x").alias(x), F.col("k.y").alias(y), (-F.col("k.f")).alias(flux))
 
 
 def parsimonious(df: DataFrame, by: list[str], score: str, parameters: str, name: str, passes: str, within: float = 1.01) -> DataFrame:

@@ -12,18 +12,9 @@ from skylathe.operators.cuts import shared_folder
 from skylathe.streaming import frames
 
 from .driver_tables import photometry, table
+from .registered import register
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 #: Candidate models over what the photometry table has; with `none`, eleven.
@@ -79,7 +70,31 @@ def stream_sessions(spark, d):
     return out.select("user_id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "n")
 
 
+@query("""select user_id, event_id, last_value(case when value > 40 then value end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as guess from events""")
+def stream_late_accepted(spark, d):
+    """events land in files that mix three neighbouring days; a last file of marks lets out what still waits."""
+    day = F.unix_date(F.to_date("ts"))
+    source = table(spark, d, "events").select("event_id", "user_id", "ts", "value", (F.col("value") > 40).alias("ok"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    frames.landed(source, f"{folder}/in", F.floor((day + F.col("event_id") % 3) / 3))
+    schema = spark.read.parquet(f"{folder}/in").drop("_n").schema
+    make = lambda: frames.previous_accepted(frames.arriving(spark, f"{folder}/in/*", schema, 1), "user_id", "ts", "event_id", "ok", "value", late="7 days")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    end = source.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("ok"))
+    frames.landed(end, f"{folder}/in", F.lit(1 << 20))
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    return spark.read.parquet(f"{folder}/table").filter("user_id >= 0").select("user_id", "event_id", "guess")
+
+
 @query("""select c_nationkey, c_custkey, last_value(case when c_acctbal > 5000 then c_acctbal end ignore nulls) over (partition by c_nationkey order by c_custkey rows between unbounded preceding and 1 preceding) as guess from customer""")
 def stream_previous_accepted(spark, d):
-    make = lambda s: frames.previous_accepted(s.select(F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", (F.col("c_acctbal") > 5000).alias("ok")), "c_nationkey", "c_custkey", "ok", "c_acctbal")
-    return _streamed(spark, d, make, "customer", "append").select("c_nationkey", "c_custkey", "guess")
+    """customers in four files that each reach over all keys; a key's order is its time, in seconds."""
+    source = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", (F.col("c_acctbal") > 5000).alias("ok"), F.timestamp_seconds(F.col("c_custkey") + 86400).alias("ts"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    frames.landed(source, f"{folder}/in", F.pmod(F.hash("c_custkey"), F.lit(4)))
+    end = source.agg(F.lit(-1).cast("long").alias("c_nationkey"), F.max("c_custkey").alias("c_custkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(False).alias("ok"), (F.max("ts") + F.expr("interval 40000 days")).alias("ts"))
+    make = lambda: frames.previous_accepted(frames.arriving(spark, f"{folder}/in/*", source.schema, 1), "c_nationkey", "ts", "c_custkey", "ok", "c_acctbal", late="20000 days")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    frames.landed(end, f"{folder}/in", F.lit(1 << 20))
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    return spark.read.parquet(f"{folder}/table").filter("c_nationkey >= 0").select("c_nationkey", "c_custkey", "guess")

@@ -9,18 +9,9 @@ from skylathe.functions import expr as X
 from skylathe.operators import grids, stats, windows
 
 from .driver_tables import CURVES, PERIOD, PHASED, T0, curves, phased
+from .registered import register
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 r = lambda c, n=6: F.round(F.col(c), n).alias(c)

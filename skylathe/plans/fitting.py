@@ -7,23 +7,14 @@ from pyspark.sql import functions as F
 from skylathe.functions import expr as X
 from skylathe.operators import fits, grids, selection
 
-from .driver_tables import CADENCE, DURATION, PERIOD, PHASED, T0, curves, phased
+from .driver_tables import CADENCE, CURVES, DURATION, PERIOD, PHASED, T0, curves, phased
+from .registered import register
 
-QUERIES, ORACLES = {}, {}
+QUERIES, ORACLES, query = register()
 DURATIONS, OFFSETS = [0.3, 0.45, 0.6, 0.8], [-0.4, -0.2, 0.0, 0.2, 0.4]
 WINDOW = 1.2
 
 
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 r = lambda c, n=6: F.round(F.col(c), n).alias(c)
 
 
@@ -179,7 +170,6 @@ def _bls(spark, d):
     return grids.box_periods(rows, ["sector"], "x", "flux", "error", _PERIODS, _WIDE)
 
 
-from .driver_tables import CURVES  # noqa: E402
 
 
 @query(f"with {CURVES}, {_BLS} select sector, round(period, 6) as period, duration, start, round(depth, 6) as depth, round(snr, 6) as snr from bls")

@@ -11,19 +11,10 @@ from skylathe.operators import fits, match, photometry, pixels, windows
 from .driver_tables import CADENCE, CURVES, DURATION, PERIOD, PHASED, PHOTOMETRY, T0, curves, phased, table
 from .driver_tables import photometry as phot
 from .fitting import WINDOW, _cells, _fit_sql
+from .registered import register
 from .tables import PX, _px
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 r = lambda c, n=6: F.round(F.col(c), n).alias(c)

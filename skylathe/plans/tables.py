@@ -10,18 +10,9 @@ from skylathe.operators import match, photometry, pixels, quality, selection, st
 
 from .driver_tables import PHOTOMETRY, table
 from .driver_tables import photometry as phot
+from .registered import register
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(sql: str = ""):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLES, query = register()
 
 
 r = lambda c, n=6: F.round(F.col(c), n).alias(c)

@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def arriving(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -31,24 +31,76 @@ def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "12 hours", l
     return rows.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def previous_accepted(stream: DataFrame, key: str, order: str, accepted: str, value: str) -> DataFrame:
-    """key, order, guess: for each row the value of the last accepted row of its key before it, null where
-    there is none. Only that value is kept between batches; rows come in order from batch to batch,
-    and those of one batch are sorted. A row's key and order are longs, its value a double."""
-
-    def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(order)
-        guess = rows[value].where(rows[accepted].astype(bool)).ffill().shift()
-        last = state.get[0] if state.exists else None
-        if last is not None:
-            guess = guess.fillna(last)
-        seen = rows.loc[rows[accepted].astype(bool), value]
-        if len(seen):
-            state.update((float(seen.iloc[-1]),))
-        yield pd.DataFrame({key: keys[0], order: rows[order], "guess": guess.astype(object).where(guess.notna(), None)})
-
-    rows = stream.select(key, order, F.col(accepted), F.col(value).cast("double").alias(value))
-    return rows.groupBy(key).applyInPandasWithState(step, f"{key} long, {order} long, guess double", "last double", "append", GroupStateTimeout.NoTimeout)
+class _PreviousAccepted(StatefulProcessor):
+    """Holds rows back until the watermark has passed them, then lets them out in order of time, each
+    with the value of the last accepted row before it."""
+
+    def __init__(self, names: list[str], expire_ms: int | None):
+        self.names, self.expire_ms = names, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at long, tie long, accepted boolean, value double")
+        self.last = handle.getValueState("last", "at long, value double")
+
+    def _wake(self, at_us: int | None) -> None:
+        """One timer a key: at the earliest row that waits, or when the last value expires."""
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        if at_us is not None:
+            self.handle.registerTimer(at_us // 1000 + 1)
+
+    def _due(self, key: tuple, watermark_ms: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        rows.sort(key=lambda r: r[:2])
+        until = watermark_ms * 1000
+        due = [r for r in rows if r[0] < until]
+        rest = rows[len(due) :]
+        last = self.last.get() if self.last.exists() else None
+        out = []
+        for at, tie, accepted, value in due:
+            if last and self.expire_ms is not None and at - last[0] > self.expire_ms * 1000:
+                last = None
+            out.append((key[0], at, tie, last[1] if last else None))
+            if accepted:
+                last = (at, value)
+        if last and self.expire_ms is not None and not rest and until - last[0] > self.expire_ms * 1000:
+            last = None
+        self.last.update(last) if last else self.last.clear()
+        self.waiting.put(rest) if rest else self.waiting.clear()
+        self._wake(rest[0][0] if rest else last[0] + self.expire_ms * 1000 if last and self.expire_ms is not None else None)
+        if out:
+            yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object if i == 3 else None) for i, n in enumerate(self.names)})
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(a), int(t), bool(k), None if pd.isna(v) else float(v)) for part in rows for a, t, k, v in zip(part["at"], part["tie"], part["accepted"], part["value"], strict=True)]
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs(), [*self.waiting.get(), *new])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._due(key, timerValues.getCurrentWatermarkInMs(), list(self.waiting.get()))
+
+    def close(self) -> None:
+        pass
+
+
+def previous_accepted(stream: DataFrame, key: str, ts: str, tie: str, accepted: str, value: str, late: str = "1 hour", expire_ms: int | None = None) -> DataFrame:
+    """key, at_us, tie, guess: for each row the value of the last accepted row of its key before it in
+    time (rows of one time by tie), null where there is none or it is older than expire_ms.
+
+    Rows may come in any order within `late`: each waits in state, sorted, until the watermark has passed
+    it, and an event-time timer lets it out. Rows later than that are left out and counted by Spark as dropped,
+    rather than guessed wrongly. State is what came within `late`, and one value a key, which goes when it expires.
+    Rows without key or time, or from before 1970, where watermarks begin, are left out; a null value is a value; tie is a long. Needs the RocksDB state store, which run_once sets.
+    """
+    rows = stream.filter(F.col(key).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).filter("_ts is not null").withWatermark("_ts", late)
+    rows = rows.select(F.col(key).alias("key"), "_ts", F.unix_micros("_ts").alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("tie"), F.coalesce(F.col(accepted), F.lit(False)).alias("accepted"), F.col(value).cast("double").alias("value"))
+    kind = rows.schema["key"].dataType.simpleString()
+    names = [key, "at_us", tie, "guess"]
+    return rows.groupBy("key").transformWithStateInPandas(_PreviousAccepted(names, expire_ms), f"`{key}` {kind}, at_us long, `{tie}` long, guess double", "append", "eventTime")
+
+
+def landed(rows: DataFrame, folder: str, number: Column) -> None:
+    """rows as files that arrive in order of number, as frames of a night land one by one."""
+    rows.withColumn("_n", number).repartition("_n").write.partitionBy("_n").mode("append").parquet(folder)
 
 
 def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:
@@ -58,4 +110,5 @@ def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "comple
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/batch={number}")
 
+    result.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -23,22 +23,57 @@ def test_sessions_of_late_files_are_those_of_the_table(spark, tmp_path, monkeypa
     assert sorted(map(str, got)) == sorted(map(str, want))
 
 
-def test_state_is_kept_between_batches(spark, tmp_path):
-    """Three files in order, one a batch: the last accepted value carries over."""
-    data = [(k, i, float(10 * i + k), i % 4 == k % 4) for i in range(30) for k in range(5)]
-    for part in range(3):
-        rows = [r for r in data if r[1] // 10 == part]
-        random.Random(part).shuffle(rows)
-        spark.createDataFrame(rows, "k long, i long, v double, ok boolean").coalesce(1).write.parquet(f"{tmp_path}/in/{part}")
-        time.sleep(1.1)  # files are taken by age
-    schema = spark.read.parquet(f"{tmp_path}/in/0").schema
-    stream = frames.arriving(spark, f"{tmp_path}/in/*", schema, files_a_batch=1)
-    frames.run_once(frames.previous_accepted(stream, "k", "i", "ok", "v"), f"{tmp_path}/out", f"{tmp_path}/state", "append")
-    out = spark.read.parquet(f"{tmp_path}/out")
-    assert out.select("batch").distinct().count() == 3
+def _guesses(rows, expire=None):
+    """(key, tie) to the last accepted value before it in time, row by row."""
     want, last = {}, {}
-    for k, i, v, ok in data:
-        want[k, i] = last.get(k)
+    for k, at, tie, v, ok in sorted(rows, key=lambda r: (r[1], r[2])):
+        held = last.get(k)
+        want[k, tie] = held[1] if held and (expire is None or at - held[0] <= expire) else None
         if ok:
-            last[k] = v
-    assert {(r.k, r.i): r.guess for r in out.collect()} == want
+            last[k] = (at, v)
+    return want
+
+
+def _run(spark, path, batches, end, **options):
+    """The rows of a stream whose files come one a batch, and after them a mark that lets out what waits."""
+    kind = "k long, at long, tie long, v double, ok boolean"
+
+    def land(rows, n):
+        spark.createDataFrame(rows, kind).withColumn("ts", F.timestamp_seconds("at")).coalesce(1).write.parquet(f"{path}/in/{n:03d}")
+        time.sleep(1.1)  # files are taken by age
+
+    def run():
+        schema = spark.read.parquet(f"{path}/in/000").schema
+        stream = frames.arriving(spark, f"{path}/in/*", schema, files_a_batch=1)
+        frames.run_once(frames.previous_accepted(stream, "k", "ts", "tie", "ok", "v", **options), f"{path}/out", f"{path}/state", "append")
+        return spark.read.parquet(f"{path}/out").filter("k >= 0")
+
+    for n, rows in enumerate(batches):
+        land(rows, n)
+    before = run().count()
+    land([(-1, end, 0, None, False)], 999)
+    return before, run()
+
+
+def test_shuffled_batches_give_what_the_ordered_table_gives(spark, tmp_path):
+    rng = random.Random(2)
+    rows = [(k, 10_000 + 100 * i + k % 3, 1000 * k + i, float(10 * i + k), i % 4 == k % 4) for i in range(40) for k in range(5)]
+    rows += [(k, 10_000 + 100 * i + k % 3, 1000 * k + 500 + i, float(-i), True) for i in range(0, 40, 7) for k in range(2)]  # ties in time
+    batches = [[] for _ in range(6)]
+    for r in rows:
+        batches[min(5, max(0, (r[1] - 10_000) // 800 + rng.choice([-1, 0, 0, 1])))].append(r)
+    for b in batches:
+        rng.shuffle(b)
+    before, out = _run(spark, tmp_path, batches, 10_000_000, late="40 minutes")
+    assert 0 < before < len(rows)  # most came out before the end, the rest waited
+    assert {(r.k, r.tie): r.guess for r in out.collect()} == _guesses(rows)
+    assert out.count() == len(rows) and out.select("batch").distinct().count() > 2
+
+
+def test_too_late_rows_give_nothing_and_values_expire(spark, tmp_path):
+    first = [(1, 10_000, 1, 1.0, True), (1, 20_000, 2, 2.0, True), (2, 20_000, 3, None, True)]
+    later = [(1, 10_500, 9, 9.0, True), (1, 21_000, 4, 4.0, False), (1, 26_000, 5, 5.0, True), (1, 26_100, 6, 6.0, False), (2, 20_500, 7, 7.0, False)]
+    _, out = _run(spark, tmp_path, [first, [(3, 22_000, 8, 8.0, False)], later], 10_000_000, late="2000 seconds", expire_ms=3_000_000)
+    got = {(r.k, r.tie): r.guess for r in out.collect()}
+    assert (1, 9) not in got  # later than the watermark: no row, and no wrong guess for others
+    assert got == _guesses([*first, (3, 22_000, 8, 8.0, False), *later[1:]], expire=3000)
