@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,6 +74,121 @@ def periodogram(df: DataFrame, by: list[str], t: str, y: str, error: str, freque
     return sums.select(*by, "frequency", F.when((det > 1e-12) & (col("YY") > 0), power).alias("power"))
 
 
+#: Cells to either side over which a point is spread, and the kernel's width: sums come out to about 1e-11.
+REACH = 12
+_KERNEL = 4 / 3 * REACH / math.pi
+
+
+def full_periodogram(df: DataFrame, by: list[str], t: str, y: str, error: str, lowest: float, highest: float, samples: int = 8) -> DataFrame:
+    """by, frequency, power, points, span: periodogram() on the whole grid of a series, `samples` frequencies
+    to a peak's width (1 / span) from lowest to highest.
+
+    Points are spread on a regular grid of time (a Gaussian over 2 x REACH + 1 cells), so a series comes
+    down to sums by cell, which add up ahead of the shuffle; one fast transform of the cells then gives the
+    sums of all frequencies. The cost is points x cells of the kernel, whatever the number of frequencies. Rows
+    without a key, time, value or positive error are left out, and so are series of one time.
+    """
+    usable = F.col(t).isNotNull() & F.col(y).isNotNull() & (F.col(error) > 0)
+    rows = df.filter(usable).select(*by, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), (1 / (F.col(error) * F.col(error))).alias("_w"))
+    whole = rows.groupBy(*by).agg(F.min("_t").alias("_t0"), (F.max("_t") - F.min("_t")).alias("_span"), F.count("*").alias("_n"), F.sum("_w").alias("_sw"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mean")).filter("_span > 0")
+    whole = whole.withColumn("_df", 1 / (F.col("_span") * samples)).withColumn("_count", 1 + F.rint((F.lit(highest) - lowest) / F.col("_df")).cast("long"))
+    whole = whole.withColumn("_cells", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_count") * 8))).cast("long"))
+    rows = rows.join(whole, by).withColumn("_y", F.col("_y") - F.col("_mean")).withColumn("_a", (F.col("_t") - F.col("_t0")) * (2 * math.pi * lowest))
+    rows = rows.withColumn("_at", (F.col("_t") - F.col("_t0")) * F.col("_df") * F.col("_cells")).withColumn("_near", F.rint("_at").cast("long"))
+    rows = rows.withColumn("cell", F.explode(F.sequence(F.col("_near") - REACH, F.col("_near") + REACH)))
+    g = F.exp(-(F.col("_at") - F.col("cell")) * (F.col("_at") - F.col("cell")) / _KERNEL) * F.col("_w")
+    parts = {"wr": F.cos("_a"), "wi": F.sin("_a"), "yr": F.col("_y") * F.cos("_a"), "yi": F.col("_y") * F.sin("_a"), "dr": F.cos(F.col("_a") * 2), "di": F.sin(F.col("_a") * 2)}
+    own = F.when(F.col("cell") == F.col("_near"), F.col("_w") * F.col("_y") * F.col("_y"))
+    told = ["_count", "_cells", "_df", "_sw", "_n", "_span"]
+    cells = rows.groupBy(*by, "cell").agg(*[F.sum(g * v).alias(k) for k, v in parts.items()], F.sum(own).alias("yy"), *[F.first(c).alias(c) for c in told])
+
+    def transform(key: tuple, grid: pd.DataFrame) -> pd.DataFrame:
+        first = grid.iloc[0]
+        n, count, total = int(first["_cells"]), int(first["_count"]), first["_sw"]
+
+        def sums(name: str, step: int) -> np.ndarray:
+            values = np.zeros(n, complex)
+            np.add.at(values, grid["cell"].to_numpy() % n, grid[f"{name}r"].to_numpy() + 1j * grid[f"{name}i"].to_numpy())
+            k = step * np.arange(count)
+            return np.fft.ifft(values)[k] * n * np.exp(_KERNEL * (math.pi * k / n) ** 2) / math.sqrt(math.pi * _KERNEL)
+
+        one, flux, two = sums("w", 1) / total, sums("y", 1) / total, sums("d", 2) / total
+        cc, ss, cs = (1 + two.real) / 2 - one.real**2, (1 - two.real) / 2 - one.imag**2, two.imag / 2 - one.real * one.imag
+        det, yy = cc * ss - cs**2, np.nansum(grid["yy"]) / total
+        with np.errstate(divide="ignore", invalid="ignore"):
+            power = (ss * flux.real**2 + cc * flux.imag**2 - 2 * cs * flux.real * flux.imag) / (yy * det)
+        out = pd.DataFrame({"frequency": lowest + np.arange(count) * first["_df"], "power": np.where((det > 1e-12) & (yy > 0), power, np.nan)})
+        for c, v in zip(by, key, strict=True):
+            out[c] = v
+        out["points"], out["span"] = int(first["_n"]), first["_span"]
+        return out
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    found = cells.groupBy(*by).applyInPandas(transform, f"{kinds}, frequency double, power double, points long, span double")
+    return found.withColumn("power", F.when(~F.isnan("power"), F.col("power")))
+
+
+#: Trial periods of a task of box_search().
+CHUNK = 256
+
+
+def box_search(df: DataFrame, by: list[str], t: str, y: str, error: str, shortest: float, longest: float, durations: list[float], factor: float = 2.0, oversample: int = 10) -> DataFrame:
+    """by, period, duration, middle, depth, error, snr: for every trial period the box of largest signal over
+    noise, its first middle after the series began, its depth and the depth's error.
+
+    Trial frequencies lie factor x least duration / span^2 apart, from 1 / longest to 1 / shortest. A series is summed once
+    to cells of time of a tenth (`oversample`) of the least duration, so no group holds more than span / cell rows; trial periods go to tasks by the
+    chunk. A period's cells are folded to as fine phase bins, and a box is the difference of two prefix sums, whatever its
+    duration. Equal boxes give way to the shorter, then the earlier phase. Rows without a key, time, value or positive error are left out.
+    """
+    cell = min(durations) / oversample
+    usable = F.col(t).isNotNull() & F.col(y).isNotNull() & (F.col(error) > 0)
+    w = 1 / (F.col(error) * F.col(error))
+    rows = df.filter(usable).select(*by, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), w.alias("_w"))
+    whole = rows.groupBy(*by).agg(F.min("_t").alias("_t0"), (F.max("_t") - F.min("_t")).alias("_span")).filter("_span > 0")
+    sums = rows.join(whole, by).groupBy(*by, F.floor((F.col("_t") - F.col("_t0")) / cell).alias("cell")).agg(F.count("*").alias("n"), F.sum("_w").alias("w"), F.sum(F.col("_w") * F.col("_y")).alias("wy"), F.first("_t0").alias("_t0"), F.first("_span").alias("_span"))
+    step = F.lit(factor * min(durations)) / (F.col("_span") * F.col("_span"))
+    sums = sums.withColumn("_df", step).withColumn("_count", 1 + F.rint(F.lit(1 / shortest - 1 / longest) / step).cast("long"))
+    dealt = sums.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(_count - 1) div {CHUNK}"))))
+
+    def search(key: tuple, grid: pd.DataFrame) -> pd.DataFrame:
+        first, times = grid.iloc[0], (grid["cell"].to_numpy() + 0.5) * cell
+        values = grid[["n", "w", "wy"]].to_numpy(float)
+        n, sw, swy = values.sum(axis=0)
+        out = []
+        for k in range(int(key[-1]) * CHUNK, min(int(first["_count"]), (int(key[-1]) + 1) * CHUNK)):
+            period = 1 / (1 / longest + k * first["_df"])
+            bins = max(1, int(period / cell))
+            turns = times / period
+            at = ((turns - np.floor(turns)) * bins).astype(int)
+            folded = np.stack([np.bincount(at, v, bins) for v in values.T])
+            prefix = np.concatenate([np.zeros((3, 1)), np.cumsum(np.concatenate([folded, folded], axis=1), axis=1)], axis=1)
+            best = None
+            for d in sorted(durations):
+                wide = max(1, int(np.rint(d / period * bins)))
+                if wide >= bins:
+                    continue
+                inn, iw, iwy = prefix[:, wide : wide + bins] - prefix[:, :bins]
+                fit = (inn > 0.5) & (inn < n - 0.5)
+                iw, iwy = np.where(fit, iw, 1.0), np.where(fit, iwy, 0.0)
+                ow = np.where(fit, sw - iw, 1.0)
+                depth, error = (swy - iwy) / ow - iwy / iw, np.sqrt(1 / iw + 1 / ow)
+                snr = np.round(np.where(fit, depth / error, -np.inf), 9)
+                i = int(snr.argmax())
+                if np.isfinite(snr[i]) and (best is None or snr[i] > best[-1]):
+                    best = (period, d, (i + wide / 2) / bins % 1 * period, depth[i], error[i], snr[i])
+            if best:
+                out.append(best)
+        told = pd.DataFrame(out, columns=["period", "duration", "middle", "depth", "error", "snr"], dtype=float)
+        told["middle"] += first["_t0"]
+        for c, v in zip(by, key[:-1], strict=True):
+            told[c] = v
+        return told
+
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    return dealt.groupBy(*by, "chunk").applyInPandas(search, f"{kinds}, period double, duration double, middle double, depth double, error double, snr double")
+
+
 def false_alarm(power: Column, n: int, max_frequency: float, span: float) -> Column:
     """False-alarm probability of a power (Baluev 2008), from the points and the variance of their times."""
     tau = max_frequency * span * F.pow(1 - power, F.lit((n - 4) / 2.0)) * F.sqrt(F.lit((n - 1) / 2.0) * power)

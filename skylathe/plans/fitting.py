@@ -205,3 +205,48 @@ def lomb_scargle_grid(spark, d):
 def period_diagnostics(spark, d):
     out = _bls(spark, d).groupBy("sector").agg(F.min(F.struct(F.abs(F.col("period") - PERIOD).alias("d"), "period"))["period"].alias("nearest"), F.min(F.struct((-F.col("snr")).alias("s"), "period"))["period"].alias("best"))
     return out.select("sector", r("nearest"), F.round(100 * (F.col("best") - PERIOD) / PERIOD, 6).alias("percent"))
+
+
+#: The search over all periods from 1 to 5 days: trial durations, and the cells that follow from the shortest.
+_LONG = [0.15, 0.3, 0.6]
+_SEARCH = f"""src as (select sector, t - 19723::double as x, flux, 1 / (error * error) as w from lcg where good), wh as (select sector, min(x) as t0, max(x) - min(x) as span from src group by sector),
+ce as (select sector, t0, any_value(span) as span, (floor((x - t0) / 0.015::double) + 0.5) * 0.015::double as m, count(*) as n, sum(w) as w, sum(w * flux) as wy from src join wh using (sector) group by sector, t0, floor((x - t0) / 0.015::double)),
+al as (select sector, sum(n) as sn, sum(w) as sw, sum(wy) as swy from ce group by sector),
+pr as (select sector, t0, 1 / (0.2::double + k * (0.3::double / (span * span))) as period from wh, range(0, 4000) as r(k) where k <= round_even(0.8::double / (0.3::double / (span * span)), 0)),
+pb as (select *, greatest(1, floor(period / 0.015::double))::int as bins from pr),
+fo as (select pb.sector as sector, period, cast(floor((m / period - floor(m / period)) * bins) as int) as bin, sum(n) as n, sum(w) as w, sum(wy) as wy from ce join pb on ce.sector = pb.sector group by all),
+al2 as (select pb.sector as sector, period, bins, b % bins as bin, b as pos from pb, range(0, 800) as r(b) where b < 2 * bins),
+cu as (select al2.sector as sector, al2.period as period, bins, pos, sum(coalesce(n, 0)) over q as n, sum(coalesce(w, 0)) over q as w, sum(coalesce(wy, 0)) over q as wy
+  from al2 left join fo on al2.sector = fo.sector and al2.period = fo.period and al2.bin = fo.bin window q as (partition by al2.sector, al2.period order by pos)),
+wd as (select sector, period, t0, bins, duration, greatest(1, cast(round_even(duration / period * bins, 0) as int)) as wide from pb, (select unnest([0.15::double, 0.3::double, 0.6::double]) as duration)),
+bx as (select wd.sector as sector, wd.period as period, t0, wd.bins as bins, duration, wide, hi.pos - wide + 1 as start, hi.n - coalesce(lo.n, 0) as n, hi.w - coalesce(lo.w, 0) as w, hi.wy - coalesce(lo.wy, 0) as wy
+  from wd join cu hi on hi.sector = wd.sector and hi.period = wd.period and hi.pos >= wide - 1 and hi.pos < wd.bins + wide - 1 left join cu lo on lo.sector = wd.sector and lo.period = wd.period and lo.pos = hi.pos - wide where wide < wd.bins),
+sc as (select bx.*, (swy - wy) / (sw - w) - wy / w as depth, sqrt(1 / w + 1 / (sw - w)) as error from bx join al on bx.sector = al.sector where n > 0 and n < sn),
+be as (select * from (select *, depth / error as snr, row_number() over (partition by sector order by round(depth / error, 9) desc, period, duration, start) as k from sc) q where k = 1)"""
+
+
+@query(f"""with {CURVES}, {_SEARCH} select sector, round(period, 6) as period, duration, round(19723 + t0 + ((start + wide / 2.0::double) / bins % 1) * period, 6) as middle, round(depth, 6) as depth, round(error, 6) as error, round(snr, 6) as snr from be""")
+def box_search(spark, d):
+    """The best box of each sector over every period from 1 to 5 days."""
+    rows = curves(spark, d).filter("good").withColumn("x", F.col("t") - 19723.0)
+    found = grids.box_search(rows, ["sector"], "x", "flux", "error", 1.0, 5.0, _LONG)
+    best = F.max(F.struct("snr", (-F.col("period")).alias("p"), "duration", "middle", "depth", "error")).alias("b")
+    out = found.groupBy("sector").agg(best)
+    return out.select("sector", F.round(-F.col("b.p"), 6).alias("period"), F.col("b.duration").alias("duration"), F.round(F.col("b.middle") + 19723.0, 6).alias("middle"), *[F.round(F.col(f"b.{c}"), 6).alias(c) for c in ("depth", "error", "snr")])
+
+
+@query(f"""with {CURVES}, src as (select series, t - 19723::double as x, flux as y, 1 / (error * error) as w from lcg where good and flux is not null), wh as (select series, min(x) as t0, max(x) - min(x) as span, count(*) as n from src group by series having max(x) > min(x)),
+f as (select series, t0, span, n, 1 / 13.0::double + k * (1 / (span * 8)) as frequency from wh, range(0, 4000) as r(k) where k <= round_even((10 - 1 / 13.0::double) / (1 / (span * 8)), 0)),
+me as (select series, sum(w * y) / sum(w) as mean from src group by series),
+an as (select src.series as series, frequency, span, n, w, y - mean as y, cos(2 * pi() * frequency * (x - t0)) as c, sin(2 * pi() * frequency * (x - t0)) as s from src join f on src.series = f.series join me on src.series = me.series),
+sm as (select series, frequency, any_value(span) as span, any_value(n) as n, sum(w) as sw, sum(w * y) as y1, sum(w * c) as c1, sum(w * s) as s1, sum(w * y * y) as yy, sum(w * y * c) as yc, sum(w * y * s) as ys, sum(w * c * c) as cc, sum(w * c * s) as cs, sum(w * s * s) as ss from an group by series, frequency),
+ab as (select series, frequency, span, n, yy / sw - y1 / sw * (y1 / sw) as yy, yc / sw - y1 / sw * (c1 / sw) as yc, ys / sw - y1 / sw * (s1 / sw) as ys, cc / sw - c1 / sw * (c1 / sw) as cc, cs / sw - c1 / sw * (s1 / sw) as cs, ss / sw - s1 / sw * (s1 / sw) as ss from sm),
+ls as (select series, frequency, span, n, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) as power from ab where cc * ss - cs * cs > 1e-12 and yy > 0 and n > 4),
+be as (select * from (select *, row_number() over (partition by series order by round(power, 8) desc, frequency) as k from ls) q where k = 1)
+select series, n as points, round(1 / frequency, 6) as period, round(power, 6) as power from be""")
+def full_periodogram(spark, d):
+    """The strongest period of each series over its whole grid of frequencies from 1/13 to 10 a day."""
+    rows = curves(spark, d).filter("good").withColumn("x", F.col("t") - 19723.0)
+    found = grids.full_periodogram(rows, ["series"], "x", "flux", "error", 1 / 13, 10.0).filter("power is not null and points > 4")
+    best = F.max(F.struct(F.round("power", 8).alias("r"), (-F.col("frequency")).alias("f"), "power", "points")).alias("b")
+    return found.groupBy("series").agg(best).select("series", "b.points", F.round(-1 / F.col("b.f"), 6).alias("period"), F.round("b.power", 6).alias("power"))
