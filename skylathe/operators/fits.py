@@ -15,45 +15,57 @@ from pyspark.sql import functions as F
 from skylathe.functions.expr import box_fraction
 
 
+def alongside(rows: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of told, a row a group; null keys are a group."""
+    told = told.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return rows.join(told, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_{k}`")) for k in keys]).drop(*(f"_{k}" for k in keys))
+
+
+def _by_bucket(cells: DataFrame, cadence: float) -> tuple[DataFrame, float]:
+    """cells with the buckets of x that they overlap, and a bucket's width, half the widest box."""
+    width = float((cells.agg(F.max("duration")).first()[0] or 0.0) + cadence) / 2
+    reach = (F.col("duration") + cadence) / 2
+    at = lambda e: F.floor(e / width).cast("long")
+    return cells.withColumn("bucket", F.explode(F.sequence(at(F.col("offset") - reach), at(F.col("offset") + reach)))), width
+
+
 def box_sums(df: DataFrame, by: list[str], group: str | None, x: str, flux: str, error: str, cells: DataFrame, cadence: float, least_group: int = 1) -> tuple[DataFrame, DataFrame]:
     """Flux sums (by, n, groups, c) and box sums (by, cell, duration, offset, a, b, n_in).
 
-    cells (cell, duration, offset) is a grid of trial boxes, small by its nature.
+    cells (cell, duration, offset) is a grid of trial boxes, small by its nature; points meet the boxes that
+    overlap them by bucket of x. All sums are grouped ones that add up ahead of the shuffle.
     """
     own = [*by, *([group] if group else [])]
-    kin = Window.partitionBy(*own)
-    rows = df.select(*own, F.col(x).alias("x"), F.col(flux).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w")).withColumn("m", F.count("*").over(kin)).filter(F.col("m") >= least_group)
-    mean = lambda c: F.sum(F.col("w") * F.col(c)).over(kin) / F.sum("w").over(kin)
-    rows = rows.withColumn("u", F.col("x") - mean("x")).withColumn("v", F.col("y") - mean("y"))
-    total = lambda e: F.sum(e).over(kin)
-    w, u, v = F.col("w"), F.col("u"), F.col("v")
-    rows = rows.withColumn("slope", F.coalesce(F.try_divide(total(w * u * v), total(w * u * u)), F.lit(0.0)))
-    rows = rows.withColumn("r", v - F.col("slope") * u).withColumn("sw", total(w)).withColumn("sxx", total(w * u * u))
-    base = rows.groupBy(*own).agg(F.count("*").alias("n"), F.sum(w * F.col("r") * F.col("r")).alias("c"))
-    base = base.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum("c").alias("c"))
-    hit = rows.join(F.broadcast(cells), F.abs(F.col("x") - F.col("offset")) < (F.col("duration") + cadence) / 2)
+    rows = df.select(*own, F.col(x).alias("x"), F.col(flux).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w"))
+    w, u, v, b = F.col("w"), F.col("u"), F.col("v"), F.col("box")
+    means = rows.groupBy(*own).agg(F.count("*").alias("m"), F.sum("w").alias("sw"), (F.sum(w * F.col("x")) / F.sum("w")).alias("xm"), (F.sum(w * F.col("y")) / F.sum("w")).alias("ym"))
+    rows = alongside(rows, means.filter(F.col("m") >= least_group).drop("m", "sw"), own).withColumn("u", F.col("x") - F.col("xm")).withColumn("v", F.col("y") - F.col("ym"))
+    lines = rows.groupBy(*own).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(w * u * u).alias("sxx"), F.sum(w * u * v).alias("sxy"), F.sum(w * v * v).alias("syy"))
+    lines = lines.withColumn("slope", F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0)))
+    base = lines.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("syy") - F.col("slope") * F.col("sxy")).alias("c"))
+    boxes, width = _by_bucket(cells, cadence)
+    hit = rows.withColumn("bucket", F.floor(F.col("x") / width).cast("long")).join(F.broadcast(boxes), "bucket")
     hit = hit.withColumn("box", box_fraction(F.col("x") - F.col("offset"), F.col("duration"), cadence)).filter("box > 0")
-    b = F.col("box")
-    hit = hit.groupBy(*own, "cell", "duration", "offset").agg(
-        F.first("sw").alias("sw"), F.first("sxx").alias("sxx"), F.sum(w * b).alias("sb"), F.sum(w * b * b).alias("sbb"), F.sum(w * u * b).alias("sxb"), F.sum(w * F.col("r") * b).alias("syb"), F.count("*").alias("n_in")
-    )
+    hit = hit.groupBy(*own, "cell", "duration", "offset").agg(F.sum(w * b).alias("sb"), F.sum(w * b * b).alias("sbb"), F.sum(w * u * b).alias("sxb"), F.sum(w * v * b).alias("svb"), F.count("*").alias("n_in"))
+    hit = alongside(hit, lines.select(*own, "sw", "sxx", "slope"), own)
     rest = F.col("sbb") - F.col("sb") * F.col("sb") / F.col("sw") - F.coalesce(F.try_divide(F.col("sxb") * F.col("sxb"), F.col("sxx")), F.lit(0.0))
-    boxes = hit.groupBy(*by, "cell", "duration", "offset").agg(F.sum("syb").alias("a"), F.sum(rest).alias("b"), F.sum("n_in").alias("n_in"))
+    boxes = hit.groupBy(*by, "cell", "duration", "offset").agg(F.sum(F.col("svb") - F.col("slope") * F.col("sxb")).alias("a"), F.sum(rest).alias("b"), F.sum("n_in").alias("n_in"))
     return base, boxes
 
 
 def box_fits(df: DataFrame, by: list[str], group: str | None, x: str, flux: str, error: str, cells: DataFrame, cadence: float, least: int = 10, least_group: int = 1, least_in: int = 1, floor: bool = True, tiny: float = 1e-9) -> DataFrame:
-    """by, cell, duration, offset, depth, depth_error, chi2, reduced, n, n_in for each trial box.
+    """by, cell, duration, offset, depth, depth_error, chi2, gain, reduced, n, n_in for each trial box; gain is
+    what the box takes off chi-square.
 
     The error is scaled by the reduced chi-square, not below 1 if floor. Boxes that intercept and
     slope can stand for have no depth and give no row.
     """
     base, boxes = box_sums(df, by, group, x, flux, error, cells, cadence, least_group)
-    out = boxes.join(base, by).filter((F.col("n") >= least) & (F.col("n_in") >= least_in) & (F.col("b") > tiny))
-    out = out.withColumn("depth", -F.col("a") / F.col("b")).withColumn("chi2", F.col("c") - F.col("a") * F.col("a") / F.col("b"))
+    out = alongside(boxes, base, by).filter((F.col("n") >= least) & (F.col("n_in") >= least_in) & (F.col("b") > tiny))
+    out = out.withColumn("depth", -F.col("a") / F.col("b")).withColumn("gain", F.col("a") * F.col("a") / F.col("b")).withColumn("chi2", F.col("c") - F.col("gain"))
     reduced = F.col("chi2") / F.greatest(F.lit(1), F.col("n") - 2 * F.col("groups") - 1)
     scale = F.greatest(F.lit(1.0), reduced) if floor else reduced
-    return out.withColumn("reduced", reduced).withColumn("depth_error", F.sqrt(scale / F.col("b"))).select(*by, "cell", "duration", "offset", "depth", "depth_error", "chi2", "reduced", "n", "n_in")
+    return out.withColumn("reduced", reduced).withColumn("depth_error", F.sqrt(scale / F.col("b"))).select(*by, "cell", "duration", "offset", "depth", "depth_error", "chi2", "gain", "reduced", "n", "n_in")
 
 
 def grid(spark, durations: list[float], offsets: list[float]) -> DataFrame:
@@ -62,13 +74,12 @@ def grid(spark, durations: list[float], offsets: list[float]) -> DataFrame:
 
 
 def best_boxes(fits: DataFrame, by: list[str], region: float = 2.30) -> DataFrame:
-    """by with the fit of least chi-square (to nine decimals; the first of equal ones) and the durations and offsets
-    whose rise in chi-square over it, scaled, is within region."""
-    best = fits.groupBy(*by).agg(F.min(F.struct(F.round("chi2", 9).alias("_r"), "cell", "chi2", "duration", "offset", "depth", "depth_error", "reduced", "n")).alias("f")).select(*by, "f.*").drop("_r")
-    first = best.select(*by, F.col("chi2").alias("_c"), F.greatest(F.lit(1.0), "reduced").alias("_s"))
-    near = fits.join(first, by).filter((F.col("chi2") - F.col("_c")) / F.col("_s") <= region)
+    """by with the fit that takes most off chi-square (to six decimals; the first cell of equal ones, as boxes over
+    the same points are) and the durations and offsets whose rise in chi-square over it, scaled, is within region."""
+    best = fits.groupBy(*by).agg(F.min(F.struct((-F.round("gain", 6)).alias("_r"), "cell", "gain", "chi2", "duration", "offset", "depth", "depth_error", "reduced", "n")).alias("f")).select(*by, "f.*").drop("_r")
+    near = alongside(fits, best.select(*by, F.col("gain").alias("_g"), F.greatest(F.lit(1.0), "reduced").alias("_s")), by).filter((F.col("_g") - F.col("gain")) / F.col("_s") <= region)
     near = near.groupBy(*by).agg(F.min("duration").alias("duration_low"), F.max("duration").alias("duration_high"), F.min("offset").alias("offset_low"), F.max("offset").alias("offset_high"))
-    return best.join(near, by)
+    return alongside(best, near, by)
 
 
 def weighted_line(df: DataFrame, by: list[str], e: str, t: str, error: str) -> DataFrame:

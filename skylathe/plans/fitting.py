@@ -11,7 +11,10 @@ from .driver_tables import CADENCE, CURVES, DURATION, PERIOD, PHASED, T0, curves
 from .registered import register
 
 QUERIES, ORACLES, query = register()
-DURATIONS, OFFSETS = [0.3, 0.45, 0.6, 0.8], [-0.4, -0.2, 0.0, 0.2, 0.4]
+#: Trial boxes: durations and offsets of a grid, and finer offsets of a single event.
+DURATIONS = [0.3 + 0.5 * i / 30 for i in range(31)]
+OFFSETS = [-0.4 + 0.8 * i / 70 for i in range(71)]
+FINE = [-0.4 + 0.8 * i / 280 for i in range(281)]
 WINDOW = 1.2
 
 
@@ -19,18 +22,20 @@ r = lambda c, n=6: F.round(F.col(c), n).alias(c)
 
 
 def _fit_sql(group: str, by: str, source: str, cells: str, least: int = 10, least_group: int = 1, least_in: int = 1, floor: bool = True, x: str = "phase") -> str:
-    """CTEs ending in fit: a plain box fit of each cell, every point against every cell."""
+    """CTEs ending in fit: box fits by sums within groups, every point against every cell that it overlaps."""
     own = f"{by}, {group}" if group else by
     scale = "greatest(1, chi2 / greatest(1, n - 2 * g - 1))" if floor else "chi2 / greatest(1, n - 2 * g - 1)"
     return f"""
 pts as (select *, 1 / (error * error) as w, count(*) over (partition by {own}) as m from ({source}) q),
 cells as ({cells}),
-pc as (select pts.*, cell, duration, off, greatest(0, least(1, (least({x} - off + {CADENCE / 2}::double, duration / 2) - greatest({x} - off - {CADENCE / 2}::double, -duration / 2)) / {CADENCE}::double)) as b from pts, cells where m >= {least_group}),
-mn as (select *, sum(w * {x}) over v / sum(w) over v as xm, sum(w * flux) over v / sum(w) over v as ym, sum(w * b) over v / sum(w) over v as bm from pc window v as (partition by {own}, cell)),
-sm as (select {own}, cell, duration, off, count(*) as n, count(case when b > 0 then 1 end) as ni, sum(w * ({x} - xm) * ({x} - xm)) as xx, sum(w * ({x} - xm) * (flux - ym)) as xy, sum(w * ({x} - xm) * (b - bm)) as xb,
-  sum(w * (flux - ym) * (flux - ym)) as yy, sum(w * (flux - ym) * (b - bm)) as yb, sum(w * (b - bm) * (b - bm)) as bb from mn group by {own}, cell, duration, off),
-rs as (select {by}, cell, duration, off, sum(n)::bigint as n, sum(ni)::bigint as n_in, count(*) as g, sum(yb - coalesce(xy * xb / nullif(xx, 0), 0)) as a, sum(bb - coalesce(xb * xb / nullif(xx, 0), 0)) as bb, sum(yy - coalesce(xy * xy / nullif(xx, 0), 0)) as c from sm group by {by}, cell, duration, off),
-f0 as (select *, -a / bb as depth, c - a * a / bb as chi2 from rs where n >= {least} and n_in >= {least_in} and bb > 1e-9),
+uv as (select *, {x} - sum(w * {x}) over o / sum(w) over o as u, flux - sum(w * flux) over o / sum(w) over o as v from pts where m >= {least_group} window o as (partition by {own})),
+ln as (select {own}, count(*) as n, sum(w) as sw, sum(w * u * u) as xx, sum(w * u * v) as xy, sum(w * v * v) as yy from uv group by {own}),
+pc as (select uv.*, cell, duration, off, greatest(0, least(1, (least({x} - off + {CADENCE / 2}::double, duration / 2) - greatest({x} - off - {CADENCE / 2}::double, -duration / 2)) / {CADENCE}::double)) as b
+  from uv join cells on {x} < off + (duration + {CADENCE}::double) / 2 and {x} > off - (duration + {CADENCE}::double) / 2),
+hb as (select {own}, cell, duration, off, count(*) as ni, sum(w * b) as sb, sum(w * b * b) as sbb, sum(w * u * b) as xb, sum(w * v * b) as yb from pc where b > 0 group by {own}, cell, duration, off),
+bs as (select {by}, cell, duration, off, sum(ni)::bigint as n_in, sum(yb - coalesce(xy / nullif(xx, 0), 0) * xb) as a, sum(sbb - sb * sb / sw - coalesce(xb * xb / nullif(xx, 0), 0)) as bb from hb join ln using ({own}) group by {by}, cell, duration, off),
+al as (select {by}, sum(n)::bigint as n, count(*) as g, sum(yy - coalesce(xy * xy / nullif(xx, 0), 0)) as c from ln group by {by}),
+f0 as (select *, -a / bb as depth, a * a / bb as gain, c - a * a / bb as chi2 from bs join al using ({by}) where n >= {least} and n_in >= {least_in} and bb > 1e-9),
 fit as (select *, chi2 / greatest(1, n - 2 * g - 1) as reduced, sqrt({scale} / bb) as depth_error from f0)"""
 
 
@@ -50,8 +55,8 @@ def repeating_box_fit(spark, d):
 
 
 @query(f"""with {PHASED}, {_fit_sql('cycle', 'sector', _NEAR, _cells(DURATIONS, OFFSETS), least_group=4)},
-best as (select * from (select *, row_number() over (partition by sector order by round(chi2, 9), cell) as k from fit) q where k = 1),
-near as (select fit.sector as sector, min(fit.duration) as duration_low, max(fit.duration) as duration_high, min(fit.off) as offset_low, max(fit.off) as offset_high from fit join best on fit.sector = best.sector where (fit.chi2 - best.chi2) / greatest(1, best.reduced) <= 2.3 group by fit.sector)
+best as (select * from (select *, row_number() over (partition by sector order by round(gain, 6) desc, cell) as k from fit) q where k = 1),
+near as (select fit.sector as sector, min(fit.duration) as duration_low, max(fit.duration) as duration_high, min(fit.off) as offset_low, max(fit.off) as offset_high from fit join best on fit.sector = best.sector where (best.gain - fit.gain) / greatest(1, best.reduced) <= 2.3 group by fit.sector)
 select best.sector as sector, duration, off as offset_days, round(depth, 6) as depth, round(depth_error, 6) as depth_error, duration_low, duration_high, offset_low, offset_high from best join near on best.sector = near.sector""")
 def grid_box_fit(spark, d):
     rows = phased(spark, d).filter(F.abs("phase") <= WINDOW)
@@ -59,15 +64,15 @@ def grid_box_fit(spark, d):
     return out.select("sector", "duration", F.col("offset").alias("offset_days"), r("depth"), r("depth_error"), "duration_low", "duration_high", "offset_low", "offset_high")
 
 
-@query(f"""with {PHASED}, {_fit_sql('', 'sector, cycle', _NEAR, _cells([DURATION], OFFSETS), least=6, least_in=3)},
-best as (select * from (select *, row_number() over (partition by sector, cycle order by round(chi2, 9), cell) as k from fit) q where k = 1),
-near as (select fit.sector as sector, fit.cycle as cycle, min(fit.off) as lo, max(fit.off) as hi from fit join best on fit.sector = best.sector and fit.cycle = best.cycle where (fit.chi2 - best.chi2) / greatest(1, best.reduced) <= 1 group by fit.sector, fit.cycle)
+@query(f"""with {PHASED}, {_fit_sql('', 'sector, cycle', _NEAR, _cells([DURATION], FINE), least=6, least_in=3)},
+best as (select * from (select *, row_number() over (partition by sector, cycle order by round(gain, 6) desc, cell) as k from fit) q where k = 1),
+near as (select fit.sector as sector, fit.cycle as cycle, min(fit.off) as lo, max(fit.off) as hi from fit join best on fit.sector = best.sector and fit.cycle = best.cycle where (best.gain - fit.gain) / greatest(1, best.reduced) <= 1 group by fit.sector, fit.cycle)
 select best.sector as sector, best.cycle as cycle, round({T0}::double + best.cycle * {PERIOD}::double + off, 6) as time, case when hi > lo then round((hi - lo) / 2, 6) else 0.2 end as time_error, round(depth, 6) as depth, round(depth_error, 6) as depth_error,
   full_window and abs(depth) / depth_error >= 2.5 and case when hi > lo then (hi - lo) / 2 else 0.2 end <= 0.25 as used, full_window from best join near on best.sector = near.sector and best.cycle = near.cycle
   join (select sector, cycle, min(phase) <= {-0.75 * WINDOW}::double and max(phase) >= {0.75 * WINDOW}::double as full_window from ({_NEAR}) z group by sector, cycle) w on best.sector = w.sector and best.cycle = w.cycle""")
 def event_times(spark, d):
     rows = phased(spark, d).filter(F.abs("phase") <= WINDOW)
-    all_ = fits.box_fits(rows, ["sector", "cycle"], None, "phase", "flux", "error", fits.grid(spark, [DURATION], OFFSETS), CADENCE, least=6, least_in=3)
+    all_ = fits.box_fits(rows, ["sector", "cycle"], None, "phase", "flux", "error", fits.grid(spark, [DURATION], FINE), CADENCE, least=6, least_in=3)
     out = fits.best_boxes(all_, ["sector", "cycle"], region=1.0)
     half = F.when(F.col("offset_high") > F.col("offset_low"), (F.col("offset_high") - F.col("offset_low")) / 2).otherwise(0.2)
     reach = rows.groupBy("sector", "cycle").agg(((F.min("phase") <= -0.75 * WINDOW) & (F.max("phase") >= 0.75 * WINDOW)).alias("full_window"))
@@ -83,7 +88,7 @@ def linear_box_fit(spark, d):
     return out.select("series", r("depth"), r("depth_error"), r("reduced"), "n", "n_in")
 
 
-_TRIALS = [(i, m, q) for i, (m, q) in enumerate((m, q) for m in (19733.0, 19738.0, 19743.0) for q in (0.0, 0.2, 0.5))]
+_TRIALS = [(i, m, q) for i, (m, q) in enumerate((m, q) for m in [19731.5 + i for i in range(13)] for q in [0.0, 0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6])]
 _TRIAL_SQL = "select * from (values " + ", ".join(f"({i}, {m}::double, {q}::double)" for i, m, q in _TRIALS) + ") as t(trial, middle, q)"
 _IN = f"greatest(0, least(1, (least(t - middle + {CADENCE / 2}::double, 2.0::double) - greatest(t - middle - {CADENCE / 2}::double, -2.0::double)) / {CADENCE}::double))"
 
@@ -91,8 +96,8 @@ _IN = f"greatest(0, least(1, (least(t - middle + {CADENCE / 2}::double, 2.0::dou
 @query(f"""with {PHASED}, tr as ({_TRIAL_SQL}), {_fit_sql('', 'sector, trial, q', f'select sector, trial, q, t - middle as x, flux / 50 * (1 - q * {_IN}) as flux, error / 50 as error from ph, tr', _cells([4.0], [0.0]), least_in=3, floor=False, x='x')}
 select q, count(*) as trials, round(median(depth), 6) as median_depth, round(stddev_samp(depth), 6) as spread, round(avg(case when depth > 3 * depth_error then 1.0::double else 0 end), 6) as recovered from fit group by q""")
 def injection_recovery(spark, d):
-    trials = spark.createDataFrame(_TRIALS, "trial int, middle double, q double")
-    rows = phased(spark, d).join(F.broadcast(trials), F.lit(True)).withColumn("x", F.col("t") - F.col("middle"))
+    trials = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(m).alias("middle"), F.lit(q).alias("q")) for i, m, q in _TRIALS])
+    rows = phased(spark, d).select("*", F.inline(trials)).withColumn("x", F.col("t") - F.col("middle"))
     rows = rows.withColumn("flux", F.col("flux") / 50 * (1 - F.col("q") * X.box_fraction(F.col("x"), 4.0, CADENCE))).withColumn("error", F.col("error") / 50)
     out = fits.box_fits(rows, ["sector", "trial", "q"], None, "x", "flux", "error", fits.grid(spark, [4.0], [0.0]), CADENCE, least_in=3, floor=False)
     out = out.groupBy("q").agg(F.count("*").alias("trials"), F.median("depth").alias("median_depth"), F.stddev_samp("depth").alias("spread"), F.avg((F.col("depth") > 3 * F.col("depth_error")).cast("double")).alias("recovered"))

@@ -110,11 +110,11 @@ def secondary_fit(spark, d):
     return out.select("sector", r("depth"), r("depth_error"), "n", "n_in")
 
 
-_STEPS = [-0.3, -0.15, 0.0, 0.15, 0.3]
+_STEPS = [-0.35 + 0.7 * i / 70 for i in range(71)]
 
 
 @query(f"""with {PHASED}, {_fit_sql('cycle', 'sector, pipeline', f"select *, case when k % 2 = 0 then 'QLP' else 'SPOC' end as pipeline from ({_FROM}) z", _cells([DURATION], _STEPS), least_group=4)},
-best as (select * from (select *, row_number() over (partition by sector, pipeline order by round(chi2, 9), cell) as kk from fit) q where kk = 1) select sector, pipeline, off as offset_days, round(depth, 6) as depth, round(depth_error, 6) as depth_error from best""")
+best as (select * from (select *, row_number() over (partition by sector, pipeline order by round(gain, 6) desc, cell) as kk from fit) q where kk = 1) select sector, pipeline, off as offset_days, round(depth, 6) as depth, round(depth_error, 6) as depth_error from best""")
 def series_comparison(spark, d):
     rows = phased(spark, d).filter(F.abs("phase") <= WINDOW).withColumn("pipeline", F.when(F.col("k") % 2 == 0, "QLP").otherwise("SPOC"))
     by = ["sector", "pipeline"]
@@ -131,8 +131,8 @@ _IN = f"greatest(0, least(1, (least({_AT} + {CADENCE / 2}::double, {DURATION / 2
 @query(f"""with {PHASED}, tr as ({_SPACE_SQL}), {_fit_sql('cycle', 'sector, trial, q', f'select sector, trial, q, cycle, {_AT} as x, flux / 50 * (1 - q * {_IN}) as flux, error / 50 as error from ph, tr where abs({_AT}) <= {WINDOW}', _cells([DURATION], [0.0]), least_group=4, x='x')}
 select sector, q, round(avg(depth), 6) as mean, round(stddev_samp(depth), 6) as spread, count(*) as n from fit group by sector, q""")
 def space_injection(spark, d):
-    trials = spark.createDataFrame(_SPACE, "trial int, shift double, q double")
-    rows = phased(spark, d).join(F.broadcast(trials), F.lit(True)).withColumn("x", F.col("phase") - F.col("shift")).filter(F.abs("x") <= WINDOW)
+    trials = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(s).alias("shift"), F.lit(q).alias("q")) for i, s, q in _SPACE])
+    rows = phased(spark, d).select("*", F.inline(trials)).withColumn("x", F.col("phase") - F.col("shift")).filter(F.abs("x") <= WINDOW)
     rows = rows.withColumn("flux", F.col("flux") / 50 * (1 - F.col("q") * X.box_fraction(F.col("x"), DURATION, CADENCE))).withColumn("error", F.col("error") / 50)
     out = fits.box_fits(rows, ["sector", "trial", "q"], "cycle", "x", "flux", "error", fits.grid(spark, [DURATION], [0.0]), CADENCE, least_group=4)
     return out.groupBy("sector", "q").agg(F.round(F.avg("depth"), 6).alias("mean"), F.round(F.stddev_samp("depth"), 6).alias("spread"), F.count("*").alias("n"))
