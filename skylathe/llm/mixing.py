@@ -131,7 +131,7 @@ def counted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
     here = place(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.col("__whole"), settings.get("seed", SEED))
     times = F.col("__whole") + (here <= F.col("__last")).cast("long")
     taken = docs.join(hinted(plan, 150), on).withColumn("__times", times).filter("__times > 0")
-    return taken.select(*[docs[c] for c in docs.columns], "__domain", "__times")
+    return taken.select(*[docs[f"`{c}`"] for c in docs.columns], "__domain", "__times")
 
 
 def mixture(docs: DataFrame, *columns, **settings) -> DataFrame:

@@ -57,3 +57,31 @@ def test_run_gives_what_the_stages_give(spark):
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "domain", "epoch"]
     assert 0 < out.count()
+
+
+KIND = "doc_id long, text string, lang string, source string, n_chars long, domain string, epoch int, `a.b` int"
+
+
+def _odd(spark, rows):
+    return spark.createDataFrame(rows, KIND)
+
+
+def test_every_stage_takes_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, repeated rows and clashing or dotted columns; then no rows at all."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "A quiet day by the sea.\nNothing more.", "en", "src1", 9, "d", 7, 1), (1, "Another text under the same number", "en", "src1", 9, "d", 7, 1), (None, long, None, None, None, None, None, None), (None, "words of no number", "en", "src12", 1, "x", 1, 2), (3, None, "en", "src1", 0, "d", 7, 3), (4, "", "en", "src1", 0, "d", 7, 4), (5, long + " end", "en", "src1", 0, "d", 7, 5)]
+    rows += [rows[1]] * 2
+    folder = tmp_path / "sf"
+    spark.createDataFrame([(1, 0, 0), (5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "benchmark text of ten words that stands in no document here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for case in (rows, []):
+        docs = _odd(spark, case)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(folder))
+            out.write.parquet(f"{tmp_path}/{len(case)}/{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{len(case)}/{k}")
+            if name != "mixing":
+                assert set(docs.columns) == set(KIND.replace("`", "").replace(",", "").split()[::2])
+        assert {"doc_id", "text", "domain", "epoch", "a.b"} <= set(docs.columns)
+        if not case:
+            assert docs.count() == 0
