@@ -255,3 +255,39 @@ def full_periodogram(spark, d):
     found = grids.full_periodogram(rows, ["series"], "x", "flux", "error", 1 / 13, 10.0).filter("power is not null and points > 4")
     best = F.max(F.struct(F.round("power", 8).alias("r"), (-F.col("frequency")).alias("f"), "power", "points")).alias("b")
     return found.groupBy("series").agg(best).select("series", "b.points", F.round(-1 / F.col("b.f"), 6).alias("period"), F.round("b.power", 6).alias("power"))
+
+
+def _eliminated(p: int, steps: int) -> str:
+    """CTEs g1, g2, ... that bring g0's matrix a_ij with right sides i_ij and b_i to the unit matrix."""
+    out = []
+    for k in range(steps):
+        row = lambda c: f"{c} / a{k}{k}"  # noqa: B023, E731
+        cells = []
+        for i in range(p):
+            f = f"a{i}{k}"
+            for c, names in (("a", range(p)), ("i", range(p)), ("b", [""])):
+                for j in names:
+                    own, lead = f"{c}{i}{j}", f"{c}{k}{j}"
+                    cells.append(f"{row(lead)} as {own}" if i == k else f"{own} - {f} * ({row(lead)}) as {own}")
+        out.append(f"g{k + 1} as (select sector, n, {', '.join(cells)} from g{k})")
+    return ", ".join(out)
+
+
+_DESIGN = ["1.0::double", "x / 10", "cos(x * 2)", "sin(x * 2)"]
+_GRAM = ", ".join(f"sum(w * d{i} * d{j}) as a{i}{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"{float(i == j)}::double as i{i}{j}" for i in range(4) for j in range(4)) + ", " + ", ".join(f"sum(w * d{i} * flux) as b{i}" for i in range(4))
+
+
+@query(f"""with {CURVES}, src as (select sector, t - 19738::double as x, flux, error, 1 / (error * error) as w from lcg where good and flux is not null), de as (select *, {', '.join(f'{d} as d{i}' for i, d in enumerate(_DESIGN))} from src),
+g0 as (select sector, count(*) as n, {_GRAM} from de group by sector), {_eliminated(4, 4)},
+ch as (select de.sector as sector, sum(w * (flux - b0 * d0 - b1 * d1 - b2 * d2 - b3 * d3) * (flux - b0 * d0 - b1 * d1 - b2 * d2 - b3 * d3)) as chi2 from de join g4 on de.sector = g4.sector group by de.sector),
+al as (select g4.*, chi2, chi2 / greatest(1, n - 4) as reduced from g4 join ch on g4.sector = ch.sector)
+select sector, n, {', '.join(f'round(b{i}, 6) as b{i}, round(sqrt(i{i}{i} * greatest(1, reduced)), 6) as e{i}' for i in range(4))}, round(i12 * greatest(1, reduced), 8) as cov12, round(reduced, 6) as reduced from al""")
+def free_design_fit(spark, d):
+    """Level, trend and one wave of each sector, fitted together with the full covariance."""
+    from skylathe.operators import regression
+
+    x = F.col("x")
+    rows = curves(spark, d).filter("good").withColumn("x", F.col("t") - 19738.0)
+    out = regression.free_fit(rows, ["sector"], F.col("flux"), F.col("error"), [F.lit(1.0), x / 10, F.cos(x * 2), F.sin(x * 2)])
+    each = [c for i in range(4) for c in (F.round(F.col("beta")[i], 6).alias(f"b{i}"), F.round(F.sqrt(F.col("covariance")[5 * i]), 6).alias(f"e{i}"))]
+    return out.select("sector", "n", *each, F.round(F.col("covariance")[6], 8).alias("cov12"), r("reduced"))
