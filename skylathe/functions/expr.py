@@ -211,11 +211,12 @@ def cleared(finite_share: Column, inside: Column, outside: Column, overlaps: Col
     return measured, F.coalesce(measured & ~overlaps & (depth + 3 * error < needed), F.lit(False))
 
 
-def interpreted(df, day: str, start: str, ingress: str, egress: str, zones: list[str]):
+def interpreted(df, day: str, start: str, ingress: str, egress: str, zones: list[str], end: str | None = None):
     """df's key columns with, for each zone, ingress, egress, midpoint (epoch seconds) and duration
     (seconds) of clock minutes, and whether they stand in order. A clock before the night's start
-    belongs to the next day; daylight saving is the zone's own."""
-    keys = [c for c in df.columns if c not in (day, start, ingress, egress)]
+    belongs to the next day; daylight saving is the zone's own. With an `end`, the night's start and end are told
+    too (night_start, night_end) and take part in the order."""
+    keys = [c for c in df.columns if c not in (day, start, ingress, egress, end)]
     rows = df.withColumn("zone", F.explode(F.array(*map(F.lit, zones))))
 
     def at(minutes: str) -> Column:
@@ -225,4 +226,7 @@ def interpreted(df, day: str, start: str, ingress: str, egress: str, zones: list
 
     rows = rows.withColumn("_i", at(ingress)).withColumn("_e", at(egress))
     i, e = F.col("_i"), F.col("_e")
+    if end is not None:
+        first, last = at(start), at(end)
+        return rows.select(*keys, "zone", first.alias("night_start"), i.alias("ingress"), e.alias("egress"), last.alias("night_end"), ((i + e) / 2).alias("midpoint"), (e - i).alias("duration"), ((first < i) & (i < e) & (e < last)).alias("in_order"))
     return rows.select(*keys, "zone", i.alias("ingress"), e.alias("egress"), ((i + e) / 2).alias("midpoint"), (e - i).alias("duration"), (i < e).alias("in_order"))

@@ -43,14 +43,16 @@ def sky_pairs(left: DataFrame, right: DataFrame, pos: tuple[str, str], other: tu
     return a.join(b, ["_b", "_c"]).drop("_b", "_c").withColumn("separation", sep).filter(F.col("separation") <= radius)
 
 
-def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float, close: float | None = None) -> DataFrame:
+def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float, close: float | None = None, aperture: float | None = None) -> DataFrame:
     """key, matches, nearest, separation, status: what lies within radius arcsec; keys without a match keep
-    a row. Ties go to the smaller name. status is matched, distant (further than `close`) or none."""
+    a row. Ties go to the smaller name. status is matched, distant (further than `close`) or none. With an
+    aperture, within_aperture counts the matches inside it."""
     pairs = sky_pairs(left, right, pos, other, [name], radius)
-    best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"))
+    inside = [F.count_if(F.col("separation") <= aperture).alias("within_aperture")] if aperture is not None else []
+    best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"), *inside)
     out = left.select(key).join(best, key, "left")
     status = F.when(F.col("m").isNull(), "none").when(F.col("m.separation") > (radius if close is None else close), "distant").otherwise("matched")
-    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"), status.alias("status"))
+    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"), status.alias("status"), *[F.coalesce("within_aperture", F.lit(0)).alias("within_aperture") for _ in inside])
 
 
 def cone(df: DataFrame, pos: tuple[str, str], centre: tuple[float, float], radius: float) -> DataFrame:
@@ -92,6 +94,15 @@ def nearest_option(df: DataFrame, value: Column, options: DataFrame, option: str
     return df.join(F.broadcast(every), F.lit(True)).withColumn(out, F.when(value.isNotNull(), best["o"])).drop("_o")
 
 
+def nearest_other(df: DataFrame, by: list[str], x: Column, y: Column, columns: list[str], apart: float = 5.0) -> DataFrame:
+    """by, distance, columns: of each group the source nearest to the origin of x and y (offsets from a target)
+    that lies further than `apart`, which rules out the target itself; of equally near ones the first by columns.
+    Groups without another source give nothing."""
+    far = df.withColumn("distance", F.hypot(x, y)).filter(F.col("distance") > apart)
+    best = F.min(F.struct("distance", *columns)).alias("_b")
+    return far.groupBy(*by).agg(best).select(*by, "_b.*")
+
+
 def star_shift(pairs: DataFrame, by: list[str], dx: Column, dy: Column) -> DataFrame:
     """by, dx, dy, stars, rms: median shift of matched stars, again without those further from it
     than max(1.5, median + 4 robust deviations), to whole pixels."""

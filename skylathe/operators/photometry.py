@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylathe.operators.stats import correlation, mad_raw, median
+from skylathe.operators.stats import clipped_std, correlation, mad_raw, median
 
 
 def target_curve(df: DataFrame, target: int, frame: str = "frame", star: str = "star") -> DataFrame:
@@ -92,12 +92,12 @@ def stable_stars(df: DataFrame, frames: int, frame: str = "frame", star: str = "
 
 
 def ensemble_review(df: DataFrame, covariates: dict[str, str], frame: str = "frame", star: str = "star") -> DataFrame:
-    """star, scatter (robust, of its leave-one-out curve over the median), counts (median), correlations
-    with the covariates by name, z (of the scatter among the stars' scatters), outlier (z over 3)."""
+    """star, scatter (robust, of its leave-one-out curve over the median), clipped_std (of that curve), counts and snr
+    (medians), correlations with the covariates by name, z (of the scatter among the stars' scatters), outlier (z over 3)."""
     rows = leave_one_out(df, frame, star)
     rows = rows.withColumn("q", F.try_divide("other", median(F.col("other")).over(Window.partitionBy(star))))
-    each = rows.groupBy(star).agg(median(F.col("counts")).alias("counts"), *[correlation(F.col("q"), F.col(c)).alias(n) for n, c in covariates.items()])
-    each = mad_raw(rows, [star], F.col("q")).select(star, F.col("mad").alias("scatter")).join(each, star)
+    each = rows.groupBy(star).agg(median(F.col("counts")).alias("counts"), median(F.try_divide("counts", "error")).alias("snr"), *[correlation(F.col("q"), F.col(c)).alias(n) for n, c in covariates.items()])
+    each = mad_raw(rows, [star], F.col("q")).select(star, F.col("mad").alias("scatter")).join(each, star).join(clipped_std(rows, [star], "q").select(star, F.col("std").alias("clipped_std")), star)
     level = mad_raw(each.withColumn("_all", F.lit(1)), ["_all"], F.col("scatter")).select(F.col("median").alias("_c"), F.nullif(F.col("mad"), F.lit(0.0)).alias("_s"))
     z = (F.col("scatter") - F.col("_c")) / F.col("_s")
     return each.join(F.broadcast(level), F.lit(True)).withColumn("z", z).withColumn("outlier", F.coalesce(F.col("z") > 3, F.lit(False))).drop("_c", "_s")
@@ -112,13 +112,13 @@ def star_summary(df: DataFrame, target: int, saturated: Column, star: str = "sta
 
 
 def sky_ring_choice(df: DataFrame, target: int, sky: str, narrow: str, wide: str, ring: str = "ring", frame: str = "frame", star: str = "star") -> DataFrame:
-    """ring, scatter, full_std (percent, of the target's curve over its median), sky (median of the
+    """ring, scatter, clipped_std, full_std (percent, of the target's curve over its median), sky (median of the
     target's), chosen: the wide ring unless its curve scatters more than the narrow one's."""
     mine = F.col(star) == target
     curve = df.groupBy(ring, frame).agg(F.max(F.when(mine, F.col("counts"))).alias("_t"), F.sum(F.when(~mine, F.col("counts"))).alias("_c"), F.max(F.when(mine, F.col(sky))).alias("_sky"))
     curve = curve.withColumn("_r", F.try_divide("_t", "_c")).filter("_r is not null").withColumn("_q", F.col("_r") / median(F.col("_r")).over(Window.partitionBy(ring)))
     each = mad_raw(curve, [ring], F.col("_q")).select(ring, (100 * F.col("mad")).alias("scatter"))
-    each = each.join(curve.groupBy(ring).agg((100 * F.stddev_pop("_q")).alias("full_std"), median(F.col("_sky")).alias("sky")), ring)
+    each = each.join(curve.groupBy(ring).agg((100 * F.stddev_pop("_q")).alias("full_std"), median(F.col("_sky")).alias("sky")), ring).join(clipped_std(curve, [ring], "_q").select(ring, (100 * F.col("std")).alias("clipped_std")), ring)
     of = lambda k: F.max(F.when(F.col(ring) == k, F.col("scatter")))
     best = each.agg(F.when(of(wide) <= of(narrow), wide).otherwise(narrow).alias("_best"))
     return each.join(F.broadcast(best), F.lit(True)).withColumn("chosen", F.col(ring) == F.col("_best")).drop("_best")
@@ -136,29 +136,33 @@ def table_validation(df: DataFrame, native: DataFrame, target: int, curve_limit:
     return out.withColumn("curve_agrees", F.col("curve_difference") <= curve_limit).withColumn("counts_agree", F.col("count_difference") <= count_limit)
 
 
-def post_window_depth(df: DataFrame, by: list[str], t: str, flux: str, start: float, end: float, margin: float, least: int = 12) -> DataFrame:
-    """by, level, depth, scatter: fluxes over the median of those later than the window and a margin (of
-    all, where these are fewer than `least`); the median after the window less that inside, and the
-    robust scatter after it."""
+def post_window_depth(df: DataFrame, by: list[str], t: str, flux: str, start: float, end: float, margin: float, least: int = 12, tail: float = 0.8) -> DataFrame:
+    """by, level, depth, scatter: fluxes over the median of those later than the window and a margin (where these are
+    fewer than `least`, of those that come after a share `tail` of the series' rows in order of time); the median after the
+    window less that inside, and the robust scatter after it."""
     after, inside = F.col(t) > end + margin, F.col(t).between(start, end)
-    level = df.groupBy(*by).agg(F.when(F.count_if(after) >= least, median(F.when(after, F.col(flux)))).otherwise(median(F.col(flux))).alias("level"))
+    kin = Window.partitionBy(*by)
+    rows = df.withColumn("_i", F.row_number().over(kin.orderBy(t)) - 1).withColumn("_last", F.col("_i") >= F.floor(F.count("*").over(kin) * tail))
+    level = rows.groupBy(*by).agg(F.when(F.count_if(after) >= least, median(F.when(after, F.col(flux)))).otherwise(median(F.when(F.col("_last"), F.col(flux)))).alias("level"))
     rows = df.join(level, by).withColumn("_q", F.try_divide(flux, "level"))
     late = mad_raw(rows, by, F.when(after, F.col("_q"))).select(*by, F.col("mad").alias("scatter"))
     depth = median(F.when(after, F.col("_q"))) - median(F.when(inside, F.col("_q")))
     return rows.groupBy(*by).agg(F.first("level").alias("level"), depth.alias("depth")).join(late, by)
 
 
-def quality_frames(df: DataFrame, target: int, background: str, least: int = 6, low: float = 0.45, high: float = 1.7, sigmas: float = 7.0, floor: float = 1.0, frame: str = "frame", star: str = "star") -> DataFrame:
+def quality_frames(df: DataFrame, target: int, background: str, least: int = 6, low: float = 0.45, high: float = 1.7, sigmas: float = 7.0, floor: float = 1.0, frame: str = "frame", star: str = "star", inside: Column | None = None, rms: str | None = None, most_rms: float = 4.0) -> DataFrame:
     """frame, transparency (median over comparison stars of counts over the star's median), comparisons
     (those with counts), good: enough of them and the target counted, transparency between the limits,
     and the target's background no more than so many robust deviations (of the floor at least) over
-    the median of the counted frames."""
+    the median of the counted frames. With `inside`, whether the target's row lies inside the frame, and `rms`, its
+    centroids' scatter, these count too: outside, and a scatter of most_rms or more, is not good."""
     mine, seen = F.col(star) == target, F.col("counts") > 0
     rows = df.withColumn("_l", median(F.when(seen, F.col("counts"))).over(Window.partitionBy(star)))
     each = rows.groupBy(frame).agg(
-        median(F.when(~mine & seen, F.try_divide("counts", "_l"))).alias("transparency"), F.count_if(~mine & seen).alias("comparisons"), F.coalesce(F.bool_or(mine & seen), F.lit(False)).alias("_t"), F.max(F.when(mine, F.col(background))).alias("_b")
-    )
+        median(F.when(~mine & seen, F.try_divide("counts", "_l"))).alias("transparency"), F.count_if(~mine & seen).alias("comparisons"), F.coalesce(F.bool_or(mine & seen), F.lit(False)).alias("_t"), F.max(F.when(mine, F.col(background))).alias("_b"),
+        (F.coalesce(F.bool_or(mine & inside), F.lit(False)) if inside is not None else F.lit(True)).alias("_in"), (F.max(F.when(mine, F.col(rms))) < most_rms if rms else F.lit(True)).alias("_steady"),
+    )
     each = each.withColumn("_ok", F.col("_t") & (F.col("comparisons") >= least) & F.col("transparency").isNotNull())
     level = mad_raw(each.filter("_ok").withColumn("_all", F.lit(1)), ["_all"], F.col("_b")).select((F.col("median") + sigmas * F.greatest(F.col("mad"), F.lit(floor))).alias("_limit"))
-    good = F.col("_ok") & (F.col("transparency") > low) & (F.col("transparency") < high) & (F.col("_b") < F.col("_limit"))
+    good = F.col("_ok") & F.col("_in") & F.col("_steady") & (F.col("transparency") > low) & (F.col("transparency") < high) & (F.col("_b") < F.col("_limit"))
     return each.join(F.broadcast(level), F.lit(True), "left").select(frame, "transparency", "comparisons", F.coalesce(good, F.lit(False)).alias("good"))

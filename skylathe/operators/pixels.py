@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -246,14 +247,104 @@ def fft_shifts(df: DataFrame, key: str, image: str, reference: list[float], heig
     return df.select(key, shift(F.col(image)).alias("s")).select(key, "s.dy", "s.dx")
 
 
-def local_maxima(px: DataFrame, by: list[str], reach: int, above: float, below: float) -> DataFrame:
+def local_maxima(px: DataFrame, by: list[str], reach: int, above: float, below: float, tile: int = 256) -> DataFrame:
     """by, y, x, value: pixels over `above` and under `below` that no pixel within reach exceeds; of
-    equal ones the first."""
-    a, b = px.filter((F.col("value") > above) & (F.col("value") < below)), px.select(*by, F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("value").alias("ov"))
-    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    around = a.select(*by, "y", "x", "value", steps.alias("i")).select("*", steps.alias("j")).select(*by, "y", "x", "value", (F.col("y") + F.col("i")).alias("oy"), (F.col("x") + F.col("j")).alias("ox"))
-    beaten = (F.col("ov") > F.col("value")) | ((F.col("ov") == F.col("value")) & (F.struct("oy", "ox") < F.struct("y", "x")))
-    return around.join(b, [*by, "oy", "ox"]).groupBy(*by, "y", "x", "value").agg(F.bool_or(beaten).alias("lost")).filter(~F.col("lost")).drop("lost")
+    equal ones the first.
+
+    Frames are cut into tiles that hold `reach` pixels of their neighbours; a tile's maxima are taken along rows and then
+    columns, so a pixel costs two passes, not a square. Pixels without value exceed none. A tile with its border is all that a task holds.
+    """
+    side = tile + 2 * reach
+    on = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int"))
+    rows = px.filter("value is not null and y is not null and x is not null").select(*by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value"))
+    rows = rows.select("*", F.explode(on("y")).alias("_ty")).select("*", F.explode(on("x")).alias("_tx"))
+
+    def along(image: np.ndarray, axis: int) -> np.ndarray:
+        """Largest value within reach along an axis: windows of doubling width, then two that cover the whole."""
+        width, done = 2 * reach + 1, 1
+        out = image
+        cut = lambda a, i, n: a[i : i + n] if axis == 0 else a[:, i : i + n]
+        while 2 * done <= width:
+            n = out.shape[axis] - done
+            out, done = np.maximum(cut(out, 0, n), cut(out, done, n)), 2 * done
+        n = image.shape[axis] - width + 1
+        return np.maximum(cut(out, 0, n), cut(out, width - done, n))
+
+    def maxima(group: pa.Table) -> pa.Table:
+        y0, x0 = (group[c][0].as_py() * tile - reach for c in ("_ty", "_tx"))
+        y, x, v = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0, group["value"].to_numpy()
+        image = np.full((side, side), -np.inf)
+        image[y, x] = v
+        most = along(along(image, 0), 1)
+        inner = (y >= reach) & (y < side - reach) & (x >= reach) & (x < side - reach) & (v > above) & (v < below)
+        first = []
+        for i in np.flatnonzero(inner):
+            if v[i] == most[y[i] - reach, x[i] - reach]:
+                equal = np.argwhere(image[y[i] - reach : y[i] + reach + 1, x[i] - reach : x[i] + reach + 1] == v[i])[0]
+                if tuple(equal) == (reach, reach):
+                    first.append(i)
+        return group.take(pa.array(first, pa.int64())).drop(["_ty", "_tx"])
+
+    return rows.groupBy(*by, "_ty", "_tx").applyInArrow(maxima, rows.drop("_ty", "_tx").schema)
+
+
+def _high_pass(image: np.ndarray, smooth: float, low: float = 1.0, high: float = 99.7) -> np.ndarray:
+    """The image less a Gaussian mean of it, clipped at two percentiles, of mean 0 and deviation 1; zero if it has none."""
+    def blurred(a: np.ndarray, axis: int) -> np.ndarray:
+        reach = max(1, int(4 * smooth + 0.5))
+        kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / smooth) ** 2)
+        edge = np.pad(a, [(reach, reach) if i == axis else (0, 0) for i in range(2)], mode="symmetric")
+        return np.apply_along_axis(lambda v: np.convolve(v, kernel / kernel.sum(), "valid"), axis, edge)
+
+    out = image - blurred(blurred(image, 0), 1) if smooth > 0 else image
+    out = np.clip(out, *np.percentile(out, [low, high]))
+    spread = out.std()
+    return (out - out.mean()) / spread if spread > 0 else np.zeros_like(out)
+
+
+def _peak_shift(reference: np.ndarray, moving: np.ndarray, upsample: int) -> tuple[float, float]:
+    """How far moving lies from reference: the peak of their phase correlation, refined on a grid of 1 / upsample
+    pixels about it by a transform of that patch alone (Guizar-Sicairos, Thurman & Fienup 2008)."""
+    cross = np.fft.fft2(moving) * np.conj(np.fft.fft2(reference))
+    cross /= np.maximum(np.abs(cross), 100 * np.finfo(float).eps)
+    shape = np.array(cross.shape)
+    peak = np.array(np.unravel_index(np.abs(np.fft.ifft2(cross)).argmax(), cross.shape)).astype(float)
+    peak -= shape * (peak > shape // 2)
+    if upsample > 1:
+        fine = np.arange(-upsample, upsample + 1) / upsample
+        wave = lambda k, at: np.exp(2j * np.pi * np.outer(at, np.fft.fftfreq(shape[k])))
+        patch = np.abs(wave(0, peak[0] + fine) @ cross @ wave(1, peak[1] + fine).T)
+        if patch.max() > patch[upsample, upsample] * (1 + 1e-9):  # else the whole pixel stands
+            peak = peak + fine[list(np.unravel_index(patch.argmax(), patch.shape))]
+    return float(peak[0]), float(peak[1])
+
+
+def registered(px: DataFrame, frame: str, first, height: int, width: int, bin_: int = 8, smooth: float = 12.0, upsample: int = 2) -> DataFrame:
+    """frame, dy, dx: how many pixels each frame lies off the frame `first`, to bin_ / upsample of one.
+
+    Frames are averaged to bins, which add up ahead of the shuffle; a binned frame, of at most height x width /
+    bin_^2 values, is what one task holds. It is freed of what is smoother than `smooth` bins, clipped, and
+    held against the first one. Missing pixels count as the frame's mean; frames without pixels give nothing.
+    """
+    h, w = height // bin_, width // bin_
+    own = px.filter(f"value is not null and y >= 0 and x >= 0 and y < {h * bin_} and x < {w * bin_}")
+    bins = own.groupBy(frame, F.floor(F.col("y") / bin_).cast("int").alias("y"), F.floor(F.col("x") / bin_).cast("int").alias("x")).agg(F.avg("value").alias("value"))
+
+    def image(y: np.ndarray, x: np.ndarray, value: np.ndarray) -> np.ndarray:
+        out = np.full((h, w), value.mean())
+        out[y, x] = value
+        return _high_pass(out, smooth)
+
+    start = bins.filter(F.col(frame) == F.lit(first)).select("y", "x", "value").toPandas()  # one binned frame
+    if start.empty:
+        raise ValueError(f"there is no frame {first!r}")
+    reference = image(*(start[c].to_numpy() for c in ("y", "x", "value")))
+
+    def shift(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        dy, dx = _peak_shift(reference, image(*(rows[c].to_numpy() for c in ("y", "x", "value"))), upsample)
+        return pd.DataFrame({frame: [key[0]], "dy": [dy * bin_], "dx": [dx * bin_]})
+
+    return bins.groupBy(frame).applyInPandas(shift, f"`{frame}` {px.schema[frame].dataType.simpleString()}, dy double, dx double")
 
 
 def overlap_weights(height: int, width: int, cx: float, cy: float, radius: float) -> list[tuple[int, int, float]]:

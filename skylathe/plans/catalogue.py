@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import advanced, curves, files, fitting, further, sky, tables
+from . import advanced, curves, files, fitting, further, review, sky, tables
 
-_PARTS = (curves, fitting, tables, further, advanced, files, sky)
+_PARTS = (curves, fitting, tables, further, advanced, files, sky, review)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for part in _PARTS for k, v in part.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for part in _PARTS for k, v in part.ORACLES.items()}

@@ -174,7 +174,8 @@ def table_validation(spark, d):
     return photometry.table_validation(phot(spark, d), native, 1, curve_limit=1e-6).select("rows", "curve_agrees", "counts_agree")
 
 
-@query(f"""with {CURVES}, g as (select series, t, flux from lcg where good), n as (select series, coalesce(case when count(case when t > 19741.1 then 1 end) >= 12 then median(case when t > 19741.1 then flux end) end, median(flux)) as level from g group by series)
+@query(f"""with {CURVES}, g as (select series, t, flux from lcg where good), i as (select *, row_number() over (partition by series order by t) - 1 as i, floor(count(*) over (partition by series) * 0.8::double) as from_i from g),
+n as (select series, case when count(case when t > 19741.1 then 1 end) >= 12 then median(case when t > 19741.1 then flux end) else median(case when i >= from_i then flux end) end as level from i group by series)
 select g.series as series, round(median(case when t > 19741.1 then flux / level end) - median(case when t between 19736 and 19741 then flux / level end), 8) as depth, round(any_value(level), 8) as level from g join n on g.series = n.series group by g.series""")
 def post_window_depth(spark, d):
     out = photometry.post_window_depth(curves(spark, d).filter("good"), ["series"], "t", "flux", 19736.0, 19741.0, 0.1)

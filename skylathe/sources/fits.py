@@ -50,6 +50,26 @@ def card_value(card: str):
             return text
 
 
+def ordered_cards(data: bytes) -> list[tuple[str, str | None, str | None]]:
+    """Key, value as text and comment of a header's cards in order, up to END; cards without a value, like
+    HISTORY, have their text as value, blank ones are left out."""
+    out = []
+    for card in (data[i : i + CARD].decode("ascii", "replace") for i in range(0, len(data), CARD)):
+        key = card[:8].rstrip()
+        if card.rstrip() == "END":
+            break
+        if card[8:10] != "= ":
+            if key:
+                out.append((key, card[8:].rstrip(), None))
+            continue
+        rest, value = card[10:].strip(), card_value(card)
+        if rest.startswith("'"):
+            rest = rest[1:].replace("''", "\0\0").partition("'")[2]
+        comment = rest.partition("/")[2].strip()
+        out.append((key, None if value is None else {True: "T", False: "F"}.get(value, str(value)) if isinstance(value, bool) else str(value), comment or None))
+    return out
+
+
 def header_at(data: bytes, at: int, number: int = 0) -> tuple[dict, int]:
     """The header that begins at a byte, and where its data do."""
     header: dict = {}
@@ -124,7 +144,12 @@ def _source(spark: SparkSession, name: str, hdu: int | None = None):
 
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """path, hdu, header (map), data_offset, data_size: a row for each unit of each file; data aren't read."""
-    return _source(spark, "fits_headers").load(path)
+    return _source(spark, "fits_headers").load(path).drop("cards")
+
+
+def read_cards(spark: SparkSession, path: str) -> DataFrame:
+    """path, hdu, cards (array of key, value, comment in the header's order) of each unit of each file."""
+    return _source(spark, "fits_headers").load(path).select("path", "hdu", "cards")
 
 
 def read_table(spark: SparkSession, path: str, hdu: int = 1, wanted: list[str] | None = None) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import datasource as D
 from pyspark.sql import types as T
 
-from .fits import BLOCK, CODES, columns, headers, ones_complement, written_header
+from .fits import BLOCK, CODES, columns, headers, ones_complement, ordered_cards, written_header
 
 #: Bytes of a partition and those that opening a file counts as; rows of a batch.
 SPLIT, OPEN, ROWS = 32 << 20, 1 << 20, 1 << 15
@@ -142,6 +142,7 @@ class _Reader(D.DataSourceReader):
     def __init__(self, source: _Source, schema: T.StructType):
         self.path, self.pattern, self.split = source.path, source.options.get("pathGlobFilter", "*.fit*"), int(source.options.get("split", SPLIT))
         self.hdu, self.tile, self.schema = source.hdu, int(source.options.get("tile", 256)), schema
+        self.absent_is_null = source.options.get("absent", "error") == "null"
         self.only_path, self.filters = None, []
 
     def pushFilters(self, filters: list[D.Filter]) -> Iterator[D.Filter]:
@@ -178,6 +179,8 @@ class _TableReader(_Reader):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         unit = file.unit(self.hdu)
+        if (unit is None or "TFIELDS" not in unit[0]) and self.absent_is_null:
+            return
         if unit is None:
             raise ValueError(f"no unit {self.hdu} in {path}")
         header, at, _ = unit
@@ -185,7 +188,10 @@ class _TableReader(_Reader):
         first, last = (min(n, max(0, -(-(x - at) // width))) for x in (start, end))
         forms = {f["name"]: f for f in _forms(header)}
         asked = {f.name for f in self.schema.fields} | {x.attribute[0] for x in self.filters}
-        if missing := asked - set(forms) - {"path"}:
+        missing = asked - set(forms) - {"path"}
+        if missing & {x.attribute[0] for x in self.filters}:  # a comparison with null holds for no row
+            return
+        if missing and not self.absent_is_null:
             raise ValueError(f"{path} has no column {', '.join(sorted(missing))}")
         own = [forms[c] for c in forms if c in asked]
         ends = [f["at"] + (f["count"] if f["code"] == "A" else f["count"] * np.dtype(CODES[f["code"]][0]).itemsize) for f in own]
@@ -208,7 +214,7 @@ class _TableReader(_Reader):
                 cells = rows[f["name"]]
                 keep = _COMPARE[type(x)](cells.astype("f8") * f["scale"][0] + f["scale"][1] if f["scale"] else cells.astype(cells.dtype.newbyteorder("=")), x.value)
                 rows = rows[keep & (cells != f["null"]) if f["null"] is not None else keep]
-            told = [pa.array([path] * len(rows), pa.string()) if c.name == "path" else _cells(rows, forms[c.name]).cast(c.type) for c in schema]
+            told = [pa.array([path] * len(rows), pa.string()) if c.name == "path" else pa.nulls(len(rows), c.type) if c.name in missing else _cells(rows, forms[c.name]).cast(c.type) for c in schema]
             yield pa.RecordBatch.from_arrays(told, schema=schema)
 
 
@@ -245,8 +251,12 @@ class _HeaderReader(_Reader):
         if start:
             return
         schema = to_arrow_schema(self.schema)
-        rows = [{"path": path, "hdu": n, "header": {k: None if v is None else str(v) for k, v in h.items()}, "data_offset": at, "data_size": size} for n, h, at, size in headers(file)]
-        yield pa.RecordBatch.from_arrays([pa.array([list(r[c.name].items()) if c.name == "header" else r[c.name] for r in rows], c.type) for c in schema], schema=schema)
+        rows, begin = [], 0
+        for n, h, at, size in headers(file):
+            cards = [dict(zip(("key", "value", "comment"), c, strict=True)) for c in ordered_cards(file[begin:at])] if "cards" in schema.names else None
+            rows.append({"path": path, "hdu": n, "header": [(k, None if v is None else str(v)) for k, v in h.items()], "cards": cards, "data_offset": at, "data_size": size})
+            begin = at + -(-size // BLOCK) * BLOCK
+        yield pa.RecordBatch.from_arrays([pa.array([r[c.name] for r in rows], c.type) for c in schema], schema=schema)
 
 
 def checksum_code(total: int) -> str:
@@ -409,7 +419,8 @@ class _Source(D.DataSource):
 
 
 class FitsTable(_Source):
-    """Binary tables. Options: hdu (1), split (bytes of a partition), pathGlobFilter. The schema is the first
+    """Binary tables. Options: hdu (1), split (bytes of a partition), pathGlobFilter, absent (what a column that a file
+    lacks is: error, the default, or null; then files without the table give nothing). The schema is the first
     file's, with path; a schema of fewer columns reads only those. Writes part files."""
 
     unit = 1
@@ -452,14 +463,14 @@ class FitsImage(_Source):
 
 
 class FitsHeaders(_Source):
-    """A row for each unit of each file; data aren't read."""
+    """A row for each unit of each file, with its values by key and its cards in order; data aren't read."""
 
     @classmethod
     def name(cls) -> str:
         return "fits_headers"
 
     def schema(self) -> str:
-        return "path string, hdu int, header map<string,string>, data_offset long, data_size long"
+        return "path string, hdu int, header map<string,string>, cards array<struct<key:string,value:string,comment:string>>, data_offset long, data_size long"
 
     def reader(self, schema: T.StructType) -> _Reader:
         return _HeaderReader(self, schema)
