@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylathe.operators.quality import at_least
 from skylathe.operators.stats import clipped_std, correlation, mad_raw, median
 
 
@@ -64,14 +65,16 @@ def frame_transparency(df: DataFrame, frame: str = "frame", star: str = "star")
     return rows.groupBy(frame).agg(median(F.col("q")).alias("transparency"))
 
 
-def comparison_stars(df: DataFrame, x: Column, y: Column, flux: Column, width: Column, size: tuple[float, float], centre: tuple[float, float, float, float], most: int = 10) -> DataFrame:
+def comparison_stars(df: DataFrame, x: Column, y: Column, flux: Column, width: Column, size: tuple[float, float], centre: tuple[float, float, float, float], most: int = 10, tie: Column | None = None, least: int = 0) -> DataFrame:
     """The stars most like the target (x, y, flux, width): 300 away at least, 500 from the edge, of
-    half to one and a half its flux and within 1 of its width, by the size of the log of the ratio."""
+    half to one and a half its flux and within 1 of its width, by the size of the log of the ratio, then width, then
+    distance, then tie. Reading fails where there are fewer than `least`."""
     ratio = flux / centre[2]
     edge = F.least(x, y, size[0] - x, size[1] - y)
     rows = df.withColumn("distance", F.hypot(x - centre[0], y - centre[1])).withColumn("edge", edge).withColumn("ratio", ratio)
     rows = rows.filter((F.col("distance") >= 300) & (F.col("edge") >= 500) & F.col("ratio").between(0.5, 1.5) & (F.abs(width - centre[3]) <= 1))
-    return rows.orderBy(F.abs(F.log("ratio")), F.abs(width - centre[3]), F.desc("distance")).limit(most)
+    best = rows.orderBy(F.abs(F.log("ratio")), F.abs(width - centre[3]), F.desc("distance"), *([tie] if tie is not None else [])).limit(most)
+    return at_least(best, least, "comparison stars") if least else best
 
 
 def stable_stars(df: DataFrame, frames: int, frame: str = "frame", star: str = "star", coverage: float = 0.9, floor: float = 0.006, fallback: int = 10) -> DataFrame:

@@ -78,7 +78,7 @@ def difference_image(differences: DataFrame, by: list[str], least_events: int =
     return differences.groupBy(*by, "y", "x").agg(F.count("*").alias("events"), median(F.col("value")).alias("value")).filter(F.col("events") >= least_events)
 
 
-def drawn(draw: Column, slot: Column, n: Column, seed: int = 3505) -> Column:
+def drawn(draw: Column, slot: Column, n: Column, seed: int = 7919) -> Column:
     """A number from 0 to n - 1 for a slot of a draw, by two rounds of a linear congruence modulo 2^32.
     It isn't any library's generator, so draws differ from those of another program."""
     m = F.lit(1 << 32)

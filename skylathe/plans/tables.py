@@ -85,10 +85,10 @@ def frame_transparency(spark, d):
 
 @query("""with p as (select p_partkey, p_size, p_retailprice, (p_partkey * 37 % 4096)::double as x, (p_partkey * 91 % 4096)::double as y from part),
 q as (select *, sqrt((x - 2000) * (x - 2000) + (y - 2100) * (y - 2100)) as distance, least(x, y, 4096 - x, 4096 - y) as edge, p_retailprice / 1000::double as ratio from p)
-select p_partkey, round(distance, 6) as distance, edge, round(ratio, 6) as ratio from q where distance >= 300 and edge >= 500 and ratio between 0.5 and 1.5 and abs(p_size - 25) <= 1 order by abs(ln(ratio)), abs(p_size - 25), distance desc limit 10""")
+select p_partkey, round(distance, 6) as distance, edge, round(ratio, 6) as ratio from q where distance >= 300 and edge >= 500 and ratio between 0.5 and 1.5 and abs(p_size - 25) <= 1 order by abs(ln(ratio)), abs(p_size - 25), distance desc, p_partkey limit 10""")
 def comparison_star_choice(spark, d):
     p = table(spark, d, "part").withColumn("x", (F.col("p_partkey") * 37 % 4096).cast("double")).withColumn("y", (F.col("p_partkey") * 91 % 4096).cast("double"))
-    out = photometry.comparison_stars(p, F.col("x"), F.col("y"), F.col("p_retailprice"), F.col("p_size"), (4096.0, 4096.0), (2000.0, 2100.0, 1000.0, 25.0))
+    out = photometry.comparison_stars(p, F.col("x"), F.col("y"), F.col("p_retailprice"), F.col("p_size"), (4096.0, 4096.0), (2000.0, 2100.0, 1000.0, 25.0), tie=F.col("p_partkey"))
     return out.select("p_partkey", r("distance"), "edge", r("ratio"))
 
 
@@ -275,7 +275,7 @@ _LCG = "(a * 1664525 + 1013904223) % 4294967296"
 
 
 @query(f"""with {PX}, {_DIFF}, nb as (select label, event, row_number() over (partition by label order by event) - 1 as i from (select distinct label, event from df) q), nn as (select label, count(*) as n from nb group by label),
-s0 as (select label, n, draw, unnest(range(0, n)) as slot from nn, (select unnest(range(1, 601)) as draw) q), s1 as (select label, n, draw, (draw * 1103515245 + slot * 12345 + 3505) % 4294967296 as a from s0),
+s0 as (select label, n, draw, unnest(range(0, n)) as slot from nn, (select unnest(range(1, 601)) as draw) q), s1 as (select label, n, draw, (draw * 1103515245 + slot * 12345 + 7919) % 4294967296 as a from s0),
 s2 as (select label, n, draw, {_LCG} as a from s1), s3 as (select label, draw, ({_LCG}) // 65536 % n as i from s2),
 sm as (select s3.label as label, draw, y, x, median(value) as value from s3 join nb on s3.label = nb.label and s3.i = nb.i join df on df.label = nb.label and df.event = nb.event group by s3.label, draw, y, x),
 st as (select label, y, x, median(value) as value from df group by label, y, x), c as ({_moments("sm", "label, draw")}), w as ({_moments("st", "label")})

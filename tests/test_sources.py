@@ -146,7 +146,7 @@ def test_archives(spark, tmp_path):
     image = np.arange(20, dtype=">f4").reshape(4, 5)
     head = fits.written_header({"SIMPLE": True, "BITPIX": -32, "NAXIS": 2, "NAXIS1": 5, "NAXIS2": 4, "EXPTIME": 50.0} | {f"K{i}": i for i in range(700)})
     with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("night/TOI_Light_R_0007.fits", head + block(image.tobytes()))
+        z.writestr("night/Sky_Light_R_0007.fits", head + block(image.tobytes()))
         z.writestr("night/x_dark_50s_3.fits", head + block((image + 1).tobytes()))
         z.writestr("readme.txt", "no frame")
     listed = {r.member: r for r in archives.members(spark, str(tmp_path)).collect()}
