@@ -254,7 +254,6 @@ def local_maxima(px: DataFrame, by: list[str], reach: int, above: float, below:
     Frames are cut into tiles that hold `reach` pixels of their neighbours; a tile's maxima are taken along rows and then
     columns, so a pixel costs two passes, not a square. Pixels without value exceed none. A tile with its border is all that a task holds.
     """
-    side = tile + 2 * reach
     on = lambda c: F.sequence(F.floor((F.col(c) - reach) / tile).cast("int"), F.floor((F.col(c) + reach) / tile).cast("int"))
     rows = px.filter("value is not null and y is not null and x is not null").select(*by, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), F.col("value").cast("double").alias("value"))
     rows = rows.select("*", F.explode(on("y")).alias("_ty")).select("*", F.explode(on("x")).alias("_tx"))
@@ -271,12 +270,12 @@ def local_maxima(px: DataFrame, by: list[str], reach: int, above: float, below:
         return np.maximum(cut(out, 0, n), cut(out, width - done, n))
 
     def maxima(group: pa.Table) -> pa.Table:
-        y0, x0 = (group[c][0].as_py() * tile - reach for c in ("_ty", "_tx"))
-        y, x, v = group["y"].to_numpy() - y0, group["x"].to_numpy() - x0, group["value"].to_numpy()
-        image = np.full((side, side), -np.inf)
+        at_y, at_x, v = group["y"].to_numpy(), group["x"].to_numpy(), group["value"].to_numpy()
+        inner = (at_y // tile == group["_ty"][0].as_py()) & (at_x // tile == group["_tx"][0].as_py()) & (v > above) & (v < below)
+        y, x = at_y - at_y.min() + reach, at_x - at_x.min() + reach
+        image = np.full((y.max() + reach + 1, x.max() + reach + 1), -np.inf)  # as large as what there is of the tile
         image[y, x] = v
         most = along(along(image, 0), 1)
-        inner = (y >= reach) & (y < side - reach) & (x >= reach) & (x < side - reach) & (v > above) & (v < below)
         first = []
         for i in np.flatnonzero(inner):
             if v[i] == most[y[i] - reach, x[i] - reach]:
