@@ -80,7 +80,17 @@ def star_summary(spark, d):
     return out.select("star", "role", r("counts", 4), r("snr", 4), r("peak", 4), r("scatter_ppt"), "saturated")
 
 
-@query()
+def _picked_sql() -> str:
+    """CTEs k0 to k5: each role takes its row, or the nearest free one, the lower of two."""
+    near = "list_filter(flatten(list_transform(range(0, 6), lambda k: [{w} - k, {w} + k])), lambda j: j >= 0 and j < n and not list_contains(taken, j))[1]"
+    wanted = ["0", "n // 2", "greatest(0, m - 12)", "least(n - 1, m + 12)", "n - 1"]
+    return ", ".join(f"k{i + 1} as (select star, n, m, list_append(taken, {near.format(w=f'({w})')}) as taken from k{i})" for i, w in enumerate(wanted))
+
+
+@query(f"""with {PHOTOMETRY}, rw as (select star, frame, airmass, row_number() over (partition by star order by frame) - 1 as i from phot),
+lo as (select * from (select star, i as m, row_number() over (partition by star order by airmass, i) as q, count(*) over (partition by star) as n from rw) z where q = 1 and n >= 5),
+k0 as (select star, n, m, []::bigint[] as taken from lo), {_picked_sql()}, un as (select star, unnest(taken) as i, unnest({list(windows.ROLES)!r}) as role from k5)
+select un.star as star, role, un.i::int as row, frame from un join rw on un.star = rw.star and un.i = rw.i""")
 def representative_frames(spark, d):
     return windows.representative_rows(phot(spark, d), ["star"], "frame", "airmass")
 
@@ -239,7 +249,11 @@ def circles_search(spark, d):
     return match.in_circles(_sky(spark, d), circles, ("ra", "dec"), 60.0).select("c_custkey")
 
 
-@query()
+@query("""with c as (select o_orderkey, cast(o_orderdate as date) as day, 20 * 60 + o_orderkey % 60 as start, (24 * 60 + 30 + o_orderkey % 200) % 1440 as i, (24 * 60 + 150 + o_orderkey % 200) % 1440 as e from orders), z as (select *, unnest(['America/New_York', 'UTC']) as zone from c),
+l as (select o_orderkey, zone, day + to_minutes(i + case when i < start then 1440 else 0 end) as li, day + to_minutes(e + case when e < start then 1440 else 0 end) as le from z),
+u as (select *, epoch(timezone(zone, li))::bigint as ui, epoch(timezone(zone, le))::bigint as ue from l),
+t as (select o_orderkey, zone, case when timezone(zone, to_timestamp(ui - 3600)) = li then ui - 3600 else ui end as ingress, case when timezone(zone, to_timestamp(ue - 3600)) = le then ue - 3600 else ue end as egress from u)
+select *, (ingress + egress) / 2.0::double as midpoint, egress - ingress as duration, ingress < egress as in_order from t""")
 def zone_interpretation(spark, d):
     k = F.col("o_orderkey")
     rows = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), (20 * 60 + k % 60).alias("start"), ((24 * 60 + 30 + k % 200) % 1440).alias("ingress"), ((24 * 60 + 150 + k % 200) % 1440).alias("egress"))
