@@ -72,9 +72,10 @@ def flux_ratio(delta_mag: Column) -> Column:
 
 
 def separation_arcsec(ra1: Column, dec1: Column, ra2: Column, dec2: Column) -> Column:
-    """Angle between two sky positions in degrees, by the haversine."""
-    r = [F.radians(x) for x in (ra1, dec1, ra2, dec2)]
-    h = F.pow(F.sin((r[3] - r[1]) / 2), F.lit(2.0)) + F.cos(r[1]) * F.cos(r[3]) * F.pow(F.sin((r[2] - r[0]) / 2), F.lit(2.0))
+    """Angle between two sky positions in degrees, by the haversine. Degrees are subtracted before they are turned into
+    radians, which rounds less, so that positions to either side of another are equally far if their degrees are."""
+    half = lambda a, b: F.pow(F.sin(F.radians(b - a) / 2), F.lit(2.0))
+    h = half(dec1, dec2) + F.cos(F.radians(dec1)) * F.cos(F.radians(dec2)) * half(ra1, ra2)
     return F.degrees(F.asin(F.sqrt(clip(h, 0, 1)))) * 2 * 3600
 
 

@@ -57,3 +57,15 @@ def test_no_sources(spark):
     assert selection.spaced_stars(df, ["g"], "x", "y", "f", 5.0, 10).count() == 0
     with pytest.raises(ValueError, match="positive"):
         selection.spaced_stars(df, ["g"], "x", "y", "f", 0.0, 10)
+
+
+def test_nearly_equal_separations_rank_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from skylathe.plans import further
+
+    spark.createDataFrame([(1653,), (13809,), (1,)], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    got = [(r.c_custkey, r["rank"]) for r in further.cone_search(spark, str(tmp_path)).orderBy("rank").collect()]
+    assert got == con.execute(f"select c_custkey, rank from ({further.ORACLES['cone_search']}) q order by rank").fetchall()
