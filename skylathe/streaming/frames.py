@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -99,8 +100,17 @@ def previous_accepted(stream: DataFrame, key: str, ts: str, tie: str, accepted:
 
 
 def landed(rows: DataFrame, folder: str, number: Column) -> None:
-    """rows as files that arrive in order of number, as frames of a night land one by one."""
-    rows.withColumn("_n", number).repartition("_n").write.partitionBy("_n").mode("append").parquet(folder)
+    """rows as files that arrive in order of number, as frames of a night land one by one.
+
+    A stream takes files by the time of their last write, which tasks of one job don't keep in order, so the rows are
+    written aside at once and each number's file is then put in place by a job of its own.
+    """
+    spark, aside = rows.sparkSession, f"{folder}-{uuid.uuid4().hex}"
+    staged = rows.withColumn("_n", number)
+    staged.repartition("_n").write.partitionBy("_n").parquet(aside)
+    numbers = spark.read.schema(staged.schema).parquet(aside).select("_n").distinct().orderBy("_n").collect()  # a few, one a file
+    for n in ("__HIVE_DEFAULT_PARTITION__" if r[0] is None else r[0] for r in numbers):
+        spark.read.schema(rows.schema).parquet(f"{aside}/_n={n}").write.mode("append").parquet(f"{folder}/_n={n}")
 
 
 def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:

@@ -77,3 +77,15 @@ def test_too_late_rows_give_nothing_and_values_expire(spark, tmp_path):
     got = {(r.k, r.tie): r.guess for r in out.collect()}
     assert (1, 9) not in got  # later than the watermark: no row, and no wrong guess for others
     assert got == _guesses([*first, (3, 22_000, 8, 8.0, False), *later[1:]], expire=3000)
+
+
+def test_files_land_in_order_of_number(spark, tmp_path):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # a small table's files would all be one task's
+    try:
+        frames.landed(spark.range(600_000).toDF("id"), f"{tmp_path}/in", F.when(F.col("id") < 12, F.col("id") - 1).otherwise(-1))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    written = {int(p.parent.name[3:]): p.stat().st_mtime_ns for p in tmp_path.glob("in/_n=*/*.parquet")}
+    assert sorted(written) == list(range(-1, 11)) == sorted(written, key=written.get)
+    assert spark.read.parquet(f"{tmp_path}/in").count() == 600_000
