@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,54 +78,86 @@ def periodogram(df: DataFrame, by: list[str], t: str, y: str, error: str, freque
 #: Cells to either side over which a point is spread, and the kernel's width: sums come out to about 1e-11.
 REACH = 12
 _KERNEL = 4 / 3 * REACH / math.pi
+#: Points of a series that a task takes at once, if its cells aren't more.
+MANY = 1 << 17
 
 
 def full_periodogram(df: DataFrame, by: list[str], t: str, y: str, error: str, lowest: float, highest: float, samples: int = 8) -> DataFrame:
     """by, frequency, power, points, span: periodogram() on the whole grid of a series, `samples` frequencies
     to a peak's width (1 / span) from lowest to highest.
 
-    Points are spread on a regular grid of time (a Gaussian over 2 x REACH + 1 cells), so a series comes
-    down to sums by cell, which add up ahead of the shuffle; one fast transform of the cells then gives the
-    sums of all frequencies. The cost is points x cells of the kernel, whatever the number of frequencies. Rows
-    without a key, time, value or positive error are left out, and so are series of one time.
+    Points are spread on a regular grid of time (a Gaussian over 2 x REACH + 1 cells), and one fast transform of the cells
+    then gives the sums of all frequencies. The cost is points x cells of the kernel, whatever the number of frequencies.
+    Points are shuffled as they are, once, and spread where their series is; a series of more points than cells (and than MANY) is
+    first spread in parts of that size, whose cells are summed up. Rows without a key, time, value or positive error are left
+    out, and so are series of one time.
     """
     usable = F.col(t).isNotNull() & F.col(y).isNotNull() & (F.col(error) > 0)
     rows = df.filter(usable).select(*by, F.col(t).cast("double").alias("_t"), F.col(y).cast("double").alias("_y"), (1 / (F.col(error) * F.col(error))).alias("_w"))
     whole = rows.groupBy(*by).agg(F.min("_t").alias("_t0"), (F.max("_t") - F.min("_t")).alias("_span"), F.count("*").alias("_n"), F.sum("_w").alias("_sw"), (F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).alias("_mean")).filter("_span > 0")
     whole = whole.withColumn("_df", 1 / (F.col("_span") * samples)).withColumn("_count", 1 + F.rint((F.lit(highest) - lowest) / F.col("_df")).cast("long"))
     whole = whole.withColumn("_cells", F.pow(F.lit(2.0), F.ceil(F.log2(F.col("_count") * 8))).cast("long"))
-    rows = rows.join(whole, by).withColumn("_y", F.col("_y") - F.col("_mean")).withColumn("_a", (F.col("_t") - F.col("_t0")) * (2 * math.pi * lowest))
-    rows = rows.withColumn("_at", (F.col("_t") - F.col("_t0")) * F.col("_df") * F.col("_cells")).withColumn("_near", F.rint("_at").cast("long"))
-    rows = rows.withColumn("cell", F.explode(F.sequence(F.col("_near") - REACH, F.col("_near") + REACH)))
-    g = F.exp(-(F.col("_at") - F.col("cell")) * (F.col("_at") - F.col("cell")) / _KERNEL) * F.col("_w")
-    parts = {"wr": F.cos("_a"), "wi": F.sin("_a"), "yr": F.col("_y") * F.cos("_a"), "yi": F.col("_y") * F.sin("_a"), "dr": F.cos(F.col("_a") * 2), "di": F.sin(F.col("_a") * 2)}
-    own = F.when(F.col("cell") == F.col("_near"), F.col("_w") * F.col("_y") * F.col("_y"))
+    # Dealt by number, as a few points of a small table make work of their whole grid.
+    rows = rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by).join(whole, by)
+    rows = rows.withColumn("_y", F.col("_y") - F.col("_mean")).withColumn("_t", F.col("_t") - F.col("_t0"))
     told = ["_count", "_cells", "_df", "_sw", "_n", "_span"]
-    cells = rows.groupBy(*by, "cell").agg(*[F.sum(g * v).alias(k) for k, v in parts.items()], F.sum(own).alias("yy"), *[F.first(c).alias(c) for c in told])
-
-    def transform(key: tuple, grid: pd.DataFrame) -> pd.DataFrame:
-        first = grid.iloc[0]
-        n, count, total = int(first["_cells"]), int(first["_count"]), first["_sw"]
+    rows = rows.select(*by, "_t", "_w", (F.col("_w") * F.col("_y")).alias("_wy"), (F.col("_w") * F.col("_y") * F.col("_y")).alias("_wyy"), *told)
+    part = F.greatest(F.lit(MANY), F.col("_cells"))
+
+    def spread(points: pa.Table) -> dict[str, np.ndarray]:
+        """Complex sums by cell of weights (w), weighted values (y) and weights at twice the phase (d)."""
+        n, df_ = points["_cells"][0].as_py(), points["_df"][0].as_py()
+        sums = {name: np.zeros(n, complex) for name in "wyd"}
+        for i in range(0, points.num_rows, 1 << 15):
+            t_, w, wy = (points[c].to_numpy()[i : i + (1 << 15)] for c in ("_t", "_w", "_wy"))
+            at, turn = t_ * df_ * n, np.exp(2j * math.pi * lowest * t_)
+            cell = np.rint(at).astype(np.int64)[:, None] + np.arange(-REACH, REACH + 1)
+            g, place = np.exp(-((at[:, None] - cell) ** 2) / _KERNEL), (cell % n).ravel()
+            for name, v in (("w", w * turn), ("y", wy * turn), ("d", w * turn**2)):
+                sums[name].real += np.bincount(place, (g * v.real[:, None]).ravel(), n)
+                sums[name].imag += np.bincount(place, (g * v.imag[:, None]).ravel(), n)
+        return sums
+
+    def powers(key: tuple, points: pa.Table, grid: dict[str, np.ndarray], wyy: float) -> pa.Table:
+        n, count, df_, total = (points[c][0].as_py() for c in ("_cells", "_count", "_df", "_sw"))
 
         def sums(name: str, step: int) -> np.ndarray:
-            values = np.zeros(n, complex)
-            np.add.at(values, grid["cell"].to_numpy() % n, grid[f"{name}r"].to_numpy() + 1j * grid[f"{name}i"].to_numpy())
             k = step * np.arange(count)
-            return np.fft.ifft(values)[k] * n * np.exp(_KERNEL * (math.pi * k / n) ** 2) / math.sqrt(math.pi * _KERNEL)
+            return np.fft.ifft(grid[name])[k] * n * np.exp(_KERNEL * (math.pi * k / n) ** 2) / math.sqrt(math.pi * _KERNEL)
 
         one, flux, two = sums("w", 1) / total, sums("y", 1) / total, sums("d", 2) / total
         cc, ss, cs = (1 + two.real) / 2 - one.real**2, (1 - two.real) / 2 - one.imag**2, two.imag / 2 - one.real * one.imag
-        det, yy = cc * ss - cs**2, np.nansum(grid["yy"]) / total
+        det, yy = cc * ss - cs**2, wyy / total
         with np.errstate(divide="ignore", invalid="ignore"):
             power = (ss * flux.real**2 + cc * flux.imag**2 - 2 * cs * flux.real * flux.imag) / (yy * det)
-        out = pd.DataFrame({"frequency": lowest + np.arange(count) * first["_df"], "power": np.where((det > 1e-12) & (yy > 0), power, np.nan)})
-        for c, v in zip(by, key, strict=True):
-            out[c] = v
-        out["points"], out["span"] = int(first["_n"]), first["_span"]
-        return out
+        out = {"frequency": lowest + np.arange(count) * df_, "power": np.where((det > 1e-12) & (yy > 0), power, np.nan)}
+        return pa.table({**{c: pa.repeat(v, count) for c, v in zip(by, key, strict=True)}, **out, "points": pa.repeat(points["_n"][0], count), "span": pa.repeat(points["_span"][0], count)})
+
+    def direct(key: tuple, points: pa.Table) -> pa.Table:
+        return powers(key, points, spread(points), points["_wyy"].to_numpy().sum())
+
+    def in_part(key: tuple, points: pa.Table) -> pa.Table:
+        sums = spread(points)
+        cell = np.flatnonzero(sums["w"] != 0)
+        out = {"cell": cell, **{f"{k}{p}": getattr(v, kind)[cell] for k, v in sums.items() for p, kind in (("r", "real"), ("i", "imag"))}}
+        out["yy"] = np.where(np.arange(len(cell)) == 0, points["_wyy"].to_numpy().sum(), 0.0)
+        return pa.table({**{c: pa.repeat(v, len(cell)) for c, v in zip(by, key[:-1], strict=True)}, **out, **{c: pa.repeat(points[c][0], len(cell)) for c in told}})
+
+    def joined(key: tuple, cells: pa.Table) -> pa.Table:
+        grid = {k: np.zeros(cells["_cells"][0].as_py(), complex) for k in "wyd"}
+        for k, v in grid.items():
+            v[cells["cell"].to_numpy()] = cells[f"{k}r"].to_numpy() + 1j * cells[f"{k}i"].to_numpy()
+        return powers(key, cells, grid, cells["yy"].to_numpy().sum())
 
     kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
-    found = cells.groupBy(*by).applyInPandas(transform, f"{kinds}, frequency double, power double, points long, span double")
+    power = f"{kinds}, frequency double, power double, points long, span double"
+    sums = [f"{k}{p}" for k in "wyd" for p in "ri"]
+    # Points of one time add up first, so a hash of the time deals a series evenly.
+    large = rows.filter(F.col("_n") > part).groupBy(*by, "_t").agg(*[F.sum(c).alias(c) for c in ("_w", "_wy", "_wyy")], *[F.first(c).alias(c) for c in told])
+    large = large.withColumn("_part", F.pmod(F.xxhash64("_t"), F.ceil(F.col("_n") / part)))
+    cells = large.groupBy(*by, "_part").applyInArrow(in_part, f"{kinds}, cell long, {', '.join(f'{c} double' for c in sums)}, yy double, _count long, _cells long, _df double, _sw double, _n long, _span double")
+    cells = cells.groupBy(*by, "cell").agg(*[F.sum(c).alias(c) for c in (*sums, "yy")], *[F.first(c).alias(c) for c in told])
+    found = rows.filter(F.col("_n") <= part).groupBy(*by).applyInArrow(direct, power).unionByName(cells.groupBy(*by).applyInArrow(joined, power))
     return found.withColumn("power", F.when(~F.isnan("power"), F.col("power")))
 
 

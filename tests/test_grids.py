@@ -90,3 +90,18 @@ def test_empty_tables(spark):
     df = spark.createDataFrame([], KIND)
     assert grids.full_periodogram(df, ["s"], "t", "y", "e", 0.1, 1.0).count() == 0
     assert grids.box_search(df, ["s"], "t", "y", "e", 1.0, 5.0, [0.3]).count() == 0
+
+
+def test_a_series_spread_in_parts_has_the_same_powers(spark, monkeypatch):
+    df = spark.range(40_000).select((F.col("id") % 3 % 2).alias("s"), (F.col("id") * 7919 % 20_011 / 2000.0).alias("t"), F.sin(F.col("id") * 0.37).alias("y"), (F.lit(1.0) + F.col("id") % 3).alias("e"))
+    whole = grids.full_periodogram(df, ["s"], "t", "y", "e", 0.1, 5.0).toPandas().sort_values(["s", "frequency"])
+    monkeypatch.setattr(grids, "MANY", 1000)
+    parts = grids.full_periodogram(df, ["s"], "t", "y", "e", 0.1, 5.0).toPandas().sort_values(["s", "frequency"])
+    assert len(whole) == len(parts) > 100 and list(whole["points"]) == list(parts["points"])
+    assert np.allclose(whole["power"], parts["power"], rtol=1e-6, atol=1e-10)
+
+
+def test_points_are_shuffled_as_they_are_and_not_by_cell(spark):
+    df = spark.range(10).select(F.lit(1).alias("s"), F.col("id").cast("double").alias("t"), F.col("id").cast("double").alias("y"), F.lit(1.0).alias("e"))
+    plan = grids.full_periodogram(df, ["s"], "t", "y", "e", 0.1, 1.0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan
