@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylathe.functions.expr import box_fraction
+from skylathe.operators.cuts import cut
+
+#: Groups whose means are sent to every task rather than joined by a shuffle of the points.
+FEW = 100_000
 
 
 def alongside(rows: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,8 +42,10 @@ def box_sums(df: DataFrame, by: list[str], group: str | None, x: str, flux: str,
     own = [*by, *([group] if group else [])]
     rows = df.select(*own, F.col(x).alias("x"), F.col(flux).alias("y"), (1 / (F.col(error) * F.col(error))).alias("w"))
     w, u, v, b = F.col("w"), F.col("u"), F.col("v"), F.col("box")
+    # The rows may be many copies of a table, one a trial: they stay where they are unless the groups are too many to send.
     means = rows.groupBy(*own).agg(F.count("*").alias("m"), F.sum("w").alias("sw"), (F.sum(w * F.col("x")) / F.sum("w")).alias("xm"), (F.sum(w * F.col("y")) / F.sum("w")).alias("ym"))
-    rows = alongside(rows, means.filter(F.col("m") >= least_group).drop("m", "sw"), own).withColumn("u", F.col("x") - F.col("xm")).withColumn("v", F.col("y") - F.col("ym"))
+    means = cut(means.filter(F.col("m") >= least_group).drop("m", "sw"))
+    rows = alongside(rows, F.broadcast(means) if means.count() <= FEW else means, own).withColumn("u", F.col("x") - F.col("xm")).withColumn("v", F.col("y") - F.col("ym"))
     lines = rows.groupBy(*own).agg(F.count("*").alias("n"), F.sum("w").alias("sw"), F.sum(w * u * u).alias("sxx"), F.sum(w * u * v).alias("sxy"), F.sum(w * v * v).alias("syy"))
     lines = lines.withColumn("slope", F.coalesce(F.try_divide("sxy", "sxx"), F.lit(0.0)))
     base = lines.groupBy(*by).agg(F.sum("n").alias("n"), F.count("*").alias("groups"), F.sum(F.col("syy") - F.col("slope") * F.col("sxy")).alias("c"))

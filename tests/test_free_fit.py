@@ -55,3 +55,17 @@ def test_moving_medians_over_chunks(spark):
             near = [] if t is None else [v for q, u, v, _ in rows if q == s and u is not None and v is not None and v == v and abs(u - t) <= width // 2]
             want[s, name] = float(np.median(near)) if len(near) >= 2 else None
         assert {(r.s, r.name): r.moving for r in got.collect()} == want
+
+
+def test_points_of_box_fits_are_not_shuffled_to_meet_their_means(spark):
+    from skylathe.operators import fits
+
+    df = spark.range(200).select((F.col("id") % 2).alias("s"), (F.col("id") / 10.0).alias("x"), (F.col("id") % 7 / 1.0).alias("y"), F.lit(1.0).alias("e"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where many copies of the points look large
+    try:
+        base, _ = fits.box_sums(df, ["s"], None, "x", "y", "e", fits.grid(spark, [1.0], [0.0]), 0.02)
+        plan = base._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and base.count() == 2
