@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skylathe.functions.expr import separation_arcsec
+from skylathe.functions.expr import finite, separation_arcsec
+
+from . import tiles
 
 
 def within(left: DataFrame, right: DataFrame, xy: tuple[str, str], other: tuple[str, str], radius: float) -> DataFrame:
@@ -43,16 +46,46 @@ def sky_pairs(left: DataFrame, right: DataFrame, pos: tuple[str, str], other: tu
     return a.join(b, ["_b", "_c"]).drop("_b", "_c").withColumn("separation", sep).filter(F.col("separation") <= radius)
 
 
+#: Least height of a tile in degrees: tiles of a sparse sky aren't of a row each, those of a dense one no larger than a task holds.
+_TILE = 0.25
+
+
 def sky_matches(left: DataFrame, right: DataFrame, key: str, pos: tuple[str, str], other: tuple[str, str], name: str, radius: float, close: float | None = None, aperture: float | None = None) -> DataFrame:
-    """key, matches, nearest, separation, status: what lies within radius arcsec; keys without a match keep
-    a row. Ties go to the smaller name. status is matched, distant (further than `close`) or none. With an
-    aperture, within_aperture counts the matches inside it."""
-    pairs = sky_pairs(left, right, pos, other, [name], radius)
-    inside = [F.count_if(F.col("separation") <= aperture).alias("within_aperture")] if aperture is not None else []
-    best = pairs.groupBy(key).agg(F.count("*").alias("matches"), F.min(F.struct("separation", f"_o_{name}")).alias("m"), *inside)
-    out = left.select(key).join(best, key, "left")
+    """key, matches, nearest, separation, status: what lies within radius arcsec; a row for each of left's, those
+    without a match included. Ties go to the smaller name. status is matched, distant (further than `close`) or none. With an
+    aperture, within_aperture counts the matches inside it.
+
+    No pairs are made: tiles of left meet the right side's positions in the nine tiles about them, each position
+    once with its rows counted, and are counted there by strips (tiles.py).
+    """
+    reach = max(radius / 3600, _TILE)
+    band = lambda c: F.floor(c / reach)
+    a = left.select(F.col(key).alias("key"), F.col(pos[0]).cast("double").alias("ra"), F.col(pos[1]).cast("double").alias("dec")).withColumn("_b", band(F.col("dec")))
+    a = a.withColumn("_c", _sky_cells(F.col("ra"), F.col("_b"), reach)[1])
+    b = right.select(finite(F.col(other[0]).cast("double")).alias("ra"), finite(F.col(other[1]).cast("double")).alias("dec"), F.col(name).alias("name")).filter("ra is not null and dec is not null")
+    b = b.groupBy("ra", "dec").agg(F.min(F.struct("name")).alias("m"), F.count("*").alias("n")).select("ra", "dec", "m.name", "n", F.explode(F.sequence(F.lit(-1), F.lit(1))).alias("_i"))
+    b = b.withColumn("_b", band(F.col("dec")) + F.col("_i"))
+    n, at = _sky_cells(F.col("ra"), F.col("_b"), reach)
+    b = b.withColumn("_c", F.explode(F.array_distinct(F.array(*[F.pmod(at + k, n) for k in (-1, 0, 1)])))).drop("_i")
+    radii = [radius] if aperture is None else [radius, min(aperture, radius)]
+    kind = {f.name: f.dataType.simpleString() for f in b.schema.fields} | {"key": a.schema["key"].dataType.simpleString()}
+    counts = [f"sure{k}" for k in range(len(radii))]
+    doubts = [f"doubt{k}" for k in range(len(radii))]
+    schema = ", ".join([f"key {kind['key']}, ra double, dec double", *[f"{c} long" for c in counts], *[f"{c} array<struct<ra:double,dec:double,n:long>>" for c in doubts], f"near array<struct<ra:double,dec:double,name:{kind['name']}>>"])
+
+    def tile(rows: pa.Table, others: pa.Table) -> pa.Table:
+        sure, lists = tiles.matched(rows, others, radii)
+        return pa.table([rows["key"], rows["ra"], rows["dec"], *sure, *lists], names=["key", "ra", "dec", *counts, *doubts, "near"])
+
+    out = a.groupBy("_b", "_c").cogroup(b.groupBy("_b", "_c")).applyInArrow(tile, schema)
+    sep = lambda o: separation_arcsec(F.col("ra"), F.col("dec"), o["ra"], o["dec"])
+    rim = lambda d, r: F.aggregate(F.filter(d, lambda o: sep(o) <= r), F.lit(0).cast("long"), lambda s, o: s + o["n"])
+    whole = [F.col(c) + rim(d, r) for c, d, r in zip(counts, doubts, radii, strict=True)]
+    best = F.array_min(F.filter(F.transform("near", lambda o: F.struct(sep(o).alias("separation"), o["name"].alias("name"))), lambda s: s["separation"] <= radius))
+    out = out.select("key", best.alias("m"), *[w.alias(f"whole{k}") for k, w in enumerate(whole)])
     status = F.when(F.col("m").isNull(), "none").when(F.col("m.separation") > (radius if close is None else close), "distant").otherwise("matched")
-    return out.select(key, F.coalesce("matches", F.lit(0)).alias("matches"), F.col(f"m._o_{name}").alias("nearest"), F.col("m.separation").alias("separation"), status.alias("status"), *[F.coalesce("within_aperture", F.lit(0)).alias("within_aperture") for _ in inside])
+    inside = [F.col("whole1").alias("within_aperture")] if aperture is not None else []
+    return out.select(F.col("key").alias(key), F.col("whole0").alias("matches"), F.col("m.name").alias("nearest"), F.col("m.separation").alias("separation"), status.alias("status"), *inside)
 
 
 def cone(df: DataFrame, pos: tuple[str, str], centre: tuple[float, float], radius: float) -> DataFrame:
