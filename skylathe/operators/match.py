@@ -95,8 +95,9 @@ def cone(df: DataFrame, pos: tuple[str, str], centre: tuple[float, float], radiu
 
 
 def in_circles(df: DataFrame, circles: DataFrame, pos: tuple[str, str], radius: float) -> DataFrame:
-    """df's distinct rows that lie in any of the circles about the positions of another table."""
-    return sky_pairs(df, circles, pos, pos, [], radius).select(*df.columns).distinct()
+    """df's distinct rows that lie in any of the circles about the positions of another table, however many circles overlap."""
+    rows = df.select(F.struct(*df.columns).alias("_row"), *pos)
+    return sky_matches(rows, circles.withColumn("_one", F.lit(1)), "_row", pos, pos, "_one", radius).filter("matches > 0").select("_row.*").distinct()
 
 
 def broken_join(left: DataFrame, right: DataFrame, key: str, same: str) -> DataFrame:

@@ -29,6 +29,14 @@ def test_a_crowd_makes_no_pairs(spark):
     assert "Join" not in plan.getvalue() and "SortAggregate" not in plan.getvalue().split("FlatMapCoGroups")[0]
 
 
+def test_rows_in_overlapping_circles_come_once_without_pairs(spark):
+    df = spark.createDataFrame([("in", 10.0, 0.0), ("in", 10.0, 0.0), ("out", 11.0, 0.0), ("none", None, 0.0)], "k string, ra double, dec double")
+    out = match.in_circles(df, spark.createDataFrame([(10.0, i / 36000) for i in range(50)], "ra double, dec double"), ("ra", "dec"), 8.0)
+    with contextlib.redirect_stdout(io.StringIO()) as plan:
+        out.explain()
+    assert "Join" not in plan.getvalue() and [tuple(r) for r in out.collect()] == [("in", 10.0, 0.0)]
+
+
 def test_counts_are_those_of_all_pairs(spark):
     rng = random.Random(5)
     for height, spread, radius in ((0.0, 0.2, 300.0), (45.0, 0.02, 20.0), (-89.97, 0.05, 90.0), (89.5, 0.6, 4000.0), (10.0, 30.0, 200_000.0)):
