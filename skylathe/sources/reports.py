@@ -57,18 +57,22 @@ def read_event_info(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_series_answers(spark: SparkSession, path: str) -> DataFrame:
+def read_series_answers(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """path, rows, finite_rows, start, stop, depth_ppt, scopes: summary of the time series in an archive's answers.
 
     rows counts all, finite_rows those with a finite LC_DETREND; start and stop are the least and largest finite TIME; the depth
     is a thousand times what MODEL_INIT falls below zero; scopes are the distinct SECTORS in order, joined. A file without rows is an error.
+
+    With a key, files hold many answers, one a line, and that field of an answer, as a string, stands in place of path.
+    A file an answer costs more to open than to read, so this is the form for a large archive.
     """
     row = "struct<TIME:double,LC_DETREND:double,MODEL_INIT:double,SECTORS:string>"
-    rows = spark.read.schema(f"data array<{row}>").option("multiLine", "true").option("recursiveFileLookup", "true").json(path).select(F.input_file_name().alias("path"), "data")
-    rows = rows.select("path", F.when(F.coalesce(F.size("data"), F.lit(0)) < 1, F.raise_error(F.concat("path", F.lit(" has no rows"))).cast(f"array<{row}>")).otherwise(F.col("data")).alias("data"))
-    each = rows.select("path", F.inline("data"))
+    told, by = (f"`{key}` string, ", key) if key else ("", "path")
+    rows = spark.read.schema(f"{told}data array<{row}>").option("multiLine", str(not key).lower()).option("recursiveFileLookup", "true").json(path).select(F.input_file_name().alias("path"), *([F.col(f"`{key}`")] if key else []), "data")
+    rows = rows.select(*([F.col(f"`{key}`")] if key else ["path"]), F.when(F.coalesce(F.size("data"), F.lit(0)) < 1, F.raise_error(F.concat("path", F.lit(" has no rows"))).cast(f"array<{row}>")).otherwise(F.col("data")).alias("data"))
+    each = rows.select(F.col(f"`{by}`"), F.inline("data"))
     time, model = finite(F.col("TIME")), finite(F.col("MODEL_INIT"))
-    return each.groupBy("path").agg(
+    return each.groupBy(f"`{by}`").agg(
         F.count("*").alias("rows"), F.count(finite(F.col("LC_DETREND"))).alias("finite_rows"), F.min(time).alias("start"), F.max(time).alias("stop"),
         (-F.min(model) * 1000).alias("depth_ppt"), F.array_join(F.sort_array(F.collect_set("SECTORS")), ";").alias("scopes"),
     )

@@ -1,9 +1,11 @@
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skylathe.operators.cuts import shared_folder
 from skylathe.sources import fits, fits_source, reports
 
 
@@ -53,3 +55,25 @@ def test_headers_merge_in_order(spark, tmp_path):
     text = b"".join(c.ljust(80).encode() for c in ("SIMPLE  =                    T / conforms", "OBJECT  = 'a/b ''c'''          / a name", "HISTORY first step", "EXPTIME =                 50.0", "", "END"))
     (tmp_path / "h.fits").write_bytes(text.ljust(2880))
     assert [tuple(c) for c in fits.read_cards(spark, str(tmp_path)).first().cards] == [("SIMPLE", "T", "conforms"), ("OBJECT", "a/b 'c'", "a name"), ("HISTORY", "first step", None), ("EXPTIME", "50.0", None)]
+
+
+def test_answers_of_one_file_are_told_apart_by_a_field(spark, tmp_path):
+    row = lambda t: {"TIME": t, "LC_DETREND": t, "MODEL_INIT": -t / 1000, "SECTORS": f"s{t:.0f}"}
+    (tmp_path / "many.json").write_text("\n".join(json.dumps(a) for a in ({"user id": 7, "data": [row(1.0), row(2.0)]}, {"user id": 8, "data": [row(3.0)]}, {"data": [row(4.0)]})))
+    got = {tuple(r) for r in reports.read_series_answers(spark, str(tmp_path), "user id").collect()}
+    assert got == {("7", 2, 2, 1.0, 2.0, 2.0, "s1;s2"), ("8", 1, 1, 3.0, 3.0, 3.0, "s3"), (None, 1, 1, 4.0, 4.0, 4.0, "s4")}
+    (tmp_path / "empty.json").write_text('{"user id": 9}')
+    with pytest.raises(Exception, match="has no rows"):
+        reports.read_series_answers(spark, str(tmp_path), "user id").collect()
+
+
+def test_the_query_of_answers_writes_few_files(spark, tmp_path):
+    from skylathe.plans import catalogue
+
+    events = spark.range(1500).selectExpr("id as event_id", "timestamp_seconds(id) as ts", "nullif(id div 3, 0) as user_id", "'a' as event_type", "double(id) as value", "'{\"k\": 1}' as props")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    before = set(os.listdir(shared_folder(spark)))
+    out = catalogue.QUERIES["series_answers"](spark, str(tmp_path)).collect()
+    assert len(out) == 500 and {r.user_id for r in out} == {None, *range(1, 500)} and all(r.rows == 3 for r in out)
+    (folder,) = set(os.listdir(shared_folder(spark))) - before
+    assert sum(f.endswith(".json") for _, _, files in os.walk(f"{shared_folder(spark)}/{folder}") for f in files) < 50
