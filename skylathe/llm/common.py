@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: Broadcast limit for tables whose size the caller has counted (rows times bytes a row).
 BROADCAST_BYTES = 8 << 20
 
+#: Narrow rows of a task in tables whose rows are counted.
+A_TASK = 1 << 16
+
 #: Words of a sieve: 2 to this, 1 MB where the caller asks for no other size.
 _SIEVE_BITS = 17
 
@@ -40,6 +43,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """As checkpointed(), in as few partitions as its rows need, and how many rows: for narrow tables that
+    several steps read, as each would start a task for every partition of the last shuffle."""
+    df = checkpointed(df)
+    return fewer(df, n := df.count()), n
+
+
+def fewer(df: DataFrame, rows: int) -> DataFrame:
+    """df, which has so many narrow rows, in as few partitions as they need."""
+    return df.coalesce(max(1, -(-rows // A_TASK)))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder, for wide tables that Parquet holds in less. Such a
     table stays until the folder is cleared."""

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, fewer
 
 #: Largest bucket of variants that is paired directly.
 BUCKET_PAIRS = 16
@@ -120,7 +120,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges, before = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), None
     while (now := state(edges)) != before:
-        before = now
+        before, edges = now, fewer(edges, now[0])
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = star(both, F.col("v") > F.col("u")).select(F.col("m").alias("v"), F.col("v").alias("u")).distinct()

@@ -3,7 +3,7 @@ import random
 import xxhash
 from pyspark.sql import functions as F
 
-from skylathe.llm import simhash
+from skylathe.llm import common, simhash
 
 
 def slow_fingerprint(text):
@@ -89,3 +89,12 @@ def test_repeated_and_null_rows(spark):
     assert sorted(rows, key=str) == sorted([(1, 1), (1, 1), (None, 1), (None, 2), (2, 2)], key=str)
     assert simhash.one_of_each(docs).filter(F.col("doc_id").isNotNull()).count() == 2
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_small_tables_of_many_partitions_become_few(spark):
+    table, rows = common.counted(spark.range(0, 60, 1, 97).toDF("a"))
+    assert rows == 60 and table.rdd.getNumPartitions() == 1
+    assert sorted(r.a for r in table.collect()) == list(range(60))
+    assert common.fewer(table, 0).count() == 60
+    roots = {r.node: r.root for r in simhash.components(table.selectExpr("a", "a + 1 as b")).collect()}
+    assert roots == {i: 0 for i in range(61)}
