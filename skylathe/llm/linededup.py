@@ -1,15 +1,13 @@
 """Line dedup as an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five words; a line of one to four words has one token, all
-its words. Tokens are ordered by rarity: a shingle is as rare as its first word, whose occurrences are
-counted over the whole corpus (in 8,192 hashed buckets), and rarer ones come first. Tokens that turn
-out to stand in many prefixes nevertheless, as those of a passage that many lines hold, go behind all
-others by their own count. Any order keeps the join exact; rarity keeps it small. Lines of one token
-set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
+its words. Tokens are 64-bit hashes and ordered as such. Tokens that turn out to stand in many prefixes,
+as those of a passage that many lines hold, go behind all others by their own count. Any order keeps
+the join exact; that one keeps it small. Lines of one token set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only classes that share such a token are compared, under the length and
 the positional filter and a bitmap filter: every token flips one bit of its class's bitmap, so bitmaps
-that differ in more bits than similar sets have tokens apart rule a pair out. What is left is verified
-on the words of the lines. Every line that matches an earlier one goes.
+that differ in more bits than similar sets have tokens apart rule a pair out. So do, for sets too large
+for their bitmaps, the first tokens of both as far as both are known. What is left is verified on the words of the lines. Every line that matches an earlier one goes.
 
 All steps are DataFrame functions. Copies of a line are one class throughout, so a line that a third
 of the corpus repeats is joined once.
@@ -20,19 +18,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, hinted, in_sieve, sieve, written
+from .common import BROADCAST_BYTES, checkpointed, counted, hinted, in_sieve, sieve, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Buckets of words whose occurrences are counted: 2 to this.
-_BUCKET_BITS = 13
 #: Tokens in more prefixes than COMMON are moved behind all others, the COMMONEST of them at most.
 COMMON, COMMONEST = 256, 1 << 14
-#: Sets of more tokens have a second bitmap, of so many longs, where long sets are asked for.
-_LONG_SET, _WIDE = 1000, 128
+#: Pairs of sets of more tokens are held to their first tokens: behind bitmaps of one long, and of eight.
+_LINE_SET, _LONG_SET = 100, 1000
 #: Words of the sieve of shared tokens: 2 to this, 4 MB.
 _TOKEN_SIEVE = 19
-#: A token is one long: its rank above, its hash in the low bits.
-_HASH_BITS = 63 - _BUCKET_BITS
+#: Tokens for each long of a bitmap up to which a set has one.
+_A_LONG = 200
 
 
 def _spaced(text: Column) -> Column:
@@ -49,38 +45,31 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
-def _of_word(word: Column) -> Column:
-    return word.bitwiseAND(F.lit((1 << _BUCKET_BITS) - 1))
+def _word_hashes(line: str) -> Column:
+    return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """A constant array with the rank of each bucket of words by its count in the texts, rarest first,
-    shifted to a token's upper bits; its size is fixed, whatever the corpus. Words count as written."""
-    seen = docs.select(F.explode_outer(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
-    counts = seen.groupBy(_of_word(F.xxhash64("w")).alias("b")).agg(F.count("w").alias("n"))
-    of = {r.b: r.n for r in counts.collect()}  # 8,192 rows at most
-    ranks = {b: i for i, b in enumerate(sorted(range(1 << _BUCKET_BITS), key=lambda b: (of.get(b, 0), b)))}
-    return F.split(F.lit(",".join(str(ranks[b] << _HASH_BITS) for b in range(1 << _BUCKET_BITS))), ",").cast("array<bigint>")
+def _joined(a: Column, b: Column, by: int) -> Column:
+    """Hashes of the elements of a with those of b that stand by places behind; none behind the end, which adds nothing."""
+    return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.coalesce(F.xxhash64(x, y), F.lit(0)))
 
 
-def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
-    """lines with __t in place of line: the distinct tokens in order of rarity; none of a blank line."""
-    words = F.transform(F.split(F.lower("line"), " "), lambda w: F.xxhash64(w))
-    rows = lines.withColumn("__w", F.array_remove(words, F.xxhash64(F.lit("")))).drop("line")
+def _distinct_shingles(words: Column, twos: Column) -> Column:
+    """Hashes of the distinct shingles, from those of words and of words with the next."""
+    return F.array_distinct(F.slice(_joined(_joined(twos, twos, 2), words, SHINGLE - 1), F.lit(1), _many(words)))
 
-    def token(word: Column, i: Column) -> Column:
-        rest = [F.get("__w", i + j) for j in range(1, SHINGLE)]  # null behind the last word, which adds nothing to a hash
-        return F.get(ranks, _of_word(word).cast("int")).bitwiseOR(F.shiftrightunsigned(F.xxhash64(word, *rest), 64 - _HASH_BITS))
 
-    many = F.expr(f"greatest(size(__w) - {SHINGLE - 1}, least(size(__w), 1))")
-    return rows.withColumn("__t", F.sort_array(F.array_distinct(F.slice(F.transform("__w", token), F.lit(1), many)))).drop("__w")
+def _tokens(lines: DataFrame) -> DataFrame:
+    """lines with __t in place of line: the distinct tokens in order; none of a blank line."""
+    rows = lines.withColumn("__w", _word_hashes("line")).drop("line").withColumn("__2", _joined(F.col("__w"), F.col("__w"), 1))
+    return rows.withColumn("__t", F.sort_array(_distinct_shingles(F.col("__w"), F.col("__2")))).drop("__w", "__2")
 
 
 def _bitmap(longs: int) -> Column:
-    """An array of longs in which each token of __t flips one bit."""
+    """An array of longs in which each token of __t flips one bit; null for sets that it can't tell apart."""
     flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
     own = lambda j: F.filter("__t", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(longs - 1)) == j) if longs > 1 else F.col("__t")
-    return F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)])
+    return F.when(F.size("__t") <= _A_LONG * longs, F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)]))
 
 
 #: Tokens of a set of n of which similar sets share one: all but ceil(0.8 n), and one.
@@ -92,36 +81,34 @@ def _first(tokens: str) -> Column:
     return F.expr(f"slice({tokens}, 1, (size({tokens}) - ((4 * size({tokens}) + 4) div 5) + 1) * 3 div 2 + 1)")
 
 
-def _wide_bitmap() -> Column:
-    """The same for sets of more than _LONG_SET tokens, a quarter of the tokens in _WIDE longs; null for others."""
-    few = F.filter("__t", lambda t: F.shiftright(t, 20).bitwiseAND(F.lit(3)) == 0)
-    flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
-    own = lambda ts, j: F.filter(ts, lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(_WIDE - 1)) == j)
-    longs = lambda ts: F.transform(F.sequence(F.lit(0), F.lit(_WIDE - 1)), lambda j: F.aggregate(own(ts, j), F.lit(0).cast("long"), flip))
-    return F.when(F.size("__t") > _LONG_SET, F.element_at(F.transform(F.array(few), longs), 1))
-
-
 def _bits_apart(a: str, b: str) -> Column:
-    """How many bits differ; at most as many as tokens do."""
+    """How many bits differ; at most as many as tokens do. Null if one has none."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
+def _first_apart(a: str, b: str) -> Column:
+    """How many tokens sets have apart, of those up to where the first tokens of both reach."""
+    reach = F.least(F.element_at(a, -1), F.element_at(b, -1))
+    within = lambda f: F.size(F.filter(f, lambda t: t <= reach))
+    return within(a) + within(b) - 2 * F.size(F.array_intersect(a, b))
+
+
 class _Join:
     """The similarity join over docs (doc_id, h, text), up to the index of tokens that classes share.
 
     rows: the lines that have tokens (doc_id, h, line_no, k, n, bits, first_tokens); classes: k, first,
     lines, n, bits; index: t, k, n, i, first, bits for the prefix tokens t that more than one class
     has. longs: size of the bitmaps, a power of 2; one long serves sets of up to about 140 tokens, eight
-    of up to 1000. long_sets gives larger sets a second bitmap, to which candidates of the first are held.
+    of up to 1000. Pairs of sets of more than held tokens are held to their first tokens, too.
     """
 
-    def __init__(self, docs: DataFrame, longs: int = 1, long_sets: bool = False):
-        self.docs, self.ranks, self.long_sets = docs, rarity(docs), long_sets
-        rows = _tokens(_lines(docs), self.ranks)
-        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), *([_wide_bitmap().alias("wide")] if long_sets else []), _first("__t").alias("first_tokens"))
+    def __init__(self, docs: DataFrame, longs: int = 1, held: int = _LINE_SET):
+        self.docs, self.held = docs, held
+        rows = _tokens(_lines(docs))
+        rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), _first("__t").alias("first_tokens"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
         first = F.min(F.struct("doc_id", "h", "line_no")).alias("first")
-        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("n").alias("n"), F.max("bits").alias("bits"), *([F.max("wide").alias("wide")] if long_sets else [])), "classes")
+        self.classes = written(rows.groupBy("k").agg(first, F.count("*").alias("lines"), F.max("n").alias("n"), F.max("bits").alias("bits")), "classes")
         prefix = F.slice("first_tokens", F.lit(1), F.expr(_PREFIX))
         tokens = rows.select("k", F.explode_outer(prefix).alias("t"))
         shared = written(tokens.groupBy("t").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("lines")).filter("a < b").select("t", "lines"), "shared")
@@ -146,7 +133,7 @@ class _Join:
         rows = self.rows.withColumn("new", F.slice(others, F.lit(1), F.expr(_PREFIX)))
         enough = F.size("new") == F.expr(_PREFIX)
         keys = rows.filter(~enough).select("k").distinct()
-        sets = _tokens(self._lines_of(keys), self.ranks).withColumn("__t", F.concat(F.filter("__t", lambda t: ~is_common(t)), F.filter("__t", is_common)))
+        sets = _tokens(self._lines_of(self.classes.join(keys, "k", "left_semi").select("k", "first"))).withColumn("__t", F.concat(F.filter("__t", lambda t: ~is_common(t)), F.filter("__t", is_common)))
         sets = sets.withColumn("n", F.size("__t"))
         again = written(sets.select("k", "n", F.posexplode_outer(F.slice("__t", F.lit(1), F.expr(_PREFIX))).alias("i", "t")), "reordered")
         fresh = F.array_except("new", F.slice("first_tokens", F.lit(1), F.expr(_PREFIX)))
@@ -162,40 +149,37 @@ class _Join:
         return least.select("t", *[F.col(f"e.{c}").alias(f"{c}_x") for c in ("k", "n", "i", "first", "bits")])
 
     def matching(self, pairs: DataFrame) -> DataFrame:
-        """k_x, k_y of the candidates (with n_x, i_x, bits_x, ...) that are alike: length, positional
-        and bitmap filter, then Jaccard on whole sets of shingles."""
+        """k_x, k_y of the candidates (with n_x, i_x, first_x, bits_x, ...) that are alike: length, positional
+        and bitmap filter, first tokens, then Jaccard on whole sets of shingles."""
         n, m = F.col("n_x"), F.col("n_y")
         length = (n * 5 >= m * 4) & (m * 5 >= n * 4)
         # tokens that both can still share from here on, against what 0.8 needs of both together
         position = F.least(n - F.col("i_x"), m - F.col("i_y")) * 9 >= (n + m) * 4
         # similar sets have a ninth of both together apart at most
-        pairs = pairs.filter(length & position).filter(_bits_apart("bits_x", "bits_y") * 9 <= n + m)
-        pairs = checkpointed(pairs.select("k_x", "k_y", *(["n_x", "n_y"] if self.long_sets else [])).distinct())
-        if self.long_sets:
-            pairs = self._held_to_wide(pairs)
-        lines = self._lines_of(pairs.select(F.explode_outer(F.array("k_x", "k_y")).alias("k")).distinct())
+        pairs = pairs.filter(length & position).filter(F.coalesce(_bits_apart("bits_x", "bits_y") * 9 <= n + m, F.lit(True)))
+        pairs = self._held_to_first(checkpointed(pairs.select("k_x", "k_y", "n_x", "n_y", "first_x", "first_y").distinct()))
+        lines = self._lines_of(pairs.select(F.inline(F.array(*[F.struct(F.col(f"k_{c}").alias("k"), F.col(f"first_{c}").alias("first")) for c in "xy"]))).distinct())
+        pairs = pairs.select("k_x", "k_y")
         for letter in "xy":
             pairs = pairs.join(lines.select(F.col("k").alias(f"k_{letter}"), F.col("line").alias(f"line_{letter}")), f"k_{letter}")
         # hashes first, words of what they leave
         return pairs.filter(_alike(_hashes("line_x"), _hashes("line_y"))).filter(_alike(_shingles("line_x"), _shingles("line_y"))).select("k_x", "k_y")
 
-    def _held_to_wide(self, pairs: DataFrame) -> DataFrame:
-        keys = pairs.filter(f"n_x > {_LONG_SET} and n_y > {_LONG_SET}").select(F.explode_outer(F.array("k_x", "k_y")).alias("k"))
-        wide = self.classes.select("k", "wide").filter(in_sieve(sieve(keys, "k"), F.col("k")))
+    def _held_to_first(self, pairs: DataFrame) -> DataFrame:
+        keys = pairs.filter(F.greatest("n_x", "n_y") > self.held).select(F.explode_outer(F.array("k_x", "k_y")).alias("k"))
+        first = self.rows.filter(in_sieve(sieve(keys, "k"), F.col("k"))).select("k", "first_tokens").dropDuplicates(["k"])
         for letter in "xy":
-            pairs = pairs.join(wide.toDF(f"k_{letter}", f"wide_{letter}"), f"k_{letter}", "left")
-        far = _bits_apart("wide_x", "wide_y") * 9 > F.col("n_x") + F.col("n_y")  # null unless both have one
-        return checkpointed(pairs.filter(~F.coalesce(far, F.lit(False))).select("k_x", "k_y"))
-
-    def _lines_of(self, keys: DataFrame) -> DataFrame:
-        """k, line: the first line of each of the classes k. Texts are read once more; sieves thin out what is joined."""
-        keys = checkpointed(keys)
-        at = self.classes.select("k", "first").filter(in_sieve(sieve(keys, "k"), F.col("k"))).join(keys, "k", "left_semi")
-        at = checkpointed(at.select("k", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"), F.col("first.line_no").alias("no")))
+            pairs = pairs.join(first.toDF(f"k_{letter}", f"tokens_{letter}"), f"k_{letter}", "left")
+        far = _first_apart("tokens_x", "tokens_y") * 9 > F.col("n_x") + F.col("n_y")  # null unless both are there
+        return checkpointed(pairs.filter(~F.coalesce(far, F.lit(False))).select("k_x", "k_y", "first_x", "first_y"))
+
+    def _lines_of(self, classes: DataFrame) -> DataFrame:
+        """k, line: the first line of each of the classes (k, first). Texts are read once more; sieves thin out what is joined."""
+        at, n = counted(classes.select("k", F.col("first.doc_id").alias("d"), F.col("first.h").alias("g"), F.col("first.line_no").alias("no")))
         place = F.xxhash64("h", "line_no")
         lines = _lines(self.docs.filter(in_sieve(sieve(at, "g"), F.col("h")))).filter(in_sieve(sieve(at.withColumn("p", F.xxhash64("g", "no")), "p"), place))
         own = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")) & (F.col("line_no") == F.col("no"))
-        return written(lines.join(hinted(at, 48), own).select("k", "line").dropDuplicates(["k"]), "texts")
+        return written(lines.join(F.broadcast(at) if n * 48 <= BROADCAST_BYTES else at, own).select("k", "line").dropDuplicates(["k"]), "texts")
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -205,9 +189,9 @@ def _alike(a: Column, b: Column) -> Column:
 
 def _hashes(line: str) -> Column:
     """Hashes of the distinct shingles of a line."""
-    words = F.transform(F.array_remove(F.split(F.lower(line), " "), ""), lambda w: F.xxhash64(w))
-    of = lambda w: F.slice(F.transform(w, lambda x, i: F.xxhash64(x, *[F.get(w, i + j) for j in range(1, SHINGLE)])), F.lit(1), _many(w))
-    return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
+    twos = lambda w: F.array(F.struct(w.alias("w"), _joined(w, w, 1).alias("two")))
+    both = F.flatten(F.transform(F.array(_word_hashes(line)), twos))
+    return F.element_at(F.transform(both, lambda x: _distinct_shingles(x["w"], x["two"])), 1)
 
 
 def _shingles(line: str) -> Column:

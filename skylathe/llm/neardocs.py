@@ -24,11 +24,11 @@ def _class_edges(join: linededup._Join) -> DataFrame:
     stars = checkpointed(join.matching(earliest.join(join.side("y"), "t").filter("first_x < first_y")).toDF("a", "b"))
     roots = simhash.components(stars).toDF("k", "root")
     # the earliest of each token has been tried
-    open_ = join.index.join(earliest.select("t", F.col("k_x").alias("tried")), "t").filter("k != tried").drop("tried", "first")
+    open_ = join.index.join(earliest.select("t", F.col("k_x").alias("tried")), "t").filter("k != tried").drop("tried")
     open_ = open_.join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     mixed = open_.groupBy("t").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("t")
     open_ = checkpointed(open_.join(mixed, "t"))
-    side = lambda letter: open_.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "bits", "root")])
+    side = lambda letter: open_.select("t", *[F.col(c).alias(f"{c}_{letter}") for c in ("k", "n", "i", "first", "bits", "root")])
     rest = join.matching(side("x").join(side("y"), "t").filter("k_x < k_y and root_x != root_y"))
     return stars.unionByName(rest.toDF("a", "b"))
 
@@ -36,7 +36,7 @@ def _class_edges(join: linededup._Join) -> DataFrame:
 def text_edges(docs: DataFrame) -> DataFrame:
     """a, b: pairs of hashes h of the texts of docs (doc_id, h, text) that connect all texts whose
     five-word shingles have a Jaccard similarity of 0.8 or more."""
-    join = linededup._Join(docs.withColumn("text", F.translate("text", "\n", " ")), longs=8, long_sets=True)
+    join = linededup._Join(docs.withColumn("text", F.translate("text", "\n", " ")), longs=8, held=linededup._LONG_SET)
     edges = _class_edges(join)
     first = join.classes.select("k", F.col("first.h").alias("h"))
     between = edges.join(first.toDF("a", "ha"), "a").join(first.toDF("b", "hb"), "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"))

@@ -91,3 +91,16 @@ def test_tokens_in_many_prefixes_go_last(spark, monkeypatch):
     docs += [(200 + i, docs[i][1] + " more") for i in range(0, 150, 3)]
     got = linededup.without_later_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(slow(docs))
+
+
+def test_long_lines_of_one_passage_are_not_all_verified(spark, monkeypatch):
+    """Lines of 360 words that have a third in common share a common part of their tokens; few need their words."""
+    rng, asked = random.Random(23), []
+    passage = [f"P{i}" for i in range(120)]
+    own = [[f"w{rng.randrange(10**6)}" for _ in range(240)] for _ in range(30)]
+    docs = [(i, " ".join(passage + w)) for i, w in enumerate(own)] + [(100, " ".join(passage + own[0][:-1]))]
+    lines_of = linededup._Join._lines_of
+    monkeypatch.setattr(linededup._Join, "_lines_of", lambda self, keys: asked.append(keys.count()) or lines_of(self, keys))
+    got = linededup.without_later_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(slow(docs))
+    assert sum(asked) < 10
