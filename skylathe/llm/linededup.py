@@ -1,9 +1,10 @@
 """Line dedup as an exact set-similarity join.
 
 A line's tokens are its distinct shingles of five words; a line of one to four words has one token, all
-its words. Tokens are 64-bit hashes and ordered as such. Tokens that turn out to stand in many prefixes,
-as those of a passage that many lines hold, go behind all others by their own count. Any order keeps
-the join exact; that one keeps it small. Lines of one token set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
+its words. Tokens are ordered by rarity: a shingle is as rare as its first word, whose occurrences are
+counted over the whole corpus (in 8,192 hashed buckets), and rarer ones come first. Tokens that turn
+out to stand in many prefixes nevertheless, as those of a passage that many lines hold, go behind all
+others by their own count. Any order keeps the join exact; rarity keeps it small. Lines of one token set form a class. Two classes with a Jaccard similarity of at least 0.8 share a token among the first
 n - ceil(0.8 n) + 1 of each, so only classes that share such a token are compared, under the length and
 the positional filter and a bitmap filter: every token flips one bit of its class's bitmap, so bitmaps
 that differ in more bits than similar sets have tokens apart rule a pair out. So do, for sets too large
@@ -21,14 +22,16 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_BYTES, checkpointed, counted, hinted, in_sieve, sieve, written
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Buckets of words whose occurrences are counted: 2 to this.
+_BUCKET_BITS = 13
 #: Tokens in more prefixes than COMMON are moved behind all others, the COMMONEST of them at most.
 COMMON, COMMONEST = 256, 1 << 14
 #: Pairs of sets of more tokens are held to their first tokens: behind bitmaps of one long, and of eight.
 _LINE_SET, _LONG_SET = 100, 1000
 #: Words of the sieve of shared tokens: 2 to this, 4 MB.
 _TOKEN_SIEVE = 19
-#: Tokens for each long of a bitmap up to which a set has one.
-_A_LONG = 200
+#: A token is one long: its rank above, its hash in the low bits.
+_HASH_BITS = 63 - _BUCKET_BITS
 
 
 def _spaced(text: Column) -> Column:
@@ -45,6 +48,20 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "h", F.posexplode_outer(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
+def _of_word(word: Column) -> Column:
+    return word.bitwiseAND(F.lit((1 << _BUCKET_BITS) - 1))
+
+
+def rarity(docs: DataFrame) -> Column:
+    """A constant array with the rank of each bucket of words by its count in the texts, rarest first,
+    shifted to a token's upper bits; its size is fixed, whatever the corpus. Words count as written."""
+    seen = docs.select(F.explode_outer(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    counts = seen.groupBy(_of_word(F.xxhash64("w")).alias("b")).agg(F.count("w").alias("n"))
+    of = {r.b: r.n for r in counts.collect()}  # 8,192 rows at most
+    ranks = {b: i for i, b in enumerate(sorted(range(1 << _BUCKET_BITS), key=lambda b: (of.get(b, 0), b)))}
+    return F.split(F.lit(",".join(str(ranks[b] << _HASH_BITS) for b in range(1 << _BUCKET_BITS))), ",").cast("array<bigint>")
+
+
 def _word_hashes(line: str) -> Column:
     return F.array_remove(F.transform(F.split(F.lower(line), " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
 
@@ -54,22 +71,28 @@ def _joined(a: Column, b: Column, by: int) -> Column:
     return F.zip_with(a, F.slice(b, F.lit(by + 1), F.size(b)), lambda x, y: F.coalesce(F.xxhash64(x, y), F.lit(0)))
 
 
-def _distinct_shingles(words: Column, twos: Column) -> Column:
-    """Hashes of the distinct shingles, from those of words and of words with the next."""
-    return F.array_distinct(F.slice(_joined(_joined(twos, twos, 2), words, SHINGLE - 1), F.lit(1), _many(words)))
+def _shingle_hashes(words: Column, twos: Column) -> Column:
+    """Hashes of the shingles, from those of words and of words with the next."""
+    return F.slice(_joined(_joined(twos, twos, 2), words, SHINGLE - 1), F.lit(1), _many(words))
 
 
-def _tokens(lines: DataFrame) -> DataFrame:
-    """lines with __t in place of line: the distinct tokens in order; none of a blank line."""
+def _tokens(lines: DataFrame, ranks: Column) -> DataFrame:
+    """lines with __t in place of line: the distinct tokens in order of rarity; none of a blank line."""
     rows = lines.withColumn("__w", _word_hashes("line")).drop("line").withColumn("__2", _joined(F.col("__w"), F.col("__w"), 1))
-    return rows.withColumn("__t", F.sort_array(_distinct_shingles(F.col("__w"), F.col("__2")))).drop("__w", "__2")
+    words, hashes = F.col("__w"), _shingle_hashes(F.col("__w"), F.col("__2"))
+
+    def token(word: Column, h: Column) -> Column:  # never null, as arrays without nulls are sorted faster
+        return F.coalesce(F.get(ranks, _of_word(word).cast("int")).bitwiseOR(F.shiftrightunsigned(h, 64 - _HASH_BITS)), F.lit(0))
+
+    first = F.slice(words, F.lit(1), _many(words))
+    return rows.withColumn("__t", F.sort_array(F.array_distinct(F.zip_with(first, hashes, token)))).drop("__w", "__2")
 
 
 def _bitmap(longs: int) -> Column:
-    """An array of longs in which each token of __t flips one bit; null for sets that it can't tell apart."""
+    """An array of longs in which each token of __t flips one bit."""
     flip = lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))
     own = lambda j: F.filter("__t", lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(longs - 1)) == j) if longs > 1 else F.col("__t")
-    return F.when(F.size("__t") <= _A_LONG * longs, F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)]))
+    return F.array(*[F.aggregate(own(j), F.lit(0).cast("long"), flip) for j in range(longs)])
 
 
 #: Tokens of a set of n of which similar sets share one: all but ceil(0.8 n), and one.
@@ -82,7 +105,7 @@ def _first(tokens: str) -> Column:
 
 
 def _bits_apart(a: str, b: str) -> Column:
-    """How many bits differ; at most as many as tokens do. Null if one has none."""
+    """How many bits differ; at most as many as tokens do."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
@@ -103,8 +126,8 @@ class _Join:
     """
 
     def __init__(self, docs: DataFrame, longs: int = 1, held: int = _LINE_SET):
-        self.docs, self.held = docs, held
-        rows = _tokens(_lines(docs))
+        self.docs, self.ranks, self.held = docs, rarity(docs), held
+        rows = _tokens(_lines(docs), self.ranks)
         rows = rows.select("doc_id", "h", "line_no", F.xxhash64("__t").alias("k"), F.size("__t").alias("n"), _bitmap(longs).alias("bits"), _first("__t").alias("first_tokens"))
         self.rows = rows = written(rows, "lines").filter("n > 0")  # a filter ahead of it would compute the tokens twice over
         first = F.min(F.struct("doc_id", "h", "line_no")).alias("first")
@@ -133,7 +156,7 @@ class _Join:
         rows = self.rows.withColumn("new", F.slice(others, F.lit(1), F.expr(_PREFIX)))
         enough = F.size("new") == F.expr(_PREFIX)
         keys = rows.filter(~enough).select("k").distinct()
-        sets = _tokens(self._lines_of(self.classes.join(keys, "k", "left_semi").select("k", "first"))).withColumn("__t", F.concat(F.filter("__t", lambda t: ~is_common(t)), F.filter("__t", is_common)))
+        sets = _tokens(self._lines_of(self.classes.join(keys, "k", "left_semi").select("k", "first")), self.ranks).withColumn("__t", F.concat(F.filter("__t", lambda t: ~is_common(t)), F.filter("__t", is_common)))
         sets = sets.withColumn("n", F.size("__t"))
         again = written(sets.select("k", "n", F.posexplode_outer(F.slice("__t", F.lit(1), F.expr(_PREFIX))).alias("i", "t")), "reordered")
         fresh = F.array_except("new", F.slice("first_tokens", F.lit(1), F.expr(_PREFIX)))
@@ -156,7 +179,7 @@ class _Join:
         # tokens that both can still share from here on, against what 0.8 needs of both together
         position = F.least(n - F.col("i_x"), m - F.col("i_y")) * 9 >= (n + m) * 4
         # similar sets have a ninth of both together apart at most
-        pairs = pairs.filter(length & position).filter(F.coalesce(_bits_apart("bits_x", "bits_y") * 9 <= n + m, F.lit(True)))
+        pairs = pairs.filter(length & position).filter(_bits_apart("bits_x", "bits_y") * 9 <= n + m)
         pairs = self._held_to_first(checkpointed(pairs.select("k_x", "k_y", "n_x", "n_y", "first_x", "first_y").distinct()))
         lines = self._lines_of(pairs.select(F.inline(F.array(*[F.struct(F.col(f"k_{c}").alias("k"), F.col(f"first_{c}").alias("first")) for c in "xy"]))).distinct())
         pairs = pairs.select("k_x", "k_y")
@@ -191,7 +214,7 @@ def _hashes(line: str) -> Column:
     """Hashes of the distinct shingles of a line."""
     twos = lambda w: F.array(F.struct(w.alias("w"), _joined(w, w, 1).alias("two")))
     both = F.flatten(F.transform(F.array(_word_hashes(line)), twos))
-    return F.element_at(F.transform(both, lambda x: _distinct_shingles(x["w"], x["two"])), 1)
+    return F.element_at(F.transform(both, lambda x: F.array_distinct(_shingle_hashes(x["w"], x["two"]))), 1)
 
 
 def _shingles(line: str) -> Column:
