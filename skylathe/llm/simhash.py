@@ -1,8 +1,8 @@
-"""SimHash near-duplicates by deletion-variant signatures.
+"""SimHash near-duplicates by pairs of blocks.
 
-A 64-bit fingerprint is cut into two 32-bit segments. Fingerprints that differ in two bits or fewer
-have a segment in which they differ in one bit at most, so they share a variant of that segment with
-one bit wildcarded. Variants are indexed, buckets of equal variants are paired and verified.
+A 64-bit fingerprint is cut into four blocks of 16 bits. Fingerprints that differ in two bits or fewer
+are equal in two blocks at least, so they share one of the six keys that two blocks make. Keys are
+indexed, buckets of equal keys are paired and verified.
 
 Pairs are taken between distinct fingerprints only, never between copies. A bucket that holds more
 than BUCKET_PAIRS fingerprints is not paired: its members are indexed once more by the 65 points
@@ -13,6 +13,7 @@ fewer, and a point has 65 members at most, so that way is exact and linear.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -21,12 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, fewer
+from .common import checkpointed, fewer, hinted
 
-#: Largest bucket of variants that is paired directly.
+#: Largest bucket of equal keys that is paired directly.
 BUCKET_PAIRS = 16
-#: Fingerprints of a task that makes variants (64 rows each), whatever the bytes that go in.
-_A_TASK = 1 << 14
+#: Fingerprints of a task that makes keys (six rows each), whatever the bytes that go in.
+_KEYED = 1 << 17
 #: A fingerprint of more than this part of all rows is joined by broadcast; there are fewer than its inverse.
 _HOT = 1 / 10_000
 #: Shingles whose bits are counted at once.
@@ -62,28 +63,26 @@ def distance(a: Column | str, b: Column | str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)) if isinstance(a, str) else a.bitwiseXOR(b))
 
 
-def _variants(fps: DataFrame) -> DataFrame:
-    """fp, key: the 64 one-wildcard variants of the two segments."""
-    low = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
-    segment = F.when(F.col("j") < 32, low).otherwise(F.shiftrightunsigned("fp", 32))
-    rest = segment.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, j % 32)")))
-    key = F.expr("shiftleft(cast(j as long), 32)").bitwiseOR(rest)
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("j")).select("fp", key.alias("key"))
+def _keys(fps: DataFrame) -> DataFrame:
+    """fp, key: the six pairs of blocks, numbered above their 32 bits."""
+    block = lambda i: F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF))
+    keys = [F.shiftleft(block(p), 16).bitwiseOR(block(q)).bitwiseOR(F.lit(j << 32)) for j, (p, q) in enumerate(combinations(range(4), 2))]
+    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
 
 
 def links(fps: DataFrame) -> DataFrame:
     """a, b (a < b): all pairs of the distinct fingerprints `fp` within two bits, or a set of such
     pairs that connects the same fingerprints where a bucket is too full to be paired."""
     fps = checkpointed(fps)
-    variants = _variants(fps.repartition(max(1, -(-fps.count() // _A_TASK)), "fp"))
+    keys = _keys(fps.repartition(max(1, -(-fps.count() // _KEYED)), "fp"))
     buckets = checkpointed(
-        variants.groupBy("key")
+        keys.groupBy("key")
         .agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
         .filter("n > 1")
     )
     near = distance("a", "b") <= 2
     two = buckets.filter("n = 2").select("a", "b").filter(near)
-    members = checkpointed(variants.join(buckets.filter("n > 2").select("key", "n"), "key"))
+    members = checkpointed(keys.join(hinted(buckets.filter("n > 2").select("key", "n"), 16), "key"))
     few = members.filter(F.col("n") <= BUCKET_PAIRS)
     paired = (
         few.select("key", F.col("fp").alias("a"))

@@ -83,6 +83,19 @@ def test_full_buckets_lose_no_link(spark):
     assert sorted(map(sorted, found.values())) == sorted(sorted(g) for g in groups.values() if len(g) > 1)
 
 
+def test_few_keys_of_a_fingerprint_hold_every_link(spark, monkeypatch):
+    """Six rows a fingerprint are shuffled, and all pairs within two bits share one of them."""
+    rng, made = random.Random(3), []
+    fps = {rng.getrandbits(64) for _ in range(20)}
+    fps |= {f ^ (1 << a) ^ (1 << b) for f in fps for a, b in [rng.choices(range(64), k=2) for _ in range(10)]}
+    df = spark.createDataFrame([(f - 2**64 if f >= 2**63 else f,) for f in sorted(fps)], "fp long")
+    monkeypatch.setattr(simhash, "checkpointed", lambda d: made.append(d.count()) or common.checkpointed(d))
+    monkeypatch.setattr(simhash, "BUCKET_PAIRS", 10**6)
+    got = {(r.a % 2**64, r.b % 2**64) for r in simhash.links(df).collect()}
+    assert {frozenset(p) for p in got} == {frozenset((a, b)) for a in fps for b in fps if a != b and (a ^ b).bit_count() <= 2}
+    assert max(made) <= 6 * len(fps)
+
+
 def test_repeated_and_null_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (None, None), (2, None)], "doc_id long, text string")
     rows = simhash.near_duplicates(docs).select("doc_id", "component_id").collect()
