@@ -54,8 +54,8 @@ def _of_word(word: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """A constant array with the rank of each bucket of words by its count in the texts, rarest first,
-    shifted to a token's upper bits; its size is fixed, whatever the corpus. Words count as written."""
-    seen = docs.select(F.explode_outer(F.split(F.replace(_spaced(F.col("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
+    shifted to a token's upper bits; its size is fixed, whatever the corpus. Words count in lower case, as tokens have them."""
+    seen = docs.select(F.explode_outer(F.split(F.replace(F.lower(_spaced(F.col("text"))), F.lit("\n"), F.lit(" ")), " ")).alias("w"))
     counts = seen.groupBy(_of_word(F.xxhash64("w")).alias("b")).agg(F.count("w").alias("n"))
     of = {r.b: r.n for r in counts.collect()}  # 8,192 rows at most
     ranks = {b: i for i, b in enumerate(sorted(range(1 << _BUCKET_BITS), key=lambda b: (of.get(b, 0), b)))}
@@ -182,11 +182,18 @@ class _Join:
         pairs = pairs.filter(length & position).filter(_bits_apart("bits_x", "bits_y") * 9 <= n + m)
         pairs = self._held_to_first(checkpointed(pairs.select("k_x", "k_y", "n_x", "n_y", "first_x", "first_y").distinct()))
         lines = self._lines_of(pairs.select(F.inline(F.array(*[F.struct(F.col(f"k_{c}").alias("k"), F.col(f"first_{c}").alias("first")) for c in "xy"]))).distinct())
-        pairs = pairs.select("k_x", "k_y")
+        # hashes first, made once a line and not once a pair; words of what they leave
+        hashes = checkpointed(lines.select("k", _hashes("line").alias("of")))
+        pairs = self._both(pairs.select("k_x", "k_y"), hashes, "of").filter(_alike(F.col("of_x"), F.col("of_y")))
+        pairs = self._both(checkpointed(pairs.select("k_x", "k_y")), lines, "line")
+        return pairs.filter(_alike(_shingles("line_x"), _shingles("line_y"))).select("k_x", "k_y")
+
+    @staticmethod
+    def _both(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
+        """pairs with the column of the table (k, column) for both."""
         for letter in "xy":
-            pairs = pairs.join(lines.select(F.col("k").alias(f"k_{letter}"), F.col("line").alias(f"line_{letter}")), f"k_{letter}")
-        # hashes first, words of what they leave
-        return pairs.filter(_alike(_hashes("line_x"), _hashes("line_y"))).filter(_alike(_shingles("line_x"), _shingles("line_y"))).select("k_x", "k_y")
+            pairs = pairs.join(table.select(F.col("k").alias(f"k_{letter}"), F.col(column).alias(f"{column}_{letter}")), f"k_{letter}")
+        return pairs
 
     def _held_to_first(self, pairs: DataFrame) -> DataFrame:
         keys = pairs.filter(F.greatest("n_x", "n_y") > self.held).select(F.explode_outer(F.array("k_x", "k_y")).alias("k"))
@@ -220,7 +227,7 @@ def _hashes(line: str) -> Column:
 def _shingles(line: str) -> Column:
     """The distinct shingles of a line as strings."""
     words = F.array_remove(F.split(F.lower(line), " "), "")
-    of = lambda w: F.transform(F.sequence(F.lit(1), _many(w)), lambda i: F.array_join(F.slice(w, i, F.lit(SHINGLE)), " "))
+    of = lambda w: F.transform(F.arrays_zip(*[F.slice(w, F.lit(i + 1), _many(w)) for i in range(SHINGLE)]), lambda x: F.concat_ws(" ", *[x[str(i)] for i in range(SHINGLE)]))
     return F.array_distinct(F.flatten(F.transform(F.array(words), of)))
 
 
@@ -258,7 +265,7 @@ def later_lines(docs: DataFrame) -> DataFrame:
     earlier line, copies included. Lines are earlier by doc_id, hash of the text and line number."""
     join = _Join(docs)
     gone = checkpointed(later_classes(join).withColumn("gone", F.lit(True)))
-    known = checkpointed(join.classes.join(gone, "k", "left").filter("gone or lines > 1").select("k", "first", "gone"))
+    known = checkpointed(join.classes.join(hinted(gone, 16), "k", "left").filter("gone or lines > 1").select("k", "first", "gone"))
     rows = join.rows.select("doc_id", "h", "line_no", "k").filter(in_sieve(sieve(known, "k"), F.col("k")))
     out = rows.join(hinted(known, 56), "k").filter(F.coalesce("gone", F.lit(False)) | (F.struct("doc_id", "h", "line_no") != F.col("first")))
     return checkpointed(out.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.collect_set("line_no").alias("nos")))

@@ -104,3 +104,21 @@ def test_long_lines_of_one_passage_are_not_all_verified(spark, monkeypatch):
     got = linededup.without_later_lines(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(slow(docs))
     assert sum(asked) < 10
+
+
+def test_words_are_as_rare_in_upper_case(spark):
+    docs = spark.createDataFrame([(i, f"COMMON word{i} Common w{i}") for i in range(50)], "doc_id long, text string")
+    ranks = linededup.rarity(docs)
+    of = F.get(ranks, linededup._of_word(F.xxhash64(F.lit("common"))).cast("int"))
+    assert spark.range(1).select(of == F.array_max(ranks)).first()[0]
+
+
+def test_hashes_are_made_once_a_line(spark, monkeypatch):
+    """A crowd around one line: its hashes aren't made for every pair that it is in."""
+    asked, hashes = [], linededup._hashes
+    monkeypatch.setattr(linededup, "_hashes", lambda line: asked.append(line) or hashes(line))
+    base = [f"b{i}" for i in range(40)]
+    docs = [(i, " ".join([*base[:-1], f"x{i}"])) for i in range(20)]
+    got = linededup.without_later_lines(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == sorted(slow(docs))
+    assert set(asked) == {"line"}
