@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.streaming.state import GroupState
 
 
 def arriving(spark: SparkSession, path: str, schema, files_a_batch: int = 100) -> DataFrame:
@@ -32,71 +34,93 @@ def sessions(stream: DataFrame, ts: str, by: list[str], gap: str = "12 hours", l
     return rows.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-class _PreviousAccepted(StatefulProcessor):
-    """Holds rows back until the watermark has passed them, then lets them out in order of time, each
-    with the value of the last accepted row before it."""
-
-    def __init__(self, names: list[str], expire_ms: int | None):
-        self.names, self.expire_ms = names, expire_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", "at long, tie long, accepted boolean, value double")
-        self.last = handle.getValueState("last", "at long, value double")
-
-    def _wake(self, at_us: int | None) -> None:
-        """One timer a key: at the earliest row that waits, or when the last value expires."""
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        if at_us is not None:
-            self.handle.registerTimer(at_us // 1000 + 1)
-
-    def _due(self, key: tuple, watermark_ms: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
-        rows.sort(key=lambda r: r[:2])
-        until = watermark_ms * 1000
-        due = [r for r in rows if r[0] < until]
-        rest = rows[len(due) :]
-        last = self.last.get() if self.last.exists() else None
-        out = []
-        for at, tie, accepted, value in due:
-            if last and self.expire_ms is not None and at - last[0] > self.expire_ms * 1000:
-                last = None
-            out.append((key[0], at, tie, last[1] if last else None))
-            if accepted:
-                last = (at, value)
-        if last and self.expire_ms is not None and not rest and until - last[0] > self.expire_ms * 1000:
-            last = None
-        self.last.update(last) if last else self.last.clear()
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self._wake(rest[0][0] if rest else last[0] + self.expire_ms * 1000 if last and self.expire_ms is not None else None)
-        if out:
-            yield pd.DataFrame({n: pd.Series([r[i] for r in out], dtype=object if i == 3 else None) for i, n in enumerate(self.names)})
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(a), int(t), bool(k), None if pd.isna(v) else float(v)) for part in rows for a, t, k, v in zip(part["at"], part["tie"], part["accepted"], part["value"], strict=True)]
-        yield from self._due(key, timerValues.getCurrentWatermarkInMs(), [*self.waiting.get(), *new])
-
-    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._due(key, timerValues.getCurrentWatermarkInMs(), list(self.waiting.get()))
-
-    def close(self) -> None:
-        pass
-
-
-def previous_accepted(stream: DataFrame, key: str, ts: str, tie: str, accepted: str, value: str, late: str = "1 hour", expire_ms: int | None = None) -> DataFrame:
+#: Of a row that waits, and of the last accepted row of a key.
+_HELD = {"key": np.int64, "at": np.int64, "tie": np.int64, "accepted": bool, "value": float}
+
+
+def _packed(rows: list[np.ndarray]) -> bytes | None:
+    if not len(rows[0]):
+        return None
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in rows], names=[*_HELD])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as stream:
+        stream.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _joined(held: bytes | None, parts: Iterable[pd.DataFrame] = ()) -> list[np.ndarray]:
+    """Columns of what is held and of the rows that came."""
+    old = [[c.to_numpy() for c in pa.ipc.open_stream(held).read_all().columns]] if held else []
+    new = [[p[c].to_numpy() for c in _HELD] for p in parts]
+    return [np.concatenate(x) for x in zip(*old, *new, strict=True)] if old or new else [np.empty(0, t) for t in _HELD.values()]
+
+
+def _let_out(rows: list[np.ndarray], last: list[np.ndarray], until: int, expire: int | None) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+    """key, at, tie and guess of the rows before until, those that wait on, and each key's last accepted row then; microseconds."""
+    due = rows[1] < until
+    out, rest = [x[due] for x in rows], [x[~due] for x in rows]
+    if due.any():
+        both = [np.concatenate(x) for x in zip(last, out, strict=True)] if len(last[0]) else out
+        came = np.arange(len(both[0])) >= len(last[0])
+        key = pd.factorize(both[0])[0]
+        order = np.lexsort((both[2], both[1], came, key))  # stable: rows alike stay as they came
+        both, key, came = [x[order] for x in both], key[order], came[order]
+        at, accepted, value = both[1], both[3], both[4]
+        latest = np.maximum.accumulate(np.where(accepted, np.arange(len(key)), -1))
+        before = np.append(-1, latest[:-1])
+        known = (before >= 0) & (key[before] == key)
+        if expire is not None:
+            known &= at - at[before] <= expire
+        out = [x[came] for x in (*both[:3], np.where(known, value[before], np.nan))]
+        ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        kept = latest[ends[(latest[ends] >= 0) & (key[latest[ends]] == key[ends])]]
+        last = [x[kept] for x in both]
+    if expire is not None:
+        fresh = until - last[1] <= expire
+        last = [x[fresh] for x in last]
+    return out, rest, last
+
+
+def _previous_of(names: list[str], bucketed: bool, expire: int | None):
+    """What a group does with a batch: rows wait in its state until the watermark has passed them, then come out in order of
+    time, each with the value of the last accepted row of its key before it."""
+
+    def step(group: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, last = state.get if state.exists else (None, None)
+        rows = _joined(waiting) if state.hasTimedOut else _joined(waiting, parts)
+        out, rest, last = _let_out(rows, _joined(last), state.getCurrentWatermarkMs() * 1000, expire)
+        if len(rest[0]) or len(last[0]):
+            state.update((_packed(rest), _packed(last)))
+            wake = rest[1] if expire is None else np.append(rest[1], last[1] + expire)
+            if len(wake):
+                state.setTimeoutTimestamp(int(wake.min()) // 1000)
+        elif state.exists:
+            state.remove()
+        if len(out[0]):
+            keys = out[0] if bucketed else pd.Series([group[0]] * len(out[0]), dtype=object)
+            yield pd.DataFrame(dict(zip(names, (keys, out[1], out[2], out[3]), strict=True)), dtype=object)
+
+    return step
+
+
+def previous_accepted(stream: DataFrame, key: str, ts: str, tie: str, accepted: str, value: str, late: str = "1 hour", expire_ms: int | None = None, buckets: int = 256) -> DataFrame:
     """key, at_us, tie, guess: for each row the value of the last accepted row of its key before it in
     time (rows of one time by tie), null where there is none or it is older than expire_ms.
 
-    Rows may come in any order within `late`: each waits in state, sorted, until the watermark has passed
-    it, and an event-time timer lets it out. Rows later than that are left out and counted by Spark as dropped,
+    Rows may come in any order within `late`: each waits in state until the watermark has passed
+    it, and an event-time timeout lets it out. Rows later than that are left out and counted by Spark as dropped,
     rather than guessed wrongly. State is what came within `late`, and one value a key, which goes when it expires.
+    Whole numbers and strings as keys share their state by bucket, as a group costs as much as hundreds of rows; a checkpoint
+    is for one number of buckets. Other keys have a group each.
     Rows without key or time, or from before 1970, where watermarks begin, are left out; a null value is a value; tie is a long. Needs the RocksDB state store, which run_once sets.
     """
     rows = stream.filter(F.col(key).isNotNull()).withColumn("_ts", F.col(ts).cast("timestamp")).filter("_ts is not null").withWatermark("_ts", late)
-    rows = rows.select(F.col(key).alias("key"), "_ts", F.unix_micros("_ts").alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("tie"), F.coalesce(F.col(accepted), F.lit(False)).alias("accepted"), F.col(value).cast("double").alias("value"))
-    kind = rows.schema["key"].dataType.simpleString()
-    names = [key, "at_us", tie, "guess"]
-    return rows.groupBy("key").transformWithStateInPandas(_PreviousAccepted(names, expire_ms), f"`{key}` {kind}, at_us long, `{tie}` long, guess double", "append", "eventTime")
+    kind = stream.schema[key].dataType.simpleString()
+    bucketed = kind in ("tinyint", "smallint", "int", "bigint", "string")
+    group, key_in = (F.pmod(F.hash(key), F.lit(buckets)), F.col(key)) if bucketed else (F.col(key), F.lit(0).cast("long"))
+    rows = rows.select(group.alias("group"), key_in.alias("key"), "_ts", F.unix_micros("_ts").alias("at"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("tie"), F.coalesce(F.col(accepted), F.lit(False)).alias("accepted"), F.col(value).cast("double").alias("value"))
+    step = _previous_of([key, "at_us", tie, "guess"], bucketed, None if expire_ms is None else expire_ms * 1000)
+    return rows.groupBy("group").applyInPandasWithState(step, f"`{key}` {kind}, at_us long, `{tie}` long, guess double", "waiting binary, last binary", "append", "EventTimeTimeout")
 
 
 def landed(rows: DataFrame, folder: str, number: Column) -> None:

@@ -3,6 +3,9 @@
 import random
 import time
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from skylathe.plans import advanced
@@ -79,6 +82,46 @@ def test_too_late_rows_give_nothing_and_values_expire(spark, tmp_path):
     assert got == _guesses([*first, (3, 22_000, 8, 8.0, False), *later[1:]], expire=3000)
 
 
+def test_many_keys_share_a_state_by_bucket(spark, tmp_path):
+    """A state a key costs some ten milliseconds a key and batch, so more keys than buckets mustn't make more of them."""
+    batches = [[(k, 10_000 * (b + 1) + k, b, float(b), k % 2 == b % 2) for k in range(1, 301)] for b in range(3)]
+    _, out = _run(spark, tmp_path, batches, 10_000_000, late="5000 seconds", buckets=16)
+    assert {(r.k, r.tie): r.guess for r in out.collect()} == _guesses([r for b in batches for r in b])
+    assert out.count() == 900
+    held = spark.read.format("statestore").load(f"{tmp_path}/state").count()
+    assert 0 < held <= 16
+
+
+def test_keys_of_any_kind(spark, tmp_path):
+    rows = [(1 + i % 4, 10_000 + 100 * i, i, None if i % 7 == 0 else float(i), i % 3 == 0) for i in range(60)]
+    want = _guesses(rows)
+    frame = spark.createDataFrame(rows, "n long, at long, tie long, v double, ok boolean").withColumn("ts", F.timestamp_seconds("at"))
+    frames.landed(frame, f"{tmp_path}/in", F.floor(F.col("tie") / 20))
+    end = spark.createDataFrame([(9, 10_000_000, 0, None, False)], "n long, at long, tie long, v double, ok boolean").withColumn("ts", F.timestamp_seconds("at"))
+    frames.landed(end, f"{tmp_path}/in", F.lit(1 << 20))
+    for name, k in (("string", F.concat(F.lit("key "), "n")), ("date", F.date_add(F.lit("2024-01-01"), F.col("n").cast("int"))), ("long", (1 << 60) + F.col("n"))):
+        stream = frames.arriving(spark, f"{tmp_path}/in/*", frame.schema, 1).withColumn("k", k)
+        frames.run_once(frames.previous_accepted(stream, "k", "ts", "tie", "ok", "v", late="30 minutes"), f"{tmp_path}/{name}", f"{tmp_path}/{name}-state", "append")
+        keys = {str(r.k): r.n for r in frame.select(k.alias("k"), "n").distinct().collect()}
+        out = spark.read.parquet(f"{tmp_path}/{name}").filter("at_us < 1000000000000").collect()
+        assert {(keys[str(r.k)], r.tie): r.guess for r in out} == want and len(out) == 60, name
+
+
+@pytest.mark.parametrize("expire", [None, 900])
+def test_rows_let_out_in_steps_are_those_of_a_plain_loop(expire):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), 1_000 + 50 * rng.randrange(60), n, rng.choice([None, float(n)]), rng.random() < 0.3) for n in range(300)]
+    rows.sort(key=lambda r: r[1] + rng.randrange(300))
+    waiting = last = frames._joined(None)
+    got, until = {}, 0
+    for n in range(0, 301, 60):
+        part = pd.DataFrame(rows[n : n + 60], columns=["key", "at", "tie", "value", "accepted"]).astype({"accepted": bool, "value": float})
+        out, waiting, last = frames._let_out(frames._joined(frames._packed(waiting), [part]), frames._joined(frames._packed(last)), until, expire)
+        got |= {(k, t): None if np.isnan(g) else g for k, _, t, g in zip(*out, strict=True)}
+        until = 10_000 if n == 240 else max(until, rows[min(n + 59, 299)][1] - 600)
+    assert got == _guesses(rows, expire) and not len(waiting[0])
+
+
 def test_files_land_in_order_of_number(spark, tmp_path):
     before = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # a small table's files would all be one task's
