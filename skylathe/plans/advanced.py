@@ -77,12 +77,12 @@ def stream_late_accepted(spark, d):
     source = table(spark, d, "events").select("event_id", "user_id", "ts", "value", (F.col("value") > 40).alias("ok"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     frames.landed(source, f"{folder}/in", F.floor((day + F.col("event_id") % 3) / 3))
-    schema = spark.read.parquet(f"{folder}/in").drop("_n").schema
+    schema, partitions = spark.read.parquet(f"{folder}/in").drop("_n").schema, frames.partitions_for(source)
     make = lambda: frames.previous_accepted(frames.arriving(spark, f"{folder}/in/*", schema, 1), "user_id", "ts", "event_id", "ok", "value", late="7 days")
-    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append", partitions)
     end = source.agg(F.lit(-1).cast("long").alias("event_id"), F.lit(-1).cast("long").alias("user_id"), (F.max("ts") + F.expr("interval 1000 days")).alias("ts"), F.lit(None).cast("double").alias("value"), F.lit(False).alias("ok"))
     frames.landed(end, f"{folder}/in", F.lit(1 << 20))
-    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append", partitions)
     return spark.read.parquet(f"{folder}/table").filter("user_id >= 0").select("user_id", "event_id", "guess")
 
 
@@ -92,9 +92,10 @@ def stream_previous_accepted(spark, d):
     source = table(spark, d, "customer").select(F.col("c_nationkey").cast("long").alias("c_nationkey"), F.col("c_custkey").cast("long").alias("c_custkey"), "c_acctbal", (F.col("c_acctbal") > 5000).alias("ok"), F.timestamp_seconds(F.col("c_custkey") + 86400).alias("ts"))
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     frames.landed(source, f"{folder}/in", F.pmod(F.hash("c_custkey"), F.lit(4)))
+    partitions = frames.partitions_for(source)
     end = source.agg(F.lit(-1).cast("long").alias("c_nationkey"), F.max("c_custkey").alias("c_custkey"), F.lit(None).cast("double").alias("c_acctbal"), F.lit(False).alias("ok"), (F.max("ts") + F.expr("interval 40000 days")).alias("ts"))
     make = lambda: frames.previous_accepted(frames.arriving(spark, f"{folder}/in/*", source.schema, 1), "c_nationkey", "ts", "c_custkey", "ok", "c_acctbal", late="20000 days")
-    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append", partitions)
     frames.landed(end, f"{folder}/in", F.lit(1 << 20))
-    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append")
+    frames.run_once(make(), f"{folder}/table", f"{folder}/state", "append", partitions)
     return spark.read.parquet(f"{folder}/table").filter("c_nationkey >= 0").select("c_nationkey", "c_custkey", "guess")

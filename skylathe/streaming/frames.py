@@ -137,12 +137,27 @@ def landed(rows: DataFrame, folder: str, number: Column) -> None:
         spark.read.schema(rows.schema).parquet(f"{aside}/_n={n}").write.mode("append").parquet(f"{folder}/_n={n}")
 
 
-def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete") -> None:
+def partitions_for(rows: DataFrame) -> int:
+    """As many partitions of state as rows need that a stream will bring: a million each, but one a core, and no more than shuffles have.
+    A partition costs every batch a state store and a call of Python, however few its rows."""
+    spark = rows.sparkSession
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows.count() // 1_000_000)))
+
+
+def run_once(result: DataFrame, table: str, checkpoint: str, mode: str = "complete", partitions: int | None = None) -> None:
     """Run a stream over all that is there; in complete mode each batch's result replaces the table at a
-    path, in append mode each batch has a folder of its own there, which a repeated batch replaces."""
+    path, in append mode each batch has a folder of its own there, which a repeated batch replaces. partitions are those of
+    its state, which a checkpoint keeps from its first batch on."""
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(table if mode == "complete" else f"{table}/batch={number}")
 
-    result.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    conf = result.sparkSession.conf
+    conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    before = conf.get("spark.sql.shuffle.partitions")
+    conf.set("spark.sql.shuffle.partitions", str(partitions or before))
+    try:
+        stream = result.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()  # has its own copy of the settings
+    finally:
+        conf.set("spark.sql.shuffle.partitions", before)
+    stream.awaitTermination()

@@ -92,6 +92,22 @@ def test_many_keys_share_a_state_by_bucket(spark, tmp_path):
     assert 0 < held <= 16
 
 
+def test_state_has_as_many_partitions_as_rows_need(spark, tmp_path):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        cores = spark.sparkContext.defaultParallelism
+        assert frames.partitions_for(spark.range(1_000_000 * cores + 1)) == cores + 1
+        frame = spark.range(20).select("id", F.col("id").alias("tie"), F.timestamp_seconds(F.col("id") + 100).alias("ts"), (F.col("id") > 3).alias("ok"))
+        frames.landed(frame, f"{tmp_path}/in", F.lit(0))
+        stream = frames.arriving(spark, f"{tmp_path}/in/*", frame.schema)
+        frames.run_once(frames.previous_accepted(stream, "id", "ts", "tie", "ok", "id"), f"{tmp_path}/out", f"{tmp_path}/state", "append", frames.partitions_for(frame))
+        assert len([p for p in (tmp_path / "state/state/0").iterdir() if p.name.isdigit()]) == cores
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_keys_of_any_kind(spark, tmp_path):
     rows = [(1 + i % 4, 10_000 + 100 * i, i, None if i % 7 == 0 else float(i), i % 3 == 0) for i in range(60)]
     want = _guesses(rows)
